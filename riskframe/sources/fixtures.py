@@ -196,7 +196,7 @@ def trials_c(spark: SparkSession, sf_dir: str) -> DataFrame:
         "iteration",
         F.when(running, F.lit(None).cast("double")).otherwise(val).alias("value"),
         F.col("ts").alias("datetime_start"),
-        F.when(running, F.lit(None).cast("timestamp"))
+        F.when(running, F.lit(None).cast("timestamp_ntz"))
          .otherwise(F.timestamp_add("MICROSECOND", dur_us, F.col("ts"))).alias("datetime_complete"),
         F.when(running, F.lit(None).cast("string")).otherwise(duration).alias("duration"),
         "learning_rate", "max_depth", "n_neighbors", "subsample", "reg_lambda",

@@ -27,7 +27,8 @@ def read_csv(spark: SparkSession, path: str, schema=None, infer: bool = False,
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Header CSV, no index column; one file per task (never coalesced to one)."""
-    df.write.mode(mode).option("header", True).csv(path)
+    (df.write.mode(mode).option("header", True)
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def write_matrix(df: DataFrame, path: str, names_path: str, mode: str = "overwrite") -> None:
