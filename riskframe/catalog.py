@@ -352,6 +352,19 @@ def r6(s, d):
     return resample.positional_split(fx.loans_model(s, d).select("loan_id"), "loan_id")
 
 
+def r4(s, d):
+    pts = fx.minority_points(s, d, dims=4)
+    return resample.smote(pts, "vec_id", ["x1", "x2", "x3", "x4"], k=5)
+
+
+def m14(s, d):
+    from riskframe.operators.knn import knn_classify
+    pts = fx.embedding_points(s, d, dims=4)
+    train = pts.filter(F.col("split") == "train")
+    test = pts.filter(F.col("split") == "test")
+    return knn_classify(train, test, "vec_id", ["x1", "x2", "x3", "x4"], "label", k=5)
+
+
 # ---------------------------------------------------------------- T: trial analytics
 def _done(s, d):
     return trials.completed(fx.trials_c(s, d))
@@ -469,7 +482,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "E1": e1, "E2": e2, "E3": e3, "E4": e4, "E5": e5, "E6": e6, "E7": e7, "E8": e8, "E9": e9,
     "E10": e10, "E11": e11, "E12": e12, "E13": e13,
     "F7": f7, "F8": f8, "F9": f9, "F10": f10, "F13": f13, "F14": f14,
-    "R1": r1, "R2": r2, "R3": r3, "R5": r5, "R6": r6,
+    "R1": r1, "R2": r2, "R3": r3, "R4": r4, "R5": r5, "R6": r6, "M14": m14,
     "T1": t1, "T2": t2, "T3": t3, "T4": t4, "T5": t5, "T6": t6, "T7": t7, "T8": t8, "T10": t10,
     "T11": t11, "T12": t12, "T13": t13, "T14": t14, "S8": s8, "H4": h4,
     "S1": s1, "S3": s3, "S4": s4, "S7": s7,

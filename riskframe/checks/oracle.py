@@ -377,6 +377,43 @@ def _r():
     return out
 
 
+def _dist_sql(a, b, dims=4):
+    return "sqrt(" + " + ".join(f"({a}.x{i} - {b}.x{i}) * ({a}.x{i} - {b}.x{i})" for i in range(1, dims + 1)) + ")"
+
+
+def _knn():
+    xs = ", ".join(f"x{i}" for i in range(1, 5))
+    r4 = fs.with_(fs.minority_points()).rstrip() + f""",
+        minor AS (SELECT * FROM minority_points WHERE label = 1),
+        cnt AS (SELECT count(*) FILTER (WHERE label <> 1) AS nmaj, count(*) FILTER (WHERE label = 1) AS m
+                FROM minority_points),
+        nn AS (SELECT vec_id, nb, row_number() OVER (PARTITION BY vec_id ORDER BY dist, nb) AS nn_rank
+               FROM (SELECT a.vec_id, b.vec_id AS nb, {_dist_sql('a', 'b')} AS dist
+                     FROM minor a JOIN minor b ON a.vec_id <> b.vec_id)),
+        idx AS (SELECT *, row_number() OVER (ORDER BY {duck_b('smotei', 'vec_id')}, vec_id) - 1 AS _idx FROM minor),
+        draws AS (SELECT d, {duck_b('smote', 'd')} % m AS _idx,
+                         CAST({duck_b('smoten', 'd')} % least(5, m - 1) + 1 AS BIGINT) AS nn_rank,
+                         {duck_b('smoteu', 'd')} / 4294967296.0 AS u
+                  FROM (SELECT unnest(range(nmaj - m)) AS d, m FROM cnt))
+        SELECT vec_id, {xs}, label, CAST(NULL AS BIGINT) AS draw, CAST(NULL AS BIGINT) AS neighbor_vec_id
+        FROM minority_points
+        UNION ALL
+        SELECT i.vec_id, """ + ", ".join(f"i.x{j} + d.u * (p.x{j} - i.x{j})" for j in range(1, 5)) + f""",
+               1, d.d, nn.nb
+        FROM draws d JOIN idx i USING (_idx) JOIN nn ON nn.vec_id = i.vec_id AND nn.nn_rank = d.nn_rank
+             JOIN minor p ON p.vec_id = nn.nb"""
+    pts = f"""pts AS (SELECT vec_id, {', '.join(f'CAST(embedding[{i}] AS DOUBLE) AS x{i}' for i in range(1, 5))},
+                  label, CASE WHEN {duck_b('knn', 'vec_id')} % 100 < 80 THEN 'train' ELSE 'test' END AS split
+           FROM embeddings)"""
+    m14 = f"""WITH {pts},
+        nn AS (SELECT q.vec_id, r.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_dist_sql('q', 'r')}, r.vec_id) AS rk
+               FROM pts q JOIN pts r ON q.split = 'test' AND r.split = 'train'),
+        votes AS (SELECT vec_id, label, count(*) AS v FROM nn WHERE rk <= 5 GROUP BY vec_id, label)
+        SELECT vec_id, label AS prediction FROM (
+          SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, label) AS r FROM votes) WHERE r = 1"""
+    return {"R4": rnd(r4, [f"x{i}" for i in range(1, 5)]), "M14": m14}
+
+
 def _t():
     wc = fs.with_(fs.trials_c()).rstrip() + ", done AS (SELECT * FROM trials_c WHERE state = 'COMPLETE') "
     wa = fs.with_(fs.trials_a())
@@ -447,6 +484,6 @@ def _s():
 
 def oracle_sql() -> dict[str, str]:
     out = {}
-    for part in (_p, _a, _c, _e, _f, _r, _t, _s):
+    for part in (_p, _a, _c, _e, _f, _r, _knn, _t, _s):
         out.update(part())
     return out

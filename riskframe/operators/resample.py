@@ -76,3 +76,41 @@ def positional_split(df: DataFrame, key: str, first_share: float = 0.5, second_s
     s = shuffle_rows(df, key, salt)
     return (s.filter(F.col("pos") < k1 + k2)
             .withColumn("part", F.when(F.col("pos") < k1, F.lit("first")).otherwise(F.lit("second"))))
+
+
+def smote(df: DataFrame, key: str, cols, label: str = "label", minority=1, k: int = 5,
+          salt: str = "smote", metric: str = "euclidean") -> DataFrame:
+    """Synthetic minority rows up to parity.
+
+    Each draw ``d`` in ``range(n_major - m)`` picks a minority row (md5
+    index), one of its ``k`` nearest minority neighbours (exact kNN, see
+    ``knn``) and ``u`` in [0, 1); the new point is ``x + u·(nb - x)``.
+    All joins are equi-joins on (row index), (row, neighbour rank) and
+    neighbour id. Output: the input rows (``draw`` null) plus synthetic rows.
+    """
+    from riskframe.functions.rand import u as unif
+    from riskframe.operators.knn import knn
+    spark = df.sparkSession
+    cols = list(cols)
+    minor = df.filter(q(label) == minority)
+    n_major = df.filter(q(label) != minority).count()
+    m = minor.count()
+    base = df.select(q(key), *[q(c) for c in cols], q(label)).withColumn(
+        "draw", F.lit(None).cast("bigint")).withColumn("neighbor_" + key, F.lit(None).cast(df.schema[key].dataType))
+    n_new = n_major - m
+    if m < 2 or n_new <= 0:
+        return base
+    kk = min(k, m - 1)
+    nn = knn(minor, minor, key, key, cols, k=kk, metric=metric, exclude_self=True)
+    idx = rank_within(minor.select(q(key), *[q(c) for c in cols]).withColumn("_h", b(salt + "i", q(key))),
+                      [], ["_h", key], out="_idx", base=0).drop("_h")
+    d = F.col("id")
+    draws = spark.range(n_new).select(d.alias("draw"), (b(salt, d) % m).alias("_idx"),
+                                      (b(salt + "n", d) % kk + 1).cast("int").alias("nn_rank"),
+                                      unif(salt + "u", d).alias("_u"))
+    nb = minor.select(q(key).alias("neighbor_" + key), *[q(c).alias("_nb_" + c) for c in cols])
+    j = (draws.join(idx, "_idx").join(nn.select(key, "neighbor_" + key, "nn_rank"), [key, "nn_rank"])
+         .join(nb, "neighbor_" + key))
+    synth = j.select(q(key), *[(q(c) + F.col("_u") * (F.col("_nb_" + c) - q(c))).alias(c) for c in cols],
+                     F.lit(minority).cast(df.schema[label].dataType).alias(label), "draw", "neighbor_" + key)
+    return base.unionByName(synth)

@@ -135,6 +135,16 @@ def minority_points(spark: SparkSession, sf_dir: str, dims: int = 4) -> DataFram
         F.when(F.col("label") == 0, 1).otherwise(0).alias("label"))
 
 
+def embedding_points(spark: SparkSession, sf_dir: str, dims: int = 4) -> DataFrame:
+    """Embeddings as points with their 10-class label and an md5 train/test split."""
+    e = table(spark, sf_dir, "embeddings")
+    return e.select(
+        F.col("vec_id"),
+        *[F.element_at("embedding", i + 1).cast("double").alias(f"x{i + 1}") for i in range(dims)],
+        F.col("label"),
+        F.when(b("knn", F.col("vec_id")) % 100 < 80, F.lit("train")).otherwise(F.lit("test")).alias("split"))
+
+
 def rank_matrix(spark: SparkSession, sf_dir: str, n_vars: int = 40,
                 true_set=(1, 5, 9)) -> DataFrame:
     """Screening ranks: one replication per customer, ``n_vars`` variables each.
