@@ -365,6 +365,189 @@ def m14(s, d):
     return knn_classify(train, test, "vec_id", ["x1", "x2", "x3", "x4"], "label", k=5)
 
 
+# ---------------------------------------------------------------- M: models
+def _split_model(s, d):
+    m = fx.loans_model(s, d)
+    sp = resample.train_test_split(m, "loan_id")
+    train = sp.filter(F.col("split") == "train").drop("split")
+    test = sp.filter(F.col("split") == "test").drop("split")
+    return m, train, test, model_features(m)
+
+
+def _eval(model, train, test, feats, name):
+    from riskframe.operators import models
+    return ev.evaluation_matrix(models.scored_splits(model, train, test, feats, name), ["model", "split"])
+
+
+def m1(s, d):
+    from pyspark.ml.functions import vector_to_array
+    from riskframe.operators import models
+    raw = fx.loans_raw(s, d)
+    cols = ["loan_amnt", "installment", "int_rate", "annual_inc", "n_items", "avg_disc"]
+    v = models.assembler(cols).transform(raw.select("loan_id", *cols))
+    arr = vector_to_array("unscaledFeatures")
+    return v.select("loan_id", *[arr[i].alias(c) for i, c in enumerate(cols)])
+
+
+def _scaled(s, d, which):
+    from pyspark.ml.functions import vector_to_array
+    from riskframe.operators import models
+    m, train, test, feats = _split_model(s, d)
+    tr, legal = models.safe_features(train, feats)
+    te, _ = models.safe_features(test, feats)
+    asm = models.assembler(legal)
+    sc = models.minmax() if which == "minmax" else models.standard()
+    fitted = sc.fit(asm.transform(tr))
+    out = fitted.transform(asm.transform(te))
+    arr = vector_to_array("scaledFeatures")
+    return out.select("loan_id", *[arr[i].alias(c) for i, c in enumerate(legal)])
+
+
+def m2(s, d):
+    return _scaled(s, d, "minmax")
+
+
+def m3(s, d):
+    return _scaled(s, d, "standard")
+
+
+def m5(s, d):
+    from riskframe.operators import models
+    m, train, test, feats = _split_model(s, d)
+    return _eval(models.fit(train, feats, models.logistic(0.0, 0.0, 100)), train, test, feats, "logistic")
+
+
+def m6(s, d):
+    from riskframe.operators import models
+    m, train, test, feats = _split_model(s, d)
+    n = train.count()
+    out = None
+    for pen in ("none", "l1", "l2", "elasticnet"):
+        p = models.sklearn_penalty(pen, 1.0, n)
+        mod = models.fit(train, feats, models.logistic(p["reg"], p["elastic"], 100))
+        _, legal = models.safe_features(train, feats)
+        t = models.coefficients(mod, legal).withColumn("penalty", F.lit(pen))
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
+def m7(s, d):
+    from riskframe.operators import models
+    m, train, test, feats = _split_model(s, d)
+    return _eval(models.fit(train, feats, models.linear_svc(0.0, 100)), train, test, feats, "linear_svc")
+
+
+def m8(s, d):
+    from riskframe.operators import models
+    m, train, test, feats = _split_model(s, d)
+    return _eval(models.fit(train, feats, models.decision_tree(5, 16)), train, test, feats, "decision_tree")
+
+
+def m9(s, d):
+    from riskframe.operators import models
+    m, train, test, feats = _split_model(s, d)
+    return _eval(models.fit(train, feats, models.random_forest(10, 5)), train, test, feats, "random_forest")
+
+
+def m10(s, d):
+    from riskframe.operators import models
+    m, train, test, feats = _split_model(s, d)
+    return _eval(models.fit(train, feats, models.gbt(10, 5)), train, test, feats, "gbt")
+
+
+XGB_PARAMS = {"n_estimators": 20, "max_depth": 3, "learning_rate": 0.1, "subsample": 0.8,
+              "colsample_bytree": 0.8, "min_child_weight": 1, "gamma": 0.0, "scale_pos_weight": 3.0,
+              "reg_alpha": 0.1, "reg_lambda": 1.0}
+LGB_PARAMS = {"n_estimators": 20, "num_leaves": 15, "learning_rate": 0.1, "bagging_fraction": 0.8,
+              "feature_fraction": 0.8, "min_sum_hessian_in_leaf": 1, "boosting_type": "gbdt"}
+CAT_PARAMS = {"iterations": 30, "depth": 4, "learning_rate": 0.1, "min_data_in_leaf": 5,
+              "scale_pos_weight": 3.0, "l2_leaf_reg": 3.0}
+
+
+def _boost(s, d, style, params, validation=False):
+    from riskframe.functions.rand import b as draw
+    from riskframe.operators import models
+    m, train, test, feats = _split_model(s, d)
+    tr = train
+    if validation:  # 10 % of the training rows drive early stopping
+        tr = train.withColumn("_val", draw("val", F.col("loan_id")) % 10 == 0)
+    model, rows = models.fit_boosting(tr, feats, style, params, validation="_val" if validation else None)
+    ev_m = _eval(model, train, test, feats, style)
+    mapping = s.createDataFrame(rows, "style string, param string, value string, spark_param string, "
+                                      "applied boolean")
+    return ev_m, mapping
+
+
+def m11(s, d):
+    return _boost(s, d, "xgboost", XGB_PARAMS)[0]
+
+
+def m12(s, d):
+    return _boost(s, d, "lightgbm", LGB_PARAMS)[0]
+
+
+def m13(s, d):
+    return _boost(s, d, "catboost", CAT_PARAMS, validation=True)[0]
+
+
+def m15(s, d):
+    from riskframe.operators import models
+    m, train, test, feats = _split_model(s, d)
+    sel = [r["feature"] for r in select.quantile_cutoff(_mv(s, d), "mv", 0.7).collect()]
+    model = models.fit(train, sel, models.random_forest(100, 5), scaler=None)
+    return _eval(model, train, test, sel, "forest_screened").select("model", "split", "accuracy", "auc")
+
+
+def m16(s, d):
+    from riskframe.operators import models
+    m, train, test, feats = _split_model(s, d)
+    return _eval(models.fit(train, feats, models.naive_bayes(), scaler="minmax"), train, test, feats,
+                 "naive_bayes")
+
+
+def m17(s, d):
+    from riskframe.operators import models
+    m, train, test, feats = _split_model(s, d)
+    mod = models.fit(train, feats, models.random_forest(20, 5))
+    return models.importances(mod, models.safe_features(train, feats)[1])
+
+
+def m18(s, d):
+    from riskframe.operators import models
+    m, train, test, feats = _split_model(s, d)
+    mod = models.fit(train, feats, models.logistic(0.0, 0.0, 100))
+    return models.coefficients(mod, models.safe_features(train, feats)[1])
+
+
+def m19(s, d):
+    from riskframe.operators import models
+    m, train, test, feats = _split_model(s, d)
+    return models.train_job(train, test, feats, penalty="l2", C=1.0, max_iter=100, tol=1e-4,
+                            out_dir=_scratch(s, "m19"))
+
+
+def s6(s, d):
+    from riskframe.operators import models
+    m, train, test, feats = _split_model(s, d)
+    mod = models.fit(train, feats, models.logistic(0.0, 0.0, 50))
+    path = _scratch(s, "model")
+    models.save(mod, path)
+    return _eval(models.load(path), train, test, feats, "loaded")
+
+
+def s2(s, d):
+    m = fx.loans_model(s, d)
+    path = _scratch(s, "eda")
+    tables.write_csv(m, path)
+    return tables.read_csv(s, path, schema=m.schema)
+
+
+def s5(s, d):
+    m = tables.persist(fx.loans_model(s, d))
+    out = profile.shape(m)
+    return out
+
+
 # ---------------------------------------------------------------- T: trial analytics
 def _done(s, d):
     return trials.completed(fx.trials_c(s, d))
@@ -485,7 +668,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "R1": r1, "R2": r2, "R3": r3, "R4": r4, "R5": r5, "R6": r6, "M14": m14,
     "T1": t1, "T2": t2, "T3": t3, "T4": t4, "T5": t5, "T6": t6, "T7": t7, "T8": t8, "T10": t10,
     "T11": t11, "T12": t12, "T13": t13, "T14": t14, "S8": s8, "H4": h4,
-    "S1": s1, "S3": s3, "S4": s4, "S7": s7,
+    "S1": s1, "S2": s2, "S3": s3, "S4": s4, "S5": s5, "S6": s6, "S7": s7,
+    "M1": m1, "M2": m2, "M3": m3, "M5": m5, "M6": m6, "M7": m7, "M8": m8, "M9": m9, "M10": m10,
+    "M11": m11, "M12": m12, "M13": m13, "M15": m15, "M16": m16, "M17": m17, "M18": m18, "M19": m19,
 }
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from riskframe.checks import fixtures_sql as fs
 from riskframe.checks.fixtures_sql import MODEL_FEATURES, duck_b
-from riskframe.functions.columns import legal_names
+from riskframe.functions.columns import legal_names, ml_names
 
 CONT = ["loan_amnt", "funded_amnt", "installment", "int_rate", "annual_inc", "n_items", "avg_disc"]
 RAW_TYPES = [("loan_id", "bigint"), ("loan_amnt", "double"), ("funded_amnt", "double"),
@@ -471,6 +471,30 @@ def _t():
     return out
 
 
+def _m():
+    cols = ["loan_amnt", "installment", "int_rate", "annual_inc", "n_items", "avg_disc"]
+    nn = " AND ".join(f"{c} IS NOT NULL" for c in cols)
+    out = {"M1": rnd(W_RAW + "SELECT loan_id, " + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in cols)
+                     + f" FROM loans_raw WHERE {nn}", cols)}
+    legal = ml_names(FEATS)
+    split = f"CASE WHEN {duck_b('split', 'loan_id')} % 100 < 80 THEN 'train' ELSE 'test' END"
+    w = W_MODEL.rstrip() + f", sp AS (SELECT *, {split} AS _split FROM loans_model) "
+    mm = ", ".join(f"CAST(min({qi(c)}) AS DOUBLE) AS mn{i}, CAST(max({qi(c)}) AS DOUBLE) AS mx{i}, "
+                   f"stddev_samp({qi(c)}) AS sd{i}" for i, c in enumerate(FEATS))
+    scaled = ", ".join(
+        f"CASE WHEN mx{i} = mn{i} THEN 0.5 ELSE (CAST({qi(c)} AS DOUBLE) - mn{i}) * (1.0 / (mx{i} - mn{i})) + 0.0 END "
+        f"AS {qi(l)}" for i, (c, l) in enumerate(zip(FEATS, legal)))
+    stdd = ", ".join(
+        f"CASE WHEN sd{i} = 0 THEN 0.0 ELSE CAST({qi(c)} AS DOUBLE) * (1.0 / sd{i}) END AS {qi(l)}"
+        for i, (c, l) in enumerate(zip(FEATS, legal)))
+    st = f"(SELECT {mm} FROM sp WHERE _split = 'train') st"
+    out["M2"] = rnd(w + f"SELECT loan_id, {scaled} FROM sp, {st} WHERE _split = 'test'", legal)
+    out["M3"] = rnd(w + f"SELECT loan_id, {stdd} FROM sp, {st} WHERE _split = 'test'", legal)
+    out["S2"] = rnd(W_MODEL + "SELECT * FROM loans_model", MODEL_DOUBLES)
+    out["S5"] = W_MODEL + f"SELECT count(*) AS n_rows, CAST({len(MODEL_TYPES)} AS INTEGER) AS n_cols FROM loans_model"
+    return out
+
+
 def _s():
     return {
         "S1": rnd(W_RAW + "SELECT * FROM loans_raw", RAW_DOUBLES),
@@ -484,6 +508,6 @@ def _s():
 
 def oracle_sql() -> dict[str, str]:
     out = {}
-    for part in (_p, _a, _c, _e, _f, _r, _knn, _t, _s):
+    for part in (_p, _a, _c, _e, _f, _r, _knn, _t, _s, _m):
         out.update(part())
     return out

@@ -57,3 +57,21 @@ def legal_names(names: list[str]) -> list[str]:
         taken.add(cand)
         out.append(cand)
     return out
+
+
+_NOT_WORD = re.compile(r"[^A-Za-z0-9_]")
+
+
+def ml_names(names: list[str]) -> list[str]:
+    """Names usable as ML input columns: no dots or spaces (``term_ 60 months`` ->
+    ``term__60_months``); duplicates get ``_1``, ``_2``."""
+    out, seen = [], set()
+    for n in names:
+        s = _NOT_WORD.sub("_", n)
+        c, i = s, 0
+        while c in seen:
+            i += 1
+            c = f"{s}_{i}"
+        seen.add(c)
+        out.append(c)
+    return out

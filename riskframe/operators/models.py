@@ -18,12 +18,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.functions.columns import legal_names
+from riskframe.functions.columns import ml_names
 
 
 def safe_features(df: DataFrame, features) -> tuple[DataFrame, list[str]]:
-    """Rename feature columns to legal names (P17) so ML stages accept them."""
-    legal = legal_names(list(features))
+    """Rename feature columns to names ML stages accept (no dots or spaces)."""
+    legal = ml_names(list(features))
     m = {a: b for a, b in zip(features, legal) if a != b}
     return (df.withColumnsRenamed(m) if m else df), legal
 
@@ -168,3 +168,89 @@ def load(path: str) -> PipelineModel:
 def depth_from_leaves(num_leaves: int) -> int:
     """Leaf-wise ``num_leaves`` -> a depth-wise limit with at least as many leaves."""
     return max(1, math.ceil(math.log2(max(2, num_leaves))))
+
+
+def scored_splits(model: PipelineModel, train: DataFrame, test: DataFrame, features,
+                  name: str = "model") -> DataFrame:
+    """Score train and test with one model: (model, split, loan_id, label, score, prediction)."""
+    return (score(model, train, features).withColumn("split", F.lit("train"))
+            .unionByName(score(model, test, features).withColumn("split", F.lit("test")))
+            .withColumn("model", F.lit(name)))
+
+
+def train_job(train: DataFrame, test: DataFrame, features, penalty: str = "l2", solver: str = "lbfgs",
+              max_iter: int = 100, C: float = 1.0, tol: float = 1e-4, l1_ratio: float = 0.5,
+              out_dir: str | None = None) -> DataFrame:
+    """Parameters in -> fitted pipeline (saved when ``out_dir``) and a metrics table out.
+
+    ``solver`` is recorded only: Spark picks L-BFGS or OWL-QN from the penalty.
+    """
+    from riskframe.operators import evaluate as ev
+    n = train.count()
+    pen = sklearn_penalty(penalty, C, n, l1_ratio)
+    model = fit(train, features, logistic(pen["reg"], pen["elastic"], max_iter, tol), scaler="minmax")
+    if out_dir:
+        save(model, out_dir)
+    sc = scored_splits(model, train, test, features, name=f"lr_{penalty}")
+    m = ev.metric_pairs(sc, ["model"], "split")
+    return m.withColumn("penalty", F.lit(penalty)).withColumn("C", F.lit(float(C))).withColumn(
+        "solver", F.lit(solver)).withColumn("reg_param", F.lit(float(pen["reg"])))
+
+
+# Boosting-library parameter names mapped onto GBTClassifier.
+BOOSTING_MAP = {
+    "xgboost": {"n_estimators": "maxIter", "max_depth": "maxDepth", "learning_rate": "stepSize",
+                "subsample": "subsamplingRate", "colsample_bytree": "featureSubsetStrategy",
+                "min_child_weight": "minInstancesPerNode", "gamma": "minInfoGain",
+                "scale_pos_weight": "weightCol", "reg_alpha": None, "reg_lambda": None},
+    "lightgbm": {"n_estimators": "maxIter", "max_depth": "maxDepth", "num_leaves": "maxDepth",
+                 "learning_rate": "stepSize", "subsample": "subsamplingRate",
+                 "bagging_fraction": "subsamplingRate", "colsample_bytree": "featureSubsetStrategy",
+                 "feature_fraction": "featureSubsetStrategy", "min_sum_hessian_in_leaf": "minInstancesPerNode",
+                 "boosting_type": None, "reg_alpha": None, "reg_lambda": None},
+    "catboost": {"iterations": "maxIter", "depth": "maxDepth", "learning_rate": "stepSize",
+                 "min_data_in_leaf": "minInstancesPerNode", "scale_pos_weight": "weightCol",
+                 "l2_leaf_reg": None, "one_hot_max_size": None},
+}
+
+
+def map_boosting(style: str, params: dict) -> tuple[dict, list[tuple]]:
+    """Library parameters -> GBT kwargs and an (param, value, spark_param, applied) table."""
+    kw, rows = {}, []
+    table = BOOSTING_MAP[style]
+    for p, v in params.items():
+        sp = table.get(p)
+        applied = sp is not None
+        if sp == "maxIter":
+            kw["iters"] = int(v)
+        elif sp == "maxDepth":
+            d = depth_from_leaves(int(v)) if p == "num_leaves" else int(v)
+            kw["depth"] = min(30, max(kw.get("depth", 0), d))
+        elif sp == "stepSize":
+            kw["step"] = float(v)
+        elif sp == "subsamplingRate":
+            kw["subsample"] = float(v)
+        elif sp == "featureSubsetStrategy":
+            kw["subset"] = str(float(v))
+        elif sp == "minInstancesPerNode":
+            kw["min_rows"] = max(1, int(round(float(v))))
+        elif sp == "minInfoGain":
+            kw["min_gain"] = float(v)
+        elif sp == "weightCol":
+            kw["pos_weight"] = float(v)
+        rows.append((style, p, str(v), sp or "", applied))
+    return kw, rows
+
+
+def fit_boosting(train: DataFrame, features, style: str, params: dict, seed: int = 42,
+                 validation: str | None = None, label: str = "label"):
+    """Fit the mapped GBT; ``scale_pos_weight`` becomes a per-row weight column."""
+    kw, rows = map_boosting(style, params)
+    pos_w = kw.pop("pos_weight", None)
+    d = train
+    weight = None
+    if pos_w is not None:
+        d = d.withColumn("_w", F.when(F.col(label) == 1, F.lit(pos_w)).otherwise(F.lit(1.0)))
+        weight = "_w"
+    est = gbt(seed=seed, weight=weight, validation=validation, **kw)
+    return fit(d, features, est, scaler=None), rows
