@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+import numpy as np
 
 from riskframe.functions.columns import q
 from riskframe.operators import clean, corr, evaluate as ev, profile, resample, select, trials
@@ -491,11 +492,11 @@ def m13(s, d):
 
 
 def m15(s, d):
+    """Forest of 100 trees; out-of-bag scoring is re-aimed as a held-out split score."""
     from riskframe.operators import models
     m, train, test, feats = _split_model(s, d)
-    sel = [r["feature"] for r in select.quantile_cutoff(_mv(s, d), "mv", 0.7).collect()]
-    model = models.fit(train, sel, models.random_forest(100, 5), scaler=None)
-    return _eval(model, train, test, sel, "forest_screened").select("model", "split", "accuracy", "auc")
+    model = models.fit(train, feats, models.random_forest(100, 5), scaler=None)
+    return _eval(model, train, test, feats, "forest_100").select("model", "split", "accuracy", "auc")
 
 
 def m16(s, d):
@@ -548,6 +549,286 @@ def s5(s, d):
     return out
 
 
+# ---------------------------------------------------------------- H: search
+GBT_SPACE = {"maxDepth": ("randint", 2, 6), "stepSize": ("loguniform_q", 0.01, 0.5, 0.001),
+             "maxIter": ("randint", 5, 20)}
+
+
+def _val_split(s, d):
+    """train / validation / test: validation is 20 % of the training split (md5)."""
+    from riskframe.functions.rand import b as draw
+    m, train, test, feats = _split_model(s, d)
+    tr = train.filter(draw("val", F.col("loan_id")) % 5 != 0)
+    va = train.filter(draw("val", F.col("loan_id")) % 5 == 0)
+    return tr, va, test, feats
+
+
+def _gbt_from(p):
+    from riskframe.operators import models
+    return models.gbt(int(p["maxIter"]), int(p["maxDepth"]), float(p["stepSize"]))
+
+
+def _holdout_objective(tr, va, feats):
+    from riskframe.operators import models
+    from riskframe.operators.search import holdout_metrics
+
+    def obj(p):
+        m = models.fit(tr, feats, _gbt_from(p), scaler=None)
+        return 1.0 - holdout_metrics(models.score(m, va, feats))["auroc"]
+    return obj
+
+
+TRIAL_SCHEMA = ("iteration int, round int, maxDepth int, stepSize double, maxIter int, loss double, "
+                "start_s double, end_s double, train_time double")
+
+
+def _trials_df(s, trials):
+    cols = [c.split()[0] for c in TRIAL_SCHEMA.split(", ")]
+    return s.createDataFrame([tuple(t[c] for c in cols) for t in trials], TRIAL_SCHEMA)
+
+
+def _search(s, d, rounds=2, per_round=3):
+    from riskframe.operators.search import run_search
+    tr, va, test, feats = _val_split(s, d)
+    return run_search(_holdout_objective(tr, va, feats), GBT_SPACE, rounds, per_round, seed=42)
+
+
+def h1(s, d):
+    from riskframe.operators import models
+    from riskframe.operators.search import cross_validate
+    m, train, test, feats = _split_model(s, d)
+    folds = resample.kfold(train, "loan_id", 3)
+    best, _ = cross_validate(folds, feats, models.logistic(), {"regParam": [0.0, 0.01],
+                                                              "elasticNetParam": [0.0, 1.0]}, folds=3)
+    return _eval(best, train, test, feats, "cv_best_logistic")
+
+
+def h2(s, d):
+    from riskframe.operators import models
+    from riskframe.operators.search import cross_validate
+    m, train, test, feats = _split_model(s, d)
+    folds = resample.kfold(train, "loan_id", 3)
+    return cross_validate(folds, feats, models.logistic(), {"regParam": [0.0, 0.01],
+                                                           "elasticNetParam": [0.0, 1.0]}, folds=3)[1]
+
+
+def h3(s, d):
+    from riskframe.operators import models
+    from riskframe.operators.search import cross_validate
+    m, train, test, feats = _split_model(s, d)
+    folds = resample.kfold(train, "loan_id", 3)
+    return cross_validate(folds, feats, models.random_forest(10, 5), {
+        "impurity": ["gini", "entropy"], "numTrees": [10, 20], "maxDepth": [3, 5],
+        "minInstancesPerNode": [1, 5]}, folds=3, metric="accuracy", scaler=None)[1]
+
+
+def h5(s, d):
+    return _trials_df(s, _search(s, d))
+
+
+def h6(s, d):
+    from riskframe.operators.search import kfold_auc
+    m, train, test, feats = _split_model(s, d)
+    folds = resample.kfold(train, "loan_id", 3)
+    aucs = kfold_auc(folds, feats, lambda: _gbt_from({"maxIter": 10, "maxDepth": 3, "stepSize": 0.1}), 3)
+    rows = [(i, float(a)) for i, a in enumerate(aucs)] + [(-1, float(1.0 - np.mean(aucs)))]
+    return s.createDataFrame(rows, "fold int, value double").withColumn(
+        "stat", F.when(F.col("fold") < 0, F.lit("loss")).otherwise(F.lit("auc")))
+
+
+def h7(s, d):
+    from riskframe.operators import models
+    from riskframe.operators.search import holdout_metrics
+    tr, va, test, feats = _val_split(s, d)
+    m = models.fit(tr, feats, _gbt_from({"maxIter": 10, "maxDepth": 3, "stepSize": 0.1}), scaler=None)
+    r = holdout_metrics(models.score(m, va, feats))
+    return s.createDataFrame([tuple(float(r[k]) for k in sorted(r))], ", ".join(f"{k} double" for k in sorted(r)))
+
+
+def h8(s, d, patience: int = 10):
+    from riskframe.operators import models
+    tr, va, test, feats = _val_split(s, d)
+    m = models.fit(tr, feats, models.gbt(30, 3, 0.1), scaler=None)
+    va_s, legal = models.safe_features(va, feats)
+    prep = models.PipelineModel(stages=m.stages[:-1])
+    losses = m.stages[-1].evaluateEachIteration(prep.transform(va_s))
+    best, best_i, stop = float("inf"), 0, len(losses)
+    for i, l in enumerate(losses):
+        if l < best:
+            best, best_i = l, i
+        elif i - best_i >= patience:
+            stop = i + 1
+            break
+    rows = [(i + 1, float(l), i == best_i, i < stop) for i, l in enumerate(losses)]
+    return s.createDataFrame(rows, "iteration int, val_loss double, best boolean, evaluated boolean")
+
+
+def h9(s, d):
+    from riskframe.operators.search import run_search
+    from riskframe.sources import trial_logs
+    tr, va, test, feats = _val_split(s, d)
+    obj = _holdout_objective(tr, va, feats)
+    path = _scratch(s, "study")
+    first = run_search(obj, GBT_SPACE, 1, 3, seed=7)
+    trial_logs.append(_trials_df(s, first), path)
+    log = trial_logs.read_log(s, path, TRIAL_SCHEMA)
+    hist = [r.asDict() for r in log.collect()]  # the study so far: one row per finished trial
+    start = max(t["iteration"] for t in hist) + 1
+    more = run_search(obj, GBT_SPACE, 1, 3, seed=8, start_iteration=start, history=hist)
+    return _trials_df(s, more)
+
+
+def _best_params(trials):
+    best = min((t for t in trials if t["loss"] is not None), key=lambda t: (t["loss"], t["iteration"]))
+    return {k: best[k] for k in GBT_SPACE}
+
+
+def h10(s, d):
+    from riskframe.operators import models
+    trials = _search(s, d)
+    m0, train, test, feats = _split_model(s, d)
+    model = models.fit(train, feats, _gbt_from(_best_params(trials)), scaler=None)
+    return _eval(model, train, test, feats, "refit_best")
+
+
+def h11(s, d):
+    from riskframe.operators import models
+    trials = _search(s, d)
+    m0, train, test, feats = _split_model(s, d)
+    init = models.fit(train, feats, models.gbt(), scaler=None)
+    tuned = models.fit(train, feats, _gbt_from(_best_params(trials)), scaler=None)
+    a = models.scored_splits(init, train, test, feats, "initial")
+    b_ = models.scored_splits(tuned, train, test, feats, "tuned")
+    return ev.evaluation_matrix(a.unionByName(b_), ["model", "split"]).filter(F.col("split") == "test")
+
+
+def h12(s, d):
+    t = _trials_df(s, _search(s, d, rounds=1, per_round=3))
+    return t.select("iteration", F.timestamp_seconds(F.col("start_s")).alias("start"),
+                    F.timestamp_seconds(F.col("end_s")).alias("end"), F.col("train_time").alias("seconds"))
+
+
+# ---------------------------------------------------------------- F/X: model-based selection, explanations
+GROUPS = {"term": ["term_ 60 months"], "grade": ["grade_B", "grade_C", "grade_D", "grade_E"],
+          "home_ownership": ["home_ownership_NONE", "home_ownership_OTHER", "home_ownership_OWN",
+                             "home_ownership_RENT"]}
+
+
+def _groups(feats):
+    g = dict(GROUPS)
+    taken = {c for cols in g.values() for c in cols}
+    for f in feats:
+        if f not in taken:
+            g[f] = [f]
+    return g
+
+
+def f1(s, d):
+    from riskframe.operators import explain
+    m = fx.loans_model(s, d)
+    return explain.gbt_importance(m, model_features(m))
+
+
+def f2(s, d):
+    from riskframe.operators import explain
+    m = fx.loans_model(s, d)
+    return explain.importance_sweep(m, model_features(m))
+
+
+def _perm(s, d, metric="accuracy"):
+    from riskframe.operators import explain, models
+    m, train, test, feats = _split_model(s, d)
+    mod = models.fit(train, feats, models.gbt(10, 3), scaler=None)
+    return explain.permutation_importance(mod, test, "loan_id", feats, repeats=3, metric=metric)
+
+
+def f3(s, d):
+    return _perm(s, d)
+
+
+def x1(s, d):
+    return _perm(s, d, metric="auc")
+
+
+def _shap(s, d):
+    from riskframe.operators import explain, models
+    m, train, test, feats = _split_model(s, d)
+    mod = models.fit(train, feats, models.gbt(10, 3), scaler=None)
+    return explain.shapley(mod, train, test, "loan_id", feats, permutations=4)
+
+
+def f4(s, d):
+    return _shap(s, d)[1]
+
+
+def x4(s, d):
+    return _shap(s, d)[0]
+
+
+def f5(s, d):
+    from riskframe.operators import explain
+    m = fx.loans_model(s, d)
+    feats = model_features(m)
+    gt, curve, acc, _ = explain.group_lasso(m, feats, _groups(feats), group_reg=0.05, max_iter=200, tol=1e-4)
+    return gt.withColumn("train_accuracy", F.lit(acc))
+
+
+def f6(s, d):
+    from riskframe.operators import explain
+    m = fx.loans_model(s, d)
+    feats = model_features(m)
+    return explain.group_lasso_grid(m, feats, _groups(feats), [1e-1, 1e-2, 1e-3], folds=3, max_iter=100)
+
+
+def _boruta(s, d):
+    from riskframe.operators import explain
+    m = fx.loans_model(s, d)
+    return explain.boruta(m, "loan_id", model_features(m), rounds=6, trees=20)
+
+
+def f11(s, d):
+    return _boruta(s, d)[0]
+
+
+def f12(s, d):
+    from riskframe.operators import explain
+    dec, hist = _boruta(s, d)
+    return explain.tentative_fix(dec, hist)
+
+
+def f15(s, d):
+    from riskframe.operators import models
+    m, train, test, feats = _split_model(s, d)
+    sel = [r["feature"] for r in select.quantile_cutoff(_mv(s, d), "mv", 0.7).collect()]
+    model = models.fit(train, sel, models.random_forest(100, 5), scaler=None)
+    return _eval(model, train, test, sel, "forest_screened").select("model", "split", "accuracy", "auc")
+
+
+def x2(s, d):
+    from riskframe.operators import explain, models
+    m, train, test, feats = _split_model(s, d)
+    mod = models.fit(train, feats, models.logistic(0.0, 0.0, 100))
+    return explain.linear_contributions(mod, train, test, "loan_id", feats)
+
+
+def x3(s, d):
+    from riskframe.operators import explain, models
+    m, train, test, feats = _split_model(s, d)
+    mod = models.fit(train, feats, models.gbt(10, 3), scaler=None)
+    rows = clean.sample_n(test, 20, "loan_id", salt="lime")
+    return explain.lime(mod, train, rows, "loan_id", feats, n_samples=200, top=5)
+
+
+def t9(s, d):
+    from pyspark.ml.regression import RandomForestRegressor
+    from riskframe.operators import models
+    t = _done(s, d)
+    m = models.fit(t.withColumnRenamed("value", "label"), TRIAL_PARAMS,
+                   RandomForestRegressor(featuresCol="unscaledFeatures", labelCol="label", numTrees=30,
+                                         maxDepth=5, seed=42), scaler=None)
+    return models.importances(m, TRIAL_PARAMS).withColumnRenamed("feature", "param")
+
+
 # ---------------------------------------------------------------- T: trial analytics
 def _done(s, d):
     return trials.completed(fx.trials_c(s, d))
@@ -670,7 +951,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "T11": t11, "T12": t12, "T13": t13, "T14": t14, "S8": s8, "H4": h4,
     "S1": s1, "S2": s2, "S3": s3, "S4": s4, "S5": s5, "S6": s6, "S7": s7,
     "M1": m1, "M2": m2, "M3": m3, "M5": m5, "M6": m6, "M7": m7, "M8": m8, "M9": m9, "M10": m10,
-    "M11": m11, "M12": m12, "M13": m13, "M15": m15, "M16": m16, "M17": m17, "M18": m18, "M19": m19,
+    "M11": m11, "M12": m12, "M13": m13, "M15": m15, "F15": f15,
+    "H1": h1, "H2": h2, "H3": h3, "H5": h5, "H6": h6, "H7": h7, "H8": h8, "H9": h9, "H10": h10,
+    "H11": h11, "H12": h12, "F1": f1, "F2": f2, "F3": f3, "F4": f4, "F5": f5, "F6": f6, "F11": f11,
+    "F12": f12, "X1": x1, "X2": x2, "X3": x3, "X4": x4, "T9": t9, "M16": m16, "M17": m17, "M18": m18, "M19": m19,
 }
 
 

@@ -63,3 +63,159 @@ def sample_space(df: DataFrame, key: str, space: dict, salt_prefix: str = "") ->
 
 def trial_ids(spark: SparkSession, n: int, start: int = 0) -> DataFrame:
     return spark.range(start, start + n).select(F.col("id").cast("int").alias("iteration"))
+
+
+# ---------------------------------------------------------------- objectives
+def holdout_metrics(scored: DataFrame) -> dict:
+    """H7: AUROC, weighted F1, recall, precision and hard-label ROC of one scored table."""
+    from riskframe.operators import evaluate as ev
+    g = scored.withColumn("_g", F.lit(1))
+    cm = ev.confusion(g, ["_g"])
+    row = (ev.rates(cm).join(ev.auc(g, ["_g"]), "_g").join(ev.weighted_f1(cm, ["_g"]), "_g")
+           .join(ev.hard_label_auc(cm, ["_g"]), "_g").first())
+    return {"auroc": row["auc"], "f1_weighted": row["f1_weighted"], "recall": row["recall"],
+            "precision": row["precision"], "roc_weighted": row["roc_weighted"]}
+
+
+def kfold_auc(df: DataFrame, features, make_estimator, folds: int = 3, fold_col: str = "fold",
+              scaler: str | None = None) -> list[float]:
+    """H6: AUC of each fold (fit on the other folds); the loss of a trial is 1 - mean."""
+    from riskframe.operators import evaluate as ev
+    from riskframe.operators import models
+    out = []
+    for f in range(folds):
+        tr = df.filter(F.col(fold_col) != f)
+        te = df.filter(F.col(fold_col) == f)
+        m = models.fit(tr, features, make_estimator(), scaler=scaler)
+        out.append(ev.auc(models.score(m, te, features)).first()["auc"])
+    return out
+
+
+def cross_validate(df: DataFrame, features, estimator, grid: dict, folds: int = 3, fold_col: str = "fold",
+                   metric: str = "areaUnderROC", parallelism: int = 4, scaler: str | None = "minmax"):
+    """H1 + H2: grid search with k-fold CV (folds from an md5 fold column, R5).
+
+    Returns (best_model, table of (params, avg_metric)). The scaler is a
+    pipeline stage, so every fold refits it on its own training rows.
+    """
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+    from riskframe.operators import models
+    d, legal = models.safe_features(df, features)
+    pipe = models.pipeline(legal, estimator, scaler)
+    pg = ParamGridBuilder()
+    for name, values in grid.items():
+        pg = pg.addGrid(estimator.getParam(name), values)
+    maps = pg.build()
+    if metric == "areaUnderROC":
+        evaluator = BinaryClassificationEvaluator(labelCol="label", metricName="areaUnderROC")
+    else:
+        evaluator = MulticlassClassificationEvaluator(labelCol="label", metricName=metric)
+    cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps, evaluator=evaluator,
+                        foldCol=fold_col, numFolds=folds, parallelism=parallelism, seed=42)
+    cvm = cv.fit(d.withColumn(fold_col, F.col(fold_col).cast("int")))
+    rows = []
+    for pm, m in zip(maps, cvm.avgMetrics):
+        rows.append(({p.name: str(v) for p, v in pm.items()}, float(m)))
+    spark = df.sparkSession
+    table = spark.createDataFrame([(str(sorted(p.items())), m, i) for i, (p, m) in enumerate(rows)],
+                                  "params string, avg_metric double, combo int")
+    return cvm.bestModel, table
+
+
+# ---------------------------------------------------------------- model-based search (H5)
+def _to_unit(v, spec):
+    kind = spec[0]
+    if kind in ("quniform", "uniform_step", "uniform"):
+        return (v - spec[1]) / (spec[2] - spec[1])
+    if kind == "randint":
+        return (v - spec[1]) / max(1, spec[2] - spec[1])
+    if kind in ("loguniform", "loguniform_q"):
+        return (math.log(v) - math.log(spec[1])) / (math.log(spec[2]) - math.log(spec[1]))
+    return float(spec[1].index(v)) / max(1, len(spec[1]) - 1)
+
+
+def _from_unit(x, spec, rng):
+    kind = spec[0]
+    x = min(1.0, max(0.0, x))
+    if kind in ("quniform", "uniform_step"):
+        v = spec[1] + x * (spec[2] - spec[1])
+        return round(round(v / spec[3]) * spec[3], 10)
+    if kind == "uniform":
+        return spec[1] + x * (spec[2] - spec[1])
+    if kind == "randint":
+        return int(round(spec[1] + x * (spec[2] - spec[1])))
+    if kind in ("loguniform", "loguniform_q"):
+        v = math.exp(math.log(spec[1]) + x * (math.log(spec[2]) - math.log(spec[1])))
+        return round(round(v / spec[3]) * spec[3], 10) if kind == "loguniform_q" else v
+    return spec[1][int(round(x * (len(spec[1]) - 1)))]
+
+
+def propose(trials: list[dict], space: dict, n: int, seed: int, gamma: float = 0.25,
+            candidates: int = 64) -> list[dict]:
+    """H5: next ``n`` proposals from a good/bad density split of the finished trials.
+
+    Trials are split at the ``gamma`` quantile of the loss; for each
+    candidate drawn around a good trial, the score is the ratio of
+    Gaussian kernel densities (good / bad) in the unit cube; the best
+    ``n`` distinct candidates are returned. The trial table is small
+    (one row per finished fit), so this step runs on the driver.
+    """
+    import random
+    rng = random.Random(seed)
+    done = sorted([t for t in trials if t.get("loss") is not None], key=lambda t: t["loss"])
+    names = list(space)
+    if len(done) < 4:
+        return [{k: _from_unit(rng.random(), space[k], rng) for k in names} for _ in range(n)]
+    cut = max(1, int(math.ceil(gamma * len(done))))
+    good = [[_to_unit(t[k], space[k]) for k in names] for t in done[:cut]]
+    bad = [[_to_unit(t[k], space[k]) for k in names] for t in done[cut:]]
+    bw = max(0.05, 1.0 / max(2, len(done)) ** 0.2 * 0.3)
+
+    def dens(x, pts):
+        s = 0.0
+        for p in pts:
+            s += math.exp(-0.5 * sum(((a - b) / bw) ** 2 for a, b in zip(x, p)))
+        return s / max(1, len(pts)) + 1e-12
+
+    cands = []
+    for _ in range(candidates):
+        base = good[rng.randrange(len(good))]
+        x = [min(1.0, max(0.0, v + rng.gauss(0, bw))) for v in base]
+        cands.append((dens(x, good) / dens(x, bad), x))
+    cands.sort(key=lambda c: -c[0])
+    out, seen = [], set()
+    for _, x in cands:
+        p = {k: _from_unit(v, space[k], rng) for k, v in zip(names, x)}
+        key = tuple(sorted(p.items()))
+        if key in seen:
+            continue
+        seen.add(key)
+        out.append(p)
+        if len(out) == n:
+            break
+    return out
+
+
+def run_search(objective, space: dict, rounds: int, per_round: int, seed: int = 42,
+               start_iteration: int = 0, history: list[dict] | None = None, workers: int = 4) -> list[dict]:
+    """H5 + H9 + H12: rounds of proposals; the fits of one round run concurrently
+    (each is its own set of Spark jobs). ``history`` resumes a study."""
+    trials = list(history or [])
+    it = start_iteration
+    for r in range(rounds):
+        props = propose(trials, space, per_round, seed + r)
+
+        def run_one(args):
+            i, p = args
+            t0 = time.time()
+            loss = objective(p)
+            t1 = time.time()
+            return {"iteration": i, "round": r, **p, "loss": loss, "start_s": t0, "end_s": t1,
+                    "train_time": t1 - t0}
+
+        with ThreadPoolExecutor(max_workers=workers) as ex:
+            res = list(ex.map(run_one, [(it + j, p) for j, p in enumerate(props)]))
+        it += len(props)
+        trials.extend(res)
+    return trials

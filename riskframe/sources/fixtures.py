@@ -94,17 +94,34 @@ FLAG_MAPS = {"initial_list_status": {"f": 0, "w": 1}, "hardship_flag": {"N": 0,
 ONE_HOT_COLS = ["term", "grade", "home_ownership"]
 
 
+_CLEANING_FITS: dict = {}
+
+
 def loans_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P1 -> P2 -> P5 -> P6 -> P8 -> P9 -> P10 over loans_raw; ``label`` last."""
+    """P1 -> P2 -> P5 -> P6 -> P8 -> P9 -> P10 over loans_raw; ``label`` last.
+
+    The data-dependent decisions (columns kept by P2, one-hot levels of
+    P10) are learned once per input folder, like a fitted estimator;
+    later calls only rebuild the lazy plan.
+    """
     from riskframe.operators import clean
-    df = loans_raw(spark, sf_dir)
-    df = clean.blank_to_null(df)
-    df = clean.drop_sparse_columns(df, max_null_share=0.05)
+    df = clean.blank_to_null(loans_raw(spark, sf_dir))
+    key = (id(spark), sf_dir)
+    fitted = _CLEANING_FITS.get(key)
+    if fitted is None:
+        kept = clean.drop_sparse_columns(df, max_null_share=0.05).columns
+        pre = clean.recode_levels(clean.recode_status(clean.complete_cases(
+            clean.drop_columns(df.select(*kept), DATE_COLS), COMPLETE_CASE_COLS), "loan_status", "label"),
+            FLAG_MAPS)
+        fitted = (kept, clean.distinct_levels(pre, ONE_HOT_COLS))
+        _CLEANING_FITS[key] = fitted
+    kept, levels = fitted
+    df = df.select(*kept)
     df = clean.drop_columns(df, DATE_COLS)
     df = clean.complete_cases(df, COMPLETE_CASE_COLS)
     df = clean.recode_status(df, "loan_status", "label")
     df = clean.recode_levels(df, FLAG_MAPS)
-    df = clean.one_hot(df, ONE_HOT_COLS, drop_first=True)
+    df = clean.one_hot(df, ONE_HOT_COLS, drop_first=True, levels=levels)
     return clean.label_last(df, "label")
 
 
