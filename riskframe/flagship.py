@@ -19,13 +19,15 @@ def features_of(df: DataFrame) -> list[str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the modelling table is read by the split, the upsampling, the fit and the
+    # scoring: persist it once (the reference caches its train/test frames too)
     m = fx.loans_model(spark, sf_dir)
     feats = features_of(m)
-    split = resample.train_test_split(m, "loan_id")
+    split = resample.train_test_split(m, "loan_id").persist()
     train = split.filter(F.col("split") == "train").drop("split")
     test = split.filter(F.col("split") == "test").drop("split")
-    up = resample.upsample(train, "loan_id").drop("draw")
+    up = resample.upsample(train, "loan_id").drop("draw").persist()
     model = models.fit(up, feats, models.logistic(max_iter=100), scaler="minmax")
     scored = (models.score(model, train, feats).withColumn("split", F.lit("train"))
-              .unionByName(models.score(model, test, feats).withColumn("split", F.lit("test"))))
+              .unionByName(models.score(model, test, feats).withColumn("split", F.lit("test")))).persist()
     return ev.evaluation_matrix(scored, ["split"])

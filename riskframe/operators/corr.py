@@ -38,11 +38,17 @@ def _nan_to_null(c):
 def pairwise_corr(wide: DataFrame, cols, upper_only: bool = True) -> DataFrame:
     """Pearson correlation of all column pairs in one aggregate, as a long table."""
     pairs = [(a, b) for i, a in enumerate(cols) for j, b in enumerate(cols) if (i < j or not upper_only)]
-    # covariance over the product of deviations; a constant column gives null
-    # (try_divide), never a division error under ANSI mode
-    row = wide.agg(*[F.try_divide(F.covar_samp(q(a), q(b)),
-                                  F.sqrt(F.var_samp(q(a)) * F.var_samp(q(b)))).alias(f"c{k}")
-                     for k, (a, b) in enumerate(pairs)])
+    # two cheap passes instead of d² central-moment aggregates: the means, then
+    # sums of centred products; a constant column gives null (try_divide), never
+    # a division error under ANSI mode
+    mrow = wide.agg(*[F.avg(q(c)).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    cen = wide.select(*[(q(c) - F.lit(float(mrow[f"m{i}"] or 0.0))).alias(f"x{i}")
+                        for i, c in enumerate(cols)])
+    idx = {c: i for i, c in enumerate(cols)}
+    sq = {i: F.sum(F.col(f"x{i}") * F.col(f"x{i}")) for i in range(len(cols))}
+    row = cen.agg(*[F.try_divide(F.sum(F.col(f"x{idx[a]}") * F.col(f"x{idx[b]}")),
+                                 F.sqrt(sq[idx[a]] * sq[idx[b]])).alias(f"c{k}")
+                    for k, (a, b) in enumerate(pairs)])
     st = F.explode(F.array(*[F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"),
                                       F.col(f"c{k}").alias("rho")) for k, (a, b) in enumerate(pairs)]))
     return row.select(st.alias("s")).select("s.feature_a", "s.feature_b",

@@ -50,6 +50,9 @@ def with_buckets(df: DataFrame, part_cols: list[str], order_col: str,
     """Add ``_bkt``: an order-preserving bucket of ``order_col`` within ``part_cols``."""
     spark = df.sparkSession
     n_buckets = n_buckets or default_buckets(df)
+    # the boundaries pass and the final plan must read the same rows: pin the
+    # input once in the reliable checkpoint folder instead of computing it twice
+    df = cut_lineage(df)
     key = _numeric_key(df, order_col)
     percs = [i / n_buckets for i in range(1, n_buckets)]
     bnd = df.groupBy(*part_cols).agg(

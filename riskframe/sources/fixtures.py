@@ -46,30 +46,41 @@ def loans_base(spark: SparkSession, sf_dir: str) -> DataFrame:
           .agg(F.count(F.lit(1)).alias("n_items"), F.avg("l_discount").alias("avg_disc")))
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
     k = F.col("o_orderkey")
-    return (o.join(li, o.o_orderkey == li.l_orderkey, "left")
-            .join(c, o.o_custkey == c.c_custkey, "left")
-            .withColumn("g", F.substring("o_orderpriority", 1, 1).cast("int") - 1)
-            .withColumn("t60", F.when(b("term", k) % 4 == 0, 1).otherwise(0)))
+    j = (o.join(li, o.o_orderkey == li.l_orderkey, "left")
+         .join(c, o.o_custkey == c.c_custkey, "left")
+         .withColumn("g", F.substring("o_orderpriority", 1, 1).cast("int") - 1))
+    # every md5 draw once per row, as a column (CASE branches would re-evaluate it)
+    j = j.withColumns({"_d_" + salt: b(salt, k) for salt in DRAW_SALTS})
+    return j.withColumn("t60", F.when(F.col("_d_term") % 4 == 0, 1).otherwise(0))
+
+
+DRAW_SALTS = ["term", "bad", "st", "ins", "rate", "inc", "msd", "msv", "hs", "tt", "split", "noise", "noise2"]
+
+
+def _d(salt: str):
+    return F.col("_d_" + salt)
 
 
 def loans_raw(spark: SparkSession, sf_dir: str, with_bad: bool = False) -> DataFrame:
     base = loans_base(spark, sf_dir)
     k = F.col("o_orderkey")
     g, t60 = F.col("g"), F.col("t60")
-    bad = (b("bad", k) % 1000) < (30 + 40 * g + 60 * t60)
-    st = b("st", k)
+    base = base.withColumn("_bad", (_d("bad") % 1000) < (30 + 40 * g + 60 * t60)).withColumn(
+        "_st", _d("st"))
+    bad = F.col("_bad")
+    st = F.col("_st")
     home = F.create_map(*[F.lit(x) for kv in sorted(HOME_OWNERSHIP.items()) for x in kv])
     cols = [
         k.alias("loan_id"),
         F.col("o_totalprice").alias("loan_amnt"),
         F.col("o_totalprice").alias("funded_amnt"),
-        (F.col("o_totalprice") / F.lit(36.0) + (b("ins", k) % 100).cast("double") / F.lit(10.0)
+        (F.col("o_totalprice") / F.lit(36.0) + (_d("ins") % 100).cast("double") / F.lit(10.0)
          ).alias("installment"),
-        (F.lit(5.0) + 3 * g + (b("rate", k) % 200).cast("double") / F.lit(100.0)).alias("int_rate"),
-        F.when(b("inc", k) % 100 < 2, F.lit(None).cast("double"))
+        (F.lit(5.0) + 3 * g + (_d("rate") % 200).cast("double") / F.lit(100.0)).alias("int_rate"),
+        F.when(_d("inc") % 100 < 2, F.lit(None).cast("double"))
          .otherwise(F.col("c_acctbal") * F.lit(10.0)).alias("annual_inc"),
-        F.when(b("msd", k) % 100 < 40, F.lit(None).cast("double"))
-         .otherwise((b("msv", k) % 120).cast("double")).alias("mths_since"),
+        F.when(_d("msd") % 100 < 40, F.lit(None).cast("double"))
+         .otherwise((_d("msv") % 120).cast("double")).alias("mths_since"),
         F.col("n_items"),
         F.col("avg_disc"),
         F.lit(1).alias("policy_code"),
@@ -77,8 +88,8 @@ def loans_raw(spark: SparkSession, sf_dir: str, with_bad: bool = False) -> DataF
         _pick(g, GRADES).alias("grade"),
         home[F.col("c_mktsegment")].alias("home_ownership"),
         F.when(k % 2 == 0, F.lit("f")).otherwise(F.lit("w")).alias("initial_list_status"),
-        F.when(b("hs", k) % 50 == 0, F.lit("Y")).otherwise(F.lit("N")).alias("hardship_flag"),
-        F.when(b("tt", k) % 2 == 0, F.lit("   ")).otherwise(F.col("c_mktsegment")).alias("title"),
+        F.when(_d("hs") % 50 == 0, F.lit("Y")).otherwise(F.lit("N")).alias("hardship_flag"),
+        F.when(_d("tt") % 2 == 0, F.lit("   ")).otherwise(F.col("c_mktsegment")).alias("title"),
         F.col("o_orderdate").alias("issue_d"),
         F.when(bad, _pick(st % 6, BAD_STATUS)).otherwise(_pick(st % 3, GOOD_STATUS)).alias("loan_status"),
     ]
@@ -130,11 +141,11 @@ def scores(spark: SparkSession, sf_dir: str, threshold: float = 0.5) -> DataFram
     base = loans_base(spark, sf_dir)
     k = F.col("o_orderkey")
     g, t60 = F.col("g"), F.col("t60")
-    bad = (b("bad", k) % 1000) < (30 + 40 * g + 60 * t60)
-    split = F.when(b("split", k) % 100 < 80, F.lit("train")).otherwise(F.lit("test"))
+    bad = (_d("bad") % 1000) < (30 + 40 * g + 60 * t60)
+    split = F.when(_d("split") % 100 < 80, F.lit("train")).otherwise(F.lit("test"))
     out = []
     for model, salt in (("m1", "noise"), ("m2", "noise2")):
-        n = 30 + 40 * g + 60 * t60 + b(salt, k) % 100
+        n = 30 + 40 * g + 60 * t60 + _d(salt) % 100
         score = F.floor((n + 2) / F.lit(4.0)) / F.lit(100.0)
         out.append(base.select(
             F.lit(model).alias("model"), split.alias("split"), k.alias("loan_id"),
@@ -249,6 +260,6 @@ def trials_a(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(", 'subsample': "), _dec3(F.col("subsample")), F.lit("}"))
     loss = F.round(F.lit(1.0) - (F.lit(0.6) + F.col("learning_rate") / F.lit(2.0)
                                  + (b("la", k) % 1000).cast("double") / F.lit(10000.0)), 6)
-    train_time = ((b("tt", k) % 100000).cast("double") / F.lit(1000.0))
+    train_time = ((_d("tt") % 100000).cast("double") / F.lit(1000.0))
     return p.select(loss.alias("loss"), params.alias("params"), "iteration",
                     train_time.alias("train_time"))
