@@ -13,7 +13,7 @@ from riskframe.plans.reshape import to_long
 BROADCAST_RANK_ROWS = 200_000  # rank tables up to this many rows are broadcast
 
 
-def rank_columns(df: DataFrame, key: str, cols) -> DataFrame:
+def rank_columns(df: DataFrame, key: str, cols, counts: dict | None = None) -> DataFrame:
     """Average ranks of every column (ties share the mid rank), back in wide form.
 
     Long form -> distinct (feature, value) with counts -> distributed
@@ -25,7 +25,10 @@ def rank_columns(df: DataFrame, key: str, cols) -> DataFrame:
     long = to_long(df, [key], cols)
     distinct = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
     ranks = average_ranks(distinct, ["feature"], "value", "n").select("feature", "value", "avg_rank")
-    n_rank = distinct.count()
+    per = distinct.groupBy("feature").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("m")).collect()
+    n_rank = sum(r["k"] for r in per)
+    if counts is not None:  # non-null values per column (one row per feature)
+        counts.update({r["feature"]: r["m"] for r in per})
     r = F.broadcast(ranks) if n_rank <= BROADCAST_RANK_ROWS else ranks
     ranked = long.join(r, ["feature", "value"])
     return ranked.groupBy(key).pivot("feature", list(cols)).agg(F.first("avg_rank"))
@@ -35,13 +38,16 @@ def _nan_to_null(c):
     return F.when(F.isnan(c), F.lit(None)).otherwise(c)
 
 
-def pairwise_corr(wide: DataFrame, cols, upper_only: bool = True) -> DataFrame:
-    """Pearson correlation of all column pairs in one aggregate, as a long table."""
+def pairwise_corr(wide: DataFrame, cols, upper_only: bool = True, means: dict | None = None) -> DataFrame:
+    """Pearson correlation of all column pairs in one aggregate, as a long table.
+
+    ``means`` (exact column means known in advance) saves the first pass."""
     pairs = [(a, b) for i, a in enumerate(cols) for j, b in enumerate(cols) if (i < j or not upper_only)]
     # two cheap passes instead of d² central-moment aggregates: the means, then
     # sums of centred products; a constant column gives null (try_divide), never
     # a division error under ANSI mode
-    mrow = wide.agg(*[F.avg(q(c)).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    mrow = ({f"m{i}": means[c] for i, c in enumerate(cols)} if means is not None else
+            wide.agg(*[F.avg(q(c)).alias(f"m{i}") for i, c in enumerate(cols)]).first())
     cen = wide.select(*[(q(c) - F.lit(float(mrow[f"m{i}"] or 0.0))).alias(f"x{i}")
                         for i, c in enumerate(cols)])
     idx = {c: i for i, c in enumerate(cols)}
@@ -56,8 +62,20 @@ def pairwise_corr(wide: DataFrame, cols, upper_only: bool = True) -> DataFrame:
 
 
 def spearman(df: DataFrame, key: str, cols) -> DataFrame:
-    """Spearman rho for every pair (upper triangle, in column order)."""
-    return pairwise_corr(rank_columns(df, key, cols), cols)
+    """Spearman rho for every pair (upper triangle, in column order).
+
+    Average ranks of a column with ``m`` values have mean exactly
+    ``(m + 1) / 2``; when every column is complete (the same ``m`` as the
+    row count) that gives the centring for free and the correlation is a
+    single pass. Otherwise the wide table is pinned and means are computed
+    over it (pairwise-complete rows)."""
+    counts: dict = {}
+    wide = rank_columns(df, key, cols, counts)
+    n_rows = df.select(key).count()
+    if all(counts.get(c) == n_rows for c in cols):
+        return pairwise_corr(wide, cols, means={c: (n_rows + 1) / 2.0 for c in cols})
+    from riskframe.session import cut_lineage
+    return pairwise_corr(cut_lineage(wide), cols)
 
 
 def top_pairs(rho: DataFrame, n: int = 10) -> DataFrame:
