@@ -22,13 +22,25 @@ from riskframe.plans.prefix import rank_within
 from riskframe.plans.reshape import exact_quantiles, to_long, with_group_totals, with_scalar_totals
 
 
-def quality_table(df: DataFrame) -> DataFrame:
+def quality_table(df: DataFrame, exact: bool = True, rsd: float = 0.01) -> DataFrame:
     """A1: per column type, % missing (1 dp) and distinct non-null count.
 
-    One pass: unpivot to (column, value-as-text), count per distinct pair
-    (partial aggregation map-side), then per column.
+    Exact: unpivot to (column, value-as-text), count per distinct pair
+    (partial aggregation map-side), then per column; the shuffle carries
+    one row per distinct (column, value). ``exact=False`` is one pass with
+    HyperLogLog sketches (no shuffle of values) for very wide, very large
+    tables where a relative error ``rsd`` on the distinct count is fine.
     """
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    if not exact:
+        row = df.agg(F.count(F.lit(1)).alias("_n"),
+                     *[F.count_if(q(c).isNull()).alias(f"m{i}") for i, c in enumerate(types)],
+                     *[F.approx_count_distinct(q(c), rsd).alias(f"u{i}") for i, c in enumerate(types)])
+        st = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(t).alias("data_type"),
+                                          F.round(F.lit(100.0) * F.col(f"m{i}") / F.col("_n"), 1).alias("pct_missing"),
+                                          F.col(f"u{i}").cast("bigint").alias("n_unique"))
+                                 for i, (c, t) in enumerate(types.items())]))
+        return row.select(st.alias("s")).select("s.*")
     vals = []
     for f in df.schema.fields:
         c = q(f.name)

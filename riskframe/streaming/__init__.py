@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The reference has no streaming source, sink, watermark, window or state
+(SURVEY §2.13), so nothing here is built; all operators are batch
+DataFrame plans and can be applied to each micro-batch by a caller's own
+``foreachBatch`` if ever needed.
+"""
