@@ -120,11 +120,13 @@ def loans_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = (id(spark), sf_dir)
     fitted = _CLEANING_FITS.get(key)
     if fitted is None:
-        kept = clean.drop_sparse_columns(df, max_null_share=0.05).columns
+        src = df.persist()  # the fit reads it three times; only the first pass scans parquet
+        kept = clean.drop_sparse_columns(src, max_null_share=0.05).columns
         pre = clean.recode_levels(clean.recode_status(clean.complete_cases(
-            clean.drop_columns(df.select(*kept), DATE_COLS), COMPLETE_CASE_COLS), "loan_status", "label"),
+            clean.drop_columns(src.select(*kept), DATE_COLS), COMPLETE_CASE_COLS), "loan_status", "label"),
             FLAG_MAPS)
         fitted = (kept, clean.distinct_levels(pre, ONE_HOT_COLS))
+        src.unpersist()
         _CLEANING_FITS[key] = fitted
     kept, levels = fitted
     df = df.select(*kept)
