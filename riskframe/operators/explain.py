@@ -134,7 +134,9 @@ def group_lasso(df: DataFrame, features, groups: dict[str, list[str]], group_reg
     """
     feats = list(features)
     data, z = _scaled_table(df.dropna(subset=feats + ["label"]), feats)
-    data = data.cache()
+    # _k is a stored column of the cached table: the coefficient row joins on it as a
+    # broadcast hash join (a literal key would be folded into a cross join)
+    data = data.withColumn("_k", F.lit(0)).cache()
     d = len(z)
     g_mat, s, n = __import__("riskframe.operators.corr", fromlist=["gram"]).gram(data, z, centered=False)
     # Lipschitz constant of the mean logistic loss gradient, intercept included
@@ -147,7 +149,7 @@ def group_lasso(df: DataFrame, features, groups: dict[str, list[str]], group_reg
     gidx = {g: [feats.index(c) for c in cols] for g, cols in groups.items()}
 
     spark = df.sparkSession
-    coef_schema = ", ".join([f"_c{i} double" for i in range(d)] + ["_c0b double"])
+    coef_schema = ", ".join([f"_c{i} double" for i in range(d)] + ["_c0b double", "_k int"])
     lin = sum(F.col(c) * F.col(f"_c{i}") for i, c in enumerate(z)) + F.col("_c0b")
     p_ = F.lit(1.0) / (F.lit(1.0) + F.exp(-lin))
     # log(1 + e^lin) - y·lin, written to stay finite for large |lin|
@@ -158,8 +160,8 @@ def group_lasso(df: DataFrame, features, groups: dict[str, list[str]], group_reg
     def grad_loss(beta, b0):
         # the coefficients arrive as a one-row broadcast table, so the plan (and its
         # generated code) is the same every iteration; only the data changes
-        cdf = spark.createDataFrame([tuple(float(x) for x in beta) + (float(b0),)], coef_schema)
-        r = with_scalar_totals(data, cdf).agg(*aggs).first()
+        cdf = spark.createDataFrame([tuple(float(x) for x in beta) + (float(b0), 0)], coef_schema)
+        r = data.join(F.broadcast(cdf), "_k").agg(*aggs).first()
         return np.array([r[c] for c in z]), r["_b"], r["_l"]
 
     def prox(v, t):

@@ -18,10 +18,17 @@ def to_long(df: DataFrame, id_cols, value_cols, name: str = "feature", value: st
 
 
 def with_scalar_totals(df: DataFrame, totals: DataFrame) -> DataFrame:
-    """Attach a one-row aggregate to every row: an equi-join on a constant key
-    with the one-row side broadcast (its size is one row by construction)."""
-    return (df.withColumn("_one", F.lit(1))
-            .join(F.broadcast(totals.withColumn("_one", F.lit(1))), "_one").drop("_one"))
+    """Attach a one-row aggregate to every row as literals.
+
+    The aggregate is computed by its own small job and collected (one row
+    by construction); no join is planned, so nothing can turn into a
+    cross join.
+    """
+    rows = totals.limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError(f"expected a one-row aggregate, got {len(rows)} rows")
+    r = rows[0]
+    return df.withColumns({f.name: F.lit(r[f.name]).cast(f.dataType) for f in totals.schema.fields})
 
 
 def with_group_totals(df: DataFrame, totals: DataFrame, keys, bounded: bool = True) -> DataFrame:
