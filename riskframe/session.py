@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,9 +15,13 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
 }
 
+# checkpoint folder of each Spark application, set once
+_CHECKPOINT_DIRS: dict[str, str] = {}
+
 
 def get_session(master: str | None = None, app: str = "riskframe",
                 shuffle_partitions: int | None = None,
@@ -47,16 +50,24 @@ def get_session(master: str | None = None, app: str = "riskframe",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; set a scratch one only when unset.
+    """The folder of ``spark.checkpoint.dir``, set on the context once per application.
 
-    A shared, reliable folder is required on a cluster; the local
-    fallback exists for tests on one machine.
+    Where the cluster names none, a scratch folder is made on a one-machine
+    ``local`` master only; on any other master a missing setting is an error,
+    because a machine-local folder would lose data with its executor.
     """
     sc = spark.sparkContext
-    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    known = _CHECKPOINT_DIRS.get(sc.applicationId)
+    if known:
+        return known
+    d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = tempfile.mkdtemp(prefix="riskframe-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        # "local-cluster" has separate executors and counts as a cluster
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        d = tempfile.mkdtemp(prefix="riskframe-ckpt-")
     sc.setCheckpointDir(d)
+    _CHECKPOINT_DIRS[sc.applicationId] = d
     return d
 
 
