@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskframe.session import ensure_checkpoint_dir
@@ -38,3 +38,21 @@ def id_remainder(id_col: Column, modulus: int) -> Column:
 
 def power_of_two_at_least(n: int) -> int:
     return 1 << max(0, (max(1, n) - 1).bit_length())
+
+
+def row_keys(id_col: str, text_col: str) -> list[Column]:
+    """128 bits that know a row by its id and text (nulls included); repeated rows share them."""
+    i, t = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    return [F.xxhash64(i, F.lit(1), t).alias("__k1"), F.xxhash64(t, F.lit(2), i).alias("__k2")]
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose (__k1, __k2) is in ``kept``, one of each, with their own columns.
+
+    One exchange: the row number uses the partitioning of the join.
+    """
+    marked = docs.select("*", *row_keys(id_col, text_col))
+    hit = marked.join(kept.select("__k1", "__k2"), ["__k1", "__k2"], "left_semi")
+    one = Window.partitionBy("__k1", "__k2").orderBy(F.lit(1))
+    return (hit.withColumn("__nth", F.row_number().over(one)).filter("__nth = 1")
+            .select(*[f"`{c}`" for c in docs.columns]))

@@ -27,13 +27,11 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from riskframe.llm.common import pin, power_of_two_at_least
+from riskframe.llm.common import keep_rows, pin, power_of_two_at_least, row_keys
 
 HASHES = ["h0", "h1", "h2", "h3"]
 ROWS_PER_LEAF = 50_000
@@ -47,14 +45,15 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw = b"".join(sha((t or b"").lower()).digest() for t in texts)  # bytes.lower() changes A-Z only
         cells = np.frombuffer(raw, dtype=">i8").reshape(-1, 4).astype(np.int64)
         yield pa.RecordBatch.from_arrays(
-            [b.column(0).cast(pa.int64()), *[pa.array(np.ascontiguousarray(cells[:, i])) for i in range(4)]],
-            names=["doc_id", *HASHES])
+            [*[b.column(i) for i in (0, 2, 3)], *[pa.array(np.ascontiguousarray(cells[:, i])) for i in range(4)]],
+            names=["doc_id", "__k1", "__k2", *HASHES])
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, h0..h3): SHA-256 of every text with A-Z lower-cased, as four signed words."""
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        _digest, "doc_id bigint, " + ", ".join(f"{h} bigint" for h in HASHES))
+    """(doc_id, row keys, h0..h3): SHA-256 of every text with A-Z lower-cased, as four signed words."""
+    return docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"),
+                       *row_keys(id_col, text_col)).mapInArrow(
+        _digest, "doc_id bigint, __k1 bigint, __k2 bigint, " + ", ".join(f"{h} bigint" for h in HASHES))
 
 
 def _merge_sorted():
@@ -97,7 +96,7 @@ def _merge(runs: DataFrame, shards: int, largest: bool) -> DataFrame:
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest",
                 leaves: int | None = None, fan_bits: int = 3) -> DataFrame:
-    """One row per input row: doc_id, h0..h3, keep_id, group_size, kept."""
+    """One row per input row: doc_id, its row keys, h0..h3, keep_id, group_size, kept."""
     if keep not in ("largest", "smallest"):
         raise ValueError("keep is 'largest' or 'smallest'")
     rows = pin(digests(docs, id_col, text_col).withColumn("uid", F.monotonically_increasing_id()), "digests")
@@ -120,7 +119,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     down = leaf_runs.select("node", *HASHES).join(winners, HASHES).withColumnRenamed("node", "leaf")
     out = rows.join(down, ["leaf", *HASHES], "left")
-    return out.select("doc_id", *HASHES, "keep_id", "group_size", (F.col("uid") == F.col("keep_uid")).alias("kept"))
+    return out.select("doc_id", "__k1", "__k2", *HASHES, "keep_id", "group_size", (F.col("uid") == F.col("keep_uid")).alias("kept"))
 
 
 def sha256_hex() -> Column:
@@ -128,19 +127,5 @@ def sha256_hex() -> Column:
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
-    """The rows of ``docs`` that stay, with their own columns.
-
-    Rows are known by (id, digest); of rows that repeat both, one stays.
-    """
-    won = (exact_dedup(docs, id_col, text_col, keep).filter("kept")
-           .select(F.col("doc_id").alias("__won_id"), sha256_hex().alias("__won_sha")))
-    marked = docs.withColumn("__sha", F.lower(F.hex(_sha(F.col(f"`{text_col}`")))))
-    hit = marked.join(won, F.col(f"`{id_col}`").cast("bigint").eqNullSafe(F.col("__won_id"))
-                      & (F.col("__sha") == F.col("__won_sha")), "left_semi")
-    w = Window.partitionBy(f"`{id_col}`", "__sha").orderBy(F.lit(1))
-    return hit.withColumn("__nth", F.row_number().over(w)).filter("__nth = 1").select(*[f"`{c}`" for c in docs.columns])
-
-
-@F.pandas_udf(T.BinaryType())
-def _sha(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: hashlib.sha256((t or "").encode().lower()).digest())
+    """The rows of ``docs`` that stay, with their own columns; of rows that repeat id and text one stays."""
+    return keep_rows(docs, exact_dedup(docs, id_col, text_col, keep).filter("kept"), id_col, text_col)

@@ -5,11 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from riskframe.llm import exact_dedup, packing
+from riskframe.llm import exact_dedup, packing, simhash_dedup
 from riskframe.llm.common import table
 
 
+def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash_dedup.simhash_dedup(table(spark, sf_dir, "documents"), shingle=3, radius=3, seed=42)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
     return out.select("doc_id", "keep_id", "group_size", "kept", exact_dedup.sha256_hex().alias("text_sha256"))
@@ -20,6 +26,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_simhash_dedup": op2_simhash_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
