@@ -11,4 +11,44 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (P
 FROM d
 """
 
-ORACLE_SQL: dict[str, str] = {"op6_exact_dedup": OP6}
+_FILL = """
+{name}_n AS (SELECT *, coalesce(sum(cap) OVER (t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS filled,
+         sum(weight) OVER (t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ahead, row_number() OVER t AS pos
+       FROM ({nodes}) WINDOW t AS (PARTITION BY {parent} ORDER BY cap::DOUBLE / weight::DOUBLE, {leaf})),
+{name}_f AS (SELECT *, min(CASE WHEN cap * ahead > greatest(budget - filled, 0) * weight THEN pos END) OVER (PARTITION BY {parent}) AS open_at
+       FROM {name}_n),
+{name} AS (SELECT f.{cols}, CASE WHEN f.open_at IS NULL OR f.pos < f.open_at THEN f.cap
+           ELSE (greatest(o.budget - o.filled, 0) * f.weight) // o.ahead END AS budget
+       FROM {name}_f f LEFT JOIN {name}_f o ON {same} AND o.pos = f.open_at)"""
+
+OP10 = f"""
+WITH docs AS (
+  SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n_tokens,
+         coalesce(lang, '(none)') AS lang, coalesce(source, '(none)') AS source,
+         coalesce('d' || (('0x' || substr(md5(source), 1, 2))::INT % 4), '(none)') AS domain
+  FROM documents),
+leaves AS (SELECT domain, lang, source, sum(n_tokens)::HUGEINT AS tokens, 3 * sum(n_tokens)::HUGEINT AS cap FROM docs GROUP BY ALL),
+{_FILL.format(name="top", parent="1", leaf="domain", cols="domain", same="true", nodes="""
+  SELECT domain, sum(cap) AS cap, (SELECT sum(tokens) FROM leaves) // 2 AS budget,
+         CASE domain WHEN 'd0' THEN 4 WHEN 'd1' THEN 3 WHEN 'd2' THEN 2 ELSE 1 END AS weight FROM leaves GROUP BY domain""")},
+{_FILL.format(name="mid", parent="domain", leaf="lang", cols="domain, f.lang", same="o.domain = f.domain", nodes="""
+  SELECT domain, lang, sum(cap) AS cap, any_value(top.budget) AS budget,
+         CASE lang WHEN 'en' THEN 4 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 ELSE 1 END AS weight
+  FROM leaves JOIN top USING (domain) GROUP BY domain, lang""")},
+{_FILL.format(name="low", parent="domain, lang", leaf="source", cols="domain, f.lang, f.source",
+              same="o.domain = f.domain AND o.lang = f.lang", nodes="""
+  SELECT domain, lang, source, cap, mid.budget AS budget, 1 AS weight FROM leaves JOIN mid USING (domain, lang)""")},
+plan AS (SELECT domain, lang, source, tokens, low.budget AS budget,
+                CASE WHEN tokens > 0 THEN least(low.budget // tokens, 3) ELSE 0 END AS whole
+         FROM leaves JOIN low USING (domain, lang, source)),
+ordered AS (SELECT docs.*, tokens, budget, whole, sum(n_tokens) OVER (
+              PARTITION BY domain, lang, source ORDER BY md5('7:' || whole || ':' || doc_id), doc_id
+              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+            FROM docs JOIN plan USING (domain, lang, source)),
+taken AS (SELECT *, whole + CASE WHEN budget - whole * tokens > 0 AND upto <= budget - whole * tokens THEN 1 ELSE 0 END AS copies FROM ordered)
+SELECT doc_id, domain, lang, source, unnest(range(0, copies::BIGINT))::INT AS epoch, n_tokens::BIGINT AS n_tokens,
+       tokens::BIGINT AS leaf_tokens, budget::BIGINT AS leaf_budget
+FROM taken WHERE copies > 0
+"""
+
+ORACLE_SQL: dict[str, str] = {"op6_exact_dedup": OP6, "op10_source_mixing": OP10}

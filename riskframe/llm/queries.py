@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import exact_dedup, packing, simhash_dedup
+from riskframe.llm import exact_dedup, mixing, packing, simhash_dedup
 from riskframe.llm.common import table
 
 
@@ -25,8 +25,18 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(table(spark, sf_dir, "documents"), capacity=1024, end_id=2)
 
 
+#: Whole-number weights of siblings; what is not named has weight 1.
+MIX_WEIGHTS = {"domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "lang": {"en": 4, "de": 2, "fr": 2, "es": 1}}
+
+
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS, share=(1, 2), max_epochs=3, seed=7)
+    return out.drop("__k1", "__k2")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_dedup": op2_simhash_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_source_mixing": op10_source_mixing,
 }
