@@ -74,7 +74,8 @@ def _merge_sorted():
             n = np.add.reduceat(t.column("n").to_numpy(), first)
             # nulls sort first, so the last entry has the largest known id; for the
             # smallest the order of ids is reversed by the caller
-            best = t.take(pa.array(last)).set_column(t.schema.get_field_index("n"), "n", pa.array(n))
+            at = t.schema.get_field_index("n")
+            best = t.take(pa.array(last)).set_column(at, t.schema.field(at), pa.array(n))
             if len(first) > 1:
                 yield from best.slice(0, len(first) - 1).combine_chunks().to_batches()
             carry = best.slice(len(first) - 1)
