@@ -46,13 +46,17 @@ def row_keys(id_col: str, text_col: str) -> list[Column]:
     return [F.xxhash64(i, F.lit(1), t).alias("__k1"), F.xxhash64(t, F.lit(2), i).alias("__k2")]
 
 
-def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose (__k1, __k2) is in ``kept``, one of each, with their own columns.
+def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+              all_copies: bool = False) -> DataFrame:
+    """The rows of ``docs`` whose (__k1, __k2) is in ``kept``, with their own columns; one of each
+    unless ``all_copies``.
 
     One exchange: the row number uses the partitioning of the join.
     """
     marked = docs.select("*", *row_keys(id_col, text_col))
     hit = marked.join(kept.select("__k1", "__k2"), ["__k1", "__k2"], "left_semi")
+    if all_copies:
+        return hit.select(*[f"`{c}`" for c in docs.columns])
     one = Window.partitionBy("__k1", "__k2").orderBy(F.lit(1))
     return (hit.withColumn("__nth", F.row_number().over(one)).filter("__nth = 1")
             .select(*[f"`{c}`" for c in docs.columns]))

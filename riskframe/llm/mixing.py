@@ -130,3 +130,18 @@ def mix(docs: DataFrame, weights: Mapping[str, Mapping[str, int]] | None = None,
              .filter("copies > 0"))
     return taken.select("doc_id", "__k1", "__k2", *LEVELS, F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))).alias("epoch"),
                         "n_tokens", "leaf_tokens", "leaf_budget")
+
+
+def mix_rows(docs: DataFrame, *args, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
+    """The rows of ``docs`` with their own columns, each as often as it is selected.
+
+    What is selected of rows that repeat id and text is shared out among them.
+    """
+    picked = mix(docs, *args, id_col=id_col, text_col=text_col, **params)
+    times = picked.groupBy("__k1", "__k2").agg(F.count(F.lit(1)).alias("__times"))
+    same = Window.partitionBy("__k1", "__k2")
+    hit = (docs.select("*", *row_keys(id_col, text_col)).join(times, ["__k1", "__k2"])
+           .withColumn("__there", F.count(F.lit(1)).over(same)).withColumn("__nth", F.row_number().over(same.orderBy(F.lit(1))))
+           .withColumn("__own", F.expr("__times div __there + if(__nth <= __times % __there, 1, 0)")).filter("__own > 0"))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    return hit.select(*own, F.explode(F.sequence(F.lit(1), F.col("__own").cast("int"))).alias("__copy")).select(*own)
