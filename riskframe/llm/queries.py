@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import exact_dedup, language_id, mixing, packing, simhash_dedup
+from riskframe.llm import exact_dedup, language_id, maxscore, mixing, packing, simhash_dedup
 from riskframe.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score", "bits", "length", "rejected")
 
 
+def op8_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.top_k(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20, scale=64)
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(table(spark, sf_dir, "documents"), capacity=1024, end_id=2)
 
@@ -43,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_dedup": op2_simhash_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_language_id": op7_language_id,
+    "op8_maxscore_topk": op8_maxscore_topk,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_source_mixing": op10_source_mixing,
 }
