@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import exact_dedup, language_id, maxscore, mixing, packing, simhash_dedup
+from riskframe.llm import exact_dedup, html_text, language_id, maxscore, mixing, packing, simhash_dedup
 from riskframe.llm.common import table
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"), window=3, surge=86, small=0.25)
+
+
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_dedup.simhash_dedup(table(spark, sf_dir, "documents"), shingle=3, radius=3, seed=42)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -44,6 +48,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_text": op1_html_text,
     "op2_simhash_dedup": op2_simhash_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_language_id": op7_language_id,
