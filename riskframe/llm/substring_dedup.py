@@ -1,7 +1,9 @@
 """Substring dedup (4): sliding sentence spans.
 
-A text is cut into sentences at ``. ! ?`` before white space and at line ends;
-a sentence longer than ``max_words`` counts as several. From every sentence
+A text is cut into sentences at ``. ! ?`` before white space and at line ends.
+One longer than ``max_words`` counts as several, cut after the words whose
+checksum is a multiple of ``cut_every``, so that a passage is cut alike wherever
+it stands. From every sentence
 starts one span, the shortest run of at least ``run`` sentences and
 ``min_words`` words; its 128-bit hash is taken over the lower-cased words. Spans
 are joined on the hash over all documents. The occurrence with the smallest
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -33,31 +36,45 @@ from riskframe.llm.common import pin, row_keys
 RUN = 3
 MIN_WORDS = 15
 MAX_WORDS = 12
+CUT_EVERY = 6
 ROWS_AT_ONCE = 1 << 17
 
-WORDS = re.compile(r"\S+\s*")
+WORDS = re.compile(r"\s*\S+\s*|\s+")
+END = re.compile(r"[.!?]\s*\Z")
 
 
-def sentences(text: str, max_words: int = MAX_WORDS) -> list[str]:
+def sentences(text: str, max_words: int = MAX_WORDS, cut_every: int = CUT_EVERY) -> list[str]:
     """The text's sentences with the white space that follows them; joined they are the text."""
     out: list[str] = []
-    for line in text.splitlines(keepends=True):
-        start = 0
-        n = 0
+    for line in text.split("\n"):
+        words: list[str] = []
         for m in WORDS.finditer(line):
-            n += 1
-            word = m.group().rstrip()
-            if n == max_words or word[-1] in ".!?":
-                out.append(line[start:m.end()])
-                start, n = m.end(), 0
-        if n:
-            out.append(line[start:])
-        elif start < len(line):  # white space only
-            if out:
-                out[-1] += line[start:]
-            else:
-                out.append(line[start:])
-    return out
+            words.append(m.group())
+            if END.search(words[-1]):
+                out += _cut(words, max_words, cut_every)
+                words = []
+        out += _cut(words, max_words, cut_every)
+        out.append("\n")
+    out.pop()
+    # a line end, and a line of white space, belong to the sentence before them
+    joined: list[str] = []
+    for part in out:
+        if joined and (part.isspace() or joined[-1].isspace()):
+            joined[-1] += part
+        else:
+            joined.append(part)
+    return joined
+
+
+def _cut(words: list[str], max_words: int, cut_every: int) -> list[str]:
+    if len(words) <= max_words:
+        return ["".join(words)] if words else []
+    out, start = [], 0
+    for i, w in enumerate(words, 1):
+        if crc32(w.encode().strip().lower()) % cut_every == 0:
+            out.append("".join(words[start:i]))
+            start = i
+    return out + (["".join(words[start:])] if start < len(words) else [])
 
 
 def spans(parts: list[str], run: int = RUN, min_words: int = MIN_WORDS) -> list[tuple[int, int, int, int]]:
