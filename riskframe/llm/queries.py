@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import exact_dedup, html_text, language_id, maxscore, mixing, packing, simhash_dedup, substring_dedup
+from riskframe.llm import exact_dedup, html_text, language_id, lm_scoring, maxscore, mixing, packing, simhash_dedup, substring_dedup
 from riskframe.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"), modulus=7, held=2)
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), run=3, min_words=15, max_words=12)
 
@@ -54,6 +58,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
     "op2_simhash_dedup": op2_simhash_dedup,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_substring_dedup": op4_substring_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_language_id": op7_language_id,
