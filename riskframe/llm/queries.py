@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import exact_dedup, html_text, language_id, lm_scoring, maxscore, mixing, packing, simhash_dedup, substring_dedup
+from riskframe.llm import exact_dedup, html_text, language_id, lm_scoring, maxscore, mixing, packing, secret_scan, simhash_dedup, substring_dedup
 from riskframe.llm.common import table
 
 
@@ -28,6 +28,11 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), run=3, min_words=15, max_words=12)
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secret_scan.scan(table(spark, sf_dir, "documents"), min_length=20, q=0.01)
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", "n_random", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
     return out.select("doc_id", "keep_id", "group_size", "kept", exact_dedup.sha256_hex().alias("text_sha256"))
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_dedup": op2_simhash_dedup,
     "op3_lm_scoring": op3_lm_scoring,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_secret_scan": op5_secret_scan,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_language_id": op7_language_id,
     "op8_maxscore_topk": op8_maxscore_topk,
