@@ -16,7 +16,8 @@ holds one shard and one block, and the shards' best lists are merged by query.
 Defined results: vectors that are null or hold null or non-finite components
 take no part, nor do rows without vec_id; shorter vectors count zeros at the
 end; repeated rows count each on its own, and only the query's own row is left
-out; components of 2**62 and more after scaling are cut to that; an empty table
+out; components of 2**62 and more after scaling are cut to that, and scores to the
+range of a long; an empty table
 gives an empty result; other columns are not read.
 """
 
@@ -33,6 +34,7 @@ SHARD_ROWS = 8192
 QUERY_ROWS = 2048
 BLOCK = 2048
 PROBE = 8
+LONG = (1 << 63) - 1
 RESULT = "query_uid bigint, query_id bigint, vec_uid bigint, vec_id bigint, score bigint"
 
 
@@ -79,7 +81,10 @@ class Shard:
             if floor is not None and head == 0 and base < floor:
                 break
             a, b = (plus, minus) if head == len(order) else ([t for t in order[:head] if q[t] > 0], [t for t in order[:head] if q[t] < 0])
-            part = base + self.above[lo:hi, a].dot(weight[a]) + self.below[lo:hi, b].dot(weight[b])
+            part = np.full(hi - lo, base, dtype=weight.dtype)
+            for impacts, terms in ((self.above, a), (self.below, b)):
+                if len(terms):
+                    part = part + impacts[lo:hi, terms].dot(weight[terms])
             live = np.arange(lo, hi)
             if floor is not None:
                 ok = part + rest[head] >= floor
@@ -94,10 +99,9 @@ class Shard:
             mine = self.uids[live] != own
             best, at = np.concatenate([best, part[mine]]), np.concatenate([at, live[mine]])
             if len(best) > k:
-                if best.dtype != object:
-                    near = best >= np.partition(best, len(best) - k)[len(best) - k]
-                    best, at = best[near], at[near]
-                top = np.lexsort((at, -best))[:k]  # positions are in id order
+                near = best >= np.sort(best)[-k] if best.dtype == object else best >= np.partition(best, len(best) - k)[len(best) - k]
+                best, at = best[near], at[near]
+                top = np.argsort(-best, kind="stable")[:k]  # positions are in id order
                 best, at = best[top], at[top]
             if len(best) == k:
                 floor = best.min()
@@ -109,9 +113,9 @@ def _search(dims: int, k: int):
         out: dict[str, list[np.ndarray]] = {c: [] for c in ("query_uid", "query_id", "vec_uid", "vec_id", "score")}
         if vectors.num_rows and queries.num_rows:
             v, q = _matrix(vectors, dims), _matrix(queries, dims)
-            # whole numbers stay exact in doubles below 2**53; beyond that Python's own
+            # whole numbers stay exact in doubles below 2**53, in longs below 2**63; beyond that Python's own
             reach = 4.0 * max(1, dims) * float(np.abs(v.astype(float)).max(initial=0)) * float(np.abs(q.astype(float)).max(initial=0))
-            number = np.float64 if reach < 2.0 ** 53 else object
+            number = np.float64 if reach < 2.0 ** 53 else np.int64 if reach < 2.0 ** 63 else object
             shard = Shard(v, vectors.column("vec_id").to_numpy(), vectors.column("uid").to_numpy(), number)
             for row, uid, qid in zip(q.astype(number), queries.column("uid").to_numpy(), queries.column("vec_id").to_numpy(), strict=True):
                 best, at = shard.search(row, uid, k)
@@ -119,7 +123,7 @@ def _search(dims: int, k: int):
                 out["query_id"].append(np.full(len(at), qid))
                 out["vec_uid"].append(shard.uids[at])
                 out["vec_id"].append(shard.ids[at])
-                out["score"].append(best.astype(np.int64))
+                out["score"].append(np.clip(best, -LONG, LONG).astype(np.int64) if number is object else best.astype(np.int64))
         return pa.table({c: pa.array(np.concatenate(x) if x else np.empty(0, dtype=np.int64), pa.int64()) for c, x in out.items()})
     return run
 
