@@ -96,13 +96,13 @@ SCORES = f"""
 scores AS (
   SELECT model, split, loan_id, label, score, CASE WHEN score > 0.5 THEN 1 ELSE 0 END AS prediction
   FROM (
-    SELECT 'm1' AS model, CASE WHEN {B('split')} % 100 < 80 THEN 'train' ELSE 'test' END AS split,
+    SELECT 'm1' AS model, CASE WHEN {B('split')} < 0.8 * 4294967296 THEN 'train' ELSE 'test' END AS split,
            o_orderkey AS loan_id,
            CASE WHEN {B('bad')} % 1000 < 30 + 40 * g + 60 * t60 THEN 1 ELSE 0 END AS label,
            {_score('noise')} AS score
     FROM loans_base
     UNION ALL
-    SELECT 'm2', CASE WHEN {B('split')} % 100 < 80 THEN 'train' ELSE 'test' END,
+    SELECT 'm2', CASE WHEN {B('split')} < 0.8 * 4294967296 THEN 'train' ELSE 'test' END,
            o_orderkey,
            CASE WHEN {B('bad')} % 1000 < 30 + 40 * g + 60 * t60 THEN 1 ELSE 0 END,
            {_score('noise2')}
@@ -131,24 +131,22 @@ rank_matrix AS (
 )"""
 
 
-def _sample_sql(name, spec, key="iteration"):
+def _sample_sql(name, spec, key="iteration", salt=None):
     kind = spec[0]
-    h = duck_b(name, key)
+    h = duck_b(salt or name, key)
     if kind in ("quniform", "uniform_step"):
+        # the q-grid from lo: floor((hi - lo) / q) + 1 points
         lo, hi, step = spec[1:]
-        inv = round(1 / step)
-        lo_i, steps = round(lo * inv), round((hi - lo) * inv)
-        return f"CAST({lo_i} + {h} % {steps + 1} AS DOUBLE) / {inv}.0::DOUBLE"
+        return (f"CAST({lo}::DECIMAL(18,6) + ({h} % CAST(floor(({hi}::DECIMAL(18,6) - {lo}::DECIMAL(18,6)) / "
+                f"{step}::DECIMAL(18,6) + 1e-9) + 1 AS BIGINT)) * {step}::DECIMAL(18,6) AS DOUBLE)")
     if kind == "randint":
         lo, hi = spec[1:]
         return f"CAST({lo} + {h} % {hi - lo + 1} AS INTEGER)"
     if kind == "loguniform_q":
         import math
         lo, hi, step = spec[1:]
-        inv = round(1 / step)
         a, w = math.log(lo), math.log(hi) - math.log(lo)
-        return (f"CAST(round(exp({a!r} + ({h} / 4294967296.0) * {w!r}) * {inv}) AS DOUBLE)"
-                f" / {inv}.0::DOUBLE")
+        return f"round(round(exp({a!r} + ({h} / 4294967296.0) * {w!r}) / {step}::DOUBLE) * {step}::DOUBLE, 4)"
     if kind == "choice":
         return _case(f"{h} % {len(spec[1])}", spec[1])
     raise ValueError(kind)
@@ -156,11 +154,23 @@ def _sample_sql(name, spec, key="iteration"):
 
 def trial_params() -> str:
     from riskframe.sources.fixtures import TRIAL_SPACE
-    cols = ", ".join(f"{_sample_sql(n, s)} AS {n}" for n, s in TRIAL_SPACE.items())
+    out = {}
+    for n, s in TRIAL_SPACE.items():
+        if s[0] != "choice_of":
+            out[n] = _sample_sql(n, s)
+            continue
+        out[n] = _case(f"{duck_b(n, 'iteration')} % {len(s[1])}", list(s[1]))
+        own: dict[str, list[str]] = {}
+        for i, (branch, params) in enumerate(s[1].items()):
+            for m, spec in params.items():
+                own.setdefault(m, []).append(f"WHEN {duck_b(n, 'iteration')} % {len(s[1])} = {i} "
+                                             f"THEN {_sample_sql(m, spec, salt=f'{n}.{branch}.{m}')}")
+        out |= {m: f"CASE {' '.join(w)} END" for m, w in own.items()}
+    cols = ", ".join(f"{e} AS {n}" for n, e in out.items())
     return f"""
 trial_params AS (
   SELECT iteration, ts, {cols}
-  FROM (SELECT CAST(event_id AS INTEGER) AS iteration, ts FROM events)
+  FROM (SELECT event_id AS iteration, ts FROM events)
 )"""
 
 

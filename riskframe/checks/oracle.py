@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from riskframe.checks import fixtures_sql as fs
 from riskframe.checks.fixtures_sql import MODEL_FEATURES, duck_b
+from riskframe.functions.rand import duck_b60
 from riskframe.functions.columns import legal_names, ml_names
 
 CONT = ["loan_amnt", "funded_amnt", "installment", "int_rate", "annual_inc", "n_items", "avg_disc"]
@@ -352,13 +353,13 @@ def _f():
 
 
 def _r():
-    split = f"CASE WHEN {duck_b('split', 'loan_id')} % 100 < 80 THEN 'train' ELSE 'test' END"
+    split = f"CASE WHEN {duck_b('split', 'loan_id')} < 0.8 * 4294967296 THEN 'train' ELSE 'test' END"
     out = {
         "R1": W_MODEL + f"SELECT loan_id, label, {split} AS split FROM loans_model",
         "R5": W_MODEL + f"SELECT loan_id, label, CAST({duck_b('fold', 'loan_id')} % 5 AS INTEGER) AS fold "
                         "FROM loans_model",
     }
-    out["R2"] = W_MODEL + f"""SELECT loan_id, label, CASE WHEN rn <= ceil(0.9 * cnt) THEN 'a' ELSE 'b' END AS part
+    out["R2"] = W_MODEL + f"""SELECT loan_id, label, CASE WHEN label IS NULL THEN NULL WHEN rn <= ceil(0.9 * cnt) THEN 'a' ELSE 'b' END AS part
         FROM (SELECT loan_id, label,
                      row_number() OVER (PARTITION BY label ORDER BY {duck_b('strat', 'loan_id')}, loan_id) AS rn,
                      count(*) OVER (PARTITION BY label) AS cnt FROM loans_model)"""
@@ -366,7 +367,7 @@ def _r():
         minor AS (SELECT loan_id, label, row_number() OVER (ORDER BY {duck_b('upi', 'loan_id')}, loan_id) - 1 AS idx
                   FROM tr WHERE label = 1),
         cnt AS (SELECT count(*) FILTER (WHERE label <> 1) AS nmaj, count(*) FILTER (WHERE label = 1) AS m FROM tr),
-        draws AS (SELECT d, {duck_b('up', 'd')} % m AS idx FROM (SELECT unnest(range(nmaj)) AS d, m FROM cnt))
+        draws AS (SELECT d, {duck_b60('up', 'd')} % m AS idx FROM (SELECT unnest(range(nmaj)) AS d, m FROM cnt))
         SELECT loan_id, label, CAST(NULL AS BIGINT) AS draw FROM tr WHERE label <> 1
         UNION ALL SELECT minor.loan_id, minor.label, draws.d FROM draws JOIN minor USING (idx)"""
     out["R6"] = W_MODEL + f"""SELECT loan_id, pos, CASE WHEN pos < k1 THEN 'first' ELSE 'second' END AS part
@@ -391,7 +392,7 @@ def _knn():
                FROM (SELECT a.vec_id, b.vec_id AS nb, {_dist_sql('a', 'b')} AS dist
                      FROM minor a JOIN minor b ON a.vec_id <> b.vec_id)),
         idx AS (SELECT *, row_number() OVER (ORDER BY {duck_b('smotei', 'vec_id')}, vec_id) - 1 AS _idx FROM minor),
-        draws AS (SELECT d, {duck_b('smote', 'd')} % m AS _idx,
+        draws AS (SELECT d, {duck_b60('smote', 'd')} % m AS _idx,
                          CAST({duck_b('smoten', 'd')} % least(5, m - 1) + 1 AS BIGINT) AS nn_rank,
                          {duck_b('smoteu', 'd')} / 4294967296.0 AS u
                   FROM (SELECT unnest(range(nmaj - m)) AS d, m FROM cnt))
@@ -453,7 +454,7 @@ def _t():
               CAST(row_number() OVER (ORDER BY value DESC, iteration) AS BIGINT) AS position FROM done""",
                   ["f1_weighted", "learning_rate"]),
         "H4": rnd(fs.with_(fs.trial_params()) + "SELECT * EXCLUDE (ts) FROM trial_params",
-                  ["learning_rate", "subsample", "reg_lambda"]),
+                  ["learning_rate", "subsample", "reg_lambda", "num_leaves", "max_bins", "drop_rate"]),
     }
     out["T8"] = rnd(wc + """SELECT x_bin, y_bin, count(*) AS n, avg(value) AS mean_metric, max(value) AS best_metric FROM (
           SELECT value,
@@ -477,7 +478,7 @@ def _m():
     out = {"M1": rnd(W_RAW + "SELECT loan_id, " + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in cols)
                      + f" FROM loans_raw WHERE {nn}", cols)}
     legal = ml_names(FEATS)
-    split = f"CASE WHEN {duck_b('split', 'loan_id')} % 100 < 80 THEN 'train' ELSE 'test' END"
+    split = f"CASE WHEN {duck_b('split', 'loan_id')} < 0.8 * 4294967296 THEN 'train' ELSE 'test' END"
     w = W_MODEL.rstrip() + f", sp AS (SELECT *, {split} AS _split FROM loans_model) "
     mm = ", ".join(f"CAST(min({qi(c)}) AS DOUBLE) AS mn{i}, CAST(max({qi(c)}) AS DOUBLE) AS mx{i}, "
                    f"stddev_samp({qi(c)}) AS sd{i}" for i, c in enumerate(FEATS))

@@ -28,6 +28,13 @@ def b(salt, key) -> Column:
     return F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint")
 
 
+def b60(salt, key) -> Column:
+    """BIGINT draw in [0, 2**60): for row indexes, which a 32-bit draw could not all reach."""
+    s = F.lit(salt) if isinstance(salt, str) else salt.cast("string")
+    h = F.md5(F.concat(s, F.lit(":"), _key(key)))
+    return F.conv(F.substring(h, 1, 15), 16, 10).cast("bigint")
+
+
 def u(salt, key) -> Column:
     """Uniform double in [0, 1)."""
     return b(salt, key) / F.lit(TWO32)
@@ -38,5 +45,9 @@ def duck_b(salt: str, key_sql: str) -> str:
     return (f"('0x' || substr(md5('{salt}:' || CAST({key_sql} AS VARCHAR)), 1, 8))::BIGINT")
 
 
+def duck_b60(salt: str, key_sql: str) -> str:
+    return (f"('0x' || substr(md5('{salt}:' || CAST({key_sql} AS VARCHAR)), 1, 15))::BIGINT")
+
+
 def duck_u(salt: str, key_sql: str) -> str:
     return f"({duck_b(salt, key_sql)} / 4294967296.0)"

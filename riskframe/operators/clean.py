@@ -241,10 +241,3 @@ def rename_columns(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
     """P22."""
     return df.withColumnsRenamed(mapping)
 
-
-def positional_split(df: DataFrame, key: str, k1: int, k2: int, salt: str = "perm"):
-    """After a repeatable shuffle, first ``k1`` rows and the next ``k2`` rows."""
-    s = shuffle_rows(df, key, salt)
-    first = s.filter(F.col("pos") < k1)
-    second = s.filter((F.col("pos") >= k1) & (F.col("pos") < k1 + k2))
-    return first, second

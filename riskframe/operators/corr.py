@@ -10,8 +10,6 @@ from riskframe.functions.columns import q
 from riskframe.plans.prefix import average_ranks
 from riskframe.plans.reshape import to_long
 
-BROADCAST_RANK_ROWS = 200_000  # rank tables up to this many rows are broadcast
-
 
 def rank_columns(df: DataFrame, key: str, cols, counts: dict | None = None) -> DataFrame:
     """Average ranks of every column (ties share the mid rank), back in wide form.
@@ -19,18 +17,16 @@ def rank_columns(df: DataFrame, key: str, cols, counts: dict | None = None) -> D
     Long form -> distinct (feature, value) with counts -> distributed
     running counts -> join ranks back -> pivot per key. Hot values (a
     dominant 0 in a one-hot column) are a single row of the rank table;
-    a bounded rank table is broadcast, a large one is shuffle-joined with
-    AQE's skew-join split on.
+    Spark broadcasts the rank table if it measures small enough, and otherwise
+    splits the hot partitions of the shuffle join.
     """
     long = to_long(df, [key], cols)
     distinct = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
     ranks = average_ranks(distinct, ["feature"], "value", "n").select("feature", "value", "avg_rank")
-    per = distinct.groupBy("feature").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("m")).collect()
-    n_rank = sum(r["k"] for r in per)
+    per = distinct.groupBy("feature").agg(F.sum("n").alias("m")).collect()
     if counts is not None:  # non-null values per column (one row per feature)
         counts.update({r["feature"]: r["m"] for r in per})
-    r = F.broadcast(ranks) if n_rank <= BROADCAST_RANK_ROWS else ranks
-    ranked = long.join(r, ["feature", "value"])
+    ranked = long.join(ranks, ["feature", "value"])
     return ranked.groupBy(key).pivot("feature", list(cols)).agg(F.first("avg_rank"))
 
 
@@ -91,21 +87,27 @@ def threshold_pairs(rho: DataFrame, threshold: float = 0.7) -> DataFrame:
 
 
 def gram(df: DataFrame, cols, centered: bool) -> tuple[np.ndarray, np.ndarray, int]:
-    """X'X (or the covariance) of ``cols`` in one aggregate pass; d×d on the driver."""
+    """X'X, or the centred sums of products, of ``cols``; d×d on the driver.
+
+    Centring is a pass of its own (means first), as subtracting ``n·mean²`` from
+    X'X cancels for large n.
+    """
     d = len(cols)
+    df = df.select(*[q(c) for c in cols]).dropna()
     exprs = [F.count(F.lit(1)).alias("n")]
+    if centered:
+        means = df.agg(*[F.avg(q(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+        df = df.select(*[(q(c).cast("double") - F.lit(float(means[f"m{i}"] or 0.0))).alias(c) for i, c in enumerate(cols)])
     exprs += [F.sum(q(c).cast("double")).alias(f"s{i}") for i, c in enumerate(cols)]
     exprs += [F.sum(q(a).cast("double") * q(b).cast("double")).alias(f"p{i}_{j}")
               for i, a in enumerate(cols) for j, b in enumerate(cols) if j >= i]
-    r = df.select(*[q(c) for c in cols]).dropna().agg(*exprs).first()
+    r = df.agg(*exprs).first()
     n = r["n"]
-    s = np.array([r[f"s{i}"] for i in range(d)], dtype=float)
+    s = np.array([r[f"s{i}"] or 0.0 for i in range(d)], dtype=float)
     g = np.zeros((d, d))
     for i in range(d):
         for j in range(i, d):
-            g[i, j] = g[j, i] = r[f"p{i}_{j}"]
-    if centered:
-        g = g - np.outer(s, s) / n
+            g[i, j] = g[j, i] = r[f"p{i}_{j}"] or 0.0
     return g, s, n
 
 

@@ -12,11 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.plans.prefix import prefix_sums
-from riskframe.plans.reshape import with_group_totals, with_scalar_totals
-
-
-def _join_keys(df, tot, keys):
-    return with_group_totals(df, tot, keys) if keys else with_scalar_totals(df, tot)
 
 
 def confusion(df: DataFrame, keys=(), label: str = "label", pred: str = "prediction") -> DataFrame:
@@ -97,21 +92,20 @@ def auc(df: DataFrame, keys=(), label: str = "label", score: str = "score") -> D
     keys = list(keys)
     sc = _score_counts(df, keys, label, score)
     c = prefix_sums(sc, keys, ["score"], ["n_neg"], prefix="cum_")
-    term = F.col("n_pos") * (F.col("cum_n_neg") - F.col("n_neg") * F.lit(0.5))
+    term = F.col("n_pos").cast("double") * (F.col("cum_n_neg") - F.col("n_neg") * F.lit(0.5))
     g = c.groupBy(*keys).agg(F.sum(term).alias("_num"), F.sum("n_pos").alias("n_pos"),
                              F.sum("n_neg").alias("n_neg"))
     return g.select(*keys, F.when((F.col("n_pos") == 0) | (F.col("n_neg") == 0), F.lit(None))
-                    .otherwise(F.col("_num") / (F.col("n_pos") * F.col("n_neg")).cast("double")).alias("auc"))
+                    .otherwise(F.col("_num") / (F.col("n_pos").cast("double") * F.col("n_neg").cast("double"))).alias("auc"))
 
 
 def curves(df: DataFrame, keys=(), label: str = "label", score: str = "score") -> DataFrame:
     """E7 + E8: one point per distinct threshold (descending): FPR, TPR (= recall), precision."""
     keys = list(keys)
     sc = _score_counts(df, keys, label, score)
-    c = prefix_sums(sc, keys, ["score"], ["n_pos", "n_neg"], descending=True, prefix="cum_")
-    tot = sc.groupBy(*keys).agg(F.sum("n_pos").alias("_P"), F.sum("n_neg").alias("_N"))
-    j = _join_keys(c, tot, keys)
-    return j.select(*keys, F.col("score").alias("threshold"),
+    c = prefix_sums(sc, keys, ["score"], ["n_pos", "n_neg"], descending=True, prefix="cum_",
+                    totals={"n_pos": "_P", "n_neg": "_N"})
+    return c.select(*keys, F.col("score").alias("threshold"),
                     _div(F.col("cum_n_neg"), F.col("_N")).alias("fpr"),
                     _div(F.col("cum_n_pos"), F.col("_P")).alias("tpr"),
                     _div(F.col("cum_n_pos"), F.col("cum_n_pos") + F.col("cum_n_neg")).alias("precision"))

@@ -21,9 +21,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskframe.functions.columns import q
-from riskframe.functions.rand import b, u
+from riskframe.functions.rand import b, b60
 from riskframe.operators import evaluate as ev
 from riskframe.operators import models
+from riskframe.operators.corr import gram
 from riskframe.plans.prefix import rank_within
 from riskframe.session import cut_lineage
 from riskframe.plans.reshape import with_scalar_totals
@@ -138,7 +139,7 @@ def group_lasso(df: DataFrame, features, groups: dict[str, list[str]], group_reg
     # broadcast hash join (a literal key would be folded into a cross join)
     data = data.withColumn("_k", F.lit(0)).cache()
     d = len(z)
-    g_mat, s, n = __import__("riskframe.operators.corr", fromlist=["gram"]).gram(data, z, centered=False)
+    g_mat, s, n = gram(data, z, centered=False)
     # Lipschitz constant of the mean logistic loss gradient, intercept included
     big = np.zeros((d + 1, d + 1))
     big[:d, :d] = g_mat
@@ -394,7 +395,7 @@ def shapley(model, background: DataFrame, rows: DataFrame, key: str, features, p
     r = rows.select(key, *[q(c).cast("double").alias(c) for c in feats])
     em = r.withColumn("_m", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
     ek = F.concat(F.col(key).cast("string"), F.lit(":"), F.col("_m").cast("string"))
-    em = em.withColumn("_bi", b(salt + "pick", ek) % nbg).join(bg, "_bi")
+    em = em.withColumn("_bi", b60(salt + "pick", ek) % nbg).join(bg, "_bi")
     # position of each feature in the order of (row, sample): rank of md5 among the d features
     em = em.withColumns({f"_h{i}": b(F.concat(F.lit(salt + ":" + f + ":"), ek), F.lit(""))
                          for i, f in enumerate(feats)})
@@ -417,10 +418,3 @@ def shapley(model, background: DataFrame, rows: DataFrame, key: str, features, p
         (F.sum("_delta") / F.lit(float(permutations))).alias("phi"))
     summary = phi.groupBy("feature").agg(F.avg(F.abs("phi")).alias("mean_abs_phi"))
     return phi, summary
-
-
-def shapley_check(model, background: DataFrame, rows: DataFrame, key: str, features, permutations: int = 10,
-                  salt: str = "shap") -> DataFrame:
-    """Σφ versus f(x) - mean over samples of f(background sample): per row."""
-    phi, _ = shapley(model, background, rows, key, features, permutations, salt)
-    return phi.groupBy(key).agg(F.sum("phi").alias("sum_phi"))

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from riskframe.functions.columns import numeric_columns, q
 from riskframe.operators.clean import sample_n
 from riskframe.plans.prefix import rank_within
+from riskframe.session import cut_lineage
 from riskframe.plans.reshape import exact_quantiles, to_long, with_group_totals, with_scalar_totals
 
 
@@ -63,10 +64,12 @@ def quality_table(df: DataFrame, exact: bool = True, rsd: float = 0.01) -> DataF
 
 def value_counts(df: DataFrame, col: str, digits: int = 2) -> DataFrame:
     """A2: count and share (×100, ``digits`` dp) per level."""
-    counts = df.groupBy(q(col).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    tot = counts.agg(F.sum("n").alias("_tot"))
-    return with_scalar_totals(counts, tot).select(
-        "value", "n", F.round(F.lit(100.0) * F.col("n") / F.col("_tot"), digits).alias("pct")).drop("_tot")
+    # the grand total is one more row of the same pass
+    counts = df.select(q(col).alias("value")).rollup("value").agg(F.count(F.lit(1)).alias("n"), F.grouping("value").alias("_all"))
+    counts = cut_lineage(counts)
+    tot = counts.filter("_all = 1").select(F.col("n").alias("_tot"))
+    return with_scalar_totals(counts.filter("_all = 0"), tot).select(
+        "value", "n", F.round(F.lit(100.0) * F.col("n") / F.col("_tot"), digits).alias("pct"))
 
 
 def shape(df: DataFrame) -> DataFrame:
@@ -131,7 +134,7 @@ def kde(df: DataFrame, col: str, by: str | None = None, grid: int = 64) -> DataF
     st = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.stddev_samp("x").alias("_sd"),
                               F.min("x").alias("_lo"), F.max("x").alias("_hi"))
     st = st.filter((F.col("_sd") > 0)).withColumn("_h", F.col("_sd") * F.pow(F.col("_n"), F.lit(-0.2)))
-    j = d.join(F.broadcast(st), keys, "inner") if keys else with_scalar_totals(d, st)
+    j = d.join(st, keys, "inner") if keys else with_scalar_totals(d, st)
 
     def gp(i):
         return F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.lit(i / (grid - 1))

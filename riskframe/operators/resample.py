@@ -13,29 +13,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.functions.columns import q
-from riskframe.functions.rand import b
+from riskframe.functions.rand import b, b60
 from riskframe.plans.prefix import rank_within
 
 
 def train_test_split(df: DataFrame, key: str, train_share: float = 0.8, salt: str = "split",
                      out: str = "split") -> DataFrame:
-    """Not stratified; ``md5 bucket < share`` -> train."""
-    cut = int(round(train_share * 100))
-    return df.withColumn(out, F.when(b(salt, q(key)) % 100 < cut, F.lit("train")).otherwise(F.lit("test")))
+    """Not stratified; ``draw < share`` of the whole draw range -> train."""
+    return df.withColumn(out, F.when(b(salt, q(key)) < math.ceil(Fraction(str(train_share)) * 2 ** 32), F.lit("train"))
+                         .otherwise(F.lit("test")))
 
 
 def stratified_partition(df: DataFrame, key: str, label: str = "label", share: float = 0.9,
                          salt: str = "strat", out: str = "part") -> DataFrame:
     """R2: within each class, the first ``ceil(share · n_class)`` rows of an md5 order
-    go to ``'a'``, the rest to ``'b'``. Ranks are distributed (no class-wide window)."""
+    go to ``'a'``, the rest to ``'b'``; rows without a label belong to no part (null).
+    Ranks are distributed (no class-wide window)."""
     counts = {r[label]: r["n"] for r in df.groupBy(q(label).alias(label))
               .agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per class
     cut = F.create_map(*[F.lit(x) for k, n in counts.items() if k is not None
                          for x in (k, math.ceil(Fraction(str(share)) * n))])
     d = df.withColumn("_h", b(salt, q(key)))
     r = rank_within(d, [label], ["_h", key], out="_rn")
-    return r.withColumn(out, F.when(F.col("_rn") <= cut[q(label)], F.lit("a")).otherwise(F.lit("b"))).drop(
-        "_h", "_rn")
+    return r.withColumn(out, F.when(q(label).isNull(), F.lit(None)).when(F.col("_rn") <= cut[q(label)], F.lit("a"))
+                        .otherwise(F.lit("b"))).drop("_h", "_rn")
 
 
 def upsample(df: DataFrame, key: str, label: str = "label", minority=1, salt: str = "up") -> DataFrame:
@@ -48,15 +49,16 @@ def upsample(df: DataFrame, key: str, label: str = "label", minority=1, salt: st
     ``draw`` id (null for majority rows).
     """
     spark = df.sparkSession
+    counts = {r[0]: r[1] for r in df.groupBy(q(label)).count().collect()}  # one row per class
     major = df.filter(q(label) != minority)
     minor = df.filter(q(label) == minority)
-    n_major = major.count()
-    m = minor.count()
+    m = counts.get(minority, 0)
+    n_major = sum(n for k, n in counts.items() if k is not None and k != minority)
     if m == 0 or n_major == 0:
         return df.withColumn("draw", F.lit(None).cast("bigint"))
     idx = rank_within(minor.withColumn("_h", b(salt + "i", q(key))), [], ["_h", key], out="_idx", base=0).drop("_h")
     draws = spark.range(n_major).select(F.col("id").alias("draw"),
-                                        (b(salt, F.col("id")) % m).alias("_idx"))
+                                        (b60(salt, F.col("id")) % m).alias("_idx"))
     picked = draws.join(idx, "_idx").drop("_idx")
     return major.withColumn("draw", F.lit(None).cast("bigint")).unionByName(picked.select(*major.columns, "draw"))
 
@@ -105,7 +107,7 @@ def smote(df: DataFrame, key: str, cols, label: str = "label", minority=1, k: in
     idx = rank_within(minor.select(q(key), *[q(c) for c in cols]).withColumn("_h", b(salt + "i", q(key))),
                       [], ["_h", key], out="_idx", base=0).drop("_h")
     d = F.col("id")
-    draws = spark.range(n_new).select(d.alias("draw"), (b(salt, d) % m).alias("_idx"),
+    draws = spark.range(n_new).select(d.alias("draw"), (b60(salt, d) % m).alias("_idx"),
                                       (b(salt + "n", d) % kk + 1).cast("int").alias("nn_rank"),
                                       unif(salt + "u", d).alias("_u"))
     nb = minor.select(q(key).alias("neighbor_" + key), *[q(c).alias("_nb_" + c) for c in cols])

@@ -11,9 +11,11 @@ from __future__ import annotations
 
 import math
 import time
+from decimal import Decimal
+from fractions import Fraction
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.functions.rand import b
@@ -33,9 +35,8 @@ def sample_expr(name: str, spec: tuple, key: Column, salt: str | None = None) ->
     kind = spec[0]
     if kind in ("quniform", "uniform_step"):
         lo, hi, step = spec[1:]
-        inv = round(1 / step)
-        lo_i, steps = round(lo * inv), round((hi - lo) * inv)
-        return (F.lit(lo_i) + h % (steps + 1)).cast("double") / F.lit(float(inv))
+        steps = math.floor(Fraction(str(hi - lo)) / Fraction(str(step)) + Fraction(1, 10 ** 9))
+        return F.round(F.lit(float(lo)) + (h % (steps + 1)).cast("double") * F.lit(float(step)), _digits(lo, step))
     if kind == "randint":
         lo, hi = spec[1:]
         return (F.lit(lo) + h % (hi - lo + 1)).cast("int")
@@ -48,8 +49,7 @@ def sample_expr(name: str, spec: tuple, key: Column, salt: str | None = None) ->
         x = F.exp(F.lit(a) + (h / F.lit(2.0 ** 32)) * F.lit(w))
         if kind == "loguniform":
             return x
-        inv = round(1 / spec[3])
-        return F.round(x * F.lit(inv)).cast("double") / F.lit(float(inv))
+        return F.round(F.round(x / F.lit(float(spec[3]))) * F.lit(float(spec[3])), _digits(spec[3]))
     if kind == "choice":
         return _pick(h % len(spec[1]), spec[1])
     raise ValueError(kind)
@@ -58,11 +58,25 @@ def sample_expr(name: str, spec: tuple, key: Column, salt: str | None = None) ->
 def sample_space(df: DataFrame, key: str, space: dict, salt_prefix: str = "") -> DataFrame:
     """H4: add one column per parameter, drawn from ``md5(name, trial key)``."""
     k = F.col(key)
-    return df.withColumns({n: sample_expr(n, s, k, salt_prefix + n) for n, s in space.items()})
+    cols = {}
+    for n, s in space.items():
+        if s[0] != "choice_of":
+            cols[n] = sample_expr(n, s, k, salt_prefix + n)
+            continue
+        # nested choice: the branch, and each branch's own parameters (null outside it)
+        branches = list(s[1])
+        pick = b(salt_prefix + n, k) % len(branches)
+        cols[n] = _pick(pick, branches)
+        for i, (name, sub) in enumerate(s[1].items()):
+            for m, spec in sub.items():
+                drawn = F.when(pick == i, sample_expr(m, spec, k, f"{salt_prefix}{n}.{name}.{m}"))
+                cols[m] = F.coalesce(cols[m], drawn) if m in cols else drawn
+    return df.withColumns(cols)
 
 
-def trial_ids(spark: SparkSession, n: int, start: int = 0) -> DataFrame:
-    return spark.range(start, start + n).select(F.col("id").cast("int").alias("iteration"))
+def _digits(*numbers) -> int:
+    """Decimals that write the numbers exactly."""
+    return max(0, *[-Decimal(str(x)).normalize().as_tuple().exponent for x in numbers])
 
 
 # ---------------------------------------------------------------- objectives
@@ -108,7 +122,8 @@ def cross_validate(df: DataFrame, features, estimator, grid: dict, folds: int =
         pg = pg.addGrid(estimator.getParam(name), values)
     maps = pg.build()
     if metric == "areaUnderROC":
-        evaluator = BinaryClassificationEvaluator(labelCol="label", metricName="areaUnderROC")
+        # numBins=0: the exact curve, not a thousand bins of it
+        evaluator = BinaryClassificationEvaluator(labelCol="label", metricName="areaUnderROC", numBins=0)
     else:
         evaluator = MulticlassClassificationEvaluator(labelCol="label", metricName=metric)
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps, evaluator=evaluator,

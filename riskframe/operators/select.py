@@ -9,54 +9,66 @@ O(n²) loops become one sort-based plan.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskframe.functions.columns import q
 from riskframe.plans.prefix import prefix_sums
-from riskframe.plans.reshape import exact_quantiles, to_long, with_group_totals, with_scalar_totals
+from riskframe.session import cut_lineage
+from riskframe.plans.reshape import exact_quantiles, to_long, with_scalar_totals
 
 
-def class_ecdf(df: DataFrame, cols, label: str = "label") -> DataFrame:
-    """Per (feature, distinct value): counts per class and running counts per class."""
+def class_ecdf(df: DataFrame, cols, classes: list, label: str = "label") -> DataFrame:
+    """Per (feature, distinct value): counts, running counts and totals per class
+    (``c{r}``, ``cum_c{r}``, ``n{r}`` for the r-th class)."""
     long = to_long(df, [label], cols)
+    names = [f"c{r}" for r in range(len(classes))]
     cnt = long.groupBy("feature", "value").agg(
-        F.count_if(F.col(label) == 0).alias("c0"), F.count_if(F.col(label) == 1).alias("c1"))
-    cum = prefix_sums(cnt, ["feature"], ["value"], ["c0", "c1"], prefix="cum_")
-    tot = cnt.groupBy("feature").agg(F.sum("c0").alias("n0"), F.sum("c1").alias("n1"))
-    return with_group_totals(cum, tot, ["feature"])
+        *[F.count_if(F.col(label) == F.lit(k)).alias(c) for c, k in zip(names, classes)])
+    return prefix_sums(cnt, ["feature"], ["value"], names, prefix="cum_",
+                       totals={c: f"n{r}" for r, c in enumerate(names)})
 
 
 def mv_sis(df: DataFrame, cols, label: str = "label") -> DataFrame:
-    """F7 + F8: MV-SIS index and Kolmogorov statistic per feature (binary label).
+    """F7 + F8: MV-SIS index and Kolmogorov statistic per feature, for any number of classes.
 
     ``MV = Σ_r p_r · mean_i (F_r(x_i) - F(x_i))²`` with ECDFs using ``<=``;
-    ``KF = max_x |F_1(x) - F_0(x)|``.
+    ``KF = max_x max_{r,s} |F_r(x) - F_s(x)|``. Rows without a label count in no class.
     """
-    e = class_ecdf(df, cols, label)
-    n = (F.col("n0") + F.col("n1")).cast("double")
-    f = (F.col("cum_c0") + F.col("cum_c1")) / n
-    f0 = F.col("cum_c0") / F.col("n0").cast("double")
-    f1 = F.col("cum_c1") / F.col("n1").cast("double")
-    c = (F.col("c0") + F.col("c1")).cast("double")
-    g = e.groupBy("feature", "n0", "n1").agg(
-        F.sum(c * F.pow(f0 - f, 2)).alias("_s0"), F.sum(c * F.pow(f1 - f, 2)).alias("_s1"),
-        F.max(F.abs(f1 - f0)).alias("kf"))
-    nn = (F.col("n0") + F.col("n1")).cast("double")
-    mv = (F.col("n0") / nn) * F.col("_s0") / nn + (F.col("n1") / nn) * F.col("_s1") / nn
+    classes = sorted(r[0] for r in df.select(q(label)).distinct().collect() if r[0] is not None)  # one row per class
+    e = class_ecdf(df, cols, classes, label)
+    k = range(len(classes))
+
+    def total(cs):
+        return reduce(lambda a, b: a + b, cs)
+
+    n = total([F.col(f"n{r}") for r in k]).cast("double")
+    f = total([F.col(f"cum_c{r}") for r in k]) / n
+    # a class without a value of this feature has no ECDF and no weight
+    own = [F.when(F.col(f"n{r}") > 0, F.col(f"cum_c{r}") / F.col(f"n{r}").cast("double")) for r in k]
+    c = total([F.col(f"c{r}") for r in k]).cast("double")
+    sizes = [F.col(f"n{r}") for r in k]
+    spread = F.greatest(*own) - F.least(*own) if len(own) > 1 else F.lit(0.0)
+    g = e.groupBy("feature", *sizes).agg(
+        *[F.coalesce(F.sum(c * F.pow(own[r] - f, 2)), F.lit(0.0)).alias(f"_s{r}") for r in k], F.max(spread).alias("kf"))
+    nn = total(sizes).cast("double")
+    mv = total([(F.col(f"n{r}") / nn) * F.col(f"_s{r}") / nn for r in k])
     return g.select("feature", mv.alias("mv"), "kf")
 
 
 def quantile_cutoff(scores: DataFrame, score: str, prob: float = 0.7) -> DataFrame:
     """keep features whose score is strictly above the ``prob`` quantile
     (interpolated, R type 7), with their rank (1 = highest)."""
+    scores = cut_lineage(scores)  # one row per feature: the quantile and the ranking read it
     qt = exact_quantiles(scores.select(F.col(score).alias("_v")), [], "_v", [prob])
     j = with_scalar_totals(scores, qt)
-    from riskframe.plans.prefix import rank_within
-    kept = j.filter(F.col(score) > F.col("q0")).withColumn("_neg", -F.col(score))
-    return rank_within(kept, [], ["_neg", "feature"], out="rank").select(
-        "feature", F.col(score).alias("score"), F.col("q0").alias("cutoff"), "rank")
+    kept = j.filter(F.col(score) > F.col("q0"))
+    # as many rows as the table has features
+    turn = Window.orderBy(F.col(score).desc(), "feature")
+    return kept.select("feature", F.col(score).alias("score"), F.col("q0").alias("cutoff"),
+                       F.row_number().over(turn).cast("bigint").alias("rank"))
 
 
 def screening_evaluation(ranks: DataFrame, true_set, n_obs: int, cs=(1, 2, 3),
@@ -97,7 +109,7 @@ def method_differences(selected: DataFrame) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     cnt = out.groupBy("method_a", "method_b").agg(F.count(F.lit(1)).alias("n_diff"))
-    return out.join(F.broadcast(cnt), ["method_a", "method_b"])
+    return out.join(cnt, ["method_a", "method_b"])
 
 
 def feature_set_union(df: DataFrame, selected, extra=(), label: str = "label") -> DataFrame:

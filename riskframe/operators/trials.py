@@ -18,12 +18,20 @@ from riskframe.plans.reshape import to_long, with_scalar_totals
 
 def parse_params(df: DataFrame, col: str = "params", keys=None, types=None) -> DataFrame:
     """T1 (+T3): a Python dict literal ``{'a': 1, 'b': 'x'}`` -> typed columns."""
-    js = F.regexp_replace(F.regexp_replace(q(col), "'", '"'), r"\bTrue\b|\bFalse\b|\bNone\b", "null")
-    m = F.from_json(js, "map<string,string>")
-    d = df.withColumn("_pm", m)
+    # Python's words become JSON's only where they stand as values, not inside a quoted text
+    js = F.regexp_replace(q(col), "'", '"')
+    for word, json_word in (("True", "true"), ("False", "false"), ("None", "null")):
+        js = F.regexp_replace(js, rf"(?<=[:,\[]\s{{0,8}}){word}(?=\s{{0,8}}[,}}\]])", json_word)
+    d = df.withColumn("_pm", F.from_json(js, "map<string,string>"))
     keys = keys or []
     types = types or {}
-    return d.withColumns({k: F.col("_pm")[k].cast(types.get(k, "string")) for k in keys}).drop("_pm")
+
+    def value(k: str):
+        # "outer.inner" is a key of a nested dict, one level down
+        outer, _, inner = k.partition(".")
+        return F.get_json_object(F.col("_pm")[outer], f"$.{inner}") if inner else F.col("_pm")[outer]
+
+    return d.withColumns({k: value(k).cast(types.get(k, "string")) for k in keys}).drop("_pm")
 
 
 def completed(df: DataFrame, state: str = "state") -> DataFrame:
@@ -50,10 +58,8 @@ def metric_ecdf(df: DataFrame, metric: str = "value") -> DataFrame:
     """T5: share of trials with metric <= v, per distinct v."""
     d = df.filter(F.col(metric).isNotNull()).groupBy(F.col(metric).alias("v")).agg(
         F.count(F.lit(1)).alias("n"))
-    c = prefix_sums(d, [], ["v"], ["n"], prefix="cum_")
-    tot = d.agg(F.sum("n").alias("_tot"))
-    return with_scalar_totals(c, tot).select(
-        F.col("v").alias(metric), (F.col("cum_n") / F.col("_tot")).alias("ecdf"))
+    c = prefix_sums(d, [], ["v"], ["n"], prefix="cum_", totals={"n": "_tot"})
+    return c.select(F.col("v").alias(metric), (F.col("cum_n") / F.col("_tot")).alias("ecdf"))
 
 
 def parallel_coordinates(df: DataFrame, params, metric: str = "value") -> DataFrame:
@@ -61,7 +67,7 @@ def parallel_coordinates(df: DataFrame, params, metric: str = "value") -> DataFr
     long = to_long(df.filter(F.col(metric).isNotNull()), ["iteration", metric], params, name="param",
                    value="param_value")
     mm = long.groupBy("param").agg(F.min("param_value").alias("_lo"), F.max("param_value").alias("_hi"))
-    j = long.join(F.broadcast(mm), "param")
+    j = long.join(mm, "param")
     rng = F.col("_hi") - F.col("_lo")
     return j.select("iteration", "param", metric,
                     F.when(rng == 0, F.lit(0.0)).otherwise((F.col("param_value") - F.col("_lo")) / rng).alias("scaled"))

@@ -5,120 +5,94 @@ feature name) puts every row of the group into one task. ECDFs, AUC,
 ROC/PR curves, average ranks and positional splits all need such
 running aggregates, so they go through this plan instead:
 
-1. one aggregate finds ``B - 1`` approximate quantiles of the first
-   order column per group (a bounded table: groups × B numbers),
-   collected once so that a re-run after a lost executor sees the same
-   boundaries;
-2. every row gets ``bucket = #boundaries < v``, which preserves order
-   and keeps equal values in one bucket;
-3. per-bucket totals (groups × B rows) give each bucket's offset;
-4. a window partitioned by ``(group, bucket)`` computes the local
-   running value; ``offset + local`` is the exact global value.
-
-No task ever holds more than one bucket of one group. Quantile errors
-only change how balanced the buckets are, never the result.
+1. a range exchange on (group, order columns, tie-breaks) cuts the rows
+   into slices that respect the order; Spark samples the boundaries and
+   finds a row's slice by binary search. All order columns count, so rows
+   that tie on the first one are still cut at the next;
+2. the sliced rows and their slice number are written once (a reliable
+   checkpoint), so every later step, and a task retried after a lost
+   executor, sees the same slices;
+3. per (group, slice) totals give each slice's offset and the group's total;
+4. a window partitioned by (group, slice) computes the local running
+   value; ``offset + local`` is the exact global value.
+
+No task ever holds more than one slice of one group. The sampled
+boundaries only change how balanced the slices are, never the result.
+A null group key is a group like any other.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from riskframe.session import cut_lineage, shuffle_partitions
-
-MAX_COLLECTED_BOUNDS = 2_000_000  # groups × buckets kept on the driver
-
-
-def default_buckets(df: DataFrame) -> int:
-    return max(16, min(4096, 2 * shuffle_partitions(df.sparkSession)))
-
-
-def _numeric_key(df: DataFrame, c: str) -> Column:
-    dt = df.schema[c].dataType
-    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(F.col(c).cast("timestamp"))
-    if isinstance(dt, T.DateType):
-        return F.unix_date(F.col(c))
-    if isinstance(dt, T.BooleanType):
-        return F.col(c).cast("int")
-    return F.col(c)
-
-
-def with_buckets(df: DataFrame, part_cols: list[str], order_col: str,
-                 n_buckets: int | None = None) -> DataFrame:
-    """Add ``_bkt``: an order-preserving bucket of ``order_col`` within ``part_cols``."""
-    spark = df.sparkSession
-    n_buckets = n_buckets or default_buckets(df)
-    # the boundaries pass and the final plan must read the same rows: pin the
-    # input once in the reliable checkpoint folder instead of computing it twice
-    df = cut_lineage(df)
-    key = _numeric_key(df, order_col)
-    percs = [i / n_buckets for i in range(1, n_buckets)]
-    bnd = df.groupBy(*part_cols).agg(
-        F.percentile_approx(key, percs, max(10000, 10 * n_buckets)).alias("_bnds"))
-    max_groups = max(1, MAX_COLLECTED_BOUNDS // n_buckets)
-    rows = bnd.limit(max_groups + 1).collect()
-    if len(rows) > max_groups:
-        # too many groups to hold on the driver: pin the boundaries in a
-        # reliable checkpoint so every consumer sees the same buckets
-        bdf = cut_lineage(bnd)
-        return (df.join(bdf, part_cols, "left")
-                .withColumn("_bkt", F.size(F.filter("_bnds", lambda x: x < key)))
-                .drop("_bnds"))
-    if not part_cols:
-        arr = rows[0]["_bnds"] if rows and rows[0]["_bnds"] is not None else []
-        lit = F.array(*[F.lit(v) for v in arr]) if arr else F.array().cast(T.ArrayType(T.LongType()))
-        return df.withColumn("_bkt", F.size(F.filter(lit, lambda x: x < key)))
-    bdf = spark.createDataFrame(rows, bnd.schema)
-    return (df.join(F.broadcast(bdf), part_cols, "left")
-            .withColumn("_bkt", F.coalesce(F.size(F.filter("_bnds", lambda x: x < key)), F.lit(0)))
-            .drop("_bnds"))
-
-
-def _order(cols, descending):
+
+from riskframe.functions.columns import q
+from riskframe.session import cut_lineage
+
+SLICE = "_slice"
+
+
+def with_slices(df: DataFrame, part_cols: list[str], order_cols: list[str], slices: int | None = None) -> DataFrame:
+    """Pinned rows with ``_slice``, a number that respects (part_cols, order_cols).
+
+    ``slices`` defaults to the session's shuffle partitions, which the cluster
+    sizes to its data; equal rows always share a slice.
+    """
+    keys = [q(c) for c in (*part_cols, *order_cols)]
+    cut = df.repartitionByRange(slices, *keys) if slices else df.repartitionByRange(*keys)
+    return cut_lineage(cut.withColumn(SLICE, F.spark_partition_id()))
+
+
+def _order(cols, descending) -> list[Column]:
     return [F.col(c).desc() if descending else F.col(c).asc() for c in cols]
 
 
+def _with_offsets(d: DataFrame, off: DataFrame, part_cols: list[str]) -> DataFrame:
+    """Join per-slice values back; null group keys meet null group keys."""
+    names = {c: f"_k{i}" for i, c in enumerate([*part_cols, SLICE])}
+    off = off.withColumnsRenamed(names)
+    on = reduce(lambda a, b: a & b, [q(c).eqNullSafe(F.col(k)) for c, k in names.items()])
+    return d.join(off, on).drop(*names.values())
+
+
 def prefix_sums(df: DataFrame, part_cols: list[str], order_cols: list[str], sum_cols: list[str],
                 descending: bool = False, prefix: str = "cum_", n_buckets: int | None = None,
-                agg: str = "sum") -> DataFrame:
+                agg: str = "sum", totals: dict[str, str] | None = None) -> DataFrame:
     """Running ``agg`` (sum or max) of ``sum_cols`` ordered by ``order_cols`` within
     ``part_cols``; rows that tie on every order column share one value (RANGE frame).
+
+    ``totals`` (column -> name) adds the group's whole aggregate, from the same pass.
     """
     fn = {"sum": F.sum, "max": F.max}[agg]
-    d = with_buckets(df, part_cols, order_cols[0], n_buckets)
-    tot = d.groupBy(*part_cols, "_bkt").agg(*[fn(c).alias(c) for c in sum_cols])
-    wb = Window.partitionBy(*part_cols).orderBy(F.col("_bkt").desc() if descending else F.col("_bkt"))
-    wb = wb.rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select(*part_cols, "_bkt", *[fn(c).over(wb).alias("_off_" + c) for c in sum_cols])
-    wl = Window.partitionBy(*part_cols, "_bkt").orderBy(*_order(order_cols, descending))
-    loc = d.withColumns({"_loc_" + c: fn(c).over(wl) for c in sum_cols})
-    # offsets: groups × buckets rows, a bounded broadcast
-    j = loc.join(F.broadcast(off), [*part_cols, "_bkt"], "left")
+    d = with_slices(df, part_cols, order_cols, n_buckets)
+    per = d.groupBy(*[q(c) for c in part_cols], SLICE).agg(*[fn(c).alias(c) for c in sum_cols])
+    group = Window.partitionBy(*[q(c) for c in part_cols])
+    before = group.orderBy(F.col(SLICE).desc() if descending else F.col(SLICE)).rowsBetween(Window.unboundedPreceding, -1)
+    off = per.select(*[q(c) for c in part_cols], SLICE, *[fn(c).over(before).alias("_off_" + c) for c in sum_cols],
+                     *[fn(c).over(group).alias(t) for c, t in (totals or {}).items()])
+    here = Window.partitionBy(*[q(c) for c in part_cols], SLICE).orderBy(*_order(order_cols, descending))
+    j = _with_offsets(d.withColumns({"_loc_" + c: fn(c).over(here) for c in sum_cols}), off, part_cols)
     if agg == "sum":
         outs = {prefix + c: F.coalesce(F.col("_off_" + c), F.lit(0)) + F.col("_loc_" + c) for c in sum_cols}
     else:
         outs = {prefix + c: F.greatest(F.col("_off_" + c), F.col("_loc_" + c)) for c in sum_cols}
-    drop = ["_bkt"] + ["_off_" + c for c in sum_cols] + ["_loc_" + c for c in sum_cols]
-    return j.withColumns(outs).drop(*drop)
+    return j.withColumns(outs).drop(SLICE, *["_off_" + c for c in sum_cols], *["_loc_" + c for c in sum_cols])
 
 
 def rank_within(df: DataFrame, part_cols: list[str], order_cols: list[str], out: str = "rn",
                 base: int = 1, descending: bool = False, n_buckets: int | None = None) -> DataFrame:
     """Distributed ``row_number`` (offset by ``base``); ``order_cols`` should be unique
     within a group so that the numbering is repeatable."""
-    d = with_buckets(df, part_cols, order_cols[0], n_buckets)
-    tot = d.groupBy(*part_cols, "_bkt").agg(F.count(F.lit(1)).alias("_n"))
-    wb = Window.partitionBy(*part_cols).orderBy(F.col("_bkt").desc() if descending else F.col("_bkt"))
-    off = tot.select(*part_cols, "_bkt",
-                     F.coalesce(F.sum("_n").over(wb.rowsBetween(Window.unboundedPreceding, -1)),
-                                F.lit(0)).alias("_off"))
-    wl = Window.partitionBy(*part_cols, "_bkt").orderBy(*_order(order_cols, descending))
-    loc = d.withColumn("_loc", F.row_number().over(wl))
-    j = loc.join(F.broadcast(off), [*part_cols, "_bkt"], "left")
-    return j.withColumn(out, (F.col("_off") + F.col("_loc") - 1 + base).cast("bigint")).drop(
-        "_bkt", "_off", "_loc")
+    d = with_slices(df, part_cols, order_cols, n_buckets)
+    per = d.groupBy(*[q(c) for c in part_cols], SLICE).agg(F.count(F.lit(1)).alias("_n"))
+    group = Window.partitionBy(*[q(c) for c in part_cols])
+    before = group.orderBy(F.col(SLICE).desc() if descending else F.col(SLICE)).rowsBetween(Window.unboundedPreceding, -1)
+    off = per.select(*[q(c) for c in part_cols], SLICE, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    here = Window.partitionBy(*[q(c) for c in part_cols], SLICE).orderBy(*_order(order_cols, descending))
+    j = _with_offsets(d.withColumn("_loc", F.row_number().over(here)), off, part_cols)
+    return j.withColumn(out, (F.col("_off") + F.col("_loc") - 1 + base).cast("bigint")).drop(SLICE, "_off", "_loc")
 
 
 def average_ranks(df: DataFrame, part_cols: list[str], value_col: str, count_col: str = "n",

@@ -31,11 +31,10 @@ def with_scalar_totals(df: DataFrame, totals: DataFrame) -> DataFrame:
     return df.withColumns({f.name: F.lit(r[f.name]).cast(f.dataType) for f in totals.schema.fields})
 
 
-def with_group_totals(df: DataFrame, totals: DataFrame, keys, bounded: bool = True) -> DataFrame:
-    """Attach per-group aggregates; broadcast only when the group count is bounded
-    (features, models, classes), otherwise a shuffle join."""
-    t = F.broadcast(totals) if bounded else totals
-    return df.join(t, list(keys), "left")
+def with_group_totals(df: DataFrame, totals: DataFrame, keys) -> DataFrame:
+    """Attach per-group aggregates. Spark broadcasts the totals if they measure small
+    enough; nothing is forced."""
+    return df.join(totals, list(keys), "left")
 
 
 def exact_quantiles(df: DataFrame, part_cols, value_col: str, probs, out_prefix: str = "q") -> DataFrame:
@@ -49,9 +48,7 @@ def exact_quantiles(df: DataFrame, part_cols, value_col: str, probs, out_prefix:
     part_cols = list(part_cols)
     d = (df.filter(F.col(value_col).isNotNull())
          .groupBy(*part_cols, value_col).agg(F.count(F.lit(1)).alias("_c")))
-    c = prefix_sums(d, part_cols, [value_col], ["_c"], prefix="_cum")
-    tot = d.groupBy(*part_cols).agg(F.sum("_c").alias("_n"))
-    c = c.join(F.broadcast(tot), part_cols) if part_cols else with_scalar_totals(c, tot)
+    c = prefix_sums(d, part_cols, [value_col], ["_c"], prefix="_cum", totals={"_c": "_n"})
     c = c.withColumn("_start", F.col("_cum_c") - F.col("_c")).withColumn("_end", F.col("_cum_c") - 1)
     pos = F.array(*[
         F.struct(F.lit(i).alias("i"),

@@ -144,7 +144,7 @@ def scores(spark: SparkSession, sf_dir: str, threshold: float = 0.5) -> DataFram
     k = F.col("o_orderkey")
     g, t60 = F.col("g"), F.col("t60")
     bad = (_d("bad") % 1000) < (30 + 40 * g + 60 * t60)
-    split = F.when(_d("split") % 100 < 80, F.lit("train")).otherwise(F.lit("test"))
+    split = F.when(_d("split") < F.lit(0.8 * 2 ** 32), F.lit("train")).otherwise(F.lit("test"))
     out = []
     for model, salt in (("m1", "noise"), ("m2", "noise2")):
         n = 30 + 40 * g + 60 * t60 + _d(salt) % 100
@@ -202,7 +202,7 @@ KNN_METRICS = ["euclidean", "manhattan", "chebyshev", "minkowski"]
 def trial_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H4 sampler applied to one trial per event row: typed parameter values."""
     from riskframe.operators.search import sample_space
-    ev = table(spark, sf_dir, "events").select(F.col("event_id").cast("int").alias("iteration"), "ts")
+    ev = table(spark, sf_dir, "events").select(F.col("event_id").alias("iteration"), "ts")
     return sample_space(ev, "iteration", TRIAL_SPACE)
 
 
@@ -215,6 +215,12 @@ TRIAL_SPACE = {
     "reg_lambda": ("loguniform_q", 0.001, 100.0, 0.0001),
     "boosting_type": ("choice", BOOSTING_TYPES),
     "metric": ("choice", KNN_METRICS),
+    # steps of more than one, and a choice whose branches have parameters of their own
+    "num_leaves": ("quniform", 30, 150, 5),
+    "max_bins": ("quniform", 16, 250, 16),
+    "booster": ("choice_of", {"tree": {"booster_depth": ("randint", 2, 9)},
+                              "dart": {"booster_depth": ("randint", 2, 9), "drop_rate": ("quniform", 0.0, 0.5, 0.05)},
+                              "linear": {}}),
 }
 
 

@@ -77,6 +77,59 @@ def test_trial_log_blank_lines(spark, tmp_path):
     assert [r["a"] for r in rows] == [1, 2]
 
 
+def test_parse_params_booleans_quotes_and_nested(spark):
+    text = "{'a': True, 'b': None, 'c': 'None of True', 'd': {'x': 1, 'y': False}, 'e': False}"
+    df = spark.createDataFrame([(text,)], "params string")
+    r = trials.parse_params(df, "params", ["a", "b", "c", "d.x", "d.y", "e"],
+                            {"a": "boolean", "d.x": "int", "d.y": "boolean", "e": "boolean"}).first()
+    assert (r["a"], r["b"], r["c"], r["d.x"], r["d.y"], r["e"]) == (True, None, "None of True", 1, False, False)
+
+
+def test_quniform_steps_above_one(spark):
+    from riskframe.operators.search import sample_space
+    space = {"a": ("quniform", 5, 50, 5), "b": ("quniform", 0, 64, 16), "c": ("quniform", 0.0, 1e-6, 5e-8),
+             "d": ("quniform", 100, 1000, 100), "e": ("choice_of", {"x": {"k": ("randint", 1, 3)}, "y": {}})}
+    t = sample_space(spark.range(3000).withColumnRenamed("id", "i"), "i", space).toPandas()
+    assert sorted(t["a"].unique()) == [5.0 * i for i in range(1, 11)]
+    assert sorted(t["b"].unique()) == [0, 16, 32, 48, 64]
+    assert t["c"].nunique() == 21 and t["d"].nunique() == 10
+    assert t.loc[t["e"] == "y", "k"].isna().all() and set(t.loc[t["e"] == "x", "k"]) == {1, 2, 3}
+
+
+def test_mv_sis_with_three_classes(spark):
+    from riskframe.operators.select import mv_sis
+    rng = np.random.default_rng(8)
+    n = 240
+    pdf = pd.DataFrame({"x": rng.integers(0, 30, n).astype(float), "label": rng.integers(0, 3, n)})
+    pdf["x"] += 5 * pdf["label"]
+    got = mv_sis(spark.createDataFrame(pdf), ["x"]).first()
+    x, y = pdf["x"].to_numpy(), pdf["label"].to_numpy()
+    cdf = [[(x[y == r] <= v).mean() for v in x] for r in range(3)]
+    whole = np.array([(x <= v).mean() for v in x])
+    mv = sum((y == r).mean() * ((np.array(cdf[r]) - whole) ** 2).mean() for r in range(3))
+    kf = max(np.abs(np.array(cdf[a]) - np.array(cdf[b])).max() for a in range(3) for b in range(a))
+    assert abs(got["mv"] - mv) < 1e-12 and abs(got["kf"] - kf) < 1e-12
+
+
+def test_auc_of_large_counts_does_not_overflow(spark):
+    from unittest import mock
+    counts = spark.createDataFrame([(1, 0.2, 0, 5_000_000_000), (1, 0.8, 5_000_000_000, 0)], "g int, score double, n_pos long, n_neg long")
+    with mock.patch.object(ev, "_score_counts", return_value=counts):
+        assert ev.auc(counts, ["g"]).first()["auc"] == 1.0
+
+
+def test_unlabelled_rows_are_in_no_part(spark):
+    df = spark.createDataFrame([(i, None if i % 5 == 0 else i % 2) for i in range(100)], "k long, label int")
+    out = resample.stratified_partition(df, "k").toPandas()
+    assert out.loc[out["label"].isna(), "part"].isna().all() and out.loc[out["label"].notna(), "part"].notna().all()
+
+
+def test_split_share_is_not_rounded(spark):
+    df = spark.range(20000).withColumnRenamed("id", "k")
+    n = resample.train_test_split(df, "k", 0.125).filter("split = 'train'").count()
+    assert abs(n - 2500) < 150
+
+
 def test_duration_parse(spark):
     df = spark.createDataFrame([("0 days 00:01:35.349002",)], "d string")
     v = df.select(trials.duration_seconds(F.col("d")).alias("s")).first()["s"]
@@ -115,12 +168,12 @@ def test_shapley_additivity(spark):
     s = phi.groupBy("loan_id").agg(F.sum("phi").alias("s")).toPandas().set_index("loan_id")["s"]
     fx_ = models.score(m, rows, ["a", "b"]).toPandas().set_index("loan_id")["score"]
     # mean background prediction over the same md5-picked background rows
-    from riskframe.functions.rand import b
+    from riskframe.functions.rand import b, b60
     from riskframe.plans.prefix import rank_within
     bg = rank_within(df.withColumn("_h", b("shapbg", F.col("loan_id"))), [], ["_h", "loan_id"], out="_bi", base=0)
     em = rows.select("loan_id").withColumn("_m", F.explode(F.sequence(F.lit(0), F.lit(5))))
     ek = F.concat(F.col("loan_id").cast("string"), F.lit(":"), F.col("_m").cast("string"))
-    em = em.withColumn("_bi", b("shappick", ek) % n)
+    em = em.withColumn("_bi", b60("shappick", ek) % n)
     picks = em.join(bg.select("_bi", F.col("loan_id").alias("bg_id")), "_bi")
     bsc = models.score(m, df, ["a", "b"]).select(F.col("loan_id").alias("bg_id"), F.col("score").alias("f_bg"))
     base = picks.join(bsc, "bg_id").groupBy("loan_id").agg(F.avg("f_bg").alias("base")).toPandas().set_index(

@@ -3,7 +3,9 @@
 import numpy as np
 import pandas as pd
 
-from riskframe.plans.prefix import average_ranks, prefix_sums, rank_within
+from pyspark.sql import functions as F
+
+from riskframe.plans.prefix import average_ranks, prefix_sums, rank_within, with_slices
 from riskframe.plans.reshape import exact_quantiles
 
 
@@ -54,6 +56,23 @@ def test_rank_within_is_dense_and_ordered(spark):
     assert (m["exp"] == m["rn"]).all()
 
 
+def test_ties_and_null_groups(spark):
+    """90 % of the rows tie on the first order column, and some have no group."""
+    n = 4000
+    rows = [(None if i % 10 == 0 else i % 3, 5.0 if i % 10 else float(i), i) for i in range(n)]
+    df = spark.createDataFrame(rows, "g int, v double, id long")
+    out = rank_within(df, ["g"], ["v", "id"], out="rn", n_buckets=16)
+    got = {r["id"]: r["rn"] for r in out.collect()}
+    for g in (None, 0, 1, 2):
+        own = sorted((v, i) for k, v, i in rows if k == g)
+        assert [got[i] for _, i in own] == list(range(1, len(own) + 1))
+    slices = with_slices(df, ["g"], ["v", "id"], 16).groupBy("_slice").count().toPandas()["count"]
+    assert slices.max() < 0.25 * n  # the tie is cut at the next column
+    sums = prefix_sums(df.withColumn("one", F.lit(1)), ["g"], ["v", "id"], ["one"], n_buckets=16, totals={"one": "all"}).collect()
+    assert {(r["g"], r["all"]) for r in sums} == {(g, sum(k == g for k, _, _ in rows)) for g in (None, 0, 1, 2)}
+    assert all(r["cum_one"] == got[r["id"]] for r in sums)
+
+
 def test_average_ranks_ties(spark):
     df = spark.createDataFrame([("a", 1.0, 2), ("a", 2.0, 1), ("a", 3.0, 3)], "feature string, value double, n long")
     r = {row["value"]: row["avg_rank"] for row in average_ranks(df, ["feature"], "value", "n").collect()}
