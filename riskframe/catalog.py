@@ -29,6 +29,8 @@ F14_SELECTED = ["int_rate", "term_ 60 months", "grade_B", "grade_C", "grade_D",
 F14_EXTRA = ["hardship_flag", "home_ownership_RENT"]
 F10_TRUE = (1, 5, 9)
 F10_NOBS = 50
+KNN_KS = (3, 5, 10, 25, 50)
+KNN_METRICS = ("euclidean", "manhattan", "chebyshev", "minkowski")
 BOOSTING_CODES = {"gbdt": 0, "dart": 1, "goss": 2}
 
 
@@ -353,17 +355,40 @@ def r6(s, d):
     return resample.positional_split(fx.loans_model(s, d).select("loan_id"), "loan_id")
 
 
+POINT = [f"x{i}" for i in range(1, 65)]
+
+
+def _loan_smote(s, d, method="exact"):
+    """The training split of the loans, minority raised to parity over all features."""
+    m, train, _, feats = _split_model(s, d)
+    onehot = [c for c in feats if m.schema[c].dataType.simpleString() == "int"]
+    return resample.smote(train, "loan_id", feats, k=5, round_cols=onehot, method=method)
+
+
 def r4(s, d):
-    pts = fx.minority_points(s, d, dims=4)
-    return resample.smote(pts, "vec_id", ["x1", "x2", "x3", "x4"], k=5)
+    return _loan_smote(s, d)
+
+
+def r4_points(s, d):
+    return resample.smote(fx.minority_points(s, d), "vec_id", POINT, k=5)
+
+
+def _points(s, d):
+    pts = fx.embedding_points(s, d)
+    return pts.filter(F.col("split") == "train"), pts.filter(F.col("split") == "test")
 
 
 def m14(s, d):
     from riskframe.operators.knn import knn_classify
-    pts = fx.embedding_points(s, d, dims=4)
-    train = pts.filter(F.col("split") == "train")
-    test = pts.filter(F.col("split") == "test")
-    return knn_classify(train, test, "vec_id", ["x1", "x2", "x3", "x4"], "label", k=5)
+    train, test = _points(s, d)
+    return knn_classify(train, test, "vec_id", POINT, "label", k=5)
+
+
+def m14_grid(s, d):
+    """Accuracy for the metrics and a spread of the k of the search space (3 to 50)."""
+    from riskframe.operators.knn import knn_accuracy
+    train, test = _points(s, d)
+    return knn_accuracy(train, test, "vec_id", POINT, KNN_KS, KNN_METRICS, p=3.0)
 
 
 # ---------------------------------------------------------------- M: models
@@ -958,7 +983,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "E1": e1, "E2": e2, "E3": e3, "E4": e4, "E5": e5, "E6": e6, "E7": e7, "E8": e8, "E9": e9,
     "E10": e10, "E11": e11, "E12": e12, "E13": e13,
     "F7": f7, "F8": f8, "F9": f9, "F10": f10, "F13": f13, "F14": f14,
-    "R1": r1, "R2": r2, "R3": r3, "R4": r4, "R5": r5, "R6": r6, "M14": m14,
+    "R1": r1, "R2": r2, "R3": r3, "R4": r4, "R4_points": r4_points, "R5": r5, "R6": r6, "M14": m14, "M14_grid": m14_grid,
     "T1": t1, "T2": t2, "T3": t3, "T4": t4, "T5": t5, "T6": t6, "T7": t7, "T8": t8, "T10": t10,
     "T11": t11, "T12": t12, "T13": t13, "T14": t14, "S8": s8, "H4": h4,
     "S1": s1, "S2": s2, "S3": s3, "S4": s4, "S5": s5, "S6": s6, "S7": s7,

@@ -110,7 +110,7 @@ scores AS (
 )"""
 
 
-def minority_points(dims: int = 4) -> str:
+def minority_points(dims: int = 64) -> str:
     xs = ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS x{i + 1}" for i in range(dims))
     return f"""
 minority_points AS (

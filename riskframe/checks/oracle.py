@@ -378,41 +378,65 @@ def _r():
     return out
 
 
-def _dist_sql(a, b, dims=4):
-    return "sqrt(" + " + ".join(f"({a}.x{i} - {b}.x{i}) * ({a}.x{i} - {b}.x{i})" for i in range(1, dims + 1)) + ")"
-
-
-def _knn():
-    xs = ", ".join(f"x{i}" for i in range(1, 5))
-    r4 = fs.with_(fs.minority_points()).rstrip() + f""",
-        minor AS (SELECT * FROM minority_points WHERE label = 1),
-        cnt AS (SELECT count(*) FILTER (WHERE label <> 1) AS nmaj, count(*) FILTER (WHERE label = 1) AS m
-                FROM minority_points),
-        nn AS (SELECT vec_id, nb, row_number() OVER (PARTITION BY vec_id ORDER BY dist, nb) AS nn_rank
-               FROM (SELECT a.vec_id, b.vec_id AS nb, {_dist_sql('a', 'b')} AS dist
-                     FROM minor a JOIN minor b ON a.vec_id <> b.vec_id)),
-        idx AS (SELECT *, row_number() OVER (ORDER BY {duck_b('smotei', 'vec_id')}, vec_id) - 1 AS _idx FROM minor),
+def _dist_sql(a, b, cols, metric="euclidean", p=3):
+    diffs = [f"abs({a}.{qi(c)}::DOUBLE - {b}.{qi(c)}::DOUBLE)" for c in cols]
+    if metric == "chebyshev":
+        return f"greatest({', '.join(diffs)})"
+    if metric == "manhattan":
+        return " + ".join(diffs)
+    if metric == "minkowski":
+        return f"pow({' + '.join(f'pow({x}, {p})' for x in diffs)}, 1.0::DOUBLE / {p})"
+    return f"sqrt({' + '.join(f'{x} * {x}' for x in diffs)})"
+
+
+def _smote_sql(src: str, key: str, cols, rounded=()) -> str:
+    """``src`` is a relation with key, cols and label."""
+    def new(c):
+        v = f"i.{qi(c)}::DOUBLE + d.u * (p.{qi(c)}::DOUBLE - i.{qi(c)}::DOUBLE)"
+        return f"floor({v} + 0.5)" if c in rounded else v
+    names = ", ".join(f"{qi(c)}::DOUBLE AS {qi(c)}" for c in cols)
+    return f"""minor AS (SELECT * FROM {src} WHERE label = 1),
+        cnt AS (SELECT count(*) FILTER (WHERE label <> 1) AS nmaj, count(*) FILTER (WHERE label = 1) AS m FROM {src}),
+        nn AS (SELECT {key}, nb, row_number() OVER (PARTITION BY {key} ORDER BY dist, nb) AS nn_rank
+               FROM (SELECT a.{key}, b.{key} AS nb, {_dist_sql('a', 'b', cols)} AS dist
+                     FROM minor a JOIN minor b ON a.{key} <> b.{key})),
+        idx AS (SELECT *, row_number() OVER (ORDER BY {duck_b('smotei', key)}, {key}) - 1 AS _idx FROM minor),
         draws AS (SELECT d, {duck_b60('smote', 'd')} % m AS _idx,
                          CAST({duck_b('smoten', 'd')} % least(5, m - 1) + 1 AS BIGINT) AS nn_rank,
                          {duck_b('smoteu', 'd')} / 4294967296.0 AS u
                   FROM (SELECT unnest(range(nmaj - m)) AS d, m FROM cnt))
-        SELECT vec_id, {xs}, label, CAST(NULL AS BIGINT) AS draw, CAST(NULL AS BIGINT) AS neighbor_vec_id
-        FROM minority_points
+        SELECT {key}, {names}, label, CAST(NULL AS BIGINT) AS draw, CAST(NULL AS BIGINT) AS neighbor_{key} FROM {src}
         UNION ALL
-        SELECT i.vec_id, """ + ", ".join(f"i.x{j} + d.u * (p.x{j} - i.x{j})" for j in range(1, 5)) + f""",
-               1, d.d, nn.nb
-        FROM draws d JOIN idx i USING (_idx) JOIN nn ON nn.vec_id = i.vec_id AND nn.nn_rank = d.nn_rank
-             JOIN minor p ON p.vec_id = nn.nb"""
-    pts = f"""pts AS (SELECT vec_id, {', '.join(f'CAST(embedding[{i}] AS DOUBLE) AS x{i}' for i in range(1, 5))},
+        SELECT i.{key}, {', '.join(new(c) for c in cols)}, 1, d.d, nn.nb
+        FROM draws d JOIN idx i USING (_idx) JOIN nn ON nn.{key} = i.{key} AND nn.nn_rank = d.nn_rank
+             JOIN minor p ON p.{key} = nn.nb"""
+
+
+def _knn():
+    point = [f"x{i}" for i in range(1, 65)]
+    split = f"CASE WHEN {duck_b('split', 'loan_id')} < 0.8 * 4294967296 THEN 'train' ELSE 'test' END"
+    onehot = [c for c, t in MODEL_TYPES if t == "int" and c != "label"]
+    r4 = W_MODEL.rstrip() + f", tr AS (SELECT * FROM loans_model WHERE {split} = 'train'), " + _smote_sql("tr", "loan_id", FEATS, onehot)
+    r4p = fs.with_(fs.minority_points()).rstrip() + ", " + _smote_sql("minority_points", "vec_id", point)
+    pts = f"""pts AS (SELECT vec_id, {', '.join(f'CAST(embedding[{i}] AS DOUBLE) AS x{i}' for i in range(1, 65))},
                   label, CASE WHEN {duck_b('knn', 'vec_id')} % 100 < 80 THEN 'train' ELSE 'test' END AS split
            FROM embeddings)"""
-    m14 = f"""WITH {pts},
-        nn AS (SELECT q.vec_id, r.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_dist_sql('q', 'r')}, r.vec_id) AS rk
-               FROM pts q JOIN pts r ON q.split = 'test' AND r.split = 'train'),
-        votes AS (SELECT vec_id, label, count(*) AS v FROM nn WHERE rk <= 5 GROUP BY vec_id, label)
-        SELECT vec_id, label AS prediction FROM (
-          SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, label) AS r FROM votes) WHERE r = 1"""
-    return {"R4": rnd(r4, [f"x{i}" for i in range(1, 5)]), "M14": m14}
+
+    def voted(metric, k):
+        return f"""SELECT vec_id, label AS prediction FROM (
+          SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, label) AS r FROM (
+            SELECT vec_id, label, count(*) AS v FROM nn_{metric} WHERE rk <= {k} GROUP BY vec_id, label)) WHERE r = 1"""
+
+    def near(metric):
+        return f"""nn_{metric} AS (SELECT q.vec_id, r.label,
+                 row_number() OVER (PARTITION BY q.vec_id ORDER BY {_dist_sql('q', 'r', point, metric)}, r.vec_id) AS rk
+               FROM pts q JOIN pts r ON q.split = 'test' AND r.split = 'train')"""
+    metrics = ("euclidean", "manhattan", "chebyshev", "minkowski")
+    grid = " UNION ALL ".join(
+        f"SELECT '{m}' AS metric, CAST({k} AS INTEGER) AS k, avg(CASE WHEN prediction = label THEN 1.0::DOUBLE ELSE 0 END) AS accuracy, "
+        f"count(*) AS n FROM ({voted(m, k)}) JOIN pts USING (vec_id)" for m in metrics for k in (3, 5, 10, 25, 50))
+    return {"R4": rnd(r4, FEATS), "R4_points": rnd(r4p, point), "M14": f"WITH {pts}, {near('euclidean')} {voted('euclidean', 5)}",
+            "M14_grid": rnd(f"WITH {pts}, {', '.join(map(near, metrics))} {grid}", ["accuracy"])}
 
 
 def _t():

@@ -81,12 +81,13 @@ def positional_split(df: DataFrame, key: str, first_share: float = 0.5, second_s
 
 
 def smote(df: DataFrame, key: str, cols, label: str = "label", minority=1, k: int = 5,
-          salt: str = "smote", metric: str = "euclidean") -> DataFrame:
+          salt: str = "smote", metric: str = "euclidean", round_cols=(), method: str = "exact") -> DataFrame:
     """Synthetic minority rows up to parity.
 
     Each draw ``d`` in ``range(n_major - m)`` picks a minority row (md5
-    index), one of its ``k`` nearest minority neighbours (exact kNN, see
-    ``knn``) and ``u`` in [0, 1); the new point is ``x + u·(nb - x)``.
+    index), one of its ``k`` nearest minority neighbours (``knn``; ``method``
+    is the caller's choice there) and ``u`` in [0, 1); the new point is
+    ``x + u·(nb - x)``, rounded in ``round_cols`` (one-hot columns).
     All joins are equi-joins on (row index), (row, neighbour rank) and
     neighbour id. Output: the input rows (``draw`` null) plus synthetic rows.
     """
@@ -95,15 +96,16 @@ def smote(df: DataFrame, key: str, cols, label: str = "label", minority=1, k: in
     spark = df.sparkSession
     cols = list(cols)
     minor = df.filter(q(label) == minority)
-    n_major = df.filter(q(label) != minority).count()
-    m = minor.count()
-    base = df.select(q(key), *[q(c) for c in cols], q(label)).withColumn(
+    counts = {r[0]: r[1] for r in df.groupBy(q(label)).count().collect()}  # one row per class
+    m = counts.get(minority, 0)
+    n_major = sum(n for c, n in counts.items() if c is not None and c != minority)
+    base = df.select(q(key), *[q(c).cast("double").alias(c) for c in cols], q(label)).withColumn(
         "draw", F.lit(None).cast("bigint")).withColumn("neighbor_" + key, F.lit(None).cast(df.schema[key].dataType))
     n_new = n_major - m
     if m < 2 or n_new <= 0:
         return base
     kk = min(k, m - 1)
-    nn = knn(minor, minor, key, key, cols, k=kk, metric=metric, exclude_self=True)
+    nn = knn(minor, minor, key, key, cols, k=kk, metric=metric, exclude_self=True, method=method)
     idx = rank_within(minor.select(q(key), *[q(c) for c in cols]).withColumn("_h", b(salt + "i", q(key))),
                       [], ["_h", key], out="_idx", base=0).drop("_h")
     d = F.col("id")
@@ -113,6 +115,10 @@ def smote(df: DataFrame, key: str, cols, label: str = "label", minority=1, k: in
     nb = minor.select(q(key).alias("neighbor_" + key), *[q(c).alias("_nb_" + c) for c in cols])
     j = (draws.join(idx, "_idx").join(nn.select(key, "neighbor_" + key, "nn_rank"), [key, "nn_rank"])
          .join(nb, "neighbor_" + key))
-    synth = j.select(q(key), *[(q(c) + F.col("_u") * (F.col("_nb_" + c) - q(c))).alias(c) for c in cols],
+    def between(c):
+        v = q(c) + F.col("_u") * (q("_nb_" + c) - q(c))
+        return (F.floor(v + F.lit(0.5)).cast("double") if c in round_cols else v).alias(c)
+
+    synth = j.select(q(key), *[between(c) for c in cols],
                      F.lit(minority).cast(df.schema[label].dataType).alias(label), "draw", "neighbor_" + key)
     return base.unionByName(synth)

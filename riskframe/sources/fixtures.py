@@ -156,7 +156,7 @@ def scores(spark: SparkSession, sf_dir: str, threshold: float = 0.5) -> DataFram
     return df.withColumn("prediction", F.when(F.col("score") > F.lit(threshold), 1).otherwise(0))
 
 
-def minority_points(spark: SparkSession, sf_dir: str, dims: int = 4) -> DataFrame:
+def minority_points(spark: SparkSession, sf_dir: str, dims: int = 64) -> DataFrame:
     """Embeddings as points: ``x1..x{dims}`` doubles, ``label = (label = 0)``."""
     e = table(spark, sf_dir, "embeddings")
     return e.select(
@@ -165,7 +165,7 @@ def minority_points(spark: SparkSession, sf_dir: str, dims: int = 4) -> DataFram
         F.when(F.col("label") == 0, 1).otherwise(0).alias("label"))
 
 
-def embedding_points(spark: SparkSession, sf_dir: str, dims: int = 4) -> DataFrame:
+def embedding_points(spark: SparkSession, sf_dir: str, dims: int = 64) -> DataFrame:
     """Embeddings as points with their 10-class label and an md5 train/test split."""
     e = table(spark, sf_dir, "embeddings")
     return e.select(
