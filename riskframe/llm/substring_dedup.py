@@ -3,19 +3,20 @@
 A text is cut into sentences at ``. ! ?`` before white space and at line ends.
 One longer than ``max_words`` counts as several, cut after the words whose
 checksum is a multiple of ``cut_every``, so that a passage is cut alike wherever
-it stands. From every sentence
-starts one span, the shortest run of at least ``run`` sentences and
-``min_words`` words; its 128-bit hash is taken over the lower-cased words. Spans
-are joined on the hash over all documents. The occurrence with the smallest
-(doc_id, place) is the first; sentences covered by any other occurrence go.
-
-Hashes are counted with a partial sum in every task before the shuffle, so a
-passage that a third of all documents share is one entry a task; the join back
-is a plain equi-join whose hot partitions Spark splits.
+it stands. From every sentence starts one span, the shortest run of at least
+``run`` sentences and ``min_words`` words. Its 128-bit hash is two polynomials
+over the hashes of its sentences (lower-cased words), so all spans of a text
+come from two running sums.
+
+Spans are joined on the hash over all documents. The occurrence with the
+smallest (doc_id, place) is the first; sentences covered by any other occurrence
+go. Each task first settles its own repeats: what is not the first there cannot
+be the first anywhere, and goes on under a key of its own. So a passage that a
+third of all documents share is one entry a task and chunk when the spans are
+sorted by hash, once, and neighbours are compared.
 
 Defined results: null text counts as empty; a text shorter than a span keeps all
-its sentences; the text of a document without removals stays as it is, byte by
-byte, the others keep the white space that follows each kept sentence; rows that
+its sentences; a kept sentence keeps the white space that follows it; rows that
 repeat id and text count as one document and all get its result; a null id
 orders after all others; an empty table gives an empty result.
 """
@@ -28,136 +29,194 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.llm.common import pin, row_keys
+from riskframe.llm.common import row_keys
 
 RUN = 3
 MIN_WORDS = 15
 MAX_WORDS = 12
 CUT_EVERY = 6
-ROWS_AT_ONCE = 1 << 17
-
-WORDS = re.compile(r"\s*\S+\s*|\s+")
-END = re.compile(r"[.!?]\s*\Z")
-
-
-def sentences(text: str, max_words: int = MAX_WORDS, cut_every: int = CUT_EVERY) -> list[str]:
-    """The text's sentences with the white space that follows them; joined they are the text."""
-    out: list[str] = []
-    for line in text.split("\n"):
-        words: list[str] = []
-        for m in WORDS.finditer(line):
-            words.append(m.group())
-            if END.search(words[-1]):
-                out += _cut(words, max_words, cut_every)
-                words = []
-        out += _cut(words, max_words, cut_every)
-        out.append("\n")
-    out.pop()
-    # a line end, and a line of white space, belong to the sentence before them
-    joined: list[str] = []
-    for part in out:
-        if joined and (part.isspace() or joined[-1].isspace()):
-            joined[-1] += part
-        else:
-            joined.append(part)
-    return joined
-
-
-def _cut(words: list[str], max_words: int, cut_every: int) -> list[str]:
-    if len(words) <= max_words:
-        return ["".join(words)] if words else []
-    out, start = [], 0
-    for i, w in enumerate(words, 1):
-        if crc32(w.encode().strip().lower()) % cut_every == 0:
-            out.append("".join(words[start:i]))
-            start = i
-    return out + (["".join(words[start:])] if start < len(words) else [])
-
-
-def spans(parts: list[str], run: int = RUN, min_words: int = MIN_WORDS) -> list[tuple[int, int, int, int]]:
-    """(first sentence, number of sentences, two halves of the hash) of every span."""
-    from xxhash import xxh3_128_intdigest
-    words = [p.encode().lower().split() for p in parts]
-    keys = [b" ".join(w) for w in words]
-    counts = [len(w) for w in words]
-    found = []
-    end, total, n = 0, 0, len(parts)
-    for i in range(n):
-        while end < n and (end - i < run or total < min_words):
-            total += counts[end]
-            end += 1
-        if end - i < run or total < min_words:
-            break
-        h = xxh3_128_intdigest(b"\n".join(keys[i:end]))
-        found.append((i, end - i, h >> 64, h & 0xFFFFFFFFFFFFFFFF))
-        total -= counts[i]
-    return found
-
-
-def _hash_spans(run: int, min_words: int, max_words: int):
-    def emit(ids: list, k1: list, got: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
-        half = lambda i: pa.array(np.array([g[i] for g in got], dtype=np.uint64).view(np.int64))
-        return pa.RecordBatch.from_arrays(
-            [half(2), half(3), pa.array(ids, pa.int64()), pa.array(k1, pa.int64()),
-             pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.int32())],
-            names=["h1", "h2", "doc_id", "__k1", "at", "n"])
-
+ROWS_AT_ONCE = 1 << 19
+NO_ID = (1 << 63) - 1
+#: A place packs sentence number, a tag that tells rows of one id apart, and the span's length.
+TAG_BITS, LENGTH_BITS = 23, 8
+
+BOUNDARY = re.compile(rb"(?:[.!?](?=[\x09-\x0d\x20])|\n)[\x09-\x0d\x20]*")
+WORD = re.compile(rb"[^\x09-\x0d\x20]+[\x09-\x0d\x20]*")
+BASES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], dtype=np.uint64)  # odd, so they have inverses modulo 2**64
+INVERSES = np.array([pow(int(b), -1, 1 << 64) for b in BASES], dtype=np.uint64)
+
+_POWERS: list[np.ndarray] = []
+
+
+def sentences(text: bytes, max_words: int = MAX_WORDS, cut_every: int = CUT_EVERY) -> tuple[list[int], list[list[bytes]]]:
+    """(ends, lower-cased words) of the sentences of a UTF-8 text; each ends where the next begins."""
+    ends, words = [], []
+    low = text.lower()
+    start = 0
+    for end in [*(m.end() for m in BOUNDARY.finditer(text)), len(text)]:
+        own = low[start:end].split()
+        if len(own) > max_words:
+            first, at = 0, 0
+            for at, m in enumerate(WORD.finditer(text, start, end), 1):
+                if crc32(own[at - 1]) % cut_every == 0 and at < len(own):
+                    ends.append(m.end())
+                    words.append(own[first:at])
+                    first = at
+            own = own[first:]
+        if own:
+            ends.append(end)
+            words.append(own)
+            start = end
+        elif ends:  # white space only
+            ends[-1] = start = end
+    return ends, words
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of both bases and of their inverses, (2, n) each."""
+    if not _POWERS or _POWERS[0].shape[1] < n:
+        size = max(1024, 1 << n.bit_length())
+        out = []
+        for b in (BASES, INVERSES):
+            p = np.empty((2, size), dtype=np.uint64)
+            p[:, 0] = 1
+            p[:, 1:] = b[:, None]
+            out.append(np.multiply.accumulate(p, axis=1))
+        _POWERS[:] = out
+    return _POWERS[0][:, :n], _POWERS[1][:, :n]
+
+
+def spans(words: list[list[bytes]], run: int = RUN, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of sentences, (2, n) hashes) of the spans that start at sentences 0, 1, 2, ..."""
+    from xxhash import xxh3_128_digest
+    n = len(words)
+    upto = np.zeros(n + 1, dtype=np.int64)
+    np.cumsum([len(w) for w in words], out=upto[1:])
+    first = np.arange(n)
+    end = np.maximum(first + run, np.searchsorted(upto, upto[:-1] + min_words))
+    end = end[end <= n]  # ends rise with their starts
+    first = first[:len(end)]
+    if not len(end):
+        return end, np.empty((2, 0), dtype=np.uint64)
+    own = np.frombuffer(b"".join([xxh3_128_digest(b" ".join(w)) for w in words]), dtype="<u8").reshape(-1, 2).T
+    power, inverse = _powers(n)
+    sums = np.zeros((2, n + 1), dtype=np.uint64)
+    np.cumsum(own * power, axis=1, out=sums[:, 1:])
+    return end - first, (sums[:, end] - sums[:, first]) * inverse[:, first]
+
+
+def _tag(key: Column) -> Column:
+    return key.bitwiseAND(F.lit((1 << TAG_BITS) - 1))
+
+
+def _settled(h: np.ndarray, doc: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    """A chunk of spans as rows: the first of each hash as it is; the others, marked, under keys that spread."""
+    by = np.lexsort((place, doc, h[1], h[0]))
+    h, doc, place = h[:, by], doc[by], place[by]
+    new = np.ones(len(doc), dtype=bool)
+    new[1:] = (h[0, 1:] != h[0, :-1]) | (h[1, 1:] != h[1, :-1])
+    lead = np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))
+    same = ~new & (doc == doc[lead]) & (place == place[lead])  # a repeated row's span is the same occurrence
+    h1, h2 = np.where(new, h[0], (place + doc).astype(np.uint64) * BASES[0]), np.where(new, h[1], np.uint64(0))
+    place = np.where(new, place, ~place)
+    keep = ~same
+    return pa.RecordBatch.from_arrays([pa.array(a[keep].view(np.int64)) for a in (h1, h2, doc, place)], names=["h1", "h2", "doc", "place"])
+
+
+def _hash_spans(run: int, min_words: int, max_words: int, cut_every: int):
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, docs, places, waiting = [], [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            out = _settled(np.concatenate(hashes, axis=1), np.concatenate(docs), np.concatenate(places))
+            hashes.clear(), docs.clear(), places.clear()
+            return out
+
         for b in batches:
-            ids, k1, got = [], [], []
-            for doc, key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                own = spans(sentences(text.as_py() or "", max_words), run, min_words)
-                got += own
-                ids += [doc] * len(own)
-                k1 += [key] * len(own)
-                if len(got) >= ROWS_AT_ONCE:
-                    yield emit(ids, k1, got)
-                    ids, k1, got = [], [], []
-            if got:
-                yield emit(ids, k1, got)
+            for doc, tag, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                n, h = spans(sentences(text.as_py().encode(), max_words, cut_every)[1], run, min_words)
+                if len(n):
+                    hashes.append(h)
+                    docs.append(np.full(len(n), doc))
+                    places.append((np.arange(len(n)) << (TAG_BITS + LENGTH_BITS)) | (tag << LENGTH_BITS) | n)
+                    waiting += len(n)
+                if waiting >= ROWS_AT_ONCE:
+                    yield flush()
+                    waiting = 0
+        if waiting:
+            yield flush()
     return walk
 
 
-def _remove(max_words: int):
+def _not_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (h1, h2, doc, place): the occurrences that are not the first of their hash."""
+    last = None  # hash and first occurrence of the run that the batch before ended in
+    for b in batches:
+        h1, h2, doc, place = (c.to_numpy() for c in b.columns)
+        marked = place < 0
+        out_doc, out_place = [doc[marked]], [~place[marked]]
+        h1, h2, doc, place = (a[~marked] for a in (h1, h2, doc, place))
+        if len(doc):
+            if last is not None:
+                h1, h2, doc, place = (np.insert(a, 0, v) for a, v in zip((h1, h2, doc, place), last, strict=True))
+            new = np.ones(len(doc), dtype=bool)
+            new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+            lead = np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))
+            gone = (doc != doc[lead]) | (place != place[lead])
+            out_doc.append(doc[gone])
+            out_place.append(place[gone])
+            last = [a[lead[-1]] for a in (h1, h2, doc, place)]
+        doc, place = np.concatenate(out_doc), np.concatenate(out_place)
+        if len(doc):
+            low = (1 << TAG_BITS) - 1
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(doc), pa.array((place >> LENGTH_BITS) & low), pa.array(place >> (TAG_BITS + LENGTH_BITS)),
+                 pa.array(place & ((1 << LENGTH_BITS) - 1))], names=["__doc", "__tag", "at", "n"])
+
+
+def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    own = F.col(f"`{id_col}`").cast("bigint")
+    return docs.select(own.alias("doc_id"), F.coalesce(own, F.lit(NO_ID)).alias("__doc"), _tag(row_keys(id_col, text_col)[0]).alias("__tag"),
+                       F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+
+
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, min_words: int = MIN_WORDS,
+                   max_words: int = MAX_WORDS, cut_every: int = CUT_EVERY) -> DataFrame:
+    """(__doc, __tag, at, n): first sentence and length of every span occurrence that is not the first."""
+    if max(run, min_words) >= 1 << LENGTH_BITS:
+        raise ValueError(f"run and min_words must be under {1 << LENGTH_BITS}")
+    every = _source(docs, id_col, text_col).select("__doc", "__tag", "text").mapInArrow(
+        _hash_spans(run, min_words, max_words, cut_every), "h1 bigint, h2 bigint, doc bigint, place bigint")
+    return (every.repartition("h1", "h2").sortWithinPartitions("h1", "h2", "doc", "place")
+            .mapInArrow(_not_first, "__doc bigint, __tag bigint, at bigint, n bigint"))
+
+
+def _remove(max_words: int, cut_every: int):
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, total, gone = [], [], []
-            for text, covered in zip(b.column(1), b.column(2).to_pylist(), strict=True):
-                parts = sentences(text.as_py() or "", max_words)
+            texts, gone = [], []
+            for text, covered in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 drop: set[int] = set()
                 for c in covered or ():
                     drop.update(range(c["at"], c["at"] + c["n"]))
-                texts.append("".join(p for i, p in enumerate(parts) if i not in drop))
-                total.append(len(parts))
+                if drop:
+                    raw = text.encode()
+                    ends, _ = sentences(raw, max_words, cut_every)
+                    text = b"".join(raw[a:e] for i, (a, e) in enumerate(zip([0, *ends], ends, strict=False)) if i not in drop).decode()
+                texts.append(text)
                 gone.append(len(drop))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), b.column(3), pa.array(texts, pa.string())],
-                names=["doc_id", "n_sentences", "n_removed", "repeats_of", "text"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(gone, pa.int64()), pa.array(texts, pa.string())],
+                                             names=["doc_id", "n_removed", "text"])
     return walk
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN,
-                   min_words: int = MIN_WORDS, max_words: int = MAX_WORDS) -> DataFrame:
-    """(doc_id, __k1, at, n, first_id) of every span occurrence that is not the first of its hash."""
-    src = (docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), row_keys(id_col, text_col)[0],
-                       F.col(f"`{text_col}`").alias("text")).filter("text is not null"))
-    every = pin(src.mapInArrow(_hash_spans(run, min_words, max_words),
-                               "h1 bigint, h2 bigint, doc_id bigint, __k1 bigint, at int, n int"), "spans")
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__k1", "at")
-    often = (every.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("first"))
-             .filter("times > 1").select("h1", "h2", "first"))
-    return (every.join(often, ["h1", "h2"]).filter(~place.eqNullSafe(F.col("first")))
-            .select("doc_id", "__k1", "at", "n", F.col("first.doc_id").alias("first_id")))
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN,
-                   min_words: int = MIN_WORDS, max_words: int = MAX_WORDS) -> DataFrame:
-    """One row per input row: doc_id, n_sentences, n_removed, repeats_of (ids of the first occurrences), text."""
-    gone = (repeated_spans(docs, id_col, text_col, run, min_words, max_words).groupBy("__k1")
-            .agg(F.collect_set(F.struct("at", "n")).alias("covered"), F.sort_array(F.collect_set("first_id")).alias("repeats_of")))
-    src = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), row_keys(id_col, text_col)[0], F.col(f"`{text_col}`").alias("text"))
-    return (src.join(gone, "__k1", "left").select("doc_id", "text", "covered", "repeats_of")
-            .mapInArrow(_remove(max_words), "doc_id bigint, n_sentences bigint, n_removed bigint, repeats_of array<bigint>, text string"))
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, min_words: int = MIN_WORDS,
+                   max_words: int = MAX_WORDS, cut_every: int = CUT_EVERY) -> DataFrame:
+    """One row per input row: doc_id, n_removed, text without the removed sentences."""
+    gone = (repeated_spans(docs, id_col, text_col, run, min_words, max_words, cut_every)
+            .groupBy("__doc", "__tag").agg(F.collect_set(F.struct("at", "n")).alias("covered")))
+    return (_source(docs, id_col, text_col).join(gone, ["__doc", "__tag"], "left").select("doc_id", "text", "covered")
+            .mapInArrow(_remove(max_words, cut_every), "doc_id bigint, n_removed bigint, text string"))
