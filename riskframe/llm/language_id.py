@@ -40,8 +40,8 @@ BITS = 21  # a code point
 MAX_NGRAMS = 1_000_000
 CHUNK = 1 << 20
 SCORE_CHARS = 32
-REJECT_QUANTILE = 0.999
-REJECT_FACTOR = 2.0
+REJECT_QUANTILE = 0.99
+REJECT_FACTOR = 4.0
 # odd, so that multiplying modulo 2**64 is one to one: equal hashes mean equal n-grams
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -296,15 +296,16 @@ def identify(docs: DataFrame, model: Model | None, calibrate_on: str, id_col: st
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[1:])
     scored = pin(slim.mapInArrow(_predict(shared), f"{kept}, lang_pred string, score double, bits double, length bigint"), "languages")
     base = scored.filter(f"({calibrate_on}) and length > 0")
-    mean = base.groupBy("lang_pred").agg(F.avg("bits").alias("mean_bits"))
-    excess = (F.col("bits") - F.col("mean_bits")) * F.sqrt("length")
-    # one row a language
-    limit = (base.join(mean, "lang_pred").groupBy("lang_pred")
-             .agg(F.first("mean_bits").alias("mean_bits"), F.percentile_approx(excess, F.lit(reject_quantile), F.lit(10000)).alias("limit")))
-    far = (excess > F.greatest("limit", F.lit(1.0)) * F.lit(reject_factor)) & (
-        F.col("bits") > (F.col("mean_bits") + F.lit(model.flat_bits)) / 2)
-    return (scored.join(limit, "lang_pred", "left")
-            .withColumn("rejected", (F.col("lang_pred") == UND) | F.coalesce(far, F.lit(False))).drop("mean_bits", "limit"))
+    # one number for each learned language, written into the plan: no join on a hot key
+    of = lambda numbers: F.element_at(F.create_map(*[F.lit(x) for kv in numbers.items() for x in kv]), F.col("lang_pred"))
+    mean = dict.fromkeys(model.langs, model.flat_bits) | {
+        r["lang_pred"]: r["m"] for r in base.groupBy("lang_pred").agg(F.avg("bits").alias("m")).collect()}
+    excess = (F.col("bits") - of(mean)) * F.sqrt("length")
+    limit = dict.fromkeys(model.langs, 0.0) | {
+        r["lang_pred"]: r["q"] for r in base.groupBy("lang_pred").agg(
+            F.percentile_approx(excess, F.lit(reject_quantile), F.lit(10000)).alias("q")).collect()}
+    far = (excess > F.greatest(of(limit), F.lit(1.0)) * F.lit(reject_factor)) & (F.col("bits") > (of(mean) + F.lit(model.flat_bits)) / 2)
+    return scored.withColumn("rejected", (F.col("lang_pred") == UND) | F.coalesce(far, F.lit(False)))
 
 
 def split_and_identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
