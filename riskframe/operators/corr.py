@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.functions.columns import q
+from riskframe.plans.gram import gram
 from riskframe.plans.prefix import average_ranks
 from riskframe.plans.reshape import to_long
 
@@ -86,31 +87,6 @@ def threshold_pairs(rho: DataFrame, threshold: float = 0.7) -> DataFrame:
     return rho.filter(F.abs("rho") >= threshold)
 
 
-def gram(df: DataFrame, cols, centered: bool) -> tuple[np.ndarray, np.ndarray, int]:
-    """X'X, or the centred sums of products, of ``cols``; d×d on the driver.
-
-    Centring is a pass of its own (means first), as subtracting ``n·mean²`` from
-    X'X cancels for large n.
-    """
-    d = len(cols)
-    df = df.select(*[q(c) for c in cols]).dropna()
-    exprs = [F.count(F.lit(1)).alias("n")]
-    if centered:
-        means = df.agg(*[F.avg(q(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)]).first()
-        df = df.select(*[(q(c).cast("double") - F.lit(float(means[f"m{i}"] or 0.0))).alias(c) for i, c in enumerate(cols)])
-    exprs += [F.sum(q(c).cast("double")).alias(f"s{i}") for i, c in enumerate(cols)]
-    exprs += [F.sum(q(a).cast("double") * q(b).cast("double")).alias(f"p{i}_{j}")
-              for i, a in enumerate(cols) for j, b in enumerate(cols) if j >= i]
-    r = df.agg(*exprs).first()
-    n = r["n"]
-    s = np.array([r[f"s{i}"] or 0.0 for i in range(d)], dtype=float)
-    g = np.zeros((d, d))
-    for i in range(d):
-        for j in range(i, d):
-            g[i, j] = g[j, i] = r[f"p{i}_{j}"] or 0.0
-    return g, s, n
-
-
 def vif_table(g: np.ndarray, cols, centered: bool) -> list[tuple[str, float]]:
     """VIF_j from the (centred) Gram matrix: ``G_jj · (G^-1)_jj``."""
     if centered:

@@ -24,7 +24,7 @@ from riskframe.functions.columns import q
 from riskframe.functions.rand import b, b60
 from riskframe.operators import evaluate as ev
 from riskframe.operators import models
-from riskframe.operators.corr import gram
+from riskframe.plans.gram import matrix_sums
 from riskframe.plans.prefix import rank_within
 from riskframe.session import cut_lineage
 from riskframe.plans.reshape import with_scalar_totals
@@ -87,13 +87,14 @@ def gbt_importance(df: DataFrame, features, iters: int = 20, depth: int = 5) ->
 
 
 def importance_sweep(df: DataFrame, features, iters: int = 10, depth: int = 3, workers: int = 4) -> DataFrame:
-    """for each distinct importance t: keep features with importance >= t, refit,
-    training accuracy. Fits run concurrently; the best row has the highest accuracy
-    (fewest features on ties)."""
+    """for each distinct importance t (zero included): keep features with importance >= t,
+    refit, training accuracy. Fits run concurrently. The choice keeps at least 2 and fewer than
+    all features, and has the highest accuracy that is no lower than any smaller set's
+    (fewest features on ties); none if no set qualifies."""
     feats = list(features)
     df = df.select("label", *[q(c) for c in feats]).persist()  # one fit per threshold reads it
     imp = {r["feature"]: r["importance"] for r in gbt_importance(df, feats, iters, depth).collect()}
-    thresholds = sorted({v for v in imp.values() if v > 0})
+    thresholds = sorted(set(imp.values()))
 
     def one(t):
         keep = [f for f in feats if imp[f] >= t]
@@ -105,130 +106,145 @@ def importance_sweep(df: DataFrame, features, iters: int = 10, depth: int = 3, w
     with ThreadPoolExecutor(max_workers=workers) as ex:
         rows = list(ex.map(one, thresholds))
     df.unpersist()
-    best = max(rows, key=lambda r: (r[2], -r[1])) if rows else None
+    fit_for = [r for r in rows if 2 <= r[1] < len(feats)]
+    best = max(fit_for, key=lambda r: (r[2], -r[1])) if fit_for else None
     out = [(t, n, a, (t, n, a) == best) for t, n, a in rows]
     return df.sparkSession.createDataFrame(out, "threshold double, n_features int, accuracy double, best boolean")
 
 
 # ---------------------------------------------------------------- F5, F6 group lasso
-def _scaled_table(df: DataFrame, features) -> tuple[DataFrame, list[str]]:
-    """Min-max scaled feature columns (x - min)/(max - min) from one aggregate."""
-    feats = list(features)
-    st = df.agg(*[F.min(q(c)).alias(f"mn{i}") for i, c in enumerate(feats)],
-                *[F.max(q(c)).alias(f"mx{i}") for i, c in enumerate(feats)]).first()
-    names = [f"z{i}" for i in range(len(feats))]
-    cols = []
-    for i, c in enumerate(feats):
-        mn, mx = float(st[f"mn{i}"]), float(st[f"mx{i}"])
-        cols.append(((q(c).cast("double") - F.lit(mn)) / F.lit(mx - mn if mx > mn else 1.0)).alias(names[i]))
-    return df.select(*cols, F.col("label").cast("double").alias("y")), names
+def _ranges(df: DataFrame, features) -> tuple[np.ndarray, np.ndarray]:
+    """Minimum and width of every feature (width 1 where it is constant)."""
+    r = df.agg(*[F.min(q(c)).cast("double").alias(f"mn{i}") for i, c in enumerate(features)],
+               *[F.max(q(c)).cast("double").alias(f"mx{i}") for i, c in enumerate(features)]).first()
+    lo = np.array([r[f"mn{i}"] for i in range(len(features))], dtype=float)
+    width = np.array([r[f"mx{i}"] for i in range(len(features))], dtype=float) - lo
+    return lo, np.where(width > 0, width, 1.0)
+
+
+def _penalty(beta: np.ndarray, groups, group_reg: float, l1_reg: float) -> float:
+    return sum(group_reg * math.sqrt(len(i)) * float(np.linalg.norm(beta[i])) for i in groups) + l1_reg * float(np.abs(beta).sum())
+
+
+def _prox(v: np.ndarray, t: float, groups, group_reg: float, l1_reg: float) -> np.ndarray:
+    out = np.sign(v) * np.maximum(0, np.abs(v) - t * l1_reg)
+    for idx in groups:
+        norm, limit = np.linalg.norm(out[idx]), t * group_reg * math.sqrt(len(idx))
+        out[idx] = 0.0 if norm <= limit else out[idx] * (1 - limit / norm)
+    return out
+
+
+def _model_minimum(g: np.ndarray, h: np.ndarray, at: np.ndarray, groups, group_reg: float, l1_reg: float) -> np.ndarray:
+    """Minimum of the quadratic model at ``at`` plus the penalty (the last entry, the intercept, is free)."""
+    step = 1.0 / max(float(np.linalg.eigvalsh(h).max()), 1e-12)
+    x, y, t = at.copy(), at.copy(), 1.0
+    for _ in range(20000):
+        new = y - step * (g + h @ (y - at))
+        new[:-1] = _prox(new[:-1], step, groups, group_reg, l1_reg)
+        t2 = (1 + math.sqrt(1 + 4 * t * t)) / 2
+        y = new + (t - 1) / t2 * (new - x)
+        done = np.linalg.norm(new - x) <= 1e-12 * max(1.0, np.linalg.norm(x))
+        x, t = new, t2
+        if done:
+            break
+    return x
 
 
-def group_lasso(df: DataFrame, features, groups: dict[str, list[str]], group_reg: float = 0.05,
-                l1_reg: float = 0.0, max_iter: int = 3000, tol: float = 1e-5):
-    """group-lasso logistic regression by FISTA.
+def lasso_path(df: DataFrame, features, groups: dict[str, list[str]], group_reg: float, l1_reg: float, max_iter: int, tol: float):
+    """Proximal Newton steps from zero: [(coefficients on [0, 1] features and intercept, loss, change)].
 
-    Each iteration is one Spark aggregate (gradient and loss over all
-    rows); the proximal step (group soft-threshold, ``sqrt(|g|)`` weights)
-    runs on the d-vector on the driver. Returns (groups table, loss curve,
-    training accuracy, coefficient vector).
+    A step is one pass over the rows, for loss, gradient and curvature together;
+    the penalised quadratic model is a problem of the features' size and is
+    solved on the driver. A step that raises the loss is halved.
     """
     feats = list(features)
-    data, z = _scaled_table(df.dropna(subset=feats + ["label"]), feats)
-    # _k is a stored column of the cached table: the coefficient row joins on it as a
-    # broadcast hash join (a literal key would be folded into a cross join)
-    data = data.withColumn("_k", F.lit(0)).cache()
-    d = len(z)
-    g_mat, s, n = gram(data, z, centered=False)
-    # Lipschitz constant of the mean logistic loss gradient, intercept included
-    big = np.zeros((d + 1, d + 1))
-    big[:d, :d] = g_mat
-    big[:d, d] = big[d, :d] = s
-    big[d, d] = n
-    L = 0.25 * float(np.linalg.eigvalsh(big / n).max())
-    step = 1.0 / L
-    gidx = {g: [feats.index(c) for c in cols] for g, cols in groups.items()}
+    data = df.select(*[q(c) for c in feats], "label").dropna().persist()
+    lo, width = _ranges(data, feats)
+    idx = [[feats.index(c) for c in cols] for cols in groups.values()]
+    d = len(feats)
 
-    spark = df.sparkSession
-    coef_schema = ", ".join([f"_c{i} double" for i in range(d)] + ["_c0b double", "_k int"])
-    lin = sum(F.col(c) * F.col(f"_c{i}") for i, c in enumerate(z)) + F.col("_c0b")
-    p_ = F.lit(1.0) / (F.lit(1.0) + F.exp(-lin))
-    # log(1 + e^lin) - y·lin, written to stay finite for large |lin|
-    ll = F.greatest(lin, F.lit(0.0)) + F.log1p(F.exp(-F.abs(lin))) - F.col("y") * lin
-    aggs = [F.avg((p_ - F.col("y")) * F.col(c)).alias(c) for c in z] + [
-        F.avg(p_ - F.col("y")).alias("_b"), F.avg(ll).alias("_l")]
-
-    def grad_loss(beta, b0):
-        # the coefficients arrive as a one-row broadcast table, so the plan (and its
-        # generated code) is the same every iteration; only the data changes
-        cdf = spark.createDataFrame([tuple(float(x) for x in beta) + (float(b0), 0)], coef_schema)
-        r = data.join(F.broadcast(cdf), "_k").agg(*aggs).first()
-        return np.array([r[c] for c in z]), r["_b"], r["_l"]
-
-    def prox(v, t):
-        out = v.copy()
-        if l1_reg > 0:
-            out = np.sign(out) * np.maximum(0, np.abs(out) - t * l1_reg)
-        for idx in gidx.values():
-            nrm = np.linalg.norm(out[idx])
-            thr = t * group_reg * math.sqrt(len(idx))
-            out[idx] = 0.0 if nrm <= thr else out[idx] * (1 - thr / nrm)
-        return out
-
-    beta, b0 = np.zeros(d), 0.0
-    yb, yb0, tk = beta.copy(), b0, 1.0
-    curve = []
-    it = 0
-    for it in range(1, max_iter + 1):
-        g, gb, _ = grad_loss(yb, yb0)
-        new = prox(yb - step * g, step)
-        new_b0 = yb0 - step * gb
-        tk1 = (1 + math.sqrt(1 + 4 * tk * tk)) / 2
-        yb = new + ((tk - 1) / tk1) * (new - beta)
-        yb0 = new_b0 + ((tk - 1) / tk1) * (new_b0 - b0)
-        change = np.linalg.norm(np.append(new - beta, new_b0 - b0)) / max(1.0, np.linalg.norm(np.append(beta, b0)))
-        beta, b0, tk = new, new_b0, tk1
-        pen = sum(group_reg * math.sqrt(len(i)) * np.linalg.norm(beta[i]) for i in gidx.values())
-        curve.append((it, float(grad_loss(beta, b0)[2] + pen) if it % 10 == 0 or change < tol else None))
+    def look(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        def sums(x: np.ndarray) -> np.ndarray:
+            z = np.hstack([(x[:, :-1] - lo) / width, np.ones((len(x), 1))])
+            lin, y = z @ w, x[:, -1]
+            p = 1 / (1 + np.exp(-np.clip(lin, -500, 500)))
+            loss = np.logaddexp(0, lin) - y * lin
+            return np.concatenate([[len(x), loss.sum()], z.T @ (p - y), ((z * (p * (1 - p))[:, None]).T @ z).ravel()])
+        v = matrix_sums(data, [*feats, "label"], sums)
+        n = max(v[0], 1.0)
+        return v[1] / n + _penalty(w[:-1], idx, group_reg, l1_reg), v[2:d + 3] / n, v[d + 3:].reshape(d + 1, d + 1) / n
+
+    w = np.zeros(d + 1)
+    loss, g, h = look(w)
+    path = [(w, loss, math.inf)]
+    while len(path) <= max_iter:
+        target = _model_minimum(g, h + 1e-10 * np.eye(d + 1), w, idx, group_reg, l1_reg)
+        step = 1.0
+        while True:
+            new = w + step * (target - w)
+            new_loss, new_g, new_h = look(new)
+            if new_loss <= loss + 1e-12 or step < 1e-6:
+                break
+            step /= 2
+        change = float(np.linalg.norm(new - w) / max(1.0, np.linalg.norm(w)))
+        w, loss, g, h = new, new_loss, new_g, new_h
+        path.append((w, loss, change))
         if change < tol:
             break
-    lin_f = sum(F.col(c) * F.lit(float(beta[i])) for i, c in enumerate(z)) + F.lit(float(b0))
-    acc = data.agg(F.avg(((lin_f > 0).cast("double") == F.col("y")).cast("double"))).first()[0]
     data.unpersist()
-    gt = spark.createDataFrame(
-        [(g, len(i), float(np.linalg.norm(beta[i])), bool(np.linalg.norm(beta[i]) > 0)) for g, i in gidx.items()],
-        "group string, n_cols int, norm double, selected boolean")
-    cv = spark.createDataFrame([(i, l) for i, l in curve if l is not None], "iteration int, loss double")
-    return gt, cv, float(acc), (beta, b0, scale_info(df, feats))
+    return path, (lo, width)
+
+
+def group_lasso(df: DataFrame, features, groups: dict[str, list[str]], group_reg: float = 0.05,
+                l1_reg: float = 0.0, max_iter: int = 3000, tol: float = 1e-5):
+    """group-lasso logistic regression (group soft-threshold with ``sqrt(|g|)`` weights).
+
+    Returns (groups table, loss curve, training accuracy, (coefficients, intercept, scaling), converged).
+    """
+    feats = list(features)
+    path, scaling = lasso_path(df, feats, groups, group_reg, l1_reg, max_iter, tol)
+    w = path[-1][0]
+    acc = df.select(*[q(c) for c in feats], "label").dropna().agg(
+        F.avg(((_margin(w, feats, scaling) > 0).cast("int") == F.col("label")).cast("double"))).first()[0]
+    norms = {g: float(np.linalg.norm(w[[feats.index(c) for c in cols]])) for g, cols in groups.items()}
+    spark = df.sparkSession
+    gt = spark.createDataFrame([(g, len(groups[g]), n, n > 0) for g, n in norms.items()],
+                               "group string, n_cols int, norm double, selected boolean")
+    curve = spark.createDataFrame([(i, float(x[1])) for i, x in enumerate(path)], "iteration int, loss double")
+    return gt, curve, float(acc), (w[:-1], float(w[-1]), scaling), path[-1][2] < tol
 
 
-def scale_info(df: DataFrame, feats):
-    st = df.agg(*[F.min(q(c)).alias(f"mn{i}") for i, c in enumerate(feats)],
-                *[F.max(q(c)).alias(f"mx{i}") for i, c in enumerate(feats)]).first()
-    return [(float(st[f"mn{i}"]), float(st[f"mx{i}"])) for i in range(len(feats))]
+def _margin(w: np.ndarray, feats, scaling):
+    """The linear score of a row as a column."""
+    lo, width = scaling
+    out = F.lit(float(w[-1]))
+    for i, c in enumerate(feats):
+        out = out + (q(c).cast("double") - F.lit(float(lo[i]))) / F.lit(float(width[i])) * F.lit(float(w[i]))
+    return out
+
 
+def group_lasso_grid(df: DataFrame, features, groups, tols, key: str = "loan_id", folds: int = 5,
+                     group_reg: float = 0.05, l1_reg: float = 0.0, max_iter: int = 3000) -> DataFrame:
+    """k-fold accuracy of the group lasso for each tolerance.
 
-def group_lasso_grid(df: DataFrame, features, groups, tols, key: str = "loan_id", folds: int = 3,
-                     group_reg: float = 0.05, max_iter: int = 200) -> DataFrame:
-    """k-fold accuracy of the group lasso for each tolerance."""
+    One descent to the tightest tolerance per fold passes through the answer of
+    every looser one: the point where the change first falls below it.
+    """
     from riskframe.operators.resample import kfold
-    d = kfold(df.select(key, "label", *[q(c) for c in features]), key, folds, salt="gl").persist()
-    rows = []
-    for tol in tols:
-        accs = []
-        for f in range(folds):
-            tr = d.filter(F.col("fold") != f)
-            te = d.filter(F.col("fold") == f)
-            _, _, _, (beta, b0, sc) = group_lasso(tr, features, groups, group_reg, max_iter=max_iter, tol=tol)
-            # score the held-out fold with the training fold's scaling and intercept
-            lin = F.lit(float(b0))
-            for i, c in enumerate(features):
-                mn, mx = sc[i]
-                lin = lin + (q(c).cast("double") - F.lit(mn)) / F.lit(mx - mn if mx > mn else 1.0) * F.lit(float(beta[i]))
-            accs.append(te.agg(F.avg(((lin > 0).cast("int") == F.col("label")).cast("double"))).first()[0])
-        rows.append((float(tol), float(np.mean(accs))))
+    feats = list(features)
+    d = kfold(df.select(key, "label", *[q(c) for c in feats]), key, folds, salt="gl").persist()
+    scores: dict[float, list[float]] = {t: [] for t in tols}
+    for f in range(folds):
+        path, scaling = lasso_path(d.filter(F.col("fold") != f), feats, groups, group_reg, l1_reg, max_iter, min(tols))
+        at = {t: next((x[0] for x in path if x[2] < t), path[-1][0]) for t in tols}
+        r = d.filter(F.col("fold") == f).agg(*[
+            F.avg(((_margin(w, feats, scaling) > 0).cast("int") == F.col("label")).cast("double")).alias(f"a{i}")
+            for i, w in enumerate(at.values())]).first()
+        for i, t in enumerate(at):
+            scores[t].append(r[f"a{i}"])
     d.unpersist()
-    return df.sparkSession.createDataFrame(rows, "tol double, cv_accuracy double")
+    return df.sparkSession.createDataFrame([(float(t), float(np.mean(a)), folds) for t, a in scores.items()],
+                                           "tol double, cv_accuracy double, folds int")
 
 
 # ---------------------------------------------------------------- F11, F12 Boruta
@@ -237,58 +253,87 @@ def _binom_sf(k: int, n: int) -> float:
     return sum(math.comb(n, i) for i in range(k, n + 1)) / 2 ** n
 
 
-def boruta(df: DataFrame, key: str, features, rounds: int = 8, trees: int = 30, depth: int = 5,
+def _shadows(base: DataFrame, features, n: int, r: int, order: DataFrame) -> DataFrame:
+    """``base`` (with ``_bi``) plus one shuffled copy of every feature.
+
+    ``order`` numbers the rows in this round's random order (``_ri``). Shadow
+    ``i`` of row ``t`` comes from the row numbered ``t`` plus a shift of its own,
+    so every shadow is a random permutation and no two shadows keep a row together.
+    """
+    shifts = [(7919 * (r + 1) * (i + 1) + i) % max(n, 1) for i in range(len(features))]
+    parts = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.pmod(F.col("_ri") + F.lit(s), F.lit(n)).alias("to"),
+                                         q(f).cast("double").alias("v")) for i, (f, s) in enumerate(zip(features, shifts, strict=True))]))
+    long = order.select(parts.alias("s")).select("s.i", F.col("s.to").alias("_bi"), "s.v")
+    wide = long.groupBy("_bi").agg(*[F.max(F.when(F.col("i") == i, F.col("v"))).alias(f"shadow_{i}") for i in range(len(features))])
+    return base.join(wide, "_bi")
+
+
+def boruta(df: DataFrame, key: str, features, max_rounds: int = 100, trees: int = 30, depth: int = 5,
            alpha: float = 0.05) -> tuple[DataFrame, DataFrame]:
     """rounds of forest importance against shuffled shadow copies.
 
-    A hit is an importance above the best shadow of that round; after
-    ``rounds`` the two-sided binomial test (Bonferroni over features)
-    marks Confirmed / Rejected / Tentative. Returns (decisions, history).
+    A hit is an importance above the best shadow of that round. After each
+    round a two-sided binomial test (Bonferroni over all features) confirms or
+    rejects; rejected features leave the race, and it ends when all are decided
+    or after ``max_rounds``. Returns (decisions with importance statistics, history).
     """
     feats = list(features)
     spark = df.sparkSession
-    df = df.select(key, "label", *[q(f) for f in feats]).persist()  # read by every round
-    history = []
-    hits = {f: 0 for f in feats}
-    for r in range(rounds):
-        # shadows: every feature permuted independently, from one long table:
-        # rank rows per feature in an md5 order, pivot back by rank, join on the base rank
-        base = rank_within(df.select(key, "label", *[q(f) for f in feats])
-                           .withColumn("_h0", b(f"bor{r}", q(key))), [], ["_h0", key], out="_bi",
-                           base=0).drop("_h0")
-        long = df.select(key, F.explode(F.array(*[
-            F.struct(F.lit(f"shadow_{i}").alias("sf"), q(f).cast("double").alias("sv"))
-            for i, f in enumerate(feats)])).alias("s")).select(key, "s.sf", "s.sv")
-        long = long.withColumn("_h", b(F.concat(F.lit(f"bor{r}:"), F.col("sf")), q(key)))
-        ranked = rank_within(long, ["sf"], ["_h", key], out="_bi", base=0)
-        shadows = ranked.groupBy("_bi").pivot("sf", [f"shadow_{i}" for i in range(len(feats))]).agg(
-            F.first("sv"))
-        base = base.join(shadows, "_bi")
-        cols = feats + [f"shadow_{i}" for i in range(len(feats))]
-        m = models.fit(base, cols, models.random_forest(trees, depth, seed=42 + r), scaler=None)
+    base = rank_within(df.select(key, "label", *[q(f) for f in feats]).withColumn("_h", b("bor", q(key))), [], ["_h", key],
+                       out="_bi", base=0).drop("_h").persist()  # numbered once, read by every round
+    n = base.count()
+    history, hits = [], dict.fromkeys(feats, 0)
+    decided: dict[str, tuple[str, int]] = {}
+    adj = alpha / len(feats)
+    r = 0
+    while r < max_rounds and len(decided) < len(feats):
+        live = [f for f in feats if decided.get(f, ("", 0))[0] != "Rejected"]
+        order = rank_within(base.select(key, *[q(f) for f in live]).withColumn("_h", b(f"bor{r}", q(key))), [], ["_h", key],
+                            out="_ri", base=0)
+        table = _shadows(base.select("_bi", "label", *[q(f) for f in live]), live, n, r, order)
+        cols = live + [f"shadow_{i}" for i in range(len(live))]
+        m = models.fit(table, cols, models.random_forest(trees, depth, seed=42 + r), scaler=None)
         imp = m.stages[-1].featureImportances.toArray()
-        real, shad = imp[:len(feats)], imp[len(feats):]
-        best_shadow = float(shad.max())
-        for i, f in enumerate(feats):
+        real, best_shadow = imp[:len(live)], float(imp[len(live):].max())
+        r += 1
+        for i, f in enumerate(live):
             hit = real[i] > best_shadow
             hits[f] += int(hit)
-            history.append((r, f, float(real[i]), best_shadow, bool(hit)))
-    rows = []
-    adj = alpha / len(feats)
-    for f in feats:
-        h = hits[f]
-        if _binom_sf(h, rounds) < adj:
-            dec = "Confirmed"
-        elif _binom_sf(rounds - h, rounds) < adj:
-            dec = "Rejected"
-        else:
-            dec = "Tentative"
-        rows.append((f, h, dec))
-    df.unpersist()
-    dec_df = spark.createDataFrame(rows, "feature string, hits int, decision string")
-    hist_df = spark.createDataFrame(history, "round int, feature string, importance double, "
-                                             "max_shadow double, hit boolean")
-    return dec_df, hist_df
+            history.append((r - 1, f, float(real[i]), best_shadow, bool(hit)))
+            if f not in decided:
+                if _binom_sf(hits[f], r) < adj:
+                    decided[f] = ("Confirmed", r)
+                elif _binom_sf(r - hits[f], r) < adj:
+                    decided[f] = ("Rejected", r)
+    base.unpersist()
+    hist = spark.createDataFrame(history, "round int, feature string, importance double, max_shadow double, hit boolean")
+    rows = [(f, hits[f], *decided.get(f, ("Tentative", r))) for f in feats]
+    return importance_statistics(spark.createDataFrame(rows, "feature string, hits int, decision string, decided_in int"), hist), hist
+
+
+def importance_statistics(decisions: DataFrame, history: DataFrame) -> DataFrame:
+    """Mean, median, least and greatest importance and share of hits of every feature."""
+    st = history.groupBy("feature").agg(
+        F.avg("importance").alias("mean_imp"), F.median("importance").alias("median_imp"), F.min("importance").alias("min_imp"),
+        F.max("importance").alias("max_imp"), F.avg(F.col("hit").cast("double")).alias("hit_share"),
+        F.count(F.lit(1)).alias("rounds"))
+    return decisions.join(st, "feature", "left")
+
+
+def binomial_decisions(history: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """F11's test over a whole history: hits and decision of every feature."""
+    per = history.groupBy("feature").agg(F.count(F.lit(1)).alias("rounds"), F.count_if("hit").alias("hits"))
+    n_feats = history.select("feature").distinct().count()
+    pairs = {(r["rounds"], r["hits"]) for r in per.select("rounds", "hits").distinct().collect()}  # at most rounds²
+
+    def decide(n: int, k: int) -> str:
+        return ("Confirmed" if _binom_sf(k, n) < alpha / n_feats else
+                "Rejected" if _binom_sf(n - k, n) < alpha / n_feats else "Tentative")
+
+    e = F.lit(None).cast("string")
+    for n, k in sorted(pairs):
+        e = F.when((F.col("rounds") == n) & (F.col("hits") == k), F.lit(decide(n, k))).otherwise(e)
+    return per.withColumn("decision", e)
 
 
 def tentative_fix(decisions: DataFrame, history: DataFrame) -> DataFrame:
@@ -351,7 +396,7 @@ def lime(model, train: DataFrame, rows: DataFrame, key: str, features, n_samples
     pert = ex.withColumns(dcols)
     pert = pert.select(key, "_s", *dcols.keys(), *[
         (F.col(f"_o{i}") + F.lit(sds[i]) * F.col(f"_d{i}")).alias(c) for i, c in enumerate(feats)])
-    pert = cut_lineage(pert)  # n_rows × n_samples perturbations, written once
+    # the draws are pure functions of (row, sample): a retried task makes the same ones
     sc = models.score(model, pert.withColumn("label", F.lit(0)), feats,
                       keep=(key, "_s", *dcols.keys()))
     names = list(dcols)
@@ -396,14 +441,11 @@ def shapley(model, background: DataFrame, rows: DataFrame, key: str, features, p
     em = r.withColumn("_m", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
     ek = F.concat(F.col(key).cast("string"), F.lit(":"), F.col("_m").cast("string"))
     em = em.withColumn("_bi", b60(salt + "pick", ek) % nbg).join(bg, "_bi")
-    # position of each feature in the order of (row, sample): rank of md5 among the d features
-    em = em.withColumns({f"_h{i}": b(F.concat(F.lit(salt + ":" + f + ":"), ek), F.lit(""))
-                         for i, f in enumerate(feats)})
-    hs = [F.col(f"_h{i}") for i in range(d)]
-    pos = {f: sum(F.when((hs[j] < hs[i]) | ((hs[j] == hs[i]) & F.lit(j < i)), 1).otherwise(0)
-                  for j in range(d) if j != i) for i, f in enumerate(feats)}
-    em = em.withColumns({"_pos_" + f: p for f, p in pos.items()}) if d > 1 else em.withColumn(
-        "_pos_" + feats[0], F.lit(0))
+    # position of each feature in the order of (row, sample): the features sorted by md5
+    drawn = F.array(*[F.struct(b(F.concat(F.lit(salt + ":" + f + ":"), ek), F.lit("")).alias("h"), F.lit(i).alias("i"))
+                      for i, f in enumerate(feats)])
+    em = em.withColumn("_order", F.transform(F.array_sort(drawn), lambda x: x["i"]))
+    em = em.withColumns({"_pos_" + f: (F.array_position("_order", i) - 1).cast("int") for i, f in enumerate(feats)}).drop("_order")
     steps = em.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(d))))
     steps = steps.withColumns({f: F.when(F.col("_pos_" + f) < F.col("_k"), q(f)).otherwise(F.col("_bg_" + f))
                                for f in feats})
