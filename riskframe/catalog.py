@@ -19,6 +19,7 @@ from riskframe.functions.columns import q
 from riskframe.operators import clean, corr, evaluate as ev, profile, resample, select, trials
 from riskframe.sources import fixtures as fx
 from riskframe.sources import tables
+from riskframe.session import cut_lineage
 
 CONT = ["loan_amnt", "funded_amnt", "installment", "int_rate", "annual_inc", "n_items", "avg_disc"]
 STRING_RAW = ["term", "grade", "home_ownership", "initial_list_status", "hardship_flag", "title",
@@ -78,6 +79,12 @@ def p8(s, d):
     return clean.recode_status(fx.loans_raw(s, d).select("loan_id", "loan_status"))
 
 
+def p8_unmatched(s, d):
+    """Status texts without a label, and how many loans have them (here: the two last texts are taken out of the map)."""
+    known = dict(list(clean.STATUS_TO_LABEL.items())[:-2])
+    return clean.unmatched_status(fx.loans_raw(s, d), mapping=known)
+
+
 def p9(s, d):
     return clean.recode_levels(fx.loans_raw(s, d).select("loan_id", *fx.FLAG_MAPS), fx.FLAG_MAPS)
 
@@ -168,7 +175,7 @@ def a6(s, d):
 
 
 def a7(s, d):
-    return profile.kde(fx.loans_model(s, d), "int_rate", by="label", grid=64)
+    return profile.kde_all(fx.loans_model(s, d), CONT, by="label", grid=64)
 
 
 def a8(s, d):
@@ -203,6 +210,20 @@ def a14(s, d):
     return profile.schema_report(loans_raw=fx.loans_raw(s, d), loans_model=fx.loans_model(s, d))
 
 
+def a14_diff(s, d):
+    rep = profile.schema_report(loans_raw=fx.loans_raw(s, d), loans_model=fx.loans_model(s, d))
+    return profile.schema_diff(rep, "loans_raw", "loans_model")
+
+
+def a4_levels(s, d):
+    return profile.level_summary(fx.loans_raw(s, d), STRING_RAW)
+
+
+def a10_full(s, d):
+    raw = clean.blank_to_null(fx.loans_raw(s, d)).drop("issue_d")
+    return profile.full_profile(raw, "loan_id", top=5)
+
+
 # ---------------------------------------------------------------- C: correlation
 def _spearman(s, d):
     m = fx.loans_model(s, d)
@@ -232,6 +253,28 @@ def c5(s, d):
     return corr.pca(m, CONT)[0]
 
 
+def c4_pairs(s, d):
+    """VIF of every pair of continuous columns: 1 / (1 - r²)."""
+    m = fx.loans_model(s, d)
+    g, _, _ = corr.gram(m, CONT, True)
+    pairs = [(i, j) for i in range(len(CONT)) for j in range(i + 1, len(CONT)) if {CONT[i], CONT[j]} != {"loan_amnt", "funded_amnt"}
+             and "installment" not in (CONT[i], CONT[j])]
+    rows = [(CONT[i], CONT[j], corr.vif_table(g[np.ix_([i, j], [i, j])], [CONT[i], CONT[j]], True)[0][1]) for i, j in pairs]
+    return s.createDataFrame(rows, "feature_a string, feature_b string, vif double")
+
+
+def c6_products(s, d):
+    """Sum over components of coord_i · coord_j: all components together give back the correlation."""
+    v = c6(s, d)
+    a, b_ = (v.select("component", F.col("feature").alias(f"feature_{x}"), F.col("coord").alias(f"_{x}")) for x in "ab")
+    return (a.join(b_, "component").filter("feature_a < feature_b").groupBy("feature_a", "feature_b")
+            .agg(F.sum(F.col("_a") * F.col("_b")).alias("rho")))
+
+
+def a11_sample(s, d):
+    return a11(s, d).drop("theoretical_q")
+
+
 def c6(s, d):
     m = fx.loans_model(s, d)
     return corr.pca(m, CONT)[1]
@@ -278,6 +321,29 @@ def e10(s, d):
     return ev.evaluation_matrix(fx.scores(s, d), EVAL_KEYS)
 
 
+def e10_models(s, d):
+    """Two models x two training sets (upsampled, SMOTE) x one test set, each loaded from its saved folder."""
+    return ev.evaluation_matrix(_model_matrix(s, d), ["model", "train_set", "test_set"])
+
+
+def _model_matrix(s, d):
+    from riskframe.operators import models
+    m, train, test, feats = _split_model(s, d)
+    sets = {"upsampled": resample.upsample(train, "loan_id").select("label", *[q(c) for c in feats]),
+            "smote": _loan_smote(s, d).select("label", *[q(c) for c in feats])}
+    out = None
+    for train_set, rows in sets.items():
+        rows = rows.persist()
+        for name, est in (("logistic", models.logistic(0.0, 0.0, 50)), ("gbt", models.gbt(10, 3))):
+            path = _scratch(s, f"model-{name}-{train_set}")
+            models.save(models.fit(rows, feats, est), path)
+            scored = models.score(models.load(path), test, feats).select(
+                F.lit(name).alias("model"), F.lit(train_set).alias("train_set"), F.lit("test").alias("test_set"), "*")
+            out = scored if out is None else out.unionByName(scored)
+        rows.unpersist()
+    return out
+
+
 def e11(s, d):
     return ev.sensitivity_specificity(ev.confusion(fx.scores(s, d), EVAL_KEYS), EVAL_KEYS)
 
@@ -287,6 +353,10 @@ def e12(s, d):
 
 
 def e13(s, d):
+    return e13_tests(s, d).drop("accuracy_low", "accuracy_high", "accuracy_p", "mcnemar_p")
+
+
+def e13_tests(s, d):
     return ev.confusion_statistics(ev.confusion(fx.scores(s, d), EVAL_KEYS), EVAL_KEYS)
 
 
@@ -313,7 +383,6 @@ def f10(s, d):
 
 
 def _selected(s, d):
-    from riskframe.session import cut_lineage
     mv = cut_lineage(_mv(s, d))  # one row per feature: pin it once for the three cut-offs
     a = select.quantile_cutoff(mv, "mv", 0.7).select(F.lit("mvsis").alias("method"), "feature")
     b = select.quantile_cutoff(mv, "kf", 0.7).select(F.lit("kolmogorov").alias("method"), "feature")
@@ -392,9 +461,14 @@ def m14_grid(s, d):
 
 
 # ---------------------------------------------------------------- M: models
+HELD: list[DataFrame] = []  # persisted while a query runs, see ``rounded``
+
+
 def _split_model(s, d):
     m = fx.loans_model(s, d)
-    sp = resample.train_test_split(m, "loan_id")
+    # every fit, scaler and score of the query reads this table
+    sp = resample.train_test_split(m, "loan_id").persist()
+    HELD.append(sp)
     train = sp.filter(F.col("split") == "train").drop("split")
     test = sp.filter(F.col("split") == "test").drop("split")
     return m, train, test, model_features(m)
@@ -516,6 +590,15 @@ def _boost(s, d, style, params, validation=False):
     return ev_m, mapping
 
 
+def boosting_params(s, d):
+    """Every parameter of the three styles, its Spark parameter and whether it is applied.
+
+    The models are fitted on the loans, so the table says what was applied in a real fit."""
+    parts = [_boost(s, d, style, params, validation=style == "catboost")[1]
+             for style, params in (("xgboost", XGB_PARAMS), ("lightgbm", LGB_PARAMS), ("catboost", CAT_PARAMS))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def m11(s, d):
     return _boost(s, d, "xgboost", XGB_PARAMS)[0]
 
@@ -670,7 +753,9 @@ def h6(s, d):
     from riskframe.operators.search import kfold_auc
     m, train, test, feats = _split_model(s, d)
     folds = resample.kfold(train, "loan_id", 3)
-    aucs = kfold_auc(folds, feats, lambda: _gbt_from({"maxIter": 10, "maxDepth": 3, "stepSize": 0.1}), 3)
+    # the minority is raised inside each fold's training rows, so no copy of a row crosses folds
+    aucs = kfold_auc(folds, feats, lambda: _gbt_from({"maxIter": 10, "maxDepth": 3, "stepSize": 0.1}), 3,
+                     rebalance=lambda tr: resample.upsample(tr, "loan_id").drop("draw"))
     rows = [(i, float(a)) for i, a in enumerate(aucs)] + [(-1, float(1.0 - np.mean(aucs)))]
     return s.createDataFrame(rows, "fold int, value double").withColumn(
         "stat", F.when(F.col("fold") < 0, F.lit("loss")).otherwise(F.lit("auc")))
@@ -686,21 +771,12 @@ def h7(s, d):
 
 
 def h8(s, d, patience: int = 10):
-    from riskframe.operators import models
-    tr, va, test, feats = _val_split(s, d)
-    m = models.fit(tr, feats, models.gbt(30, 3, 0.1), scaler=None)
-    va_s, legal = models.safe_features(va, feats)
-    prep = models.PipelineModel(stages=m.stages[:-1])
-    losses = m.stages[-1].evaluateEachIteration(prep.transform(va_s))
-    best, best_i, stop = float("inf"), 0, len(losses)
-    for i, l in enumerate(losses):
-        if l < best:
-            best, best_i = l, i
-        elif i - best_i >= patience:
-            stop = i + 1
-            break
-    rows = [(i + 1, float(l), i == best_i, i < stop) for i, l in enumerate(losses)]
-    return s.createDataFrame(rows, "iteration int, val_loss double, best boolean, evaluated boolean")
+    """Cross-validated AUC after every boosting round; the search ends ``patience`` rounds after the best."""
+    from riskframe.operators.search import boosting_rounds
+    m, train, test, feats = _split_model(s, d)
+    folds = resample.kfold(train, "loan_id", 3)
+    rows = boosting_rounds(folds, feats, depth=3, step=0.1, max_rounds=100, patience=patience, folds=3)
+    return s.createDataFrame(rows, "iteration int, mean_auc double, best boolean, stopped boolean")
 
 
 def h9(s, d):
@@ -841,6 +917,54 @@ def f11(s, d):
     return _boruta(s, d)[0]
 
 
+def _history(s, d):
+    """Rounds of twelve features with md5 importances: a feature's chance of a hit grows with its number."""
+    from riskframe.functions.rand import b as draw
+    c = tables.table(s, d, "customer").select("c_custkey")
+    f = F.col("c_custkey") % 12
+    x = draw("hist", F.col("c_custkey")) % 1000
+    return c.select((F.floor(F.col("c_custkey") / 12)).cast("int").alias("round"), F.concat(F.lit("f"), f.cast("string")).alias("feature"),
+                    (x.cast("double") / 1000 + f / 24.0).alias("importance"), F.lit(0.75).alias("max_shadow"),
+                    (x.cast("double") / 1000 + f / 24.0 > 0.75).alias("hit"))
+
+
+def f11_decisions(s, d):
+    from riskframe.operators import explain
+    return explain.binomial_decisions(_history(s, d))
+
+
+def f12_decisions(s, d):
+    from riskframe.operators import explain
+    h = _history(s, d)
+    return explain.tentative_fix(explain.binomial_decisions(h).drop("rounds"), h)
+
+
+LINEAR = {"int_rate": 0.04, "term_ 60 months": 0.1, "grade_E": 0.15, "n_items": -0.01}
+
+
+def _linear(df):
+    """A fixed linear score, so that SQL can follow an explanation step by step."""
+    return sum((q(c).cast("double") * F.lit(w) for c, w in LINEAR.items()), F.lit(0.0))
+
+
+def f3_linear(s, d):
+    from riskframe.operators import explain
+    m, train, test, feats = _split_model(s, d)
+    return explain.permutation_importance(_linear, test, "loan_id", list(LINEAR), repeats=3)
+
+
+def x4_linear(s, d):
+    from riskframe.operators import explain
+    m, train, test, feats = _split_model(s, d)
+    return explain.shapley(_linear, train, test, "loan_id", list(LINEAR), permutations=4)[0]
+
+
+def f4_linear(s, d):
+    from riskframe.operators import explain
+    m, train, test, feats = _split_model(s, d)
+    return explain.shapley(_linear, train, test, "loan_id", list(LINEAR), permutations=4)[1]
+
+
 def f12(s, d):
     from riskframe.operators import explain
     dec, hist = _boruta(s, d)
@@ -922,8 +1046,15 @@ def t8(s, d):
     return trials.contour(_done(s, d), "learning_rate", "max_depth", "value", bins=5)
 
 
+def t9_spearman(s, d):
+    """Rank correlation of every parameter with the metric."""
+    t = _done(s, d).select("iteration", "value", *TRIAL_PARAMS)
+    return corr.spearman(t, "iteration", ["value", *TRIAL_PARAMS]).filter("feature_a = 'value'").select(
+        F.col("feature_b").alias("param"), "rho")
+
+
 def t10(s, d):
-    return profile.kde(_done(s, d), "learning_rate", grid=64)
+    return profile.kde_all(_done(s, d), TRIAL_PARAMS, grid=64, name="param")
 
 
 def t11(s, d):
@@ -988,30 +1119,37 @@ def s7(s, d):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "P1": p1, "P2": p2, "P3": p3, "P4": p4, "P5": p5, "P6": p6, "P7": p7, "P8": p8, "P9": p9,
+    "P1": p1, "P2": p2, "P3": p3, "P4": p4, "P5": p5, "P6": p6, "P7": p7, "P8": p8, "P8_unmatched": p8_unmatched, "P9": p9,
     "P10": p10, "P11": p11, "P12": p12, "P13": p13, "P14": p14, "P15": p15, "P16": p16, "P17": p17,
     "P18": p18, "P19": p19, "P20": p20, "P21": p21, "P22": p22,
     "A1": a1, "A2": a2, "A3": a3, "A4": a4, "A5": a5, "A6": a6, "A7": a7, "A8": a8, "A9": a9,
-    "A10": a10, "A11": a11, "A12": a12, "A13": a13, "A14": a14,
-    "C1": c1, "C2": c2, "C3": c3, "C4": c4, "C5": c5, "C6": c6,
+    "A10": a10, "A11": a11, "A12": a12, "A13": a13, "A14": a14, "A14_diff": a14_diff, "A4_levels": a4_levels, "A10_full": a10_full,
+    "C1": c1, "C2": c2, "C3": c3, "C4": c4, "C5": c5, "C6": c6, "C4_pairs": c4_pairs, "C6_products": c6_products, "A11_sample": a11_sample,
     "E1": e1, "E2": e2, "E3": e3, "E4": e4, "E5": e5, "E6": e6, "E7": e7, "E8": e8, "E9": e9,
-    "E10": e10, "E11": e11, "E12": e12, "E13": e13,
+    "E10": e10, "E10_models": e10_models, "E11": e11, "E12": e12, "E13": e13, "E13_tests": e13_tests,
     "F7": f7, "F8": f8, "F9": f9, "F10": f10, "F13": f13, "F14": f14,
     "R1": r1, "R2": r2, "R3": r3, "R4": r4, "R4_points": r4_points, "R5": r5, "R6": r6, "M14": m14, "M14_grid": m14_grid,
     "T1": t1, "T2": t2, "T3": t3, "T4": t4, "T5": t5, "T6": t6, "T7": t7, "T8": t8, "T10": t10,
     "T11": t11, "T12": t12, "T13": t13, "T14": t14, "S8": s8, "H4": h4,
     "S1": s1, "S2": s2, "S3": s3, "S4": s4, "S5": s5, "S6": s6, "S7": s7,
     "M1": m1, "M2": m2, "M3": m3, "M4": m4, "M5": m5, "M6": m6, "M7": m7, "M8": m8, "M9": m9, "M10": m10,
-    "M11": m11, "M12": m12, "M13": m13, "M15": m15, "F15": f15,
+    "M11": m11, "M12": m12, "M13": m13, "boosting_params": boosting_params, "M15": m15, "F15": f15,
     "H1": h1, "H2": h2, "H3": h3, "H5": h5, "H6": h6, "H7": h7, "H8": h8, "H9": h9, "H10": h10,
     "H11": h11, "H12": h12, "F1": f1, "F2": f2, "F3": f3, "F4": f4, "F5": f5, "F5_curve": f5_curve, "F6": f6, "F11": f11,
-    "F12": f12, "X1": x1, "X2": x2, "X3": x3, "X4": x4, "T9": t9, "M16": m16, "M17": m17, "M18": m18, "M19": m19,
+    "F12": f12, "X1": x1, "X2": x2, "X3": x3, "X4": x4, "T9": t9, "T9_spearman": t9_spearman, "F11_decisions": f11_decisions, "F12_decisions": f12_decisions, "F3_linear": f3_linear,
+    "X4_linear": x4_linear, "F4_linear": f4_linear, "M16": m16, "M17": m17, "M18": m18, "M19": m19,
 }
 
 
 def rounded(fn):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return round_doubles(fn(spark, sf_dir))
+        out = round_doubles(fn(spark, sf_dir))
+        if HELD:
+            # the fits are done: write the result and let go of the tables they read
+            out = cut_lineage(out)
+            while HELD:
+                HELD.pop().unpersist()
+        return out
     run.__name__ = fn.__name__
     run.__doc__ = fn.__doc__
     return run

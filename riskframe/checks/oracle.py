@@ -85,6 +85,8 @@ def _p():
     out["P7"] = W_RAW + (f"SELECT count(*) AS n_rows, count(*) FILTER (WHERE {anynull}) AS n_incomplete, "
                          f"count(*) - count(*) FILTER (WHERE {anynull}) AS n_complete FROM ({RAW_P1})")
     out["P8"] = W_RAW + f"SELECT loan_id, CAST({fs._STATUS_CASE} AS INTEGER) AS label FROM loans_raw"
+    out["P8_unmatched"] = W_RAW + ("SELECT loan_status AS value, count(*) AS n FROM loans_raw WHERE loan_status IN "
+                                   "('Does not meet the credit policy. Status:Charged Off', 'Default') GROUP BY loan_status")
     out["P9"] = W_RAW + ("SELECT loan_id, CASE initial_list_status WHEN 'f' THEN 0 WHEN 'w' THEN 1 END "
                          "AS initial_list_status, CASE hardship_flag WHEN 'N' THEN 0 WHEN 'Y' THEN 1 END "
                          "AS hardship_flag FROM loans_raw")
@@ -150,15 +152,17 @@ def _a():
                   FROM ({lgc}) l JOIN (SELECT feature, min(value) AS _lo, max(value) AS _hi FROM ({lgc})
                                        GROUP BY feature) r USING (feature))
             GROUP BY feature, {byc}bin, _lo, _hi""", ["bin_lo", "bin_hi"])
-    out["A7"] = rnd(W_MODEL + """SELECT label, i AS grid_i, _lo + (_hi - _lo) * (i / 63.0::DOUBLE) AS x,
+    def density(c):
+        return f"""SELECT '{c}' AS feature, label, i AS grid_i, _lo + (_hi - _lo) * (i / 63.0::DOUBLE) AS x,
               sum(exp(-0.5 * pow(((_lo + (_hi - _lo) * (i / 63.0::DOUBLE)) - x) / _h, 2)))
                 / (_n * _h * sqrt(2 * pi())) AS density
-            FROM (SELECT m.label, m.int_rate AS x, s._n, s._lo, s._hi, s._sd * pow(s._n, -0.2) AS _h
-                  FROM loans_model m JOIN (SELECT label, count(*) AS _n, stddev_samp(int_rate) AS _sd,
-                                                  min(int_rate) AS _lo, max(int_rate) AS _hi
+            FROM (SELECT m.label, m.{c}::DOUBLE AS x, s._n, s._lo, s._hi, s._sd * pow(s._n, -0.2) AS _h
+                  FROM loans_model m JOIN (SELECT label, count({c}) AS _n, stddev_samp({c}) AS _sd,
+                                                  min({c})::DOUBLE AS _lo, max({c})::DOUBLE AS _hi
                                            FROM loans_model GROUP BY label) s USING (label)) d,
                  range(64) AS g(i)
-            GROUP BY label, i, _lo, _hi, _n, _h""", ["x", "density"])
+            GROUP BY label, i, _lo, _hi, _n, _h"""
+    out["A7"] = rnd(W_MODEL + " UNION ALL ".join(map(density, CONT)), ["x", "density"])
     lgl = long_sql("loans_model", ["label"], CONT)
     out["A8"] = rnd(W_MODEL + f"""SELECT l.feature, l.label, q.q1, q.median, q.q3,
               min(CASE WHEN l.value BETWEEN q.q1 - 1.5 * (q.q3 - q.q1) AND q.q3 + 1.5 * (q.q3 - q.q1) THEN l.value END) AS whisker_lo,
@@ -193,9 +197,43 @@ def _a():
          f"FROM loans_raw" for c, t in RAW_TYPES]
         + [f"SELECT 'loans_model', '{c}', '{t}', count({qi(c)}) FROM loans_model" for c, t in MODEL_TYPES])
     out["A14"] = W_MODEL + rep
+    model_types = dict(MODEL_TYPES)
+    gone = [c for c, t in RAW_TYPES if model_types.get(c) != t]
+    out["A14_diff"] = W_RAW + " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, '{t}' AS data_type FROM (SELECT count(*) FROM loans_raw)" for c, t in RAW_TYPES if c in gone)
+    lev = " UNION ALL ".join(f"SELECT '{c}' AS feature, {c} AS level FROM loans_raw" for c in STRING_RAW)
+    out["A4_levels"] = W_RAW + f"SELECT feature, level, count(*) AS n FROM ({lev}) GROUP BY feature, level"
+    out["A10_full"] = _full_profile()
     return out
 
 
+def _full_profile():
+    """Per column of the raw loans (blank texts null): the items, each from its definition."""
+    nums = [c for c, t in RAW_TYPES if t in ("bigint", "double", "int") and c != "loan_id"]
+    texts = [c for c, t in RAW_TYPES if t == "string"]
+    src = "p1"
+    head = W_RAW.rstrip() + ", p1 AS (" + RAW_P1 + ")"
+    parts = []
+    for c in [*nums, *texts]:
+        parts.append(f"SELECT '{c}', 'pct_missing', NULL, round(100.0::DOUBLE * avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0 END), 1) FROM {src}")
+        parts.append(f"SELECT '{c}', 'n_unique', NULL, count(DISTINCT {c})::DOUBLE FROM {src}")
+    for c in nums:
+        for item, e in (("min", f"min({c})"), ("q1", f"quantile_cont({c}::DOUBLE, 0.25)"), ("median", f"median({c}::DOUBLE)"), ("mean", f"avg({c})"),
+                        ("q3", f"quantile_cont({c}::DOUBLE, 0.75)"), ("max", f"max({c})"), ("n_na", f"count(*) - count({c})")):
+            parts.append(f"SELECT '{c}', '{item}', NULL, ({e})::DOUBLE FROM {src}")
+    for c in texts:
+        parts.append(f"SELECT '{c}', 'top', {c}, n::DOUBLE FROM (SELECT {c}, count(*) AS n FROM {src} WHERE {c} IS NOT NULL GROUP BY {c} "
+                     f"ORDER BY n DESC, {c} LIMIT 5)")
+    # a column's ranks are among its own values; a pair's correlation is over the rows that have both
+    ranked = ", ".join(f"CASE WHEN {c} IS NULL THEN NULL ELSE rank() OVER (ORDER BY {c}) "
+                       f"+ (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 END AS r_{c}" for c in nums)
+    for i, a in enumerate(nums):
+        for b in nums[i + 1:]:
+            parts.append(f"SELECT '{a}', 'spearman', '{b}', CASE WHEN isnan(corr(r_{a}, r_{b})) THEN NULL ELSE corr(r_{a}, r_{b}) END FROM rk")
+    body = " UNION ALL ".join(parts)
+    return rnd(head + f", rk AS (SELECT {ranked} FROM p1) SELECT * FROM ({body}) t(column_name, item, label, value)", ["value"])
+
+
 def _ranks_sql():
     lg = " UNION ALL ".join(
         f"SELECT loan_id, {i} AS fi, '{c}' AS feature, CAST({qi(c)} AS DOUBLE) AS value FROM loans_model"
@@ -297,6 +335,8 @@ def _e():
             {_safe('tp', n)} AS detection_rate, {_safe('tp + fp', n)} AS detection_prevalence FROM cm""",
                      ["accuracy", "nir", "kappa", "balanced_accuracy", "prevalence", "ppv", "npv",
                       "detection_rate", "detection_prevalence"])
+    # the exact interval and the p-values have no closed SQL form here: the registered query with
+    # them is E13_tests, held against direct binomial sums in the tests
     return out
 
 
@@ -461,11 +501,11 @@ def _t():
               FROM ({lg}) l JOIN (SELECT param, min(param_value) AS lo, max(param_value) AS hi FROM ({lg}) GROUP BY param)
               USING (param)""", ["value", "scaled"]),
         "T7": rnd(wc + lg, ["value", "param_value"]),
-        "T10": rnd(wc + """SELECT i AS grid_i, _lo + (_hi - _lo) * (i / 63.0::DOUBLE) AS x,
+        "T10": rnd(wc + " UNION ALL ".join(f"""SELECT '{c}' AS param, i AS grid_i, _lo + (_hi - _lo) * (i / 63.0::DOUBLE) AS x,
               sum(exp(-0.5 * pow(((_lo + (_hi - _lo) * (i / 63.0::DOUBLE)) - x) / _h, 2))) / (_n * _h * sqrt(2 * pi())) AS density
-            FROM (SELECT learning_rate AS x, s.* FROM done, (SELECT count(*) AS _n, min(learning_rate) AS _lo,
-                  max(learning_rate) AS _hi, stddev_samp(learning_rate) * pow(count(*), -0.2) AS _h FROM done) s) d,
-                 range(64) AS g(i) GROUP BY i, _lo, _hi, _n, _h""", ["x", "density"]),
+            FROM (SELECT {c}::DOUBLE AS x, s.* FROM done, (SELECT count(*) AS _n, min({c})::DOUBLE AS _lo,
+                  max({c})::DOUBLE AS _hi, stddev_samp({c}) * pow(count(*), -0.2) AS _h FROM done) s) d,
+                 range(64) AS g(i) GROUP BY i, _lo, _hi, _n, _h""" for c in TRIAL_PARAMS), ["x", "density"]),
         "T11": rnd(wc + f"""SELECT param, regr_slope(param_value, CAST(iteration AS DOUBLE)) AS slope,
               regr_intercept(param_value, CAST(iteration AS DOUBLE)) AS intercept,
               regr_r2(param_value, CAST(iteration AS DOUBLE)) AS r2
@@ -531,8 +571,68 @@ def _s():
     }
 
 
+def _models():
+    """Explanations of a fixed linear score, and decisions over a history table, from their definitions."""
+    split = f"CASE WHEN {duck_b('split', 'loan_id')} < 0.8 * 4294967296 THEN 'train' ELSE 'test' END"
+    lin = {"int_rate": 0.04, "term_ 60 months": 0.1, "grade_E": 0.15, "n_items": -0.01}
+    w = W_MODEL.rstrip() + f", sp AS (SELECT *, {split} AS _split FROM loans_model), te AS (SELECT * FROM sp WHERE _split = 'test'), tr AS (SELECT * FROM sp WHERE _split = 'train')"
+
+    def score(of):
+        return " + ".join(f"{of[c]}::DOUBLE * {v}::DOUBLE" for c, v in lin.items())
+
+    own = {c: f"a.{qi(c)}" for c in lin}
+    copies = " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, {r} AS rep, avg(CASE WHEN (CASE WHEN {score(own | {c: f'p.{qi(c)}'})} > 0.5 THEN 1 ELSE 0 END) = a.label "
+        f"THEN 1.0::DOUBLE ELSE 0 END) AS acc FROM base a JOIN perm{r} p ON a.i = p.i" for r in range(3) for c in lin)
+    perms = ", ".join(f"perm{r} AS (SELECT *, row_number() OVER (ORDER BY {duck_b(f'perm:{r}', 'loan_id')}, loan_id) AS i FROM te)" for r in range(3))
+    f3 = w + (f", base AS (SELECT *, row_number() OVER (ORDER BY {duck_b('perm:base', 'loan_id')}, loan_id) AS i FROM te), {perms}, "
+              f"b0 AS (SELECT avg(CASE WHEN (CASE WHEN {score(own)} > 0.5 THEN 1 ELSE 0 END) = a.label THEN 1.0::DOUBLE ELSE 0 END) AS acc FROM te a), "
+              f"cp AS ({copies}) SELECT feature, avg(b0.acc - cp.acc) AS weight, stddev_pop(b0.acc - cp.acc) AS std FROM cp, b0 GROUP BY feature")
+    # a linear score has no interactions: every order credits a feature with coefficient · (x - background)
+    pick = duck_b60("shappick", "loan_id || ':' || m")
+    phi = " UNION ALL ".join(f"SELECT e.loan_id, '{c}' AS feature, avg({v}::DOUBLE * (e.{qi(c)}::DOUBLE - g.{qi(c)}::DOUBLE)) AS phi "
+                             f"FROM picks e JOIN bg g ON g.i = e.i GROUP BY e.loan_id" for c, v in lin.items())
+    shap = w + (f", bg AS (SELECT *, row_number() OVER (ORDER BY {duck_b('shapbg', 'loan_id')}, loan_id) - 1 AS i FROM tr), "
+                f"picks AS (SELECT t.*, {pick} % (SELECT count(*) FROM tr) AS i FROM (SELECT te.*, unnest(range(4)) AS m FROM te) t), phi AS ({phi}) ")
+    hist = (f"hist AS (SELECT CAST(c_custkey // 12 AS INTEGER) AS round, 'f' || (c_custkey % 12) AS feature, "
+            f"({duck_b('hist', 'c_custkey')} % 1000)::DOUBLE / 1000 + (c_custkey % 12) / 24.0::DOUBLE AS importance FROM customer), "
+            "per AS (SELECT feature, count(*) AS rounds, count(*) FILTER (WHERE importance > 0.75) AS hits, median(importance) AS med_imp "
+            "FROM hist GROUP BY feature), "
+            "tails AS (SELECT *, (SELECT sum(exp(lgamma(rounds + 1) - lgamma(i + 1) - lgamma(rounds - i + 1) - rounds * ln(2))) "
+            "FROM range(0, 100000) t(i) WHERE i BETWEEN hits AND rounds) AS up, "
+            "(SELECT sum(exp(lgamma(rounds + 1) - lgamma(i + 1) - lgamma(rounds - i + 1) - rounds * ln(2))) "
+            "FROM range(0, 100000) t(i) WHERE i BETWEEN rounds - hits AND rounds) AS down FROM per), "
+            "dec AS (SELECT feature, rounds, hits, med_imp, CASE WHEN up < 0.05 / 12 THEN 'Confirmed' WHEN down < 0.05 / 12 THEN 'Rejected' "
+            "ELSE 'Tentative' END AS decision FROM tails)")
+    pairs = [(a, b) for i, a in enumerate(CONT) for b in CONT[i + 1:] if {a, b} != {"loan_amnt", "funded_amnt"} and "installment" not in (a, b)]
+    srt = sorted(CONT)
+    done = fs.with_(fs.trials_c()).rstrip() + ", done AS (SELECT * FROM trials_c WHERE state = 'COMPLETE') "
+
+    def mid(c):
+        return f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0"
+    ranked = ", ".join(f"{mid(c)} AS {c}" for c in ["value", *TRIAL_PARAMS])
+    return {
+        "F3_linear": rnd(f3, ["weight", "std"]),
+        "X4_linear": rnd(shap + "SELECT * FROM phi", ["phi"]),
+        "F4_linear": rnd(shap + "SELECT feature, avg(abs(phi)) AS mean_abs_phi FROM phi GROUP BY feature", ["mean_abs_phi"]),
+        "F11_decisions": f"WITH {hist} SELECT feature, rounds, hits, decision FROM dec",
+        "F12_decisions": rnd(f"WITH {hist} SELECT feature, hits, decision, med_imp, 0.75::DOUBLE AS med_shadow, "
+                             "CASE WHEN decision <> 'Tentative' THEN decision WHEN med_imp > 0.75 THEN 'Confirmed' ELSE 'Rejected' END AS final FROM dec",
+                             ["med_imp", "med_shadow"]),
+        "C4_pairs": rnd(W_MODEL + " UNION ALL ".join(
+            f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, 1 / (1 - pow(corr({a}, {b}), 2)) AS vif FROM loans_model" for a, b in pairs), ["vif"]),
+        "C6_products": rnd(W_MODEL + " UNION ALL ".join(
+            f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, corr({a}, {b}) AS rho FROM loans_model"
+            for i, a in enumerate(srt) for b in srt[i + 1:]), ["rho"]),
+        "A11_sample": rnd(W_MODEL + f"SELECT CAST(row_number() OVER (ORDER BY x, loan_id) AS BIGINT) AS i, x AS sample_q FROM ("
+                          f"SELECT loan_id, int_rate AS x FROM loans_model ORDER BY {duck_b('qq', 'loan_id')}, loan_id LIMIT 1000)", ["sample_q"]),
+        "T9_spearman": rnd(done + f", rk AS (SELECT {ranked} FROM done) " + " UNION ALL ".join(
+            f"SELECT '{c}' AS param, corr(value, {c}) AS rho FROM rk" for c in TRIAL_PARAMS), ["rho"]),
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     out = {}
-    for part in (_p, _a, _c, _e, _f, _r, _knn, _t, _s, _m):
+    for part in (_p, _a, _c, _e, _f, _r, _knn, _t, _s, _m, _models):
         out.update(part())
     return out

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from riskframe.operators import evaluate as ev
 from riskframe.operators import models, resample
+from riskframe.session import cut_lineage
 from riskframe.sources import fixtures as fx
 
 
@@ -30,4 +31,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = models.fit(up, feats, models.logistic(max_iter=100), scaler="minmax")
     scored = (models.score(model, train, feats).withColumn("split", F.lit("train"))
               .unionByName(models.score(model, test, feats).withColumn("split", F.lit("test")))).persist()
-    return ev.evaluation_matrix(scored, ["split"])
+    out = cut_lineage(ev.evaluation_matrix(scored, ["split"]))  # a row per split
+    for held in (scored, up, split):
+        held.unpersist()
+    return out

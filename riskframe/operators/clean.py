@@ -130,22 +130,25 @@ def recode_levels(df: DataFrame, maps: dict[str, dict]) -> DataFrame:
     return df.withColumns({c: _map_expr(m)[q(c)].cast("int") for c, m in maps.items()})
 
 
-def distinct_levels(df: DataFrame, cols, max_levels: int = 1000) -> dict[str, list]:
-    """Sorted non-null levels per column from one aggregate; refuses unbounded cardinality."""
+def distinct_levels(df: DataFrame, cols, max_levels: int | None = None) -> dict[str, list]:
+    """Sorted non-null levels per column, from one grouped pass.
+
+    Every level becomes a column of the result's schema, so they must reach the
+    driver. ``max_levels`` is the caller's own limit: with it, a column that has
+    more is refused; there is none by default.
+    """
     if not cols:
         return {}
-    # approx count first keeps the collected arrays bounded
-    card = df.agg(*[F.approx_count_distinct(q(c)).alias(c) for c in cols]).first() \
-        if max_levels < 10_000_000 else {c: 0 for c in cols}
-    for c in cols:
-        if card[c] > 2 * max_levels:
-            raise ValueError(f"column {c!r} has ~{card[c]} levels (> {max_levels}); not one-hot encodable")
-    row = df.agg(*[F.array_sort(F.collect_set(q(c))).alias(c) for c in cols]).first()
-    out = {c: list(row[c]) for c in cols}
-    for c, lv in out.items():
-        if len(lv) > max_levels:
-            raise ValueError(f"column {c!r} has {len(lv)} levels (> {max_levels})")
-    return out
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), q(c).cast("string").alias("v")) for c in cols])).alias("s"))
+    levels = long.filter("s.v is not null").groupBy("s.c", "s.v").agg(F.count(F.lit(1)).alias("n"))
+    if max_levels is not None:
+        for r in levels.groupBy("c").count().filter(F.col("count") > max_levels).collect():
+            raise ValueError(f"column {r['c']!r} has {r['count']} levels (> {max_levels})")
+    out: dict[str, list] = {c: [] for c in cols}
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    for r in levels.select("c", "v").collect():
+        out[r["c"]].append(int(r["v"]) if isinstance(kinds[r["c"]], T.IntegralType) else r["v"])
+    return {c: sorted(v) for c, v in out.items()}
 
 
 def one_hot(df: DataFrame, cols, drop_first: bool = True, levels: dict | None = None,

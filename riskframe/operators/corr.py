@@ -64,15 +64,24 @@ def spearman(df: DataFrame, key: str, cols) -> DataFrame:
     Average ranks of a column with ``m`` values have mean exactly
     ``(m + 1) / 2``; when every column is complete (the same ``m`` as the
     row count) that gives the centring for free and the correlation is a
-    single pass. Otherwise the wide table is pinned and means are computed
-    over it (pairwise-complete rows)."""
+    single pass. Otherwise every pair is correlated over the rows that have
+    both values."""
     counts: dict = {}
     wide = rank_columns(df, key, cols, counts)
     n_rows = df.select(key).count()
     if all(counts.get(c) == n_rows for c in cols):
         return pairwise_corr(wide, cols, means={c: (n_rows + 1) / 2.0 for c in cols})
-    from riskframe.session import cut_lineage
-    return pairwise_corr(cut_lineage(wide), cols)
+    # with nulls each pair has rows of its own: the aggregate skips a row that lacks either value
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
+    def rho(a, b):
+        both = q(a).isNotNull() & q(b).isNotNull()
+        x, y = F.when(both, q(a)), F.when(both, q(b))
+        return F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x) * F.var_pop(y)))
+
+    row = wide.agg(*[rho(a, b).alias(f"c{k}") for k, (a, b) in enumerate(pairs)])
+    st = F.explode(F.array(*[F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"),
+                                      F.col(f"c{k}").alias("rho")) for k, (a, b) in enumerate(pairs)]))
+    return row.select(st.alias("s")).select("s.feature_a", "s.feature_b", _nan_to_null(F.col("s.rho")).alias("rho"))
 
 
 def top_pairs(rho: DataFrame, n: int = 10) -> DataFrame:

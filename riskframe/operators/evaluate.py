@@ -8,6 +8,8 @@ ROC/PR curves) go through distinct scores plus distributed running sums.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -154,17 +156,77 @@ def metric_pairs(df: DataFrame, keys=("model",), split: str = "split") -> DataFr
         F.max(F.when(F.col(split) == "test", F.col("v"))).alias("test"))
 
 
+def _log_beta(a: float, b: float) -> float:
+    return math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b)
+
+
+def beta_cdf(x: float, a: float, b: float) -> float:
+    """Regularised incomplete beta function, by its continued fraction (Lentz)."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1.0 - beta_cdf(1 - x, b, a)
+    c, d = 1.0, 1.0 - (a + b) * x / (a + 1)
+    d = 1.0 / (d if abs(d) > 1e-300 else 1e-300)
+    h = d
+    for m in range(1, 10000):
+        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
+                    -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1.0 + num * d
+            c = 1.0 + num / c
+            d = 1.0 / (d if abs(d) > 1e-300 else 1e-300)
+            c = c if abs(c) > 1e-300 else 1e-300
+            h *= d * c
+        if abs(d * c - 1) < 1e-15:
+            break
+    return math.exp(a * math.log(x) + b * math.log1p(-x) - _log_beta(a, b)) * h / a
+
+
+def _beta_quantile(p: float, a: float, b: float) -> float:
+    lo, hi = 0.0, 1.0
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if beta_cdf(mid, a, b) < p else (lo, mid)
+    return (lo + hi) / 2
+
+
+def accuracy_tests(right: int, n: int, nir: float, fp: int, fn: int, level: float = 0.95) -> tuple[float, float, float, float]:
+    """Exact binomial interval of the accuracy, P(X >= right) under the no-information rate,
+    and McNemar's test of fp against fn (continuity-corrected, 1 degree of freedom)."""
+    tail = (1 - level) / 2
+    low = _beta_quantile(tail, right, n - right + 1) if right else 0.0
+    high = _beta_quantile(1 - tail, right + 1, n - right) if right < n else 1.0
+    p_acc = beta_cdf(nir, right, n - right + 1) if right else 1.0
+    stat = max(abs(fp - fn) - 1, 0) ** 2 / (fp + fn) if fp + fn else 0.0
+    return low, high, p_acc, math.erfc(math.sqrt(stat / 2))
+
+
 def confusion_statistics(cm: DataFrame, keys=()) -> DataFrame:
-    """Accuracy, no-information rate, kappa, balanced accuracy, prevalence, PPV, NPV,
-    detection rate and prevalence (positive class = 1)."""
+    """Accuracy with its exact interval and p-value, no-information rate, kappa, balanced
+    accuracy, prevalence, PPV, NPV, detection rate and prevalence, McNemar (positive class = 1).
+
+    The tests are a few numbers per group, computed on the grouped confusion table."""
     tp, tn, fp, fn, n = (F.col(c).cast("double") for c in ("tp", "tn", "fp", "fn", "total"))
     acc = _div(tp + tn, n)
     prev = _div(tp + fn, n)
     pe = _div((tp + fp) * (tp + fn) + (tn + fn) * (tn + fp), n * n)
     kappa = F.when(pe == 1, F.lit(0.0)).otherwise((acc - pe) / (F.lit(1.0) - pe))
     sens, spec = _div(tp, tp + fn), _div(tn, tn + fp)
-    return cm.select(*keys, acc.alias("accuracy"), F.greatest(prev, F.lit(1.0) - prev).alias("nir"),
-                     kappa.alias("kappa"), ((sens + spec) / 2).alias("balanced_accuracy"),
-                     prev.alias("prevalence"), _div(tp, tp + fp).alias("ppv"),
-                     _div(tn, tn + fn).alias("npv"), _div(tp, n).alias("detection_rate"),
-                     _div(tp + fp, n).alias("detection_prevalence"))
+    nir = F.greatest(prev, F.lit(1.0) - prev)
+    names = ("accuracy_low", "accuracy_high", "accuracy_p", "mcnemar_p")
+
+    def tests(parts):
+        for pdf in parts:
+            got = [accuracy_tests(int(r.tp + r.tn), int(r.total), float(r.nir), int(r.fp), int(r.fn)) if r.total else (None,) * 4
+                   for r in pdf.itertuples()]
+            for i, name in enumerate(names):
+                pdf[name] = [g[i] for g in got]
+            yield pdf.drop(columns=["tp", "tn", "fp", "fn", "total"])
+
+    out = cm.select(*keys, "tp", "tn", "fp", "fn", "total", acc.alias("accuracy"), nir.alias("nir"),
+                    kappa.alias("kappa"), ((sens + spec) / 2).alias("balanced_accuracy"),
+                    prev.alias("prevalence"), _div(tp, tp + fp).alias("ppv"),
+                    _div(tn, tn + fn).alias("npv"), _div(tp, n).alias("detection_rate"),
+                    _div(tp + fp, n).alias("detection_prevalence"))
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields if f.name not in ("tp", "tn", "fp", "fn", "total")]
+    return out.mapInPandas(tests, ", ".join(kept + [f"{n} double" for n in names]))

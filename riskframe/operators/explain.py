@@ -35,27 +35,31 @@ def permuted_copies(df: DataFrame, key: str, features, repeats: int = 3, salt: s
                     feature_col: str = "perm_feature") -> DataFrame:
     """Every (feature, repeat) copy of ``df`` with that one feature's values permuted.
 
-    Row ``i`` of copy (f, r) receives feature f from the row whose md5
-    rank under salt (f, r) equals i's base rank. Output has the original
-    columns plus ``perm_feature`` and ``repeat``.
+    A repeat has one random order of the rows; row ``i`` of the base order meets
+    the row that is ``i``-th in it and takes one feature from there, a different
+    one in each copy. The rows are numbered and joined once a repeat; the copies
+    are made while scoring and are never written.
     """
     feats = list(features)
-    base = rank_within(df.withColumn("_h0", b(salt + ":base", q(key))), [], ["_h0", key],
-                       out="_bi", base=0).drop("_h0")
-    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.lit(r).alias("r"))
-                                for f in feats for r in range(repeats)])).alias("_p")
-    long = base.select("*", pairs).select("*", F.col("_p.f").alias(feature_col),
-                                          F.col("_p.r").alias("repeat")).drop("_p")
-    salt_col = F.concat(F.lit(salt + ":"), F.col(feature_col), F.lit(":"), F.col("repeat").cast("string"))
-    donors = long.select(feature_col, "repeat", key,
-                         F.coalesce(*[F.when(F.col(feature_col) == F.lit(f), q(f).cast("double"))
-                                      for f in feats]).alias("_donor"),
-                         b(salt_col, q(key)).alias("_hs"))
-    donors = rank_within(donors, [feature_col, "repeat"], ["_hs", key], out="_bi", base=0).select(
-        feature_col, "repeat", "_bi", "_donor")
-    j = long.join(donors, [feature_col, "repeat", "_bi"])
-    return j.withColumns({f: F.when(F.col(feature_col) == F.lit(f), F.col("_donor")).otherwise(q(f).cast("double"))
-                          for f in feats}).drop("_donor", "_bi")
+    numbered = rank_within(df.withColumn("_h0", b(salt + ":base", q(key))), [], ["_h0", key], out="_bi", base=0).drop("_h0")
+    out = None
+    for r in range(repeats):
+        donors = rank_within(df.select(key, *[q(f) for f in feats]).withColumn("_hs", b(f"{salt}:{r}", q(key))), [], ["_hs", key],
+                             out="_bi", base=0).select("_bi", *[q(f).cast("double").alias(f"_d{i}") for i, f in enumerate(feats)])
+        j = numbered.join(donors, "_bi").withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(len(feats) - 1))))
+        names = F.array(*[F.lit(f) for f in feats])
+        copies = j.select(*[c for c in df.columns if c not in feats], F.get(names, F.col("_i")).alias(feature_col), F.lit(r).alias("repeat"),
+                          *[F.when(F.col("_i") == i, F.col(f"_d{i}")).otherwise(q(f).cast("double")).alias(f) for i, f in enumerate(feats)])
+        out = copies if out is None else out.unionByName(copies)
+    return out
+
+
+def _scored(model, df: DataFrame, features, keep) -> DataFrame:
+    """``model`` is a fitted pipeline, or a function (df) -> Column that gives the score itself."""
+    if callable(model):
+        s = model(df)
+        return df.select(*keep, s.alias("score"), (s > 0.5).cast("int").alias("prediction"))
+    return models.score(model, df, features, keep=keep)
 
 
 def permutation_importance(model, df: DataFrame, key: str, features, repeats: int = 3,
@@ -63,9 +67,9 @@ def permutation_importance(model, df: DataFrame, key: str, features, repeats: in
     """Score drop when one feature is shuffled (mean and std over repeats),
     scored on the data in hand. All copies are scored by one ``transform``."""
     feats = list(features)
-    base_sc = models.score(model, df.select(key, "label", *[q(c) for c in feats]), feats, keep=(key, "label"))
-    copies = permuted_copies(df.select(key, "label", *[q(c) for c in feats]), key, feats, repeats)
-    sc = models.score(model, copies, feats, keep=(key, "label", "perm_feature", "repeat"))
+    own = df.select(key, "label", *[q(c) for c in feats])
+    base_sc = _scored(model, own, feats, (key, "label"))
+    sc = _scored(model, permuted_copies(own, key, feats, repeats), feats, (key, "label", "perm_feature", "repeat"))
     if metric == "auc":
         base = ev.auc(base_sc.withColumn("_g", F.lit(1)), ["_g"]).first()["auc"]
         per = ev.auc(sc, ["perm_feature", "repeat"]).withColumnRenamed("auc", "_s")
@@ -449,8 +453,7 @@ def shapley(model, background: DataFrame, rows: DataFrame, key: str, features, p
     steps = em.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(d))))
     steps = steps.withColumns({f: F.when(F.col("_pos_" + f) < F.col("_k"), q(f)).otherwise(F.col("_bg_" + f))
                                for f in feats})
-    sc = models.score(model, steps.withColumn("label", F.lit(0)), feats,
-                      keep=(key, "_m", "_k", *["_pos_" + f for f in feats]))
+    sc = _scored(model, steps.withColumn("label", F.lit(0)), feats, (key, "_m", "_k", *["_pos_" + f for f in feats]))
     w = Window.partitionBy(key, "_m").orderBy("_k")  # d + 1 rows per (row, sample)
     delta = sc.withColumn("_delta", F.col("score") - F.lag("score").over(w)).filter(F.col("_k") > 0)
     credit = delta.select(key, "_m", "_delta", F.explode(F.array(*[

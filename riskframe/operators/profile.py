@@ -121,7 +121,7 @@ def histogram(df: DataFrame, cols, bins: int = 10, by: str | None = None) -> Dat
                     (F.col("_lo") + (F.col("bin") + 1) * w).alias("bin_hi"), "n")
 
 
-def kde(df: DataFrame, col: str, by: str | None = None, grid: int = 64) -> DataFrame:
+def kde(df: DataFrame, col: str, by: str | list[str] | None = None, grid: int = 64) -> DataFrame:
     """Gaussian kernel density on an even grid from min to max per group.
 
     Bandwidth is Scott's rule ``sd · n^(-1/5)`` per group. Group statistics
@@ -129,7 +129,7 @@ def kde(df: DataFrame, col: str, by: str | None = None, grid: int = 64) -> DataF
     sums are one grouped aggregate with ``grid`` sum expressions: one
     pass, no row expansion, partial sums map-side.
     """
-    keys = [by] if by else []
+    keys = [by] if isinstance(by, str) else list(by or [])
     d = df.select(*[q(k) for k in keys], q(col).cast("double").alias("x")).filter(F.col("x").isNotNull())
     st = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.stddev_samp("x").alias("_sd"),
                               F.min("x").alias("_lo"), F.max("x").alias("_hi"))
@@ -150,6 +150,12 @@ def kde(df: DataFrame, col: str, by: str | None = None, grid: int = 64) -> DataF
                                           F.col("s.x").alias("x"), F.col("s.density").alias("density"))
 
 
+def kde_all(df: DataFrame, cols, by: str | None = None, grid: int = 64, name: str = "feature") -> DataFrame:
+    """A7 / T10 for several columns: the density of each, with its name, in one pass over the long form."""
+    long = to_long(df, [by] if by else [], cols, name=name, value="value")
+    return kde(long, "value", [name, *([by] if by else [])], grid)
+
+
 def box_stats(df: DataFrame, cols, by: str = "label") -> DataFrame:
     """Q1, median, Q3, whiskers at 1.5·IQR and outlier count per (column, group)."""
     long = to_long(df, [by], cols)
@@ -179,6 +185,31 @@ def profile(df: DataFrame) -> DataFrame:
     return qt.join(cs.withColumnRenamed("feature", "column_name"), "column_name", "left")
 
 
+def full_profile(df: DataFrame, key: str, top: int = 5) -> DataFrame:
+    """A10 over numeric and string columns as one long table (column_name, item, label, value):
+    missing share and distinct count (A1), the summary of numeric columns (A4), the ``top`` most
+    frequent levels of string columns (a top-n report), and each numeric pair's Spearman rho (C1)."""
+    from riskframe.operators.corr import spearman
+    nums = [c for c in numeric_columns(df) if c != key]
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    none = F.lit(None).cast("string")
+
+    def items(t: DataFrame, name: str, cols) -> DataFrame:
+        return t.select(F.col(name).alias("column_name"), F.explode(F.array(*[
+            F.struct(F.lit(c).alias("item"), none.alias("label"), F.col(c).cast("double").alias("value")) for c in cols])).alias("s")
+        ).select("column_name", "s.*")
+
+    out = items(quality_table(df.drop(key)), "column_name", ["pct_missing", "n_unique"])
+    out = out.unionByName(items(column_summary(df, nums), "feature", ["min", "q1", "median", "mean", "q3", "max", "n_na"]))
+    levels = level_summary(df, texts).filter(F.col("level").isNotNull())
+    # distinct levels of one column in one window: counts, not rows
+    turn = Window.partitionBy("feature").orderBy(F.desc("n"), "level")
+    out = out.unionByName(levels.withColumn("_r", F.row_number().over(turn)).filter(F.col("_r") <= top).select(
+        F.col("feature").alias("column_name"), F.lit("top").alias("item"), F.col("level").alias("label"), F.col("n").cast("double").alias("value")))
+    return out.unionByName(spearman(df, key, nums).select(
+        F.col("feature_a").alias("column_name"), F.lit("spearman").alias("item"), F.col("feature_b").alias("label"), F.col("rho").alias("value")))
+
+
 def qq_points(df: DataFrame, col: str, key: str, n: int = 1000) -> DataFrame:
     """Sample quantile vs standard-normal quantile on ``n`` sampled rows.
 

@@ -92,19 +92,76 @@ def holdout_metrics(scored: DataFrame) -> dict:
 
 
 def kfold_auc(df: DataFrame, features, make_estimator, folds: int = 3, fold_col: str = "fold",
-              scaler: str | None = None) -> list[float]:
-    """H6: AUC of each fold (fit on the other folds); the loss of a trial is 1 - mean."""
+              scaler: str | None = None, rebalance=None) -> list[float]:
+    """H6: AUC of each fold (fit on the other folds); the loss of a trial is 1 - mean.
+
+    ``rebalance`` is applied to the training rows of each fold, after the folds are cut."""
     from riskframe.operators import evaluate as ev
     from riskframe.operators import models
     out = []
     for f in range(folds):
         tr = df.filter(F.col(fold_col) != f)
         te = df.filter(F.col(fold_col) == f)
+        tr = (rebalance(tr) if rebalance else tr).persist()
         m = models.fit(tr, features, make_estimator(), scaler=scaler)
+        tr.unpersist()
         out.append(ev.auc(models.score(m, te, features)).first()["auc"])
     return out
 
 
+def staged_auc(model, rows: DataFrame, features) -> list[float]:
+    """AUC of a boosted-tree model after each of its rounds, from one pass of scoring.
+
+    The margin after round i is the weighted sum of the first i trees.
+    """
+    from riskframe.operators import evaluate as ev
+    from riskframe.operators import models
+    d, _ = models.safe_features(rows, features)
+    d = models.PipelineModel(stages=model.stages[:-1]).transform(d)
+    last = model.stages[-1]
+    margin = F.lit(0.0)
+    for i, (tree, w) in enumerate(zip(last.trees, last.treeWeights)):
+        tree.setFeaturesCol(last.getFeaturesCol()).setPredictionCol(f"_t{i}")
+        d = tree.transform(d)
+        margin = margin + F.lit(float(w)) * F.col(f"_t{i}")
+        d = d.withColumn(f"_m{i}", margin)
+        margin = F.col(f"_m{i}")
+    n = len(last.treeWeights)
+    long = d.select("label", F.posexplode(F.array(*[F.col(f"_m{i}") for i in range(n)])).alias("round", "score"))
+    got = {r["round"]: r["auc"] for r in ev.auc(long, ["round"]).collect()}  # one row a round
+    return [got[i] for i in range(n)]
+
+
+def boosting_rounds(df: DataFrame, features, depth: int, step: float, max_rounds: int = 100, patience: int = 10,
+                    folds: int = 3, fold_col: str = "fold") -> list[tuple[int, float, bool, bool]]:
+    """H8: mean AUC over folds after every round, stopped ``patience`` rounds after the best.
+
+    Boosting cannot be resumed, so the number of rounds doubles until the stop
+    falls inside it: no more than about twice the rounds that are needed.
+    """
+    from riskframe.operators import models
+    parts = [(df.filter(F.col(fold_col) != f).persist(), df.filter(F.col(fold_col) == f).persist()) for f in range(folds)]
+    n, stop = min(max_rounds, 2 * patience), None
+    while True:
+        each = [staged_auc(models.fit(tr, features, models.gbt(n, depth, step), scaler=None), te, features) for tr, te in parts]
+        mean = [sum(a) / folds for a in zip(*each)]
+        best = 0
+        for i, v in enumerate(mean):
+            best = i if v > mean[best] else best
+            if i - best >= patience:
+                stop = i
+                break
+        if stop is not None or n >= max_rounds:
+            break
+        n = min(max_rounds, 2 * n)
+    for pair in parts:
+        for p in pair:
+            p.unpersist()
+    last = stop if stop is not None else len(mean) - 1
+    best = max(range(last + 1), key=lambda i: (mean[i], -i))
+    return [(i + 1, float(mean[i]), i == best, stop is not None and i == last) for i in range(last + 1)]
+
+
 def cross_validate(df: DataFrame, features, estimator, grid: dict, folds: int = 3, fold_col: str = "fold",
                    metric: str = "areaUnderROC", parallelism: int = 4, scaler: str | None = "minmax"):
     """H1 + H2: grid search with k-fold CV (folds from an md5 fold column, R5).

@@ -12,18 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskframe.functions.rand import b
+from riskframe.operators.clean import STATUS_TO_LABEL
 from riskframe.sources.tables import table
 
-# Loan-status texts of the reference's label recode.
-GOOD_STATUS = ["Fully Paid", "In Grace Period", "Current"]
-BAD_STATUS = [
-    "Charged Off",
-    "Late (31-120 days)",
-    "Late (16-30 days)",
-    "Does not meet the credit policy. Status:Fully Paid",
-    "Does not meet the credit policy. Status:Charged Off",
-    "Default",
-]
+GOOD_STATUS = [s for s, bad in STATUS_TO_LABEL.items() if not bad]
+BAD_STATUS = [s for s, bad in STATUS_TO_LABEL.items() if bad]
 # Fixture's own choice: market segment -> home ownership level.
 HOME_OWNERSHIP = {"AUTOMOBILE": "RENT", "BUILDING": "OWN", "FURNITURE": "MORTGAGE",
                   "HOUSEHOLD": "OTHER", "MACHINERY": "NONE"}
@@ -105,31 +98,45 @@ FLAG_MAPS = {"initial_list_status": {"f": 0, "w": 1}, "hardship_flag": {"N": 0,
 ONE_HOT_COLS = ["term", "grade", "home_ownership"]
 
 
+# (application, versions of the input files) -> (columns kept by P2, one-hot levels of P10)
 _CLEANING_FITS: dict = {}
 
 
-def loans_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _versions(spark: SparkSession, sf_dir: str) -> tuple:
+    """Path, size and time of change of every file the loans are built from."""
+    out = []
+    for name in ("orders", "lineitem", "customer"):
+        files = table(spark, sf_dir, name).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+        out += sorted(map(tuple, files.collect()))  # one row a file
+    return tuple(out)
+
+
+def fit_cleaning(spark: SparkSession, sf_dir: str) -> tuple[list[str], dict]:
+    """The data-dependent decisions of the cleaning chain, like a fitted estimator's."""
+    from riskframe.operators import clean
+    src = clean.blank_to_null(loans_raw(spark, sf_dir)).persist()  # the fit reads it three times
+    kept = clean.drop_sparse_columns(src, max_null_share=0.05).columns
+    pre = clean.recode_levels(clean.recode_status(clean.complete_cases(
+        clean.drop_columns(src.select(*kept), DATE_COLS), COMPLETE_CASE_COLS), "loan_status", "label"), FLAG_MAPS)
+    fitted = (kept, clean.distinct_levels(pre, ONE_HOT_COLS))
+    src.unpersist()
+    return fitted
+
+
+def loans_model(spark: SparkSession, sf_dir: str, fitted: tuple | None = None) -> DataFrame:
     """P1 -> P2 -> P5 -> P6 -> P8 -> P9 -> P10 over loans_raw; ``label`` last.
 
-    The data-dependent decisions (columns kept by P2, one-hot levels of
-    P10) are learned once per input folder, like a fitted estimator;
-    later calls only rebuild the lazy plan.
+    ``fitted`` passes the decisions explicitly. Otherwise they are learned once
+    per application and version of the input files.
     """
     from riskframe.operators import clean
-    df = clean.blank_to_null(loans_raw(spark, sf_dir))
-    key = (id(spark), sf_dir)
-    fitted = _CLEANING_FITS.get(key)
     if fitted is None:
-        src = df.persist()  # the fit reads it three times; only the first pass scans parquet
-        kept = clean.drop_sparse_columns(src, max_null_share=0.05).columns
-        pre = clean.recode_levels(clean.recode_status(clean.complete_cases(
-            clean.drop_columns(src.select(*kept), DATE_COLS), COMPLETE_CASE_COLS), "loan_status", "label"),
-            FLAG_MAPS)
-        fitted = (kept, clean.distinct_levels(pre, ONE_HOT_COLS))
-        src.unpersist()
-        _CLEANING_FITS[key] = fitted
+        key = (spark.sparkContext.applicationId, _versions(spark, sf_dir))
+        if key not in _CLEANING_FITS:
+            _CLEANING_FITS[key] = fit_cleaning(spark, sf_dir)
+        fitted = _CLEANING_FITS[key]
     kept, levels = fitted
-    df = df.select(*kept)
+    df = clean.blank_to_null(loans_raw(spark, sf_dir)).select(*kept)
     df = clean.drop_columns(df, DATE_COLS)
     df = clean.complete_cases(df, COMPLETE_CASE_COLS)
     df = clean.recode_status(df, "loan_status", "label")
@@ -145,14 +152,14 @@ def scores(spark: SparkSession, sf_dir: str, threshold: float = 0.5) -> DataFram
     g, t60 = F.col("g"), F.col("t60")
     bad = (_d("bad") % 1000) < (30 + 40 * g + 60 * t60)
     split = F.when(_d("split") < F.lit(0.8 * 2 ** 32), F.lit("train")).otherwise(F.lit("test"))
-    out = []
-    for model, salt in (("m1", "noise"), ("m2", "noise2")):
+    def scored(model, salt):
         n = 30 + 40 * g + 60 * t60 + _d(salt) % 100
-        score = F.floor((n + 2) / F.lit(4.0)) / F.lit(100.0)
-        out.append(base.select(
-            F.lit(model).alias("model"), split.alias("split"), k.alias("loan_id"),
-            F.when(bad, 1).otherwise(0).alias("label"), score.alias("score")))
-    df = out[0].unionByName(out[1])
+        return F.struct(F.lit(model).alias("model"), (F.floor((n + 2) / F.lit(4.0)) / F.lit(100.0)).alias("score"))
+
+    # one pass of the loan join gives both models' rows
+    df = base.select(split.alias("split"), k.alias("loan_id"), F.when(bad, 1).otherwise(0).alias("label"),
+                     F.explode(F.array(scored("m1", "noise"), scored("m2", "noise2"))).alias("s")
+                     ).select("s.model", "split", "loan_id", "label", "s.score")
     return df.withColumn("prediction", F.when(F.col("score") > F.lit(threshold), 1).otherwise(0))
 
 
