@@ -52,7 +52,9 @@ WORDS_NEVER_TEXT = frozenset(
 HEADER_WORDS = frozenset("header head topnav".split())
 # words that say a class speaks of the page's layout, not of the element
 LAYOUT_WORDS = frozenset("has no not with without layout page wrapper container".split())
-NEVER_HIDDEN = frozenset("html body article main".split())
+NEVER_HIDDEN = frozenset("html body main".split())
+# words that make an article element something else than the page's article
+NOT_THE_ARTICLE = frozenset("comment comments reply replies ad ads advert advertisement sponsored promo related recommended teaser".split())
 CLOSES_SAME = frozenset("p li dt dd tr td th option".split())
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -63,13 +65,14 @@ class Line(NamedTuple):
     inside: bool  # in article or main
 
 
-def _speaks_of(attributes: dict[str, str], in_article: bool) -> bool:
+def _speaks_of(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
+    never = NOT_THE_ARTICLE if tag == "article" else WORDS_NEVER_TEXT
     for name in ("class", "id"):
         for token in attributes.get(name, "").split():
             words = {w.lower() for w in WORD.findall(token)}
             if words & LAYOUT_WORDS:
                 continue
-            if words & WORDS_NEVER_TEXT or (not in_article and words & HEADER_WORDS):
+            if words & never or (not in_article and tag != "article" and words & HEADER_WORDS):
                 return True
     style = attributes.get("style", "").replace(" ", "").lower()
     return ("hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in style
@@ -157,7 +160,7 @@ def lines(page: str, by_words: bool = True) -> list[Line]:
             inside = inside or attributes.get("role", "").lower() == "main"
             hidden = tag in CONTAINERS_NEVER_TEXT or (tag == "header" and not inside)
             if not hidden and by_words and attributes and tag not in NEVER_HIDDEN:
-                hidden = _speaks_of(attributes, inside)
+                hidden = _speaks_of(tag, attributes, inside)
         push(tag, hidden, inside)
     end_line(True)
     return out

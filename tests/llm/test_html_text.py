@@ -35,7 +35,7 @@ def test_small_pages(page, want):
     f"<div class='sidebar'>{LONG}</div>", f"<div id='cookie-notice'><p>{LONG}</p></div>", f"<div class=\"ad\">{LONG}</div>",
     f"<form><label>{LONG}</label><input></form>", f"<style>p{{}} {LONG}</style>", f"<script>var x='<p>{LONG}</p>'</script>",
     f"<section id=comments><p>{LONG}</p></section>", f"<ol class='commentlist'><li>{LONG}</ol>", f"<aside>{LONG}</aside>",
-    f"<div role=navigation>{LONG}</div>", f"<div hidden>{LONG}</div>", f"<!-- {LONG} -->", f"<noscript>{LONG}</noscript>",
+    f"<div role=navigation>{LONG}</div>", f"<div hidden>{LONG}</div>", f"<article class='comment'><p>{LONG}</p></article>", f"<!-- {LONG} -->", f"<noscript>{LONG}</noscript>",
 ])
 @pytest.mark.parametrize("shell", ["<article>{}</article>", "<div class='content'>{}</div>", "<main><div>{}</div></main>"])
 def test_noise_goes_wherever_it_stands(noise, shell):
