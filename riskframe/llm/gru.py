@@ -141,6 +141,35 @@ def _softmax(logits: np.ndarray) -> np.ndarray:
     return logits
 
 
+#: exp() of a float32 stays finite up to here
+SAFE = 80.0
+
+
+def _safe(weights: np.ndarray, bias: np.ndarray, axis: int) -> bool:
+    """Whether no state (its parts lie in [-1, 1]) can give a logit beyond SAFE."""
+    return bool((np.abs(weights).sum(axis=axis) + np.abs(bias)).max(initial=0) < SAFE)
+
+
+#: Logits computed at a time: a matrix that stays in the processor's cache.
+CELLS = 1 << 17
+
+
+def _log_picked(states: np.ndarray, weights: np.ndarray, bias: np.ndarray, pick: np.ndarray, safe: bool) -> np.ndarray:
+    """Log softmax of ``states @ weights + bias`` at one place of every row."""
+    out = np.empty(len(pick), dtype=np.float64)
+    at_once = max(1, CELLS // max(1, len(bias)))
+    ones = np.ones(len(bias), dtype=states.dtype)
+    for i in range(0, len(pick), at_once):
+        logits = states[i:i + at_once] @ weights
+        logits += bias
+        if not safe:
+            logits -= logits.max(axis=1, keepdims=True)
+        own = logits[np.arange(len(logits)), pick[i:i + at_once]]
+        np.exp(logits, out=logits)
+        out[i:i + at_once] = own - np.log(logits @ ones)
+    return out
+
+
 def _by_class(classes: np.ndarray, explicit: int) -> Iterator[tuple[int, np.ndarray]]:
     order = np.argsort(classes, kind="stable")
     cuts = np.searchsorted(classes[order], np.arange(explicit + 1))
@@ -149,26 +178,23 @@ def _by_class(classes: np.ndarray, explicit: int) -> Iterator[tuple[int, np.ndar
             yield c, order[cuts[c]:cuts[c + 1]]
 
 
-def score(p: Params, s: Shape, lanes: Lanes, n_docs: int, window: int = 4 * WINDOW) -> np.ndarray:
+def score(p: Params, s: Shape, lanes: Lanes, n_docs: int, window: int = 8 * WINDOW) -> np.ndarray:
     """Natural log probability of every whole document, spelling classes counted as classes only."""
     total = np.zeros(n_docs)
     h = np.zeros((len(lanes.load), s.hidden), dtype=np.float32)
     explicit = len(s.bounds) - 1
+    safe, safe_inner = _safe(p.oc, p.bc, 0), _safe(p.ow, p.bw, 1)
     for a, b, live in lanes.windows(window):
         h = h[:live]
         states, h = _run(p, lanes.x[a:b, :live], lanes.fresh[a:b, :live], h, None)
         there = lanes.doc[a:b, :live] >= 0
         states, y, doc = states[there], lanes.y[a:b, :live][there], lanes.doc[a:b, :live][there]
         c = class_of(s, y)
-        logits = states @ p.oc + p.bc
-        top = logits.max(axis=1)
-        lp = (logits[np.arange(len(c)), c] - top - np.log(np.exp(logits - top[:, None]).sum(axis=1))).astype(np.float64)
+        lp = _log_picked(states, p.oc, p.bc, c, safe)
         for k, rows in _by_class(c, explicit):
             lo, hi = s.bounds[k], s.bounds[k + 1]
             if hi - lo > 1:
-                inner = states[rows] @ p.ow[lo:hi].T + p.bw[lo:hi]
-                top = inner.max(axis=1)
-                lp[rows] += inner[np.arange(len(rows)), y[rows] - lo] - top - np.log(np.exp(inner - top[:, None]).sum(axis=1))
+                lp[rows] += _log_picked(states[rows], p.ow[lo:hi].T, p.bw[lo:hi], y[rows] - lo, safe_inner)
         total += np.bincount(doc, weights=lp, minlength=n_docs)
     return total
 

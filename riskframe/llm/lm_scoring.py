@@ -29,7 +29,6 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 from zlib import crc32
 
 import numpy as np
@@ -55,6 +54,10 @@ CHUNK_TOKENS = 2_000_000
 COUNTER_WORDS = 500_000
 BLOCK = 4096
 BIN = 16  # bins of a doubling of the count
+PIECE = 1 << 16  # bytes split into words at a time
+HASH_BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
+HASH_MIX = np.uint64(0xD6E8FEB86659FD93)
+WHITE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
 
 def words(text: str | None) -> list[bytes]:
@@ -88,6 +91,92 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+class WordTable:
+    """Words of whole texts as numbers, a batch of bytes at a time.
+
+    A word's hash is a polynomial in its bytes, from one running sum over the
+    batch; lexicon words lie in an open-addressed table of their hashes.
+    """
+
+    def __init__(self, lexicon: list[bytes]) -> None:
+        self.power, self.inverse = _powers(PIECE)
+        own = [w for w in lexicon if w != END]
+        self.hash = np.concatenate([np.empty(0, dtype=np.uint64), *[self.split(b"\n".join(own[i:i + 1024]))[2] for i in range(0, len(own), 1024)]])
+        self.number = np.array([i for i, w in enumerate(lexicon) if w != END], dtype=np.int32)
+        bits = max(10, (4 * len(self.hash)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.table = np.full(1 << bits, -1, dtype=np.int32)
+        left, slot = np.arange(len(self.hash)), (self.hash >> self.shift).astype(np.int64)
+        while len(left):
+            free = np.flatnonzero(self.table[slot] < 0)
+            got, first = np.unique(slot[free], return_index=True)
+            self.table[got] = left[free[first]]
+            rest = np.ones(len(left), dtype=bool)
+            rest[free[first]] = False
+            left, slot = left[rest], (slot[rest] + 1) & self.mask
+
+    def split(self, low: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(starts, ends, hashes) of the words of lower-cased bytes."""
+        a = np.frombuffer(low, dtype=np.uint8)
+        inside = np.zeros(len(a) + 2, dtype=np.int8)
+        inside[1:-1] = ~WHITE[a]
+        step = np.diff(inside)
+        starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+        power, inverse = (self.power, self.inverse) if len(a) < PIECE else _powers(len(a) + 1)
+        sums = np.zeros(len(a) + 1, dtype=np.uint64)
+        np.cumsum((a.astype(np.uint64) + np.uint64(1)) * power[:len(a)], out=sums[1:])
+        h = (sums[ends] - sums[starts]) * inverse[starts]
+        return starts, ends, (h ^ (h >> np.uint64(29))) * HASH_MIX
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Lexicon numbers of hashes, -1 outside."""
+        out = np.full(len(h), -1, dtype=np.int32)
+        left, slot = np.arange(len(h)), (h >> self.shift).astype(np.int64)
+        while len(left):
+            at = self.table[slot]
+            used = at >= 0
+            hit = used & (self.hash[at] == h[left]) if len(self.hash) else used
+            out[left[hit]] = self.number[at[hit]]
+            on = used & ~hit
+            left, slot = left[on], (slot[on] + 1) & self.mask
+        return out
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    for base in (HASH_BASE, pow(HASH_BASE, -1, 1 << 64)):
+        p = np.full(n, base, dtype=np.uint64)
+        p[0] = 1
+        out.append(np.multiply.accumulate(p))
+    return out[0], out[1]
+
+
+def _pieces(texts: list[bytes]) -> Iterator[tuple[bytes, list[int], bool]]:
+    """(bytes, document ends in them, whether the last document goes on) of about PIECE bytes.
+
+    Documents are joined by white space; a long one is cut at white space.
+    """
+    parts, ends, size = [], [], 0
+    for t in texts:
+        while len(t) >= PIECE:
+            cut = max(t.rfind(w, 0, PIECE - 1) for w in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
+            if cut <= 0:  # a word of that length: take all that is left
+                break
+            if size:
+                yield b"".join(parts), ends, False
+                parts, ends, size = [], [], 0
+            yield t[:cut], [cut], True
+            t = t[cut:]
+        if size and size + len(t) + 1 > PIECE:
+            yield b"".join(parts), ends, False
+            parts, ends, size = [], [], 0
+        parts += [t, b"\n"]
+        size += len(t) + 1
+        ends.append(size)
+    if parts:
+        yield b"".join(parts), ends, False
+
+
 class Lexicon:
     """What the tasks know of words: a bounded dictionary with counts, and the model's symbols."""
 
@@ -118,30 +207,49 @@ class Lexicon:
         self.class_counts = np.concatenate([np.add.reduceat(self.word_counts, bounds[:-1]), class_tokens])
         self.class_cost = np.log10(class_tokens + class_kinds + 1)
         k = np.array([spelling_class(w, spelling) for w in self.words[len(own):]], dtype=np.int64)
-        self.symbol = np.concatenate([np.arange(len(own)), len(own) + k]).astype(np.int32)
         self.log_count = np.log10(counts + 1)
         self.known = counts > 0
         # beside the network's class: nothing for explicit words, the count in the class for others
         self.beside = np.concatenate([np.zeros(len(own)), self.log_count[len(own):] - self.class_cost[k]])
         self.end = self.words.index(END)
-        self._index: dict[bytes, int] | None = None
+        # spelling class by the first two bytes, and by the only byte of a word
+        two = [crc32(bytes(x)) % spelling for x in np.array(np.meshgrid(range(256), range(256), indexing="ij")).reshape(2, -1).T.astype(np.uint8)]
+        self.spelled = np.array(two, dtype=np.int32), np.array([crc32(bytes([i])) % spelling for i in range(256)], dtype=np.int32)
+        self._table: WordTable | None = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_index": None}
-
-    def numbers(self, tokens: list[bytes]) -> np.ndarray:
-        """Lexicon numbers of words, -1 outside."""
-        if self._index is None:
-            self._index = {w: i for i, w in enumerate(self.words)}
-        return np.fromiter(map(self._index.get, tokens, repeat(-1)), dtype=np.int64, count=len(tokens))
-
-    def symbols(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(lexicon numbers, symbols of the model), the end token last."""
-        at = np.append(self.numbers(tokens), self.end)
-        out = self.symbol[at]
-        for i in np.flatnonzero(at < 0):
-            out[i] = self.shape.words + spelling_class(tokens[i], self.spelling)
-        return at, out
+        return self.__dict__ | {"_table": None}
+
+    def encode(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, dict[bytes, int]]]:
+        """For each text: lexicon numbers of its words, the model's symbols with the end last, words outside the lexicon."""
+        if self._table is None:
+            self._table = WordTable(self.words)
+        table, own = self._table, self.shape.words
+        waiting: list[tuple[np.ndarray, np.ndarray, list[bytes]]] = []
+        # bytes.lower() changes A-Z only
+        for low, ends, more in _pieces([(t or "").encode().lower() for t in texts]):
+            starts, stops, h = table.split(low)
+            at = table.find(h)
+            a = np.frombuffer(low, dtype=np.uint8)
+            first = a[starts].astype(np.int64)
+            one = stops - starts == 1
+            second = a[np.minimum(starts + 1, len(a) - 1)].astype(np.int64) if len(a) else first
+            spelled = np.where(one, self.spelled[1][first], self.spelled[0][first * 256 + second])
+            symbols = np.where((at >= 0) & (at < own), at, own + spelled).astype(np.int32)
+            lo = 0
+            for hi in np.searchsorted(starts, ends).tolist():
+                missing = np.flatnonzero(at[lo:hi] < 0) + lo
+                waiting.append((at[lo:hi], symbols[lo:hi], [low[starts[i]:stops[i]] for i in missing.tolist()]))
+                lo = hi
+                if more:
+                    continue
+                if len(waiting) == 1:
+                    numbers, symbol, rare = waiting[0]
+                else:
+                    numbers, symbol = (np.concatenate([w[k] for w in waiting]) for k in (0, 1))
+                    rare = [x for w in waiting for x in w[2]]
+                yield numbers, np.append(symbol, np.int32(self.end)), Counter(rare) if rare else {}
+                waiting = []
 
 
 def _blocks(flat: np.ndarray, weight: float) -> pa.RecordBatch:
@@ -159,9 +267,9 @@ def _train(shared, rate: float):
         docs: list[np.ndarray] = []
         waiting = 0
         for b in batches:
-            for text in b.column(0):
-                docs.append(lex.symbols(words(text.as_py()))[1])
-                waiting += len(docs[-1])
+            for _, symbols, _ in lex.encode(b.column(0).to_pylist()):
+                docs.append(symbols)
+                waiting += len(symbols)
                 if waiting >= CHUNK_TOKENS:
                     trainer.fit(docs, lex.end)
                     docs, waiting = [], 0
@@ -234,15 +342,15 @@ def _score(shared):
 
         for b in batches:
             ids, outs, uids = (b.column(i).to_pylist() for i in (0, 1, 2))
-            for doc_id, out, u, text in zip(ids, outs, uids, b.column(3), strict=True):
-                tokens = words(text.as_py())
-                at, symbols = lex.symbols(tokens)
-                inside = at[at >= 0]
-                missing = np.flatnonzero(at < 0)
-                rare = Counter(tokens[i] for i in missing)
-                beside = lex.beside[inside].sum() - lex.class_cost[symbols[missing] - lex.shape.words].sum()
-                held.append((u, doc_id, out, len(at), int(lex.known[inside].sum()), float(lex.log_count[inside].sum()), float(beside), rare, symbols))
-                waiting += len(at)
+            for doc_id, out, u, (numbers, symbols, rare) in zip(ids, outs, uids, lex.encode(b.column(3).to_pylist()), strict=True):
+                at = numbers[numbers >= 0] if rare else numbers
+                known = int(lex.known[at].sum()) + int(lex.known[lex.end])
+                base = float(lex.log_count[at].sum() + lex.log_count[lex.end])
+                beside = lex.beside[at].sum()
+                if rare:
+                    beside -= lex.class_cost[symbols[:-1][numbers < 0] - lex.shape.words].sum()
+                held.append((u, doc_id, out, len(symbols), known, base, float(beside), rare, symbols))
+                waiting += len(symbols)
                 if waiting >= CHUNK_TOKENS:
                     yield flush()
                     waiting = 0

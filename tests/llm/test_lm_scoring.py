@@ -49,6 +49,21 @@ def test_small_lexicon_gives_the_same_scores(scored, small_docs):
         assert o.base_score == pytest.approx(r.base_score) and o.score == pytest.approx(r.score)
 
 
+@pytest.mark.parametrize("piece", [64, 1 << 16])
+def test_words_are_split_and_found_like_python_does(monkeypatch, piece):
+    monkeypatch.setattr(M, "PIECE", piece)
+    texts = ["", None, " ", "a", "The the THE été É x\x0by\tz\r\nw", "one two " * 40, "q" * 300 + " end", "\u00a0nbsp \u2003em", "b " * 5000]
+    counts = Counter(w for t in texts for w in M.words(t) if len(w) < 100)
+    entries = list(counts.items())[:12] + [(M.END, 5)]
+    lex = M.Lexicon(entries, 4, 2, 7, np.full(7, 1e6), np.full(7, 1e5), 3)
+    number = {w: i for i, w in enumerate(lex.words)}
+    for t, (numbers, symbols, rare) in zip(texts, lex.encode(texts), strict=True):
+        w = M.words(t)
+        assert numbers.tolist() == [number.get(x, -1) for x in w]
+        assert symbols.tolist() == [number[x] if number.get(x, 99) < 4 else 4 + M.spelling_class(x, 7) for x in w] + [lex.end]
+        assert rare == Counter(x for x in w if x not in number)
+
+
 def tiny(seed=0, hidden=5):
     s = gru.Shape(hidden, np.array([0, 1, 4, 9]), 3)
     p = gru.initial(s, np.arange(1.0, 7.0), np.arange(9.0, 0.0, -1), seed)
