@@ -19,8 +19,7 @@ import numpy as np
 WINDOW = 16
 MAX_LANES = 512
 MIN_UPDATES = 150
-SEGMENT = 512
-LOSS_EVERY = 4
+LOSS_EVERY = 1  # steps between losses in training: at 1 every token is a target
 
 
 class Shape(NamedTuple):
@@ -205,7 +204,7 @@ class Trainer:
     def __init__(self, p: Params, s: Shape, rate: float, window: int = WINDOW, start: float = 1e-4) -> None:
         self.p, self.s, self.rate, self.window = Params(*[q.copy() for q in p]), s, rate, window
         self.sums = Params(*[np.full_like(q, start) for q in p])
-        self.updates = 0
+        self.updates = self.tokens = 0
 
     def _step(self, which: int, grad: np.ndarray, rows: np.ndarray | slice = slice(None)) -> None:
         acc, par = self.sums[which], self.p[which]
@@ -213,26 +212,27 @@ class Trainer:
         par[rows] -= self.rate * grad / np.sqrt(acc[rows])
 
     def fit(self, docs: list[np.ndarray], end: int) -> None:
-        # long documents become segments, so that all lanes stay busy
-        docs = [d[i:i + SEGMENT] for d in docs for i in range(0, len(d), SEGMENT)]
+        # whole documents, as in scoring: a word at a window's seam follows its own state and previous word
         tokens = sum(map(len, docs))
+        self.tokens += tokens
         lanes = Lanes(docs, end, max(8, min(MAX_LANES, tokens // (self.window * MIN_UPDATES))))
         h = np.zeros((len(lanes.load), self.s.hidden), dtype=np.float32)
         for a, b, live in lanes.windows(self.window):
-            h = self._window(lanes, a, b, live, h[:live])
+            h = self._window(lanes, a, b, live, h[:live], usual=len(lanes.load) * (b - a))
 
-    def _window(self, lanes: Lanes, a: int, b: int, live: int, h: np.ndarray) -> np.ndarray:
+    def _window(self, lanes: Lanes, a: int, b: int, live: int, h: np.ndarray, usual: int = 0) -> np.ndarray:
+        """One update; a window of fewer than ``usual`` tokens (only the longest documents still run) weighs by its tokens."""
         p, s, k = self.p, self.s, self.s.hidden
         x, fresh = lanes.x[a:b, :live], lanes.fresh[a:b, :live]
         trace: list = []
         states, last = _run(p, x, fresh, h, trace)
-        # every token is read and carried; the loss is taken at every LOSS_EVERY-th step, in turn
         there = lanes.doc[a:b, :live] >= 0
-        there[np.arange(b - a) % LOSS_EVERY != self.updates % LOSS_EVERY] = False
+        if LOSS_EVERY > 1:
+            there[np.arange(b - a) % LOSS_EVERY != self.updates % LOSS_EVERY] = False
         if not there.any():
             return last
         flat, y = states[there], lanes.y[a:b, :live][there]
-        scale = np.float32(1 / len(y))
+        scale = np.float32(1 / max(len(y), usual))
         c = class_of(s, y)
         d = _softmax(flat @ p.oc + p.bc)
         d[np.arange(len(c)), c] -= 1

@@ -10,7 +10,7 @@
 3. Training: every training document goes through the network once. In each
    round the tasks start from the same weights, train by truncated
    backpropagation on their share of a slice of the documents, and the weights
-   are averaged, weighted by updates, in two grouping steps.
+   are averaged, weighted by tokens, in two grouping steps.
 4. Scoring: P(text) is the product over its tokens, ends included, of
    P(class | state) P(word | class, state), the state carried through the whole
    document. A word outside the explicit ones has P(word | class) =
@@ -276,7 +276,7 @@ def _train(shared, rate: float):
         if docs:
             trainer.fit(docs, lex.end)
         if trainer.updates:
-            yield _blocks(np.concatenate([trainer.p.flat(), trainer.sums.flat()]), float(trainer.updates))
+            yield _blocks(np.concatenate([trainer.p.flat(), trainer.sums.flat()]), float(trainer.tokens))
     return run
 
 

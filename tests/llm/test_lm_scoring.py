@@ -133,6 +133,24 @@ def test_gradients_match_differences(monkeypatch):
             assert grads[which][at] == pytest.approx((loss[1] - loss[0]) / (2 * e), abs=2e-4)
 
 
+def test_every_training_token_is_a_target_after_its_own_state(monkeypatch):
+    s, p = tiny()
+    rng = np.random.default_rng(2)
+    docs = [np.append(rng.integers(1, 12, n), 0).astype(np.int32) for n in (1300, 40, 700)]
+    targets, begun = [], []
+    class_of, run = gru.class_of, gru._run
+    monkeypatch.setattr(gru, "class_of", lambda shape, y: targets.extend(y.tolist()) or class_of(shape, y))
+
+    def note(p, x, fresh, h, trace):
+        begun.append(int(fresh.sum()))
+        return run(p, x, fresh, h, trace)
+
+    monkeypatch.setattr(gru, "_run", note)
+    gru.Trainer(p, s, 0.1).fit(docs, 0)
+    assert sorted(targets) == sorted(np.concatenate(docs).tolist())
+    assert sum(begun) == len(docs)  # the state is set to zero where a document begins, nowhere else
+
+
 def test_awkward_rows(awkward, empty):
     docs = [(r.doc_id, r.text) for r in awkward.select("doc_id", "text").collect()]
     out = M.score(awkward).collect()
