@@ -17,7 +17,8 @@ sorted by hash, once, and neighbours are compared.
 
 Defined results: null text counts as empty; a text shorter than a span keeps all
 its sentences; a kept sentence keeps the white space that follows it; rows that
-repeat id and text count as one document and all get its result; a null id
+repeat id and text count as one document and all get its result; other rows of
+one id, or of none, are told apart by a 64-bit hash of id and text; a null id
 orders after all others; an empty table gives an empty result.
 """
 
@@ -29,7 +30,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.llm.common import row_keys
@@ -40,8 +41,7 @@ MAX_WORDS = 12
 CUT_EVERY = 6
 ROWS_AT_ONCE = 1 << 19
 NO_ID = (1 << 63) - 1
-#: A place packs sentence number, a tag that tells rows of one id apart, and the span's length.
-TAG_BITS, LENGTH_BITS = 23, 8
+LENGTH_BITS = 8  # a place packs sentence number and the span's length
 
 BOUNDARY = re.compile(rb"(?:[.!?](?=[\x09-\x0d\x20])|\n)[\x09-\x0d\x20]*")
 WORD = re.compile(rb"[^\x09-\x0d\x20]+[\x09-\x0d\x20]*")
@@ -108,40 +108,38 @@ def spans(words: list[list[bytes]], run: int = RUN, min_words: int = MIN_WORDS)
     return end - first, (sums[:, end] - sums[:, first]) * inverse[:, first]
 
 
-def _tag(key: Column) -> Column:
-    return key.bitwiseAND(F.lit((1 << TAG_BITS) - 1))
-
-
-def _settled(h: np.ndarray, doc: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+def _settled(h: np.ndarray, doc: np.ndarray, row: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
     """A chunk of spans as rows: the first of each hash as it is; the others, marked, under keys that spread."""
-    by = np.lexsort((place, doc, h[1], h[0]))
-    h, doc, place = h[:, by], doc[by], place[by]
+    by = np.lexsort((row, place, doc, h[1], h[0]))
+    h, doc, row, place = h[:, by], doc[by], row[by], place[by]
     new = np.ones(len(doc), dtype=bool)
     new[1:] = (h[0, 1:] != h[0, :-1]) | (h[1, 1:] != h[1, :-1])
     lead = np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))
-    same = ~new & (doc == doc[lead]) & (place == place[lead])  # a repeated row's span is the same occurrence
-    h1, h2 = np.where(new, h[0], (place + doc).astype(np.uint64) * BASES[0]), np.where(new, h[1], np.uint64(0))
+    same = ~new & (doc == doc[lead]) & (row == row[lead]) & (place == place[lead])  # a repeated row's span is the same occurrence
+    h1, h2 = np.where(new, h[0], (place + doc + row).astype(np.uint64) * BASES[0]), np.where(new, h[1], np.uint64(0))
     place = np.where(new, place, ~place)
     keep = ~same
-    return pa.RecordBatch.from_arrays([pa.array(a[keep].view(np.int64)) for a in (h1, h2, doc, place)], names=["h1", "h2", "doc", "place"])
+    return pa.RecordBatch.from_arrays([pa.array(a[keep].view(np.int64)) for a in (h1, h2, doc, row, place)],
+                                      names=["h1", "h2", "doc", "row", "place"])
 
 
 def _hash_spans(run: int, min_words: int, max_words: int, cut_every: int):
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, docs, places, waiting = [], [], [], 0
+        hashes, docs, rows, places, waiting = [], [], [], [], 0
 
         def flush() -> pa.RecordBatch:
-            out = _settled(np.concatenate(hashes, axis=1), np.concatenate(docs), np.concatenate(places))
-            hashes.clear(), docs.clear(), places.clear()
+            out = _settled(np.concatenate(hashes, axis=1), np.concatenate(docs), np.concatenate(rows), np.concatenate(places))
+            hashes.clear(), docs.clear(), rows.clear(), places.clear()
             return out
 
         for b in batches:
-            for doc, tag, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            for doc, row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 n, h = spans(sentences(text.as_py().encode(), max_words, cut_every)[1], run, min_words)
                 if len(n):
                     hashes.append(h)
                     docs.append(np.full(len(n), doc))
-                    places.append((np.arange(len(n)) << (TAG_BITS + LENGTH_BITS)) | (tag << LENGTH_BITS) | n)
+                    rows.append(np.full(len(n), row))
+                    places.append((np.arange(len(n)) << LENGTH_BITS) | n)
                     waiting += len(n)
                 if waiting >= ROWS_AT_ONCE:
                     yield flush()
@@ -152,46 +150,46 @@ def _hash_spans(run: int, min_words: int, max_words: int, cut_every: int):
 
 
 def _not_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (h1, h2, doc, place): the occurrences that are not the first of their hash."""
+    """Rows sorted by (h1, h2, doc, place, row): the occurrences that are not the first of their hash."""
     last = None  # hash and first occurrence of the run that the batch before ended in
     for b in batches:
-        h1, h2, doc, place = (c.to_numpy() for c in b.columns)
+        h1, h2, doc, row, place = (c.to_numpy() for c in b.columns)
         marked = place < 0
-        out_doc, out_place = [doc[marked]], [~place[marked]]
-        h1, h2, doc, place = (a[~marked] for a in (h1, h2, doc, place))
+        out_doc, out_row, out_place = [doc[marked]], [row[marked]], [~place[marked]]
+        h1, h2, doc, row, place = (a[~marked] for a in (h1, h2, doc, row, place))
         if len(doc):
             if last is not None:
-                h1, h2, doc, place = (np.insert(a, 0, v) for a, v in zip((h1, h2, doc, place), last, strict=True))
+                h1, h2, doc, row, place = (np.insert(a, 0, v) for a, v in zip((h1, h2, doc, row, place), last, strict=True))
             new = np.ones(len(doc), dtype=bool)
             new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
             lead = np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))
-            gone = (doc != doc[lead]) | (place != place[lead])
+            gone = (doc != doc[lead]) | (row != row[lead]) | (place != place[lead])
             out_doc.append(doc[gone])
+            out_row.append(row[gone])
             out_place.append(place[gone])
-            last = [a[lead[-1]] for a in (h1, h2, doc, place)]
-        doc, place = np.concatenate(out_doc), np.concatenate(out_place)
+            last = [a[lead[-1]] for a in (h1, h2, doc, row, place)]
+        doc, row, place = (np.concatenate(x) for x in (out_doc, out_row, out_place))
         if len(doc):
-            low = (1 << TAG_BITS) - 1
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc), pa.array((place >> LENGTH_BITS) & low), pa.array(place >> (TAG_BITS + LENGTH_BITS)),
-                 pa.array(place & ((1 << LENGTH_BITS) - 1))], names=["__doc", "__tag", "at", "n"])
+                [pa.array(doc), pa.array(row), pa.array(place >> LENGTH_BITS), pa.array(place & ((1 << LENGTH_BITS) - 1))],
+                names=["__doc", "__row", "at", "n"])
 
 
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     own = F.col(f"`{id_col}`").cast("bigint")
-    return docs.select(own.alias("doc_id"), F.coalesce(own, F.lit(NO_ID)).alias("__doc"), _tag(row_keys(id_col, text_col)[0]).alias("__tag"),
+    return docs.select(own.alias("doc_id"), F.coalesce(own, F.lit(NO_ID)).alias("__doc"), row_keys(id_col, text_col)[0].alias("__row"),
                        F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, min_words: int = MIN_WORDS,
                    max_words: int = MAX_WORDS, cut_every: int = CUT_EVERY) -> DataFrame:
-    """(__doc, __tag, at, n): first sentence and length of every span occurrence that is not the first."""
+    """(__doc, __row, at, n): first sentence and length of every span occurrence that is not the first."""
     if max(run, min_words) >= 1 << LENGTH_BITS:
         raise ValueError(f"run and min_words must be under {1 << LENGTH_BITS}")
-    every = _source(docs, id_col, text_col).select("__doc", "__tag", "text").mapInArrow(
-        _hash_spans(run, min_words, max_words, cut_every), "h1 bigint, h2 bigint, doc bigint, place bigint")
-    return (every.repartition("h1", "h2").sortWithinPartitions("h1", "h2", "doc", "place")
-            .mapInArrow(_not_first, "__doc bigint, __tag bigint, at bigint, n bigint"))
+    every = _source(docs, id_col, text_col).select("__doc", "__row", "text").mapInArrow(
+        _hash_spans(run, min_words, max_words, cut_every), "h1 bigint, h2 bigint, doc bigint, row bigint, place bigint")
+    return (every.repartition("h1", "h2").sortWithinPartitions("h1", "h2", "doc", "place", "row")
+            .mapInArrow(_not_first, "__doc bigint, __row bigint, at bigint, n bigint"))
 
 
 def _remove(max_words: int, cut_every: int):
@@ -217,6 +215,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                    max_words: int = MAX_WORDS, cut_every: int = CUT_EVERY) -> DataFrame:
     """One row per input row: doc_id, n_removed, text without the removed sentences."""
     gone = (repeated_spans(docs, id_col, text_col, run, min_words, max_words, cut_every)
-            .groupBy("__doc", "__tag").agg(F.collect_set(F.struct("at", "n")).alias("covered")))
-    return (_source(docs, id_col, text_col).join(gone, ["__doc", "__tag"], "left").select("doc_id", "text", "covered")
+            .groupBy("__doc", "__row").agg(F.collect_set(F.struct("at", "n")).alias("covered")))
+    return (_source(docs, id_col, text_col).join(gone, ["__doc", "__row"], "left").select("doc_id", "text", "covered")
             .mapInArrow(_remove(max_words, cut_every), "doc_id bigint, n_removed bigint, text string"))

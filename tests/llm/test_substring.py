@@ -1,8 +1,10 @@
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from riskframe.llm import substring_dedup as S
+from riskframe.llm.common import row_keys
 
 
 def parts_of(text):
@@ -99,3 +101,22 @@ def test_hot_passage(spark):
     docs = spark.createDataFrame([(i, shared if i % 3 == 0 else passage(40, 1000 + i)) for i in range(300)], "doc_id long, text string").repartition(9)
     out = S.remove_repeats(docs).collect()
     assert sorted(r.doc_id for r in out if r.n_removed) == list(range(3, 300, 3))
+
+
+def test_rows_without_an_id_are_told_apart_by_the_whole_key(spark):
+    passage = "One two three four five six. Seven eight nine ten eleven twelve. Last three words are here now. "
+    own = F.concat(*[F.concat(F.lit(f"{w}a"), F.col("id"), F.lit(f" {w}b c d e f. ")) for w in "pqrstu"])
+    texts = (spark.range(30_000).withColumn("with_passage", F.col("id") % 2 == 0).withColumn("doc_id", F.lit(None).cast("bigint"))
+             .withColumn("text", F.concat(F.when(F.col("with_passage"), F.lit(passage)).otherwise(F.lit("")), own)))
+    met = defaultdict(list)
+    for r in texts.select("with_passage", "text", (row_keys("doc_id", "text")[0].bitwiseAND(F.lit((1 << 23) - 1))).alias("low")).collect():
+        met[r.low].append(r)
+    pairs = [v for v in met.values() if len(v) > 1]  # the low 23 bits are alike, the texts are not
+    both = next(v[:2] for v in pairs if v[0].with_passage and v[1].with_passage)
+    one = next(v[:2] for v in pairs if v[0].with_passage != v[1].with_passage)
+    kind = "doc_id long, text string"
+    out = S.remove_repeats(spark.createDataFrame([(None, r.text) for r in both], kind)).collect()
+    assert sorted(r.n_removed for r in out) == [0, 3]
+    out = S.remove_repeats(spark.createDataFrame([(1, passage), *[(None, r.text) for r in one]], kind)).collect()
+    assert sorted((r.n_removed, r.text) for r in out if r.doc_id is None) == sorted(
+        (3 if r.with_passage else 0, r.text.replace(passage, "")) for r in one)
