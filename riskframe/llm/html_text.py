@@ -10,8 +10,8 @@ and so does everything outside ``article`` or ``main`` where a page has them.
 The distribution is the sum of text lengths, link text left out, over a sliding
 window of ``window`` lines. It surges where a window first exceeds ``surge``
 characters and dives where a window is empty; the text between a surge and the
-next dive is kept, in all stretches that are not small beside the largest. A
-page without a surge (a short article) keeps its largest stretch, if that is
+next dive is kept, in all stretches; one that is small beside the largest goes if
+most of its text is links. In ``article`` or ``main`` all text is kept. A page without a surge (a short article) keeps its largest stretch, if that is
 article text rather than links.
 
 Defined results: null html gives an empty text; unclosed elements, comments and
@@ -211,7 +211,7 @@ def extract(page: str | None, window: int = WINDOW, surge: int = SURGE, small: f
         if all_lines[found[0][0]].inside:
             chosen = found  # all of it is the article's own
         elif surged:
-            chosen = [s for s in surged if size(s) >= small * largest]
+            chosen = [s for s in surged if size(s) >= small * largest or 2 * size(s) >= sum(len(x.text) for x in all_lines[s[0]:s[1]])]
         else:
             chosen = [max(found, key=size)]
         texts = [x.text for first, end, _ in chosen for x in all_lines[first:end] if x.text]

@@ -60,3 +60,16 @@ def test_awkward_rows(spark):
     out = H.main_text(df).collect()
     assert len(out) == 5 and sorted(r.n_chars for r in out)[:3] == [0, 0, 1] and max(r.n_chars for r in out) == 5 * 50_000 - 1
     assert H.main_text(df.limit(0)).collect() == []
+
+
+def test_short_sections_of_a_long_page_without_article_stay():
+    def section(k, n):
+        return "".join(f"<p>Section {k} has sentence {i}, which is long enough to be article text on a page like this one.</p>" for i in range(n))
+
+    advert = '<div class="ad"><div>Buy now</div></div>'
+    linked = '<div><div>' + "".join(f'<p><a href="/{i}">Another page of this site that is only named here, number {i}</a></p>' for i in range(30)) + (
+        "<p>A line of plain text that is long enough to surge, although the block around it is nearly all links.</p></div></div>")
+    sections = [section("one", 40), section("two", 3), section("three", 2), section("four", 1)]
+    text = H.extract(f"<html><body><div>{advert.join(sections)}</div>{linked}</body></html>")
+    assert [text.count(f"Section {k} ") for k in ("one", "two", "three", "four")] == [40, 3, 2, 1]
+    assert "Buy now" not in text and "Another page" not in text
