@@ -61,4 +61,33 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v
 FROM s QUALIFY rank <= 20
 """
 
-ORACLE_SQL: dict[str, str] = {"op8_maxscore_topk": OP8, "op6_exact_dedup": OP6, "op10_source_mixing": OP10}
+#: CRC-32 of a decimal number's ASCII digits
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({x}::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), range(0, 8)), lambda u, v: xor(u >> 1, 3988292384 * (u & 1)))))"""
+
+OP11 = f"""
+WITH own AS (SELECT conv_id, md5(md5(coalesce(role, '')) || md5(coalesce(text, ''))) AS id, length(coalesce(text, '')) AS chars,
+               row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos
+             FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, {_CRC32.format(x='conv_id')} % 6 AS h FROM own GROUP BY conv_id),
+turns AS (SELECT c.conv_id, 0 AS tail, pos, id, chars FROM c JOIN own ON own.conv_id = base AND pos <= h
+          UNION ALL SELECT conv_id, 1, pos, id, chars FROM c JOIN own USING (conv_id) WHERE pos > h),
+lists AS (SELECT conv_id, list(id ORDER BY tail, pos) AS ids, list(chars ORDER BY tail, pos) AS chars FROM turns GROUP BY conv_id
+          UNION ALL SELECT conv_id, [], [] FROM c WHERE conv_id NOT IN (SELECT conv_id FROM turns)),
+path AS (SELECT conv_id, unnest(range(0, len(ids) + 1)) AS depth, ids, chars FROM lists),
+member AS (SELECT conv_id, depth, md5(array_to_string(ids[1:depth], ',')) AS node, md5(array_to_string(ids[1:depth - 1], ',')) AS up,
+             CASE WHEN depth > 0 THEN chars[depth] ELSE 0 END AS chars, depth = len(ids) AS ends FROM path),
+node AS (SELECT depth, node, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars,
+           coalesce(string_agg(CASE WHEN ends THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '') AS ids
+         FROM member GROUP BY depth, node),
+linked AS (SELECT n.*, p.conv_id AS parent_conv_id FROM node n LEFT JOIN node p ON n.depth > 0 AND p.depth = n.depth - 1 AND p.node = n.up),
+born AS (SELECT depth - 1 AS depth, up AS node, count(*) AS n_children FROM node WHERE depth > 0 GROUP BY ALL),
+counted AS (SELECT linked.*, coalesce(n_children, 0) AS n_children FROM linked LEFT JOIN born USING (depth, node)),
+sums AS (SELECT m.depth, m.node, count(*) FILTER (WHERE v.n_children = 0) AS n_leaves, sum((v.n_convs - 1) * v.chars) AS saved_tokens
+         FROM counted v JOIN member m ON m.conv_id = v.conv_id AND m.depth <= v.depth GROUP BY ALL)
+SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens,
+       sha256(ids) AS ends_sha256
+FROM counted JOIN sums USING (depth, node)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op11_prefix_trie": OP11, "op8_maxscore_topk": OP8, "op6_exact_dedup": OP6, "op10_source_mixing": OP10}

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import exact_dedup, html_text, language_id, lm_scoring, maxscore, mixing, packing, secret_scan, simhash_dedup, substring_dedup
+from riskframe.llm import (exact_dedup, html_text, language_id, lm_scoring, maxscore, mixing, packing, prefix_trie, secret_scan, simhash_dedup,
+                           substring_dedup)
 from riskframe.llm.common import table
 
 
@@ -60,6 +61,10 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("__k1", "__k2")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"), every=100, modulus=6, width=8)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
     "op2_simhash_dedup": op2_simhash_dedup,
@@ -71,4 +76,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_maxscore_topk": op8_maxscore_topk,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_source_mixing": op10_source_mixing,
+    "op11_prefix_trie": op11_prefix_trie,
 }
