@@ -16,26 +16,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def pin(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared checkpoint folder and read it back.
+def scratch_path(spark: SparkSession, tag: str) -> str:
+    """A fresh folder for written tables below the shared checkpoint folder."""
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{base}/pins-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a written table by the file system that holds it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def pin(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet into the shared checkpoint folder and read it back; ``by`` names a partition column.
 
     Cuts the lineage like a checkpoint does: later jobs, and tasks retried after
     a lost executor, read the same written rows. Compressed and column-pruned,
     unlike ``checkpoint()`` files.
     """
     spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/pins-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = scratch_path(spark, tag)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     # the schema is known: no footer-reading job
     return spark.read.schema(df.schema).parquet(path)
 
 
 def clear_pins(spark: SparkSession) -> None:
     """Delete the tables that this application pinned; results that still read them must be written first."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(
-        f"{ensure_checkpoint_dir(spark).rstrip('/')}/pins-{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    delete_path(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/pins-{spark.sparkContext.applicationId}")
 
 
 def id_remainder(id_col: Column, modulus: int) -> Column:

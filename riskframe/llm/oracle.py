@@ -90,4 +90,15 @@ SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves::BIGINT AS
 FROM counted JOIN sums USING (depth, node)
 """
 
-ORACLE_SQL: dict[str, str] = {"op11_prefix_trie": OP11, "op8_maxscore_topk": OP8, "op6_exact_dedup": OP6, "op10_source_mixing": OP10}
+OP12 = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS uid, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT uid, doc_id, unnest(lines) AS line, unnest(range(0, len(lines))) AS pos FROM d),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{UPPER}', '{LOWER}') AS key FROM l),
+f AS (SELECT key, max(doc_id) AS keep FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT uid) >= 3),
+j AS (SELECT k.*, f.key IS NOT NULL AND doc_id IS DISTINCT FROM keep AS dropped FROM k LEFT JOIN f USING (key))
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+FROM j GROUP BY uid
+"""
+
+ORACLE_SQL: dict[str, str] = {"op12_line_dedup": OP12, "op11_prefix_trie": OP11, "op8_maxscore_topk": OP8, "op6_exact_dedup": OP6, "op10_source_mixing": OP10}

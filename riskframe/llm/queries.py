@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import (exact_dedup, html_text, language_id, lm_scoring, maxscore, mixing, packing, prefix_trie, secret_scan, simhash_dedup,
-                           substring_dedup)
+from riskframe.llm import (exact_dedup, html_text, language_id, line_dedup, lm_scoring, maxscore, mixing, packing, prefix_trie, secret_scan,
+                           simhash_dedup, substring_dedup)
 from riskframe.llm.common import table
 
 
@@ -65,6 +65,11 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"), every=100, modulus=6, width=8)
 
 
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), min_chars=20, min_docs=3, batches=6, fan=3)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
     "op2_simhash_dedup": op2_simhash_dedup,
@@ -77,4 +82,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_source_mixing": op10_source_mixing,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_line_dedup": op12_line_dedup,
 }
