@@ -101,4 +101,21 @@ SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE
 FROM j GROUP BY uid
 """
 
-ORACLE_SQL: dict[str, str] = {"op12_line_dedup": OP12, "op11_prefix_trie": OP11, "op8_maxscore_topk": OP8, "op6_exact_dedup": OP6, "op10_source_mixing": OP10}
+_TERMS = "regexp_extract_all(translate(coalesce(text, ''), '" + UPPER + "', '" + LOWER + r"'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP13 = f"""
+WITH d AS (SELECT row_number() OVER () AS uid, doc_id, {_TERMS} AS terms FROM documents),
+corpus AS (SELECT count(*) FILTER (WHERE len(terms) > 0) AS big_n, greatest(sum(len(terms)), 1)::BIGINT AS big_l FROM d),
+tf AS (SELECT uid, doc_id, len(terms) AS n, unnest(terms) AS term FROM d),
+posting AS (SELECT uid, doc_id, n, term, count(*) AS tf FROM tf GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(big_n) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+      FROM posting, corpus GROUP BY term),
+b AS (SELECT row_number() OVER () AS qid, item_id, {_TERMS} AS terms FROM benchmark),
+q AS (SELECT qid, item_id, unnest(terms) AS term FROM b),
+s AS (SELECT qid, item_id, uid, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * big_n) // big_l))))::BIGINT AS score
+      FROM q JOIN w USING (term) JOIN posting USING (term), corpus GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id NULLS LAST, uid)::INT AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 10
+"""
+
+ORACLE_SQL: dict[str, str] = {"op13_lexical_search": OP13, "op12_line_dedup": OP12, "op11_prefix_trie": OP11, "op8_maxscore_topk": OP8, "op6_exact_dedup": OP6, "op10_source_mixing": OP10}

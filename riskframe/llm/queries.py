@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import (exact_dedup, html_text, language_id, line_dedup, lm_scoring, maxscore, mixing, packing, prefix_trie, secret_scan,
-                           simhash_dedup, substring_dedup)
+from riskframe.llm import (exact_dedup, html_text, language_id, lexical_search, line_dedup, lm_scoring, maxscore, mixing, packing, prefix_trie,
+                           secret_scan, simhash_dedup, substring_dedup)
 from riskframe.llm.common import table
 
 
@@ -70,6 +70,10 @@ def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10, block=64)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
     "op2_simhash_dedup": op2_simhash_dedup,
@@ -83,4 +87,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_source_mixing": op10_source_mixing,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_line_dedup": op12_line_dedup,
+    "op13_lexical_search": op13_lexical_search,
 }
