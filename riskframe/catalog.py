@@ -878,7 +878,7 @@ def _shap(s, d):
     from riskframe.operators import explain, models
     m, train, test, feats = _split_model(s, d)
     mod = models.fit(train, feats, models.gbt(10, 3), scaler=None)
-    return explain.shapley(mod, train, test, "loan_id", feats, permutations=4)
+    return explain.tree_shapley(mod, test, "loan_id", feats)
 
 
 def f4(s, d):
@@ -995,7 +995,7 @@ def x3(s, d):
     m, train, test, feats = _split_model(s, d)
     mod = models.fit(train, feats, models.gbt(10, 3), scaler=None)
     # every test row is explained (the top-5 weights per row are the report)
-    return explain.lime(mod, train, test, "loan_id", feats, n_samples=100, top=5)
+    return explain.lime(mod, train, test, "loan_id", feats, n_samples=5000, top=5)
 
 
 def t9(s, d):

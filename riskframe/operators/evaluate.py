@@ -91,8 +91,12 @@ def auc(df: DataFrame, keys=(), label: str = "label", score: str = "score") -> D
 
     ``AUC = Σ_s pos(s) · (neg(< s) + neg(s)/2) / (P · N)`` over distinct scores.
     """
+    return auc_of_counts(_score_counts(df, list(keys), label, score), keys)
+
+
+def auc_of_counts(sc: DataFrame, keys=()) -> DataFrame:
+    """E4 from (keys, score, n_pos, n_neg), one row a distinct score."""
     keys = list(keys)
-    sc = _score_counts(df, keys, label, score)
     c = prefix_sums(sc, keys, ["score"], ["n_neg"], prefix="cum_")
     term = F.col("n_pos").cast("double") * (F.col("cum_n_neg") - F.col("n_neg") * F.lit(0.5))
     g = c.groupBy(*keys).agg(F.sum(term).alias("_num"), F.sum("n_pos").alias("n_pos"),

@@ -3,27 +3,28 @@
 Shuffles are joins on ranks: a column is permuted by numbering the rows
 in two md5 orders and joining one numbering onto the other, so every
 (feature, repeat) copy of a table is built and scored in one Spark job
-instead of one job per feature. Perturbation and coalition rows for
-LIME and Shapley are generated per row (``explode``), scored by one
-``transform`` and reduced by grouped aggregates; only d×d systems and
-tiny per-feature tables reach the driver.
+instead of one job per feature. Tree models are flattened to node arrays
+(``flat_trees``): shuffled copies, the perturbations of LIME and exact
+Shapley values are made and reduced in the task that holds the row. The
+sampled Shapley values of any other score are rows (``explode``), scored
+by one ``transform`` and reduced by grouped aggregates.
 """
 
 from __future__ import annotations
 
 import math
+import random
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from riskframe.functions.columns import q
 from riskframe.functions.rand import b, b60
 from riskframe.operators import evaluate as ev
-from riskframe.operators import models
+from riskframe.operators import flat_trees, models
+from riskframe.operators.flat_trees import Forest
 from riskframe.plans.gram import matrix_sums
 from riskframe.plans.prefix import rank_within
 from riskframe.session import cut_lineage
@@ -62,21 +63,56 @@ def _scored(model, df: DataFrame, features, keep) -> DataFrame:
     return models.score(model, df, features, keep=keep)
 
 
+def _permuted_counts(forest: Forest, df: DataFrame, key: str, features, repeats: int, salt: str, by_score: bool) -> DataFrame:
+    """(perm_feature, repeat, score, n_pos, n_neg) of every shuffled copy, and of the rows as they are (feature null).
+
+    The copies of ``permuted_copies`` made and scored inside the task that holds the row: a
+    batch meets its donors' values and leaves one row of counts a score.
+    """
+    feats, d = list(features), len(list(features))
+    wide = rank_within(df.select(key, "label", *[q(f).cast("double").alias(f"_x{i}") for i, f in enumerate(feats)])
+                       .withColumn("_h0", b(salt + ":base", q(key))), [], ["_h0", key], out="_bi", base=0).drop("_h0")
+    for r in range(repeats):
+        donors = rank_within(df.select(key, *[q(f).cast("double").alias(f"_d{r}_{i}") for i, f in enumerate(feats)])
+                             .withColumn("_hs", b(f"{salt}:{r}", q(key))), [], ["_hs", key], out="_bi", base=0).drop("_hs", key)
+        wide = wide.join(donors, "_bi")
+    cols = [F.col(f"_x{i}") for i in range(d)] + [F.col(f"_d{r}_{i}") for r in range(repeats) for i in range(d)]
+    counts = wide.select(F.col("label").cast("double"), *cols).mapInArrow(
+        flat_trees.permuted_sums(forest, d, repeats, by_score), "i int, repeat int, score double, n_pos bigint, n_neg bigint")
+    names = F.array(*[F.lit(f) for f in feats])
+    return (counts.groupBy("i", "repeat", "score").agg(F.sum("n_pos").alias("n_pos"), F.sum("n_neg").alias("n_neg"))
+            .select(F.when(F.col("i") >= 0, F.get(names, F.col("i"))).alias("perm_feature"), "repeat", "score", "n_pos", "n_neg"))
+
+
 def permutation_importance(model, df: DataFrame, key: str, features, repeats: int = 3,
                            metric: str = "accuracy") -> DataFrame:
     """Score drop when one feature is shuffled (mean and std over repeats),
-    scored on the data in hand. All copies are scored by one ``transform``."""
+    scored on the data in hand: tree models where the rows lie, any other model by one
+    ``transform`` of all copies."""
     feats = list(features)
     own = df.select(key, "label", *[q(c) for c in feats])
-    base_sc = _scored(model, own, feats, (key, "label"))
-    sc = _scored(model, permuted_copies(own, key, feats, repeats), feats, (key, "label", "perm_feature", "repeat"))
-    if metric == "auc":
-        base = ev.auc(base_sc.withColumn("_g", F.lit(1)), ["_g"]).first()["auc"]
-        per = ev.auc(sc, ["perm_feature", "repeat"]).withColumnRenamed("auc", "_s")
+    if flat_trees.is_tree_model(model) or isinstance(model, Forest):
+        forest = model if isinstance(model, Forest) else flat_trees.flatten(model, df.sparkSession)
+        counts = _permuted_counts(forest, own, key, feats, repeats, "perm", metric == "auc")
+        if metric == "auc":
+            every = ev.auc_of_counts(counts, ["perm_feature", "repeat"]).withColumnRenamed("auc", "_s")
+        else:
+            right = F.when(F.col("score") == 1, F.col("n_pos")).otherwise(F.col("n_neg"))
+            every = counts.groupBy("perm_feature", "repeat").agg((F.sum(right) / F.sum(F.col("n_pos") + F.col("n_neg"))).alias("_s"))
+        rows = every.collect()  # one row a copy
+        base = next((r["_s"] for r in rows if r["perm_feature"] is None), None)
+        per = df.sparkSession.createDataFrame([tuple(r) for r in rows if r["perm_feature"] is not None],
+                                              "perm_feature string, repeat int, _s double")
     else:
-        base = base_sc.agg(F.avg((F.col("label") == F.col("prediction")).cast("double"))).first()[0]
-        per = sc.groupBy("perm_feature", "repeat").agg(
-            F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("_s"))
+        base_sc = _scored(model, own, feats, (key, "label"))
+        sc = _scored(model, permuted_copies(own, key, feats, repeats), feats, (key, "label", "perm_feature", "repeat"))
+        if metric == "auc":
+            base = ev.auc(base_sc.withColumn("_g", F.lit(1)), ["_g"]).first()["auc"]
+            per = ev.auc(sc, ["perm_feature", "repeat"]).withColumnRenamed("auc", "_s")
+        else:
+            base = base_sc.agg(F.avg((F.col("label") == F.col("prediction")).cast("double"))).first()[0]
+            per = sc.groupBy("perm_feature", "repeat").agg(
+                F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("_s"))
     drop = per.withColumn("_d", F.lit(base) - F.col("_s"))
     return (drop.groupBy(F.col("perm_feature").alias("feature"))
             .agg(F.avg("_d").alias("weight"), F.stddev_pop("_d").alias("std"))
@@ -257,14 +293,21 @@ def _binom_sf(k: int, n: int) -> float:
     return sum(math.comb(n, i) for i in range(k, n + 1)) / 2 ** n
 
 
+def shadow_shifts(count: int, n: int, r: int) -> list[int]:
+    """Offsets of round ``r``, one a feature, drawn from the n row numbers without repeats while they last."""
+    drawn = random.Random(7919 * r + 1)
+    return [x for lo in range(0, count, max(n, 1)) for x in drawn.sample(range(max(n, 1)), min(count - lo, max(n, 1)))]
+
+
 def _shadows(base: DataFrame, features, n: int, r: int, order: DataFrame) -> DataFrame:
     """``base`` (with ``_bi``) plus one shuffled copy of every feature.
 
     ``order`` numbers the rows in this round's random order (``_ri``). Shadow
     ``i`` of row ``t`` comes from the row numbered ``t`` plus a shift of its own,
-    so every shadow is a random permutation and no two shadows keep a row together.
+    so every shadow is a random permutation and no two shadows keep a row together
+    (as long as there are as many rows as features).
     """
-    shifts = [(7919 * (r + 1) * (i + 1) + i) % max(n, 1) for i in range(len(features))]
+    shifts = shadow_shifts(len(features), n, r)
     parts = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.pmod(F.col("_ri") + F.lit(s), F.lit(n)).alias("to"),
                                          q(f).cast("double").alias("v")) for i, (f, s) in enumerate(zip(features, shifts, strict=True))]))
     long = order.select(parts.alias("s")).select("s.i", F.col("s.to").alias("_bi"), "s.v")
@@ -370,59 +413,44 @@ def linear_contributions(model, train: DataFrame, rows: DataFrame, key: str, fea
 
 
 # ---------------------------------------------------------------- X3 LIME
-def _gauss(salt, key):
-    """Standard normal from two md5 uniforms (Box-Muller)."""
-    u1 = (b(salt + "a", key) + F.lit(0.5)) / F.lit(2.0 ** 32)
-    u2 = b(salt + "b", key) / F.lit(2.0 ** 32)
-    return F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2 * math.pi) * u2)
+def lime(model, train: DataFrame, rows: DataFrame, key: str, features, n_samples: int = 5000,
+         top: int = 5, alpha: float = 1.0, salt: int = 0) -> DataFrame:
+    """Local surrogate per row, of a tree model or a logistic regression.
 
-
-def lime(model, train: DataFrame, rows: DataFrame, key: str, features, n_samples: int = 200,
-         top: int = 5, alpha: float = 1.0) -> DataFrame:
-    """Local surrogate per row.
-
-    Each row is expanded to ``n_samples`` perturbations ``x + sd·N(0,1)``
-    (explode, no join), scored by one ``transform``; a kernel-weighted
-    ridge of P(label=1) on the standardised perturbation is solved per
-    row in ``applyInPandas`` (each group holds ``n_samples`` rows).
+    ``n_samples`` perturbations ``x + sd·N(0,1)`` of a row are drawn from the row's own
+    seed, scored by the flat model and reduced to the weights of a kernel-weighted ridge of
+    P(label=1), all in the task that holds the row: no perturbation leaves it.
     Returns the ``top`` signed weights per row (a top-k report).
     """
     feats = list(features)
+    forest = flat_trees.scorer(model, rows.sparkSession)
     sd = train.agg(*[F.stddev_samp(q(c)).alias(f"s{i}") for i, c in enumerate(feats)]).first()
-    sds = [float(sd[f"s{i}"] or 0.0) or 1.0 for i in range(len(feats))]
-    width = 0.75 * math.sqrt(len(feats))
-    # originals ride along through the explode: no self-join
-    ex = rows.select(key, *[q(c).cast("double").alias(f"_o{i}") for i, c in enumerate(feats)]).withColumn(
-        "_s", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))))
-    pk = F.concat(F.col(key).cast("string"), F.lit(":"), F.col("_s").cast("string"))
-    dcols = {f"_d{i}": F.when(F.col("_s") == 0, F.lit(0.0)).otherwise(_gauss(f"lime{i}", pk))
-             for i in range(len(feats))}
-    pert = ex.withColumns(dcols)
-    pert = pert.select(key, "_s", *dcols.keys(), *[
-        (F.col(f"_o{i}") + F.lit(sds[i]) * F.col(f"_d{i}")).alias(c) for i, c in enumerate(feats)])
-    # the draws are pure functions of (row, sample): a retried task makes the same ones
-    sc = models.score(model, pert.withColumn("label", F.lit(0)), feats,
-                      keep=(key, "_s", *dcols.keys()))
-    names = list(dcols)
-    schema = T.StructType([T.StructField(key, rows.schema[key].dataType), T.StructField("feature", T.StringType()),
-                           T.StructField("weight", T.DoubleType()), T.StructField("rank", T.IntegerType())])
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        X = pdf[names].to_numpy(dtype=float)
-        y = pdf["score"].to_numpy(dtype=float)
-        dist = np.sqrt((X ** 2).sum(axis=1))
-        w = np.sqrt(np.exp(-(dist ** 2) / width ** 2))
-        Xa = np.hstack([X, np.ones((len(X), 1))]) * w[:, None]
-        A = Xa.T @ Xa + alpha * np.diag([1.0] * len(names) + [0.0])
-        coef = np.linalg.solve(A, Xa.T @ (y * w))[:-1]
-        order = np.argsort(-np.abs(coef), kind="stable")[:top]
-        return pd.DataFrame({key: pdf[key].iloc[0], "feature": [feats[i] for i in order],
-                             "weight": coef[order], "rank": np.arange(1, len(order) + 1, dtype=np.int32)})
-
-    return sc.groupBy(key).applyInPandas(solve, schema)
+    sds = np.array([float(sd[f"s{i}"] or 0.0) or 1.0 for i in range(len(feats))])
+    kind = rows.schema[key].dataType.simpleString()
+    found = rows.select(q(key), F.xxhash64(q(key)).alias("seed"), *[q(c).cast("double").alias(f"_x{i}") for i, c in enumerate(feats)]).mapInArrow(
+        flat_trees.surrogate_weights(forest, sds, n_samples, top, alpha, 0.75 * math.sqrt(len(feats)), salt),
+        f"key {kind}, i int, weight double, rank int")
+    return found.select(F.col("key").alias(key), F.get(F.array(*[F.lit(f) for f in feats]), F.col("i")).alias("feature"), "weight", "rank")
 
 
 # ---------------------------------------------------------------- X4 Shapley
+def tree_shapley(model, rows: DataFrame, key: str, features, output: int = 0) -> tuple[DataFrame, DataFrame, float]:
+    """Exact Shapley values of a tree model's output (margin of boosted trees, share of class ``output`` of others).
+
+    A coalition's worth is the output with the absent features averaged by the training rows
+    of each branch. Returns (phi per (row, feature), mean |phi| per feature, expected value);
+    expected value + Σφ is the row's output.
+    """
+    feats = list(features)
+    forest = model if isinstance(model, Forest) else flat_trees.flatten(model, rows.sparkSession)
+    kind = rows.schema[key].dataType.simpleString()
+    phi = rows.select(q(key), *[q(c).cast("double").alias(f"_x{i}") for i, c in enumerate(feats)]).mapInArrow(
+        flat_trees.shapley_rows(forest, len(feats), output), f"key {kind}, phi array<double>")
+    long = phi.select(F.col("key").alias(key), F.posexplode("phi").alias("i", "phi")).select(
+        key, F.get(F.array(*[F.lit(f) for f in feats]), F.col("i")).alias("feature"), "phi")
+    return long, long.groupBy("feature").agg(F.avg(F.abs("phi")).alias("mean_abs_phi")), flat_trees.expected_value(forest, output)
+
+
 def shapley(model, background: DataFrame, rows: DataFrame, key: str, features, permutations: int = 10,
             salt: str = "shap") -> tuple[DataFrame, DataFrame]:
     """Permutation-sampling Shapley values.
