@@ -47,6 +47,7 @@ QUERY_ROWS = 1024
 QUERY_TERMS = 1 << 17
 BLOCK = 64
 SKETCH = 16
+DENSE_CELLS = 1 << 22  # of a table of maxima by block and term; sorted cells beyond
 BITS = 1 << 20
 NO_ID = (1 << 63) - 1
 TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -155,12 +156,17 @@ class Shard:
             at, start = self._cells(docs)
             block_of = np.repeat(np.arange(len(first)), np.diff(first, append=len(docs)))
             key = np.repeat(block_of, np.diff(start, append=len(at))) * len(self.most) + self.terms[at]
-            order = np.argsort(key, kind="stable")
-            key = key[order]
-            new = np.flatnonzero(np.diff(key, prepend=-1))
-            known = self.lists[term] = Blocks(
-                docs, np.append(first, len(docs)), key[new] % len(self.most), np.maximum.reduceat(self.impacts[at][order], new),
-                np.searchsorted(key[new], np.arange(len(first)) * len(self.most)))
+            if len(first) * len(self.most) <= DENSE_CELLS:
+                table = np.full(len(first) * len(self.most), -1, dtype=np.int64)
+                np.maximum.at(table, key, self.impacts[at])
+                cells = np.flatnonzero(table >= 0)
+                most = table[cells]
+            else:
+                order = np.argsort(key, kind="stable")
+                new = np.flatnonzero(np.diff(key[order], prepend=-1))
+                cells, most = key[order][new], np.maximum.reduceat(self.impacts[at][order], new)
+            known = self.lists[term] = Blocks(docs, np.append(first, len(docs)), cells % len(self.most), most,
+                                              np.searchsorted(cells, np.arange(len(first)) * len(self.most)))
         return known
 
     def scores(self, docs: np.ndarray, q: np.ndarray) -> np.ndarray:

@@ -89,6 +89,17 @@ def test_summaries_bound_every_score_and_blocks_are_skipped():
     assert skipped > 50  # the bounds do prune
 
 
+def test_dense_and_sorted_summaries_agree(monkeypatch):
+    dense, _, _ = _shard(3)
+    by_sort, _, _ = _shard(3)
+    for term in range(80):
+        if dense.most[term]:
+            monkeypatch.setattr(L, "DENSE_CELLS", 1 << 22)
+            a = dense.blocks(term)
+            monkeypatch.setattr(L, "DENSE_CELLS", 0)
+            assert all((x == y).all() for x, y in zip(a, by_sort.blocks(term), strict=True))
+
+
 def test_blocks_gather_similar_documents():
     shard, _, _ = _shard(2)
     blocks = shard.blocks(int(np.argmax(np.diff(shard.posting_heads))))
