@@ -25,7 +25,7 @@ from pyspark.ml.feature import MinMaxScalerModel, StandardScalerModel, VectorAss
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.session import ensure_checkpoint_dir
+from riskframe.session import delete_path, ensure_checkpoint_dir
 
 SMALL_TREE = 64  # splits up to which comparing all of them beats walking down
 
@@ -143,7 +143,7 @@ def scorer(model, spark: SparkSession | None = None):
 
 def _node_rows(spark: SparkSession, model) -> list:
     """The model's nodes as Spark saves them: a table of the model's size."""
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/nodes-{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/nodes-{uuid.uuid4().hex}"  # a save of Spark's own
     model.write().save(path)
     nodes = spark.read.parquet(f"{path}/data")
     if "nodeData" in nodes.columns:
@@ -151,8 +151,7 @@ def _node_rows(spark: SparkSession, model) -> list:
     else:
         nodes = nodes.withColumn("treeID", F.lit(0))
     rows = nodes.orderBy("treeID", "id").collect()
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    delete_path(spark, path)
     return rows
 
 
