@@ -604,6 +604,26 @@ def _models():
             "FROM range(0, 100000) t(i) WHERE i BETWEEN rounds - hits AND rounds) AS down FROM per), "
             "dec AS (SELECT feature, rounds, hits, med_imp, CASE WHEN up < 0.05 / 12 THEN 'Confirmed' WHEN down < 0.05 / 12 THEN 'Rejected' "
             "ELSE 'Tentative' END AS decision FROM tails)")
+    # the first round of boosting: every margin is 0, positives weigh 3
+    feats = [c for c, _ in MODEL_TYPES if c not in ("loan_id", "label")]
+    cells = w + f""", long AS ({long_sql('tr', ['loan_id', 'label'], feats)}),
+      part AS (SELECT *, floor((rank() OVER (PARTITION BY feature ORDER BY value) - 1) * 32 / count(*) OVER (PARTITION BY feature)) AS part FROM long),
+      cuts AS (SELECT feature, CAST(row_number() OVER (PARTITION BY feature ORDER BY part) - 1 AS INTEGER) AS bin, part, max(value) AS cut
+               FROM part GROUP BY feature, part),
+      cells AS (SELECT p.feature, bin, sum((0.5::DOUBLE - label) * CASE WHEN label = 1 THEN 3 ELSE 1 END) AS g,
+                  sum(0.25::DOUBLE * CASE WHEN label = 1 THEN 3 ELSE 1 END) AS h, count(*) AS n
+                FROM part p JOIN cuts USING (feature, part) GROUP BY p.feature, bin),
+      sides AS (SELECT feature, bin, sum(g) OVER u AS gl, sum(h) OVER u AS hl, CAST(sum(n) OVER u AS BIGINT) AS nl, sum(g) OVER t AS g, sum(h) OVER t AS h, sum(n) OVER t AS n
+                FROM cells WINDOW u AS (PARTITION BY feature ORDER BY bin), t AS (PARTITION BY feature)) """
+
+    def worth(g, h):
+        return f"pow(greatest(abs({g}) - 2, 0), 2) / ({h} + 1.5)"
+    lvl = " JOIN ".join(
+        f"(SELECT loan_id, (coalesce(sum(label) OVER (PARTITION BY {c} ORDER BY h, loan_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 0.5) / "
+        f"(row_number() OVER (PARTITION BY {c} ORDER BY h, loan_id)) AS {c} FROM lv) AS _{c}" + ("" if i == 0 else " USING (loan_id)")
+        for i, c in enumerate(["term", "grade", "home_ownership"]))
+    levels = w + f""", lv AS (SELECT t.loan_id, t.label, trim(r.term) AS term, r.grade, r.home_ownership, {duck_b('ts', 't.loan_id')} AS h
+      FROM tr t JOIN loans_raw r USING (loan_id)) SELECT loan_id, term, grade, home_ownership FROM {lvl}"""
     pairs = [(a, b) for i, a in enumerate(CONT) for b in CONT[i + 1:] if {a, b} != {"loan_amnt", "funded_amnt"} and "installment" not in (a, b)]
     srt = sorted(CONT)
     done = fs.with_(fs.trials_c()).rstrip() + ", done AS (SELECT * FROM trials_c WHERE state = 'COMPLETE') "
@@ -612,6 +632,11 @@ def _models():
         return f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0"
     ranked = ", ".join(f"{mid(c)} AS {c}" for c in ["value", *TRIAL_PARAMS])
     return {
+        "M11_cuts": rnd(cells + "SELECT feature, bin, cut FROM cuts", ["cut"]),
+        "M11_histogram": rnd(cells + "SELECT feature, bin, g, h, n FROM cells", ["g", "h"]),
+        "M11_gains": rnd(cells + f"SELECT feature, bin, gl, hl, nl, {worth('gl', 'hl')} + {worth('(g - gl)', '(h - hl)')} - {worth('g', 'h')} AS gain FROM sides "
+                                 "WHERE least(hl, h - hl) >= 5 AND least(nl, n - nl) >= 1", ["gl", "hl", "gain"]),
+        "M13_levels": rnd(levels, ["term", "grade", "home_ownership"]),
         "F3_linear": rnd(f3, ["weight", "std"]),
         "X4_linear": rnd(shap + "SELECT * FROM phi", ["phi"]),
         "F4_linear": rnd(shap + "SELECT feature, avg(abs(phi)) AS mean_abs_phi FROM phi GROUP BY feature", ["mean_abs_phi"]),

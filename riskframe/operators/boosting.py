@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskframe.functions.columns import q
-from riskframe.functions.rand import b
+from riskframe.functions.rand import b, b60
 from riskframe.operators import evaluate as ev
 from riskframe.operators.flat_trees import Forest, complete_rows
 from riskframe.plans.prefix import prefix_sums
@@ -111,6 +111,18 @@ def _binned(cuts: list[np.ndarray], models: int, start: list[float]):
     return run
 
 
+BINNED = "row bigint, fold int, label double, bins binary, margins array<double>"
+
+
+def binned_table(df: DataFrame, key: str, features, cuts: list[np.ndarray], label: str = "label", fold_col: str | None = None,
+                 models: int = 1) -> tuple[DataFrame, str]:
+    """The rows by bins, written: a draw of the key, fold, label, a byte a feature, a margin a model; and where they lie."""
+    fold = F.col(fold_col).cast("int") if fold_col else F.lit(-1)
+    own = df.select(b60("row", q(key)).alias("row"), fold.alias("fold"), q(label).cast("double").alias("label"),
+                    *[q(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)])
+    return written_table(own.mapInArrow(_binned(cuts, models, [0.0] * models), BINNED), "binned")
+
+
 def _cells(batch: pa.RecordBatch, features: int) -> tuple[np.ndarray, ...]:
     """row, fold, label, bins (features × rows) and margins (models × rows) of a batch of the binned table."""
     row, fold, label = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
@@ -462,11 +474,7 @@ def fit(df: DataFrame, key: str, features, p: Params, label: str = "label", fold
         raise ValueError("other_rate lies in (0, 1 - top_rate]")
     cuts = cuts if cuts is not None else collected_cuts(df, feats, p.max_bins)
     bins = max(2, *[len(c) for c in cuts])
-    fold = F.col(fold_col).cast("int") if fold_col else F.lit(-1)
-    start = [0.0] * models
-    rows, path = written_table(df.select(F.xxhash64(q(key)).alias("row"), fold.alias("fold"), q(label).cast("double").alias("label"),
-                                         *[q(f).cast("double").alias(f"x{i}") for i, f in enumerate(feats)]).mapInArrow(
-        _binned(cuts, models, start), "row bigint, fold int, label double, bins binary, margins array<double>"), "binned")
+    rows, path = binned_table(df, key, feats, cuts, label, fold_col, models)
     trees: list[list[tuple[Tree, np.ndarray]]] = [[] for _ in range(models)]
     weights: list[list[float]] = [[] for _ in range(models)]
     pinned: list[list[float]] = [[] for _ in range(models)]  # what the written margins hold of every tree
@@ -516,7 +524,7 @@ def _with_margins(rows: DataFrame, changes: list[Forest | None], models: int, fe
             at = pa.array(np.arange(len(new) + 1, dtype=np.int32) * models)
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(4)] + [pa.ListArray.from_arrays(at, pa.array(new.ravel()))],
                                              names=["row", "fold", "label", "bins", "margins"])
-    return rows.mapInArrow(run, "row bigint, fold int, label double, bins binary, margins array<double>")
+    return rows.mapInArrow(run, BINNED)
 
 
 # ---------------------------------------------------------------- ordered target statistics

@@ -22,9 +22,11 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassificationModel, GBTClassificationModel, LogisticRegressionModel,
                                        RandomForestClassificationModel)
 from pyspark.ml.feature import MinMaxScalerModel, StandardScalerModel, VectorAssembler
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from riskframe.functions.columns import q
 from riskframe.session import delete_path, ensure_checkpoint_dir
 
 SMALL_TREE = 64  # splits up to which comparing all of them beats walking down
@@ -202,6 +204,22 @@ def complete_rows(b: pa.RecordBatch, first: int, count: int) -> tuple[np.ndarray
     return x, ~np.isnan(x).any(axis=1)
 
 
+def score_rows(forest: Forest, df: DataFrame, features, keep) -> DataFrame:
+    """Columns ``keep``, P(label = 1) as ``score`` and the prediction of every complete row."""
+    feats, keep = list(features), list(keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, ok = complete_rows(b, len(keep), len(feats))
+            p, hard = forest.score(x[ok])
+            yield pa.RecordBatch.from_arrays([b.column(i).filter(pa.array(ok)) for i in range(len(keep))] + [pa.array(p), pa.array(hard)],
+                                             names=[*keep, "score", "prediction"])
+
+    own = df.select(*[q(c) for c in keep], *[q(f).cast("double").alias(f"_x{i}") for i, f in enumerate(feats)])
+    return own.mapInArrow(run, T.StructType([*own.schema.fields[:len(keep)], T.StructField("score", T.DoubleType()),
+                                             T.StructField("prediction", T.IntegerType())]))
+
+
 # ---------------------------------------------------------------- permutation sums
 def permuted_sums(forest: Forest, features: int, repeats: int, by_score: bool):
     """Task body of the permutation importance. Columns: label, the row's features, then the donors' of every repeat.

@@ -8,8 +8,6 @@ small driver-side lists turned into DataFrames.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC,
                                        LogisticRegression, NaiveBayes, RandomForestClassifier)
@@ -123,6 +121,9 @@ def fit(df: DataFrame, features, estimator, scaler: str | None = "minmax") -> Pi
 
 def score(model: PipelineModel, df: DataFrame, features, keep=("loan_id", "label")) -> DataFrame:
     """Transform and keep key, label, P(label = 1) as ``score`` and the prediction."""
+    from riskframe.operators import flat_trees
+    if isinstance(model, flat_trees.Forest):
+        return flat_trees.score_rows(model, df, features, keep)
     d, _ = safe_features(df, features)
     out = model.transform(d)
     return out.select(*keep, vector_to_array("probability")[1].alias("score"),
@@ -165,11 +166,6 @@ def load(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-def depth_from_leaves(num_leaves: int) -> int:
-    """Leaf-wise ``num_leaves`` -> a depth-wise limit with at least as many leaves."""
-    return max(1, math.ceil(math.log2(max(2, num_leaves))))
-
-
 def scored_splits(model: PipelineModel, train: DataFrame, test: DataFrame, features,
                   name: str = "model") -> DataFrame:
     """Score train and test with one model: (model, split, loan_id, label, score, prediction)."""
@@ -197,60 +193,44 @@ def train_job(train: DataFrame, test: DataFrame, features, penalty: str = "l2",
         "solver", F.lit(solver)).withColumn("reg_param", F.lit(float(pen["reg"])))
 
 
-# Boosting-library parameter names mapped onto GBTClassifier.
+# Parameter names of the boosting libraries and the booster's own.
 BOOSTING_MAP = {
-    "xgboost": {"n_estimators": "maxIter", "max_depth": "maxDepth", "learning_rate": "stepSize",
-                "subsample": "subsamplingRate", "colsample_bytree": "featureSubsetStrategy",
-                "min_child_weight": "minInstancesPerNode", "gamma": "minInfoGain",
-                "scale_pos_weight": "weightCol", "reg_alpha": None, "reg_lambda": None},
-    "lightgbm": {"n_estimators": "maxIter", "max_depth": "maxDepth", "num_leaves": "maxDepth",
-                 "learning_rate": "stepSize", "subsample": "subsamplingRate",
-                 "bagging_fraction": "subsamplingRate", "colsample_bytree": "featureSubsetStrategy",
-                 "feature_fraction": "featureSubsetStrategy", "min_sum_hessian_in_leaf": "minInstancesPerNode",
-                 "boosting_type": None, "reg_alpha": None, "reg_lambda": None},
-    "catboost": {"iterations": "maxIter", "depth": "maxDepth", "learning_rate": "stepSize",
-                 "min_data_in_leaf": "minInstancesPerNode", "scale_pos_weight": "weightCol",
-                 "l2_leaf_reg": None, "one_hot_max_size": None},
+    "xgboost": {"n_estimators": "rounds", "max_depth": "max_depth", "learning_rate": "learning_rate", "subsample": "subsample",
+                "colsample_bytree": "colsample_bytree", "colsample_bylevel": "colsample_bylevel", "min_child_weight": "min_child_weight",
+                "gamma": "gamma", "scale_pos_weight": "scale_pos_weight", "reg_alpha": "reg_alpha", "reg_lambda": "reg_lambda"},
+    "lightgbm": {"n_estimators": "rounds", "max_depth": "max_depth", "num_leaves": "num_leaves", "learning_rate": "learning_rate",
+                 "subsample": "subsample", "bagging_fraction": "subsample", "colsample_bytree": "colsample_bytree",
+                 "feature_fraction": "colsample_bytree", "min_sum_hessian_in_leaf": "min_child_weight", "min_data_in_leaf": "min_data_in_leaf",
+                 "boosting_type": "boosting", "drop_rate": "drop_rate", "skip_drop": "skip_drop", "top_rate": "top_rate",
+                 "other_rate": "other_rate", "reg_alpha": "reg_alpha", "reg_lambda": "reg_lambda", "scale_pos_weight": "scale_pos_weight"},
+    "catboost": {"iterations": "rounds", "depth": "max_depth", "learning_rate": "learning_rate", "min_data_in_leaf": "min_data_in_leaf",
+                 "scale_pos_weight": "scale_pos_weight", "l2_leaf_reg": "reg_lambda", "one_hot_max_size": "one_hot_max_size"},
 }
+# What sets the styles apart: how trees grow, and the defaults of parameters that are not named.
+BOOSTING_STYLE = {"xgboost": {"grow": "depth"}, "lightgbm": {"grow": "leaf", "max_depth": 0, "min_child_weight": 1e-3, "reg_lambda": 0.0},
+                  "catboost": {"grow": "symmetric", "min_child_weight": 0.0, "reg_lambda": 3.0}}
+WHOLE = {"rounds", "max_depth", "num_leaves", "min_data_in_leaf", "one_hot_max_size"}
 
 
 def map_boosting(style: str, params: dict) -> tuple[dict, list[tuple]]:
-    """Library parameters -> GBT kwargs and an (param, value, spark_param, applied) table."""
-    kw, rows = {}, []
-    table = BOOSTING_MAP[style]
-    for p, v in params.items():
-        sp = table.get(p)
-        applied = sp is not None
-        if sp == "maxIter":
-            kw["iters"] = int(v)
-        elif sp == "maxDepth":
-            d = depth_from_leaves(int(v)) if p == "num_leaves" else int(v)
-            kw["depth"] = min(30, max(kw.get("depth", 0), d))
-        elif sp == "stepSize":
-            kw["step"] = float(v)
-        elif sp == "subsamplingRate":
-            kw["subsample"] = float(v)
-        elif sp == "featureSubsetStrategy":
-            kw["subset"] = str(float(v))
-        elif sp == "minInstancesPerNode":
-            kw["min_rows"] = max(1, int(round(float(v))))
-        elif sp == "minInfoGain":
-            kw["min_gain"] = float(v)
-        elif sp == "weightCol":
-            kw["pos_weight"] = float(v)
-        rows.append((style, p, str(v), sp or "", applied))
+    """Library parameters -> the booster's, and a (style, param, value, own name, applied) table."""
+    kw, rows = dict(BOOSTING_STYLE[style]), []
+    for name, value in params.items():
+        own = BOOSTING_MAP[style].get(name)
+        if own:
+            kw[own] = str(value) if own == "boosting" else int(value) if own in WHOLE else float(value)
+        rows.append((style, name, str(value), own or "", own is not None))
     return kw, rows
 
 
-def fit_boosting(train: DataFrame, features, style: str, params: dict, seed: int = 42,
-                 validation: str | None = None, label: str = "label"):
-    """Fit the mapped GBT; ``scale_pos_weight`` becomes a per-row weight column."""
+def fit_boosting(train: DataFrame, features, style: str, params: dict, key: str = "loan_id", seed: int = 42, label: str = "label",
+                 fold_col: str | None = None, patience: int | None = None):
+    """Fit the booster in a library's style: (forest on the features' own values, parameter table).
+
+    With ``fold_col`` rows of fold 0 are held out and rounds end ``patience`` after the best AUC on them.
+    """
+    from riskframe.operators import boosting
     kw, rows = map_boosting(style, params)
-    pos_w = kw.pop("pos_weight", None)
-    d = train
-    weight = None
-    if pos_w is not None:
-        d = d.withColumn("_w", F.when(F.col(label) == 1, F.lit(pos_w)).otherwise(F.lit(1.0)))
-        weight = "_w"
-    est = gbt(seed=seed, weight=weight, validation=validation, **kw)
-    return fit(d, features, est, scaler=None), rows
+    kw.pop("one_hot_max_size", None)  # of the encoding before the fit (boosting.encode_levels)
+    fitted = boosting.fit(train, key, features, boosting.Params(seed=seed, **kw), label, fold_col, 1, patience)
+    return fitted.forests[0], rows

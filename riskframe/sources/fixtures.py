@@ -123,6 +123,21 @@ def fit_cleaning(spark: SparkSession, sf_dir: str) -> tuple[list[str], dict]:
     return fitted
 
 
+def loans_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cleaned loans with their level columns as they are: ``loans_model`` before P10."""
+    from riskframe.operators import clean
+    df = clean.blank_to_null(loans_raw(spark, sf_dir)).select(*_cleaning(spark, sf_dir)[0])
+    df = clean.complete_cases(clean.drop_columns(df, DATE_COLS), COMPLETE_CASE_COLS)
+    return clean.label_last(clean.recode_levels(clean.recode_status(df, "loan_status", "label"), FLAG_MAPS), "label")
+
+
+def _cleaning(spark: SparkSession, sf_dir: str) -> tuple[list[str], dict]:
+    key = (spark.sparkContext.applicationId, _versions(spark, sf_dir))
+    if key not in _CLEANING_FITS:
+        _CLEANING_FITS[key] = fit_cleaning(spark, sf_dir)
+    return _CLEANING_FITS[key]
+
+
 def loans_model(spark: SparkSession, sf_dir: str, fitted: tuple | None = None) -> DataFrame:
     """P1 -> P2 -> P5 -> P6 -> P8 -> P9 -> P10 over loans_raw; ``label`` last.
 
@@ -130,12 +145,7 @@ def loans_model(spark: SparkSession, sf_dir: str, fitted: tuple | None = None) -
     per application and version of the input files.
     """
     from riskframe.operators import clean
-    if fitted is None:
-        key = (spark.sparkContext.applicationId, _versions(spark, sf_dir))
-        if key not in _CLEANING_FITS:
-            _CLEANING_FITS[key] = fit_cleaning(spark, sf_dir)
-        fitted = _CLEANING_FITS[key]
-    kept, levels = fitted
+    kept, levels = fitted if fitted is not None else _cleaning(spark, sf_dir)
     df = clean.blank_to_null(loans_raw(spark, sf_dir)).select(*kept)
     df = clean.drop_columns(df, DATE_COLS)
     df = clean.complete_cases(df, COMPLETE_CASE_COLS)
