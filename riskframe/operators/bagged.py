@@ -17,11 +17,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.operators import evaluate as ev
@@ -29,7 +30,7 @@ from riskframe.operators.boosting import _cells, binned_table, collected_cuts, h
 from riskframe.operators.flat_trees import Forest
 from riskframe.session import delete_path
 
-SLOTS = 8192  # nodes that one pass looks at
+SLOTS = 16384  # nodes that one pass looks at
 POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
 
 
@@ -127,32 +128,27 @@ def _sums(rows: DataFrame, t: Trees, nodes: np.ndarray, drawn: np.ndarray, d: in
                                          names=["slot", "feature", "bin", "pos", "n"])
 
     cells = rows.mapInArrow(run, "slot int, feature int, bin int, pos bigint, n bigint")
-    return cells.groupBy("slot", "feature", "bin").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
+    return cells.repartition("slot", "feature").groupBy("slot", "feature", "bin").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
 
 
-def impurity(n: Column, pos: Column, criterion: str) -> Column:
-    """n times the impurity of a node of n with pos positives."""
-    n, pos = n.cast("double"), pos.cast("double")
+def impurity(n: str, pos: str, criterion: str) -> str:
+    """SQL of n times the impurity of a node of n with pos positives."""
     if criterion == "gini":
-        return F.when(n > 0, 2.0 * pos * (n - pos) / n).otherwise(F.lit(0.0))
-    part = lambda c: F.when(c > 0, -c * F.log(c / n)).otherwise(F.lit(0.0))
-    return part(pos) + part(n - pos)
+        return f"CASE WHEN {n} > 0 THEN 2D * {pos} * ({n} - {pos}) / {n} ELSE 0D END"
+    part = lambda c: f"CASE WHEN {c} > 0 THEN -{c} * ln({c} / {n}) ELSE 0D END"
+    return f"{part(pos)} + {part(f'({n} - {pos})')}"
 
 
 def best_cuts(sums: DataFrame, g: Growth) -> DataFrame:
     """slot, n, pos, and its best cut: feature, bin, nl, pl, gain (null without one)."""
-    key = Window.partitionBy("slot", "feature")
-    upto = key.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    c = sums.select("slot", "feature", "bin", F.sum("n").over(upto).alias("nl"), F.sum("pos").over(upto).alias("pl"),
-                    F.sum("n").over(key).alias("n"), F.sum("pos").over(key).alias("pos"))
-    col = F.col
-    gain = (impurity(col("n"), col("pos"), g.criterion) - impurity(col("nl"), col("pl"), g.criterion)
-            - impurity(col("n") - col("nl"), col("pos") - col("pl"), g.criterion))
-    c = c.withColumn("gain", F.when(F.least(col("nl"), col("n") - col("nl")) >= max(1, g.min_leaf), F.round(gain, 9)))
-    first = F.struct("gain", -col("feature"), -col("bin"))
-    best = c.groupBy("slot").agg(F.max("n").alias("n"), F.max("pos").alias("pos"), F.max_by(
-        F.struct("feature", "bin", "nl", "pl", "gain"), F.when(col("gain") > 1e-9, first)).alias("s"))
-    return best.select("slot", "n", "pos", "s.feature", "s.bin", "s.nl", "s.pl", "s.gain")
+    node, upto = "OVER (PARTITION BY slot, feature)", "OVER (PARTITION BY slot, feature ORDER BY bin ROWS UNBOUNDED PRECEDING)"
+    c = sums.selectExpr("slot", "feature", "bin", *[f"cast(sum({a}) {w} AS double) AS {b}" for a, w, b in (
+        ("n", upto, "nl"), ("pos", upto, "pl"), ("n", node, "n"), ("pos", node, "pos"))])
+    gain = " - ".join(f"({impurity(n, pos, g.criterion)})" for n, pos in (("n", "pos"), ("nl", "pl"), ("(n - nl)", "(pos - pl)")))
+    c = c.selectExpr("*", f"CASE WHEN least(nl, n - nl) >= {max(1, g.min_leaf)} THEN round({gain}, 9) END AS gain")
+    best = c.groupBy("slot").agg(F.expr("max(n) AS n"), F.expr("max(pos) AS pos"), F.expr(
+        "max_by(struct(feature, bin, nl, pl, gain), CASE WHEN gain > 1e-9 THEN struct(gain, -feature, -bin) END) AS s"))
+    return best.select("slot", "n", "pos", "s.*")
 
 
 def grow(rows: DataFrame, d: int, bins: int, which: list[tuple[int, int]], g: Growth) -> Trees:
@@ -257,7 +253,8 @@ def forest(df: DataFrame, key: str, features, g: Growth, label: str = "label") -
     return as_forest(t, cuts), {"accuracy": r["right"] / rows_seen if rows_seen else None, "auc": auc["auc"] if auc else None, "rows": rows_seen}, importance(t, d)
 
 
-def grid_accuracy(df: DataFrame, key: str, features, fold_col: str, folds: int, grid: dict, g: Growth = Growth(), label: str = "label") -> DataFrame:
+def grid_accuracy(df: DataFrame, key: str, features, fold_col: str, folds: int, grid: dict, g: Growth = Growth(), label: str = "label",
+                  workers: int = 3) -> DataFrame:
     """Mean accuracy over folds of every combination of ``grid``: criterion, min_leaf, max_depth (0: none), min_split, trees.
 
     Criterion and least leaf change the cuts, so each pair is a growth of its own (all folds
@@ -269,14 +266,18 @@ def grid_accuracy(df: DataFrame, key: str, features, fold_col: str, folds: int,
     rows, path = binned_table(df, key, feats, cuts, label, fold_col)
     most = max(grid["trees"])
     stops = [(depth, split) for depth in grid["max_depth"] for split in grid["min_split"]]
-    out = []
-    for criterion in grid["criterion"]:
-        for leaf in grid["min_leaf"]:
-            deepest = 0 if 0 in grid["max_depth"] else max(grid["max_depth"])
-            own = Growth(most, deepest, leaf, min(grid["min_split"]), criterion, g.subset, g.max_bins, g.seed)
-            t = grow(rows, d, bins, [(m, i) for m in range(folds) for i in range(most)], own)
-            right = _grid_votes(rows, t, d, folds, most, stops, sorted(grid["trees"]))
-            out += [(criterion, leaf, *stops[r["stop"]], r["trees"], r["accuracy"]) for r in right]
+    deepest = 0 if 0 in grid["max_depth"] else max(grid["max_depth"])
+
+    def one(pair: tuple[str, int]) -> list[tuple]:
+        criterion, leaf = pair
+        own = Growth(most, deepest, leaf, min(grid["min_split"]), criterion, g.subset, g.max_bins, g.seed)
+        t = grow(rows, d, bins, [(m, i) for m in range(folds) for i in range(most)], own)
+        right = _grid_votes(rows, t, d, folds, most, stops, sorted(grid["trees"]))
+        return [(criterion, leaf, *stops[r["stop"]], r["trees"], r["accuracy"]) for r in right]
+
+    pairs = [(c, leaf) for c in grid["criterion"] for leaf in grid["min_leaf"]]
+    with ThreadPoolExecutor(max_workers=workers) as ex:  # growths are jobs of their own
+        out = [row for part in ex.map(one, pairs) for row in part]
     delete_path(df.sparkSession, path)
     kind = "criterion string, min_samples_leaf int, max_depth int, min_samples_split int, n_estimators int, avg_metric double"
     return df.sparkSession.createDataFrame(out, kind)

@@ -31,7 +31,7 @@ from riskframe.operators import evaluate as ev
 from riskframe.operators.flat_trees import Forest, complete_rows
 from riskframe.plans.prefix import prefix_sums
 from riskframe.plans.reshape import to_long
-from riskframe.session import delete_path, written_table
+from riskframe.session import delete_path, shuffle_partitions, written_table
 
 UNIT = 1 << 30
 CELLS = "slot int, feature int, bin int, g bigint, h bigint, n bigint"
@@ -120,6 +120,8 @@ def binned_table(df: DataFrame, key: str, features, cuts: list[np.ndarray], labe
     fold = F.col(fold_col).cast("int") if fold_col else F.lit(-1)
     own = df.select(b60("row", q(key)).alias("row"), fold.alias("fold"), q(label).cast("double").alias("label"),
                     *[q(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)])
+    # dealt evenly once: a few bytes a row are read by every pass, and a pass is work more than bytes
+    own = own.repartition(shuffle_partitions(df.sparkSession), "row")
     return written_table(own.mapInArrow(_binned(cuts, models, [0.0] * models), BINNED), "binned")
 
 
@@ -253,36 +255,30 @@ def histogram(rows: DataFrame, p: Params, r: Round, open_nodes: list[tuple[int,
                                          names=["slot", "feature", "bin", "g", "h", "n"])
 
     whole = lambda c: F.sum(F.col(c).cast("decimal(38,0)")).alias(c)
-    return rows.mapInArrow(run, CELLS).groupBy("slot", "feature", "bin").agg(whole("g"), whole("h"), F.sum("n").alias("n"))
+    # tasks have added up their own rows: one exchange serves the sums and the running sums over bins
+    return rows.mapInArrow(run, CELLS).repartition("slot", "feature").groupBy("slot", "feature", "bin").agg(whole("g"), whole("h"), F.sum("n").alias("n"))
 
 
 def sides(hist: DataFrame) -> DataFrame:
     """Both sides of every cut: gl, hl, nl up to the bin; g, h, n of the node, in units of 1."""
-    key = Window.partitionBy("slot", "feature")
-    upto = key.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    unit = lambda c: (c.cast("double") / F.lit(float(UNIT)))
-    return hist.select("slot", "feature", "bin", *[unit(F.sum(c).over(upto)).alias(c + "l") for c in "gh"], F.sum("n").over(upto).alias("nl"),
-                       *[unit(F.sum(c).over(key)).alias(c) for c in "gh"], F.sum("n").over(key).alias("n"))
+    node, upto = "OVER (PARTITION BY slot, feature)", "OVER (PARTITION BY slot, feature ORDER BY bin ROWS UNBOUNDED PRECEDING)"
+    return hist.selectExpr("slot", "feature", "bin", *[f"cast(sum({c}) {upto} AS double) / {UNIT} AS {c}l" for c in "gh"], f"sum(n) {upto} AS nl",
+                           *[f"cast(sum({c}) {node} AS double) / {UNIT} AS {c}" for c in "gh"], f"sum(n) {node} AS n")
 
 
 def with_gain(cuts: DataFrame, p: Params) -> DataFrame:
     """``gain`` of every cut: what the penalised loss falls by. Null where a side is too light, 0 in a symmetric tree."""
-    def worth(g, h):
-        shrunk = F.greatest(F.abs(g) - F.lit(float(p.reg_alpha)), F.lit(0.0))
-        return shrunk * shrunk / F.greatest(h + F.lit(float(p.reg_lambda)), F.lit(1e-12))
-    gr, hr, nr = F.col("g") - F.col("gl"), F.col("h") - F.col("hl"), F.col("n") - F.col("nl")
-    gain = worth(F.col("gl"), F.col("hl")) + worth(gr, hr) - worth(F.col("g"), F.col("h"))
-    least = F.lit(max(1, p.min_data_in_leaf))
-    heavy = (F.least("hl", hr) >= F.lit(float(p.min_child_weight))) & (F.least("nl", nr) >= least)
-    return cuts.withColumn("gain", F.when(heavy, gain).otherwise(F.lit(0.0)) if p.grow == "symmetric" else F.when(heavy, gain))
+    def worth(g: str, h: str) -> str:
+        return f"pow(greatest(abs({g}) - {float(p.reg_alpha)!r}D, 0D), 2) / greatest({h} + {float(p.reg_lambda)!r}D, 1e-12D)"
+    gain = f"{worth('gl', 'hl')} + {worth('(g - gl)', '(h - hl)')} - {worth('g', 'h')}"
+    heavy = f"least(hl, h - hl) >= {float(p.min_child_weight)!r}D AND least(nl, n - nl) >= {max(1, p.min_data_in_leaf)}"
+    return cuts.selectExpr("*", f"CASE WHEN {heavy} THEN {gain} {'ELSE 0D' if p.grow == 'symmetric' else ''} END AS gain")
 
 
 def best_splits(hist: DataFrame, p: Params) -> list[dict]:
     """The best cut of every slot (lowest feature and bin among equals) and the slot's sums; ``gain`` is null without a cut."""
-    per = with_gain(sides(hist), p)
-    first = F.struct(F.col("gain"), -F.col("feature"), -F.col("bin"))
-    best = F.max_by(F.struct("feature", "bin", "gl", "hl", "nl", "gain"), F.when(F.col("gain").isNotNull(), first)).alias("s")
-    out = per.groupBy("slot").agg(best, F.max("g").alias("g"), F.max("h").alias("h"), F.max("n").alias("n")).collect()  # one row a node
+    best = F.expr("max_by(struct(feature, bin, gl, hl, nl, gain), CASE WHEN gain IS NOT NULL THEN struct(gain, -feature, -bin) END) AS s")
+    out = with_gain(sides(hist), p).groupBy("slot").agg(best, F.expr("max(g) AS g"), F.expr("max(h) AS h"), F.expr("max(n) AS n")).collect()  # one row a node
     return [{"slot": r["slot"], "g": r["g"], "h": r["h"], "n": r["n"], **(r["s"].asDict() if r["s"] else {"gain": None})} for r in out]
 
 
