@@ -789,7 +789,6 @@ def _holdout_objective(tr, va, feats):
     return obj
 
 
-STUDY_TRIALS = 500
 TRIAL_SCHEMA = ("iteration int, round int, maxDepth int, stepSize double, maxIter int, loss double, "
                 "start_s double, end_s double, train_time double")
 
@@ -799,7 +798,7 @@ def _trials_df(s, trials):
     return s.createDataFrame([tuple(t[c] for c in cols) for t in trials], TRIAL_SCHEMA)
 
 
-def _search(s, d, rounds=3, per_round=4):
+def _search(s, d, rounds=5, per_round=4):
     from riskframe.operators.search import run_search
     tr, va, test, feats = _val_split(s, d)
     return run_search(_holdout_objective(tr, va, feats), GBT_SPACE, rounds, per_round, seed=42)
@@ -881,15 +880,12 @@ def h9(s, d):
     tr, va, test, feats = _val_split(s, d)
     obj = _holdout_objective(tr, va, feats)
     path = _scratch(s, "study")
-    first = run_search(obj, GBT_SPACE, 1, 5, seed=7)
+    first = run_search(obj, GBT_SPACE, 2, 5, seed=7)
     trial_logs.append(_trials_df(s, first), path)
     log = trial_logs.read_log(s, path, TRIAL_SCHEMA)
     start = log.agg(F.max("iteration")).first()[0] + 1
-    # what the next proposals look at: the best finished trials and as many of the others
-    done = log.filter("loss is not null")
-    hist = [r.asDict() for r in done.orderBy("loss", "iteration").limit(STUDY_TRIALS)
-            .unionByName(done.orderBy(F.desc("loss"), "iteration").limit(STUDY_TRIALS)).distinct().collect()]
-    more = run_search(obj, GBT_SPACE, 1, 3, seed=8, start_iteration=start, history=hist)
+    # the log comes in as a table: its best trials as rows, all others as grouped counts
+    more = run_search(obj, GBT_SPACE, 2, 5, seed=8, start_iteration=start, history=log)
     return _trials_df(s, more)
 
 
@@ -918,7 +914,7 @@ def h11(s, d):
 
 
 def h12(s, d):
-    t = _trials_df(s, _search(s, d, rounds=1, per_round=4))
+    t = _trials_df(s, _search(s, d, rounds=2, per_round=4))
     return t.select("iteration", F.timestamp_seconds(F.col("start_s")).alias("start"),
                     F.timestamp_seconds(F.col("end_s")).alias("end"), F.col("train_time").alias("seconds"))
 

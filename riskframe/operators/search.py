@@ -10,6 +10,7 @@ of Spark jobs over the whole training table).
 from __future__ import annotations
 
 import math
+import random
 import time
 from decimal import Decimal
 from fractions import Fraction
@@ -196,87 +197,214 @@ def cross_validate(df: DataFrame, features, estimator, grid: dict, folds: int =
 
 
 # ---------------------------------------------------------------- model-based search (H5)
-def _to_unit(v, spec):
-    kind = spec[0]
-    if kind in ("quniform", "uniform_step", "uniform"):
-        return (v - spec[1]) / (spec[2] - spec[1])
-    if kind == "randint":
-        return (v - spec[1]) / max(1, spec[2] - spec[1])
-    if kind in ("loguniform", "loguniform_q"):
-        return (math.log(v) - math.log(spec[1])) / (math.log(spec[2]) - math.log(spec[1]))
-    return float(spec[1].index(v)) / max(1, len(spec[1]) - 1)
+STEPPED = ("quniform", "uniform_step", "randint")
+CELLS = 256  # a parameter's trials are told apart by so many parts of its range
+BELOW = 25   # trials that count as good, at most
 
 
-def _from_unit(x, spec, rng):
+def _steps(spec: tuple) -> tuple[float, float, int]:
+    """(first value, step, number of values) of a stepped kind, as ``sample_expr`` draws them."""
+    lo, hi, step = spec[1], spec[2], (spec[3] if len(spec) > 3 else 1)
+    return lo, step, math.floor(Fraction(str(hi - lo)) / Fraction(str(step)) + Fraction(1, 10 ** 9)) + 1
+
+
+def from_unit(x: float, spec: tuple):
+    """The value of ``spec`` at place ``x`` in [0, 1): always one that ``sample_expr`` can draw."""
     kind = spec[0]
-    x = min(1.0, max(0.0, x))
-    if kind in ("quniform", "uniform_step"):
-        v = spec[1] + x * (spec[2] - spec[1])
-        return round(round(v / spec[3]) * spec[3], 10)
+    x = min(max(x, 0.0), 1.0)
+    if kind in STEPPED:
+        lo, step, n = _steps(spec)
+        v = lo + min(n - 1, int(x * n)) * step
+        return int(v) if kind == "randint" else round(v, _digits(lo, step))
     if kind == "uniform":
         return spec[1] + x * (spec[2] - spec[1])
-    if kind == "randint":
-        return int(round(spec[1] + x * (spec[2] - spec[1])))
-    if kind in ("loguniform", "loguniform_q"):
-        v = math.exp(math.log(spec[1]) + x * (math.log(spec[2]) - math.log(spec[1])))
-        return round(round(v / spec[3]) * spec[3], 10) if kind == "loguniform_q" else v
-    return spec[1][int(round(x * (len(spec[1]) - 1)))]
+    v = math.exp(math.log(spec[1]) + x * (math.log(spec[2]) - math.log(spec[1])))
+    if kind == "loguniform_q":
+        step = Fraction(str(spec[3]))
+        k = min(max(round(v / float(step)), round(spec[1] / float(step))), round(spec[2] / float(step)))
+        return round(float(k * step), _digits(spec[3]))
+    return min(max(v, spec[1]), spec[2])
+
 
+def to_unit(v: float, spec: tuple) -> float:
+    """The place of a value in [0, 1]; the middle of its step for stepped kinds."""
+    kind = spec[0]
+    if kind in STEPPED:
+        lo, step, n = _steps(spec)
+        return (min(max(round((v - lo) / step), 0), n - 1) + 0.5) / n
+    if kind == "uniform":
+        return (v - spec[1]) / (spec[2] - spec[1])
+    return min(max((math.log(max(v, 1e-300)) - math.log(spec[1])) / (math.log(spec[2]) - math.log(spec[1])), 0.0), 1.0)
 
-def propose(trials: list[dict], space: dict, n: int, seed: int, gamma: float = 0.25,
-            candidates: int = 64) -> list[dict]:
-    """H5: next ``n`` proposals from a good/bad density split of the finished trials.
 
-    Trials are split at the ``gamma`` quantile of the loss; for each
-    candidate drawn around a good trial, the score is the ratio of
-    Gaussian kernel densities (good / bad) in the unit cube; the best
-    ``n`` distinct candidates are returned. The trial table is small
-    (one row per finished fit), so this step runs on the driver.
+def _leaves(space: dict, path: tuple = ()):
+    """(path, name, spec) of every parameter; a path lists the (choice, branch) pairs that make it exist."""
+    for name, spec in space.items():
+        if spec[0] == "choice_of":
+            yield path, name, ("choice", list(spec[1]))
+            for branch, sub in spec[1].items():
+                yield from _leaves(sub, (*path, (name, branch)))
+        else:
+            yield path, name, spec
+
+
+def _cell(v, spec: tuple):
+    return v if spec[0] == "choice" else min(CELLS - 1, int(to_unit(v, spec) * CELLS))
+
+
+def _counts(trials: list[dict], space: dict) -> dict:
+    """How often each cell of each parameter was tried, over the trials in which it exists."""
+    out: dict = {}
+    for path, name, spec in _leaves(space):
+        per = out.setdefault((path, name), {})
+        for t in trials:
+            if all(t.get(c) == branch for c, branch in path) and t.get(name) is not None:
+                cell = _cell(t[name], spec)
+                per[cell] = per.get(cell, 0) + 1
+    return out
+
+
+def _log_counts(log: DataFrame, space: dict) -> dict:
+    """``_counts`` of a trial table of any length: one grouped sum a parameter over at most CELLS cells."""
+    out = {}
+    for path, name, spec in _leaves(space):
+        rows = log
+        for c, branch in path:
+            rows = rows.filter(F.col(c) == F.lit(branch))
+        v = F.col(name)
+        if spec[0] == "choice":
+            cell = v
+        else:
+            if spec[0] in STEPPED:
+                lo, step, n = _steps(spec)
+                place = (F.greatest(F.least(F.round((v - F.lit(lo)) / F.lit(step)), F.lit(n - 1)), F.lit(0)) + F.lit(0.5)) / F.lit(float(n))
+            elif spec[0] == "uniform":
+                place = (v - F.lit(spec[1])) / F.lit(spec[2] - spec[1])
+            else:
+                width = math.log(spec[2]) - math.log(spec[1])
+                place = F.greatest(F.least((F.log(v) - F.lit(math.log(spec[1]))) / F.lit(width), F.lit(1.0)), F.lit(0.0))
+            cell = F.least(F.floor(place * CELLS), F.lit(CELLS - 1)).cast("int")
+        out[(path, name)] = {r["cell"]: r["n"] for r in rows.filter(v.isNotNull()).groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    return out
+
+
+class Mixture:
+    """Density of one numeric parameter on [0, 1]: a flat prior and a bell at every tried cell, as wide as its distance to the next."""
+
+    def __init__(self, cells: dict) -> None:
+        at = sorted(cells)
+        centre = [(c + 0.5) / CELLS for c in at]
+        total = sum(cells.values())
+        least = 1.0 / min(100.0, 1.0 + total)
+        self.bells = []
+        for i, m in enumerate(centre):
+            left = m - (centre[i - 1] if i else 0.0)
+            right = (centre[i + 1] if i + 1 < len(centre) else 1.0) - m
+            self.bells.append((m, min(1.0, max(left, right, least)), cells[at[i]]))
+        self.total = total + 1.0
+
+    @staticmethod
+    def _mass(m: float, s: float) -> float:
+        return 0.5 * (math.erf((1 - m) / (s * math.sqrt(2))) - math.erf(-m / (s * math.sqrt(2))))
+
+    def density(self, x: float) -> float:
+        bells = sum(n * math.exp(-0.5 * ((x - m) / s) ** 2) / (s * math.sqrt(2 * math.pi) * self._mass(m, s)) for m, s, n in self.bells)
+        return (1.0 + bells) / self.total
+
+    def draw(self, rng: random.Random) -> float:
+        pick = rng.random() * self.total
+        for m, s, n in self.bells:
+            pick -= n
+            if pick < 0:
+                while True:
+                    x = rng.gauss(m, s)
+                    if 0 <= x < 1:
+                        return x
+        return rng.random()
+
+
+class TrialLog:
+    """What a search has seen: the best trials as rows, all others as counts. Starts from a table of any length or a list."""
+
+    def __init__(self, space: dict, history: list[dict] | DataFrame | None = None) -> None:
+        self.space = space
+        self.best: list[dict] = []
+        self.n = 0
+        self.counts: dict = {(p, name): {} for p, name, _ in _leaves(space)}
+        if isinstance(history, DataFrame):
+            done = history.filter(F.col("loss").isNotNull())
+            self.n = done.count()
+            self.counts = _log_counts(done, space)
+            self.best = [r.asDict() for r in done.orderBy("loss", *(["iteration"] if "iteration" in done.columns else [])).limit(BELOW).collect()]
+        else:
+            self.add(history or [])
+
+    def add(self, trials: list[dict]) -> None:
+        done = [t for t in trials if t.get("loss") is not None]
+        for key, cells in _counts(done, self.space).items():
+            for c, n in cells.items():
+                self.counts[key][c] = self.counts[key].get(c, 0) + n
+        self.n += len(done)
+        self.best = sorted([*self.best, *done], key=lambda t: (t["loss"], t.get("iteration", 0)))[:BELOW]
+
+    def split(self, gamma: float) -> tuple[dict, dict]:
+        """Counts of the good trials and of the others."""
+        good = _counts(self.best[:min(BELOW, max(1, math.ceil(gamma * math.sqrt(self.n))))], self.space)
+        rest = {k: {c: n - good[k].get(c, 0) for c, n in cells.items() if n > good[k].get(c, 0)} for k, cells in self.counts.items()}
+        return good, rest
+
+
+def propose(trials: list[dict] | TrialLog, space: dict, n: int, seed: int, gamma: float = 1.0, candidates: int = 24, start: int = 12) -> list[dict]:
+    """H5: next ``n`` proposals of a tree-structured Parzen search.
+
+    Good trials (the ``gamma``·√n best) and all others give each parameter two densities; of
+    ``candidates`` draws from the good one, that of the highest ratio is proposed. A nested choice is
+    settled first and then the parameters of its branch, from the trials that took it. Before ``start``
+    finished trials proposals are blind draws.
     """
-    import random
+    log = trials if isinstance(trials, TrialLog) else TrialLog(space, trials)
     rng = random.Random(seed)
-    done = sorted([t for t in trials if t.get("loss") is not None], key=lambda t: t["loss"])
-    names = list(space)
-    if len(done) < 4:
-        return [{k: _from_unit(rng.random(), space[k], rng) for k in names} for _ in range(n)]
-    cut = max(1, int(math.ceil(gamma * len(done))))
-    good = [[_to_unit(t[k], space[k]) for k in names] for t in done[:cut]]
-    bad = [[_to_unit(t[k], space[k]) for k in names] for t in done[cut:]]
-    bw = max(0.05, 1.0 / max(2, len(done)) ** 0.2 * 0.3)
-
-    def dens(x, pts):
-        s = 0.0
-        for p in pts:
-            s += math.exp(-0.5 * sum(((a - b) / bw) ** 2 for a, b in zip(x, p)))
-        return s / max(1, len(pts)) + 1e-12
-
-    cands = []
-    for _ in range(candidates):
-        base = good[rng.randrange(len(good))]
-        x = [min(1.0, max(0.0, v + rng.gauss(0, bw))) for v in base]
-        cands.append((dens(x, good) / dens(x, bad), x))
-    cands.sort(key=lambda c: -c[0])
-    out, seen = [], set()
-    for _, x in cands:
-        p = {k: _from_unit(v, space[k], rng) for k, v in zip(names, x)}
-        key = tuple(sorted(p.items()))
-        if key in seen:
-            continue
-        seen.add(key)
-        out.append(p)
-        if len(out) == n:
+    good, rest = log.split(gamma)
+    blind = log.n < start
+
+    def one(sub: dict, path: tuple, out: dict) -> dict:
+        for name, spec in sub.items():
+            values = list(spec[1]) if spec[0] in ("choice", "choice_of") else None
+            if blind:
+                out[name] = rng.choice(values) if values else from_unit(rng.random(), spec)
+            elif values:
+                a, b = good[(path, name)], rest[(path, name)]
+                weight = [a.get(v, 0) + 1 for v in values]  # one trial of each value stands for the prior
+                ratio = [w / (b.get(v, 0) + 1) for w, v in zip(weight, values)]
+                drawn = rng.choices(range(len(values)), weights=weight, k=max(1, candidates // 4))
+                out[name] = values[max(drawn, key=lambda i: ratio[i])]
+            else:
+                a, b = Mixture(good[(path, name)]), Mixture(rest[(path, name)])
+                out[name] = from_unit(max((a.draw(rng) for _ in range(candidates)), key=lambda x: a.density(x) / b.density(x)), spec)
+            if spec[0] == "choice_of":
+                one(spec[1][out[name]], (*path, (name, out[name])), out)
+        return out
+
+    found: list[dict] = []
+    for _ in range(20 * n):
+        p = one(space, (), {})
+        if p not in found:
+            found.append(p)
+        if len(found) == n:
             break
-    return out
+    return found
 
 
 def run_search(objective, space: dict, rounds: int, per_round: int, seed: int = 42,
-               start_iteration: int = 0, history: list[dict] | None = None, workers: int = 4) -> list[dict]:
+               start_iteration: int = 0, history: list[dict] | DataFrame | None = None, workers: int = 4) -> list[dict]:
     """H5 + H9 + H12: rounds of proposals; the fits of one round run concurrently
-    (each is its own set of Spark jobs). ``history`` resumes a study."""
-    trials = list(history or [])
+    (each is its own set of Spark jobs). ``history`` (rows or a trial table) resumes a study.
+    Returns the history's rows, if it came as rows, and the new trials."""
+    trials = list(history or []) if not isinstance(history, DataFrame) else []
+    log = TrialLog(space, history)
     it = start_iteration
     for r in range(rounds):
-        props = propose(trials, space, per_round, seed + r)
+        props = propose(log, space, per_round, seed + r)
 
         def run_one(args):
             i, p = args
@@ -290,4 +418,5 @@ def run_search(objective, space: dict, rounds: int, per_round: int, seed: int =
             res = list(ex.map(run_one, [(it + j, p) for j, p in enumerate(props)]))
         it += len(props)
         trials.extend(res)
+        log.add(res)
     return trials

@@ -8,7 +8,7 @@ the next iteration, never a single-partition window.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.functions.columns import q
@@ -16,13 +16,35 @@ from riskframe.plans.prefix import prefix_sums
 from riskframe.plans.reshape import to_long, with_scalar_totals
 
 
+# a text in either kind of quotes, or what stands between texts
+_TOKEN = r"""'(?:[^'\\]++|\\.)*+'|"(?:[^"\\]++|\\.)*+"|[^'"]++"""
+
+
+def python_to_json(text: Column) -> Column:
+    """A Python literal's text as JSON; null where a quote is left open.
+
+    Quotes are turned around their own text only, so it may hold the other kind, escaped quotes or
+    words like True; the words become JSON's where they stand as values.
+    """
+    def one(t: Column) -> Column:
+        inner = F.regexp_replace(F.substring(t, F.lit(2), F.length(t) - 2), r"\\x([0-9a-fA-F]{2})", r"\\u00$1")
+        plain = F.regexp_replace(inner, r"\\'", "'")
+        single = F.concat(F.lit('"'), F.regexp_replace(plain, r'(?<!\\)((?:\\\\)*)"', r'$1\\"'), F.lit('"'))
+        double = F.concat(F.lit('"'), plain, F.lit('"'))
+        words = t
+        for word, json_word in (("True", "true"), ("False", "false"), ("None", "null")):
+            words = F.regexp_replace(words, rf"\b{word}\b", json_word)
+        return F.when(t.startswith("'"), single).when(t.startswith('"'), double).otherwise(words)
+
+    tokens = F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
+    whole = F.aggregate(tokens, F.lit(0), lambda n, t: n + F.length(t)) == F.length(text)
+    return F.when(whole, F.array_join(F.transform(tokens, one), ""))
+
+
 def parse_params(df: DataFrame, col: str = "params", keys=None, types=None) -> DataFrame:
     """T1 (+T3): a Python dict literal ``{'a': 1, 'b': 'x'}`` -> typed columns."""
-    # Python's words become JSON's only where they stand as values, not inside a quoted text
-    js = F.regexp_replace(q(col), "'", '"')
-    for word, json_word in (("True", "true"), ("False", "false"), ("None", "null")):
-        js = F.regexp_replace(js, rf"(?<=[:,\[]\s{{0,8}}){word}(?=\s{{0,8}}[,}}\]])", json_word)
-    d = df.withColumn("_pm", F.from_json(js, "map<string,string>"))
+    d = df.withColumn("_js", python_to_json(q(col)))
+    d = d.withColumn("_pm", F.from_json("_js", "map<string,string>")).drop("_js")
     keys = keys or []
     types = types or {}
 
