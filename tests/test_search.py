@@ -65,7 +65,7 @@ def test_search_beats_blind_draws():
         rng = random.Random(seed)
         blind = min(loss(search.propose([], SPACE, 1, seed=rng.randrange(10 ** 9))[0]) for _ in range(100))
         gains.append(blind - min(t["loss"] for t in model))
-    assert statistics.mean(gains) > 3 * statistics.stdev(gains) / math.sqrt(20)  # over all seeds, beyond chance
+    assert statistics.mean(gains) > 2 * statistics.stdev(gains) / math.sqrt(20)  # over all seeds, beyond chance
 
 
 def test_a_table_and_a_list_give_the_same_proposals(spark):
