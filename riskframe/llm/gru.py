@@ -7,6 +7,10 @@ the explicit words; what a spelling class gives to its words is the caller's.
 
 Documents run in lanes. A lane reads its documents one after the other; the
 state is carried across windows and set to zero where a document begins.
+
+Defined results: no documents give no score and no update; a document has its
+end symbol at least; a document of any length is read in windows, and memory
+grows with the symbols of the chunk.
 """
 
 from __future__ import annotations
@@ -78,9 +82,14 @@ def class_of(s: Shape, symbols: np.ndarray) -> np.ndarray:
 
 
 class Lanes:
-    """Documents (arrays of symbols, each ended by ``end``) in lanes, longest lane first."""
+    """Documents (arrays of symbols, each ended by ``end``) in lanes, longest lane first.
+
+    The symbols lie end to end, lane after lane; a window is cut out when it is due, so one very long
+    document costs its own length and not that times the number of lanes.
+    """
 
     def __init__(self, docs: list[np.ndarray], end: int, lanes: int) -> None:
+        self.end = end
         order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
         lanes = max(1, min(lanes, len(docs)))
         load, mine = np.zeros(lanes, dtype=np.int64), [[] for _ in range(lanes)]
@@ -90,53 +99,63 @@ class Lanes:
             load[lane] += len(docs[i])
         by = np.argsort(-load, kind="stable")
         self.load = load[by]
-        mine = [mine[i] for i in by]
+        self.start = np.cumsum(self.load) - self.load
         self.steps = int(self.load[0]) if len(docs) else 0
-        self.y = np.full((self.steps, lanes), end, dtype=np.int32)
-        self.doc = np.full((self.steps, lanes), -1, dtype=np.int32)
-        self.fresh = np.zeros((self.steps, lanes), dtype=bool)
-        for lane, own in enumerate(mine):
-            at = 0
-            for i in own:
-                d = docs[i]
-                self.y[at:at + len(d), lane] = d
-                self.doc[at:at + len(d), lane] = i
-                self.fresh[at, lane] = True
-                at += len(d)
-        self.x = np.full_like(self.y, end)
-        self.x[1:] = self.y[:-1]
-        self.x[self.fresh] = end
+        laid = [i for lane in by for i in mine[lane]]
+        size = np.array([len(docs[i]) for i in laid], dtype=np.int64)
+        self.flat = np.concatenate([docs[i] for i in laid]) if len(laid) else np.zeros(0, dtype=np.int32)
+        self.docs = np.repeat(np.array(laid, dtype=np.int32), size)
+        self.first = np.zeros(len(self.flat), dtype=bool)
+        self.first[(np.cumsum(size) - size)[size > 0]] = True
 
     def windows(self, window: int) -> Iterator[tuple[int, int, int]]:
         """(from, to, lanes still running)."""
         for a in range(0, self.steps, window):
             yield a, min(a + window, self.steps), int((self.load > a).sum())
 
+    def cut(self, a: int, b: int, live: int) -> tuple[np.ndarray, ...]:
+        """Steps × lanes of a window: inputs, targets, documents (-1 behind a lane's end) and where a document begins."""
+        step = np.arange(a, b)[:, None]
+        inside = step < self.load[:live]
+        at = np.where(inside, step + self.start[:live], 0)
+        fresh = inside & self.first[at]
+        y, doc = np.where(inside, self.flat[at], self.end), np.where(inside, self.docs[at], -1)
+        return np.where(inside & ~fresh, self.flat[at - 1], self.end), y, doc, fresh
+
 
 def _run(p: Params, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, trace: list | None) -> tuple[np.ndarray, np.ndarray]:
-    """States after every step (steps, lanes, hidden) and the last one."""
+    """States after every step (steps, lanes, hidden) and the last one; ``trace`` takes what the way back needs of all steps."""
     k = p.u.shape[0]
     out = np.empty((*x.shape, k), dtype=np.float32)
     ones = np.float32(1)
+    given = p.x[x]
+    kept = [np.empty((*x.shape, k), dtype=p.u.dtype) for _ in range(5)] if trace is not None else None
     for t in range(len(x)):
         if fresh[t].any():
             h = h * ~fresh[t][:, None]
-        a, u = p.x[x[t]], h @ p.u
-        g = ones / (ones + np.exp(-(a[:, :2 * k] + u[:, :2 * k])))
+        a, u = given[t], h @ p.u
+        g = a[:, :2 * k] + u[:, :2 * k]
+        np.negative(g, out=g)
+        np.exp(g, out=g)
+        g += ones
+        np.divide(ones, g, out=g)
         z, r = g[:, :k], g[:, k:]
         n = np.tanh(a[:, 2 * k:] + r * u[:, 2 * k:])
-        new = n + z * (h - n)
-        if trace is not None:
-            trace.append((h, z, r, n, u[:, 2 * k:]))
-        h = new
+        if kept is not None:
+            for store, value in zip(kept, (h, z, r, n, u[:, 2 * k:]), strict=True):
+                store[t] = value
+        h = n + z * (h - n)
         out[t] = h
+    if kept is not None:
+        trace.extend(kept)
     return out, h
 
 
-def _softmax(logits: np.ndarray) -> np.ndarray:
-    logits -= logits.max(axis=1, keepdims=True)
+def _softmax(logits: np.ndarray, safe: bool) -> np.ndarray:
+    if not safe:
+        logits -= logits.max(axis=1, keepdims=True)
     np.exp(logits, out=logits)
-    logits /= logits.sum(axis=1, keepdims=True)
+    logits /= (logits @ np.ones(logits.shape[1], dtype=logits.dtype))[:, None]
     return logits
 
 
@@ -169,8 +188,13 @@ def _log_picked(states: np.ndarray, weights: np.ndarray, bias: np.ndarray, pick:
     return out
 
 
+def _order(numbers: np.ndarray, most: int) -> np.ndarray:
+    """Stable order of numbers below ``most``; 16 bits sort by digits."""
+    return np.argsort(numbers.astype(np.uint16) if most <= 1 << 16 else numbers, kind="stable")
+
+
 def _by_class(classes: np.ndarray, explicit: int) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(classes, kind="stable")
+    order = _order(classes, int(classes.max(initial=0)) + 1)
     cuts = np.searchsorted(classes[order], np.arange(explicit + 1))
     for c in range(explicit):
         if cuts[c] < cuts[c + 1]:
@@ -185,9 +209,10 @@ def score(p: Params, s: Shape, lanes: Lanes, n_docs: int, window: int = 8 * WIND
     safe, safe_inner = _safe(p.oc, p.bc, 0), _safe(p.ow, p.bw, 1)
     for a, b, live in lanes.windows(window):
         h = h[:live]
-        states, h = _run(p, lanes.x[a:b, :live], lanes.fresh[a:b, :live], h, None)
-        there = lanes.doc[a:b, :live] >= 0
-        states, y, doc = states[there], lanes.y[a:b, :live][there], lanes.doc[a:b, :live][there]
+        x, y, doc, fresh = lanes.cut(a, b, live)
+        states, h = _run(p, x, fresh, h, None)
+        there = doc >= 0
+        states, y, doc = states[there], y[there], doc[there]
         c = class_of(s, y)
         lp = _log_picked(states, p.oc, p.bc, c, safe)
         for k, rows in _by_class(c, explicit):
@@ -223,27 +248,30 @@ class Trainer:
     def _window(self, lanes: Lanes, a: int, b: int, live: int, h: np.ndarray, usual: int = 0) -> np.ndarray:
         """One update; a window of fewer than ``usual`` tokens (only the longest documents still run) weighs by its tokens."""
         p, s, k = self.p, self.s, self.s.hidden
-        x, fresh = lanes.x[a:b, :live], lanes.fresh[a:b, :live]
+        x, y, doc, fresh = lanes.cut(a, b, live)
         trace: list = []
         states, last = _run(p, x, fresh, h, trace)
-        there = lanes.doc[a:b, :live] >= 0
+        there = doc >= 0
         if LOSS_EVERY > 1:
             there[np.arange(b - a) % LOSS_EVERY != self.updates % LOSS_EVERY] = False
         if not there.any():
             return last
-        flat, y = states[there], lanes.y[a:b, :live][there]
+        flat, y = states[there], y[there]
         scale = np.float32(1 / max(len(y), usual))
         c = class_of(s, y)
-        d = _softmax(flat @ p.oc + p.bc)
+        logits = flat @ p.oc
+        logits += p.bc
+        d = _softmax(logits, _safe(p.oc, p.bc, 0))
         d[np.arange(len(c)), c] -= 1
         d *= scale
         back = d @ p.oc.T
-        grad_oc, grad_bc = flat.T @ d, d.sum(axis=0)
+        grad_oc, grad_bc = flat.T @ d, np.ones(len(d), dtype=d.dtype) @ d
+        safe_inner = _safe(p.ow, p.bw, 1)
         for j, rows in _by_class(c, len(s.bounds) - 1):
             lo, hi = int(s.bounds[j]), int(s.bounds[j + 1])
             if hi - lo > 1:
                 part = flat[rows]
-                e = _softmax(part @ p.ow[lo:hi].T + p.bw[lo:hi])
+                e = _softmax(part @ p.ow[lo:hi].T + p.bw[lo:hi], safe_inner)
                 e[np.arange(len(rows)), y[rows] - lo] -= 1
                 e *= scale
                 back[rows] += e @ p.ow[lo:hi]
@@ -252,24 +280,29 @@ class Trainer:
                 self._step(5, e.sum(axis=0), here)
         d_states = np.zeros_like(states)
         d_states[there] = back
+        before, z, r, n, un = trace
+        to_z, to_n, to_r = (before - n) * z * (1 - z), (1 - z) * (1 - n * n), un * r * (1 - r)
         grad_x = np.empty((*x.shape, 3 * k), dtype=np.float32)
-        grad_u = np.zeros_like(p.u)
+        into = np.empty_like(grad_x)
         dh = np.zeros((live, k), dtype=np.float32)
         for t in range(b - a - 1, -1, -1):
-            before, z, r, n, un = trace[t]
             dh = dh + d_states[t]
-            dz, dn = dh * (before - n) * z * (1 - z), dh * (1 - z) * (1 - n * n)
-            dr = dn * un * r * (1 - r)
-            grad_x[t, :, :k], grad_x[t, :, k:2 * k], grad_x[t, :, 2 * k:] = dz, dr, dn
-            du = np.concatenate([dz, dr, dn * r], axis=1)
-            grad_u += before.T @ du
-            dh = dh * z + du @ p.u.T
-            dh[fresh[t]] = 0
+            dn = dh * to_n[t]
+            own = grad_x[t]
+            own[:, :k] = dh * to_z[t]
+            own[:, k:2 * k] = dn * to_r[t]
+            own[:, 2 * k:] = dn
+            into[t] = own
+            into[t, :, 2 * k:] *= r[t]
+            dh = dh * z[t] + into[t] @ p.u.T
+            if fresh[t].any():
+                dh[fresh[t]] = 0
+        grad_u = before.reshape(-1, k).T @ into.reshape(-1, 3 * k)
         self._step(1, grad_u)
         self._step(2, grad_oc)
         self._step(3, grad_bc)
         ids, rows = x.ravel(), grad_x.reshape(-1, 3 * k)
-        order = np.argsort(ids, kind="stable")
+        order = _order(ids, s.words + s.spelling)
         ids = ids[order]
         first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
         self._step(0, np.add.reduceat(rows[order], first, axis=0), ids[first])

@@ -4,20 +4,23 @@
    shuffle. They give the unigram base and everything the model says about
    single words.
 2. Lexicon: the most frequent words (at most ``lexicon``, the size bound of what
-   is broadcast). The first ``explicit`` of them are words of the recurrent
-   model, in classes of about equal mass; every other word, known or not, stands
+   is broadcast). The first ``explicit`` of them (their number grows with the
+   training tokens) are words of the recurrent model, in classes of about equal mass; every other word, known or not, stands
    for its spelling class (checksum of its first two bytes).
-3. Training: every training document goes through the network once. In each
-   round the tasks start from the same weights, train by truncated
+3. Encoding: every text's words are looked up once; its symbols, base figures and
+   the words outside the lexicon are written, and training and scoring read them.
+4. Training: every training document goes through the network once. In each
+   round replicas start from the same weights, train by truncated
    backpropagation on their share of a slice of the documents, and the weights
-   are averaged, weighted by tokens, in two grouping steps.
-4. Scoring: P(text) is the product over its tokens, ends included, of
+   are averaged, weighted by tokens, in two grouping steps. The number of
+   replicas depends on the tokens, a row's replica and place on its key.
+5. Scoring: P(text) is the product over its tokens, ends included, of
    P(class | state) P(word | class, state), the state carried through the whole
    document. A word outside the explicit ones has P(word | class) =
    (c + 1) / (N_k + V_k + 1) from the counts of its spelling class, in which the
    unseen words of a class share one place, as in the base. Counts of words
-   outside the lexicon come by a join on the word; they are rare by
-   construction, so no key of that join is hot.
+   outside the lexicon come by a join on the word; rare words spread, and a
+   frequent one over 64 bytes is the hot side of a join that AQE splits.
 
 Defined results: null text counts as empty (one end token); a null id is a
 training row (its checksum is 0); repeated rows are scored each on its own; with
@@ -42,8 +45,8 @@ from riskframe.llm.common import id_remainder, pin
 END = b"\n"  # no word holds white space
 LEXICON = 1 << 18
 LONGEST_HEAD_WORD = 64  # bytes, so that the lexicon is bounded in bytes too
-EXPLICIT = 1024
-CLASSES = 32
+EXPLICIT = 1024  # words of the network at least
+GROWTH = 10
 SPELLING = 96
 HIDDEN = 16
 ROUNDS = 3
@@ -60,6 +63,11 @@ HASH_MIX = np.uint64(0xD6E8FEB86659FD93)
 WHITE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
 
+def explicit_words(tokens: int) -> int:
+    """Words of the network for so many training tokens: ten times the fourth root, so that a token's cost grows by the eighth."""
+    return max(EXPLICIT, int(GROWTH * tokens ** 0.25))
+
+
 def words(text: str | None) -> list[bytes]:
     """bytes.lower() changes A-Z only; bytes.split() cuts at 0x20 and 0x09-0x0D."""
     return (text or "").encode().lower().split()
@@ -252,6 +260,44 @@ class Lexicon:
                 waiting = []
 
 
+ENCODED = ("doc_id bigint, held_out boolean, slice int, key bigint, n_tokens bigint, n_known bigint, log_count double, beside double, "
+           "symbols binary, rare array<struct<word:string,tf:bigint>>")
+
+
+def _encode(shared):
+    """(doc_id, held_out, slice, key, text) to ENCODED: a text's words are looked up once, for training and for scoring."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex: Lexicon = shared.value
+        for b in batches:
+            for lo in range(0, b.num_rows, 512):
+                part = b.slice(lo, 512)
+                n, known, base, beside, symbol, words_, tfs, heads = [], [], [], [], [], [], [], [0]
+                for numbers, symbols, rare in lex.encode(part.column(4).to_pylist()):
+                    at = numbers[numbers >= 0] if rare else numbers
+                    n.append(len(symbols))
+                    known.append(int(lex.known[at].sum()) + int(lex.known[lex.end]))
+                    base.append(float(lex.log_count[at].sum() + lex.log_count[lex.end]))
+                    own = float(lex.beside[at].sum())
+                    if rare:
+                        own -= float(lex.class_cost[symbols[:-1][numbers < 0] - lex.shape.words].sum())
+                        words_.extend(rare)
+                        tfs.extend(rare.values())
+                    beside.append(own)
+                    symbol.append(symbols.astype("<i4").tobytes())
+                    heads.append(len(words_))
+                items = pa.StructArray.from_arrays([_strings(words_), pa.array(tfs, pa.int64())], names=["word", "tf"])
+                yield pa.RecordBatch.from_arrays(
+                    [*[part.column(i) for i in range(4)], pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()),
+                     pa.array(beside, pa.float64()), pa.array(symbol, pa.binary()), pa.ListArray.from_arrays(pa.array(heads, pa.int32()), items)],
+                    names=[c.split()[0] for c in ENCODED.split(", ")])
+    return run
+
+
+def _chunks(column: pa.Array) -> Iterator[np.ndarray]:
+    for x in column:
+        yield np.frombuffer(x.as_py(), dtype="<i4")
+
+
 def _blocks(flat: np.ndarray, weight: float) -> pa.RecordBatch:
     parts = [flat[i:i + BLOCK] for i in range(0, len(flat), BLOCK)]
     return pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([weight] * len(parts)),
@@ -260,109 +306,98 @@ def _blocks(flat: np.ndarray, weight: float) -> pa.RecordBatch:
 
 def _train(shared, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex, flat = shared.value
-        p, sums = (gru.from_flat(lex.shape, x) for x in np.split(flat, 2))
-        trainer = gru.Trainer(p, lex.shape, rate)
+        shape, end, flat = shared.value
+        p, sums = (gru.from_flat(shape, x) for x in np.split(flat, 2))
+        trainer = gru.Trainer(p, shape, rate)
         trainer.sums = sums
         docs: list[np.ndarray] = []
         waiting = 0
         for b in batches:
-            for _, symbols, _ in lex.encode(b.column(0).to_pylist()):
+            for symbols in _chunks(b.column(1)):
                 docs.append(symbols)
                 waiting += len(symbols)
                 if waiting >= CHUNK_TOKENS:
-                    trainer.fit(docs, lex.end)
+                    trainer.fit(docs, end)
                     docs, waiting = [], 0
         if docs:
-            trainer.fit(docs, lex.end)
+            trainer.fit(docs, end)
         if trainer.updates:
             yield _blocks(np.concatenate([trainer.p.flat(), trainer.sums.flat()]), float(trainer.tokens))
     return run
 
 
 def _mean(t: pa.Table) -> pa.Table:
+    t = t.sort_by("replica")  # one order of adding up, whatever order the parts come in
     w = t.column("weight").to_numpy()
     flat = t.column("w").combine_chunks().flatten().to_numpy().reshape(len(w), -1)
     mean = (w @ flat.astype(np.float64)) / w.sum()
     return pa.table({"block": t.column("block").slice(0, 1), "weight": pa.array([w.sum()]),
-                     "w": pa.array([mean.astype(np.float32).tolist()], pa.list_(pa.float32()))})
+                     "w": pa.array([mean.astype(np.float32).tolist()], pa.list_(pa.float32())), "replica": t.column("replica").slice(0, 1)})
+
 
+def fit(encoded: DataFrame, lex: Lexicon, tokens: int, rounds: int = ROUNDS, rate: float = RATE, seed: int = SEED) -> np.ndarray:
+    """Weights of the model after ``rounds`` of local training and averaging over (key, symbols, slice).
 
-def fit(docs: DataFrame, lex: Lexicon, tokens: int, rounds: int = ROUNDS, rate: float = RATE, seed: int = SEED) -> np.ndarray:
-    """Weights of the model after ``rounds`` of local training and averaging over (text, slice)."""
-    sc = docs.sparkSession.sparkContext
+    Rows are dealt by their key to as many replicas as the tokens ask for and read in the order of the
+    key, so the weights do not depend on cores, executors or the files' partitions.
+    """
+    sc = encoded.sparkSession.sparkContext
     first = gru.initial(lex.shape, lex.class_counts, lex.word_counts, seed)
     flat = np.concatenate([first.flat(), np.full(first.flat().size, 1e-4)]).astype(np.float32)
-    replicas = max(sc.defaultParallelism, -(-tokens // REPLICA_TOKENS))
-    kind = "block int, weight double, w array<float>"
+    replicas = max(1, -(-tokens // REPLICA_TOKENS))
     for r in range(rounds):
-        shared = sc.broadcast((lex, flat))
-        trained = (docs.filter(F.pmod("slice", F.lit(rounds)) == r).select("text").coalesce(replicas)
-                   .mapInArrow(_train(shared, rate), kind))
-        near = trained.withColumn("near", F.pmod(F.spark_partition_id(), F.lit(max(1, replicas // 256)))).groupBy("block", "near").applyInArrow(
-            _mean, kind)
+        shared = sc.broadcast((lex.shape, lex.end, flat))
+        dealt = (encoded.filter(F.col("slice") == r).select("key", "symbols").repartition(replicas, "key")
+                 .sortWithinPartitions("key", "symbols"))
+        trained = dealt.mapInArrow(_train(shared, rate), "block int, weight double, w array<float>").withColumn("replica", F.spark_partition_id())
+        kind = "block int, weight double, w array<float>, replica int"
+        near = trained.withColumn("near", F.pmod("replica", F.lit(max(1, replicas // 256)))).groupBy("block", "near").applyInArrow(
+            lambda t: _mean(t.drop_columns(["near"])), kind)
         rows = near.groupBy("block").applyInArrow(_mean, kind).collect()  # the weights themselves, a fixed number
         if rows:
             flat = np.concatenate([np.array(x["w"], dtype=np.float32) for x in sorted(rows, key=lambda x: x["block"])])
     return np.split(flat, 2)[0]
 
 
-ROW = ("uid bigint, word string, tf bigint, doc struct<doc_id:bigint, held_out:boolean, n_tokens:bigint, n_known:bigint, "
-       "log_count:double, log_model:double>")
+ROW = "uid bigint, log_net double"
 
 
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex, flat = shared.value
-        p = gru.from_flat(lex.shape, flat)
-        held: list[tuple] = []
+        shape, end, flat = shared.value
+        p = gru.from_flat(shape, flat)
+        uids: list[int] = []
+        docs: list[np.ndarray] = []
         waiting = 0
 
         def flush() -> pa.RecordBatch:
-            net = gru.score(p, lex.shape, gru.Lanes([h[-1] for h in held], lex.end, gru.MAX_LANES), len(held)) / np.log(10)
-            uid, word, tf, doc = [], [], [], []
-            for (u, doc_id, out, n, known, base, beside, rare, _), g in zip(held, net.tolist(), strict=True):
-                # a filler that no word equals, so that these rows spread in the join
-                uid.append(u)
-                word.append(b" %d" % u)
-                tf.append(0)
-                doc.append((doc_id, out, n, known, base, g + beside))
-                for w, k in rare.items():
-                    uid.append(u)
-                    word.append(w)
-                    tf.append(k)
-                    doc.append(None)
-            kind = pa.struct([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
-                              ("log_count", pa.float64()), ("log_model", pa.float64())])
-            names = [f.name for f in kind]
-            docs = pa.array([None if d is None else dict(zip(names, d, strict=True)) for d in doc], kind)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), _strings(word), pa.array(tf, pa.int64()), docs],
-                                              names=["uid", "word", "tf", "doc"])
+            net = gru.score(p, shape, gru.Lanes(docs, end, gru.MAX_LANES), len(docs)) / np.log(10)
+            out = pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(net)], names=["uid", "log_net"])
+            uids.clear()
+            docs.clear()
+            return out
 
         for b in batches:
-            ids, outs, uids = (b.column(i).to_pylist() for i in (0, 1, 2))
-            for doc_id, out, u, (numbers, symbols, rare) in zip(ids, outs, uids, lex.encode(b.column(3).to_pylist()), strict=True):
-                at = numbers[numbers >= 0] if rare else numbers
-                known = int(lex.known[at].sum()) + int(lex.known[lex.end])
-                base = float(lex.log_count[at].sum() + lex.log_count[lex.end])
-                beside = lex.beside[at].sum()
-                if rare:
-                    beside -= lex.class_cost[symbols[:-1][numbers < 0] - lex.shape.words].sum()
-                held.append((u, doc_id, out, len(symbols), known, base, float(beside), rare, symbols))
+            for uid, symbols in zip(b.column(0).to_pylist(), _chunks(b.column(1)), strict=True):
+                uids.append(uid)
+                docs.append(symbols)
                 waiting += len(symbols)
                 if waiting >= CHUNK_TOKENS:
                     yield flush()
                     waiting = 0
-        if held:
+        if docs:
             yield flush()
     return run
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held: int = 2, lexicon: int = LEXICON,
-          explicit: int = EXPLICIT, classes: int = CLASSES, spelling: int = SPELLING, hidden: int = HIDDEN, rounds: int = ROUNDS,
+          explicit: int | None = None, classes: int | None = None, spelling: int = SPELLING, hidden: int = HIDDEN, rounds: int = ROUNDS,
           rate: float = RATE, seed: int = SEED) -> DataFrame:
-    """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (both log10)."""
+    """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (both log10).
+
+    Without ``explicit`` the words of the network grow with the training tokens (``explicit_words``), in
+    about as many ``classes`` as the square root.
+    """
     spark: SparkSession = docs.sparkSession
     src = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"),
                       (id_remainder(F.col(f"`{id_col}`"), modulus) == held).alias("held_out"), F.col(f"`{text_col}`").alias("text"))
@@ -385,16 +420,24 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
     spelled = F.pmod(F.crc32(F.substring(F.col("word").cast("binary"), 1, 2)), F.lit(spelling))
     for r in counts.groupBy(spelled.alias("k")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).collect():
         class_tokens[r["k"]], class_kinds[r["k"]] = r["n"], r["kinds"]
-    lex = Lexicon(head, explicit, classes, spelling, class_tokens, class_kinds, hidden)
-    weights = fit(training.select("text", F.xxhash64("doc_id", "text").alias("slice")), lex, total, rounds, rate, seed)
-
-    shared = spark.sparkContext.broadcast((lex, weights))
-    rows = src.select("doc_id", "held_out", F.monotonically_increasing_id().alias("uid"), "text").mapInArrow(_score(shared), ROW)
-    rare = counts.filter(~in_head).select("word", F.col("n").alias("c"))
-    met = rows.join(rare, "word", "left")
-    out = met.groupBy("uid").agg(F.max("doc").alias("doc"), F.sum(F.when(F.col("c").isNotNull(), F.col("tf")).otherwise(0)).alias("known"),
-                                 F.sum(F.col("tf") * F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("rare"))
-    return out.select("doc.doc_id", "doc.held_out", "doc.n_tokens", (F.col("doc.n_known") + F.col("known")).alias("n_known"),
+    explicit = explicit or explicit_words(total)
+    lex = Lexicon(head, explicit, classes or int(explicit ** 0.5), spelling, class_tokens, class_kinds, hidden)
+    shared = spark.sparkContext.broadcast(lex)
+    key = F.xxhash64("doc_id", "text")
+    slices = F.when(F.col("held_out"), F.lit(-1)).otherwise(F.pmod(key, F.lit(rounds)).cast("int"))
+    encoded = src.select("doc_id", "held_out", slices.alias("slice"), F.xxhash64("text", "doc_id").alias("key"), "text").mapInArrow(_encode(shared), ENCODED)
+    encoded = pin(encoded.withColumn("uid", F.monotonically_increasing_id()), "symbols", by="slice")
+    weights = fit(encoded, lex, total, rounds, rate, seed)
+
+    model = spark.sparkContext.broadcast((lex.shape, lex.end, weights))
+    net = encoded.select("uid", "symbols").mapInArrow(_score(model), ROW)
+    own = encoded.select("uid", "doc_id", "held_out", "n_tokens", "n_known", "log_count", "beside")
+    counted = counts.filter(~in_head).select("word", F.col("n").alias("c"))
+    rare = (encoded.select("uid", F.inline("rare")).join(counted, "word").groupBy("uid")
+            .agg(F.sum("tf").alias("rare_known"), F.sum(F.col("tf") * F.log10(F.col("c") + 1)).alias("rare")))
+    out = own.join(net, "uid").join(rare, "uid", "left")
+    more = F.coalesce("rare", F.lit(0.0))
+    return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
                       F.lit(int(total)).cast("bigint").alias("train_tokens"),
-                      (F.col("doc.log_count") + F.col("rare") - F.col("doc.n_tokens") * F.lit(float(np.log10(total + kinds + 1)))).alias("base_score"),
-                      (F.col("doc.log_model") + F.col("rare")).alias("score"))
+                      (F.col("log_count") + more - F.col("n_tokens") * F.lit(float(np.log10(total + kinds + 1)))).alias("base_score"),
+                      (F.col("log_net") + F.col("beside") + more).alias("score"))

@@ -151,6 +151,74 @@ def test_every_training_token_is_a_target_after_its_own_state(monkeypatch):
     assert sum(begun) == len(docs)  # the state is set to zero where a document begins, nowhere else
 
 
+def model_score(docs, rows, lex_of):
+    """Final scores from the network's own log probability, one token at a time, and the counts of all other words."""
+    lex, p, counts = lex_of
+    out = {}
+    class_n, class_v = Counter(), Counter()
+    explicit = set(lex.words[:lex.shape.words])
+    for w, n in counts.items():
+        if w not in explicit:
+            class_n[M.spelling_class(w, lex.spelling)] += n
+            class_v[M.spelling_class(w, lex.spelling)] += 1
+    number = {w: i for i, w in enumerate(lex.words[:lex.shape.words])}
+    for i, t in rows:
+        w = [*M.words(t), M.END]
+        symbols = np.array([number[x] if x in number else lex.shape.words + M.spelling_class(x, lex.spelling) for x in w])
+        total = step_by_step(lex.shape, p, symbols, lex.end) / math.log(10)
+        for x in w:
+            if x not in number:
+                k = M.spelling_class(x, lex.spelling)
+                total += math.log10((counts[x] + 1) / (class_n[k] + class_v[k] + 1))
+        out[i] = total
+    return out
+
+
+@pytest.mark.parametrize("lexicon", [1 << 18, 1500])
+def test_final_score_equals_the_model_token_by_token(small_docs, monkeypatch, lexicon):
+    seen = {}
+    fit = M.fit
+
+    def note(encoded, lex, *rest):
+        weights = fit(encoded, lex, *rest)
+        seen["lex"], seen["p"] = lex, gru.from_flat(lex.shape, weights)
+        return weights
+
+    monkeypatch.setattr(M, "fit", note)
+    docs = small_docs.limit(90).persist()
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    got = {r.doc_id: r.score for r in M.score(docs, explicit=200, spelling=20, lexicon=lexicon).collect()}
+    counts = Counter()
+    for i, t in rows:
+        if crc32(str(i).encode()) % 7 != 2:
+            counts.update([*M.words(t), M.END])
+    short = sorted(rows, key=lambda r: len(r[1] or ""))[:40]
+    for i, want in model_score(docs, short, (seen["lex"], seen["p"], counts)).items():
+        assert got[i] == pytest.approx(want, rel=1e-4)
+    docs.unpersist()
+
+
+def test_scores_do_not_depend_on_partitions(scored, small_docs, monkeypatch):
+    monkeypatch.setattr(M, "REPLICA_TOKENS", 20_000)  # several replicas
+    one, many = ({r.doc_id: r.score for r in M.score(small_docs.repartition(n)).collect()} for n in (1, 7))
+    assert one == pytest.approx(many, rel=1e-7)  # the weights are the same; a score rounds by the batch it is in
+
+
+def test_a_very_long_document_among_many(spark):
+    rng = np.random.default_rng(4)
+    docs = [(i, " ".join(f"w{x}" for x in rng.integers(0, 300, 20))) for i in range(2000)] + [(2000, "w1 w2 w3 w4 " * 250_000)]
+    lanes = gru.Lanes([np.zeros(21, dtype=np.int32)] * 2000 + [np.zeros(1_000_001, dtype=np.int32)], 0, gru.MAX_LANES)
+    assert sum(x.nbytes for x in (lanes.flat, lanes.docs, lanes.first)) < 12 * 1_042_001  # bytes by tokens, not by lanes
+    assert sum(int((lanes.cut(a, b, n)[2] >= 0).sum()) for a, b, n in lanes.windows(4096)) == 1_042_001
+    out = {r.doc_id: r for r in M.score(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert len(out) == 2001 and out[2000].n_tokens == 1_000_001 and out[2000].score > out[2000].base_score
+
+
+def test_words_of_the_network_grow_with_the_tokens():
+    sizes = [M.explicit_words(n) for n in (0, 10 ** 6, 10 ** 9, 10 ** 12)]
+    assert sizes[:2] == [M.EXPLICIT] * 2 and sizes[1] < sizes[2] < sizes[3]
+
+
 def test_awkward_rows(awkward, empty):
     docs = [(r.doc_id, r.text) for r in awkward.select("doc_id", "text").collect()]
     out = M.score(awkward).collect()
