@@ -5,14 +5,17 @@ or closing of a container is an empty one, as it would be in the stripped
 source. What stands in elements that never hold article text (menus, page
 headers and footers, sidebars, notices, adverts, forms, comments, scripts,
 styles; known by element, role or the words of class and id) counts as markup,
-and so does everything outside ``article`` or ``main`` where a page has them.
+and so does everything outside ``article`` or ``main`` where a page has them. In
+an article every word of a class must speak of such an element, as one of a
+compound ("share-price") may belong to the text's own subject.
 
 The distribution is the sum of text lengths, link text left out, over a sliding
 window of ``window`` lines. It surges where a window first exceeds ``surge``
 characters and dives where a window is empty; the text between a surge and the
 next dive is kept, in all stretches; one that is small beside the largest goes if
-most of its text is links. In ``article`` or ``main`` all text is kept. A page without a surge (a short article) keeps its largest stretch, if that is
-article text rather than links.
+most of its text is links. A page without a surge (a short article) keeps all of
+its ``article`` or ``main``, or else its largest stretch, if that is article text
+rather than links.
 
 Defined results: null html gives an empty text; unclosed elements, comments and
 scripts run to where their parent or the page ends; repeated rows count each on
@@ -50,8 +53,15 @@ WORDS_NEVER_TEXT = frozenset(
     "share sharing social related recommended recommendations newsletter subscribe subscription signup login search pagination pager "
     "skip legal copyright disclaimer".split())
 HEADER_WORDS = frozenset("header head topnav".split())
-# words that say a class speaks of the page's layout, not of the element
-LAYOUT_WORDS = frozenset("has no not with without layout page wrapper container".split())
+# words that speak of no content of their own: a compound of these and the above is what the above say
+PLAIN_WORDS = frozenset(
+    "wrapper wrap container box block section area region inner outer content body list item items group panel row col column grid card cards "
+    "module component element holder slot unit bar button buttons icon icons link links text title form field input label count header head "
+    "top bottom left right main primary secondary site page global post posts article articles story stories user users reader readers "
+    "media inline mobile desktop sticky fixed floating mid google native more the of for to".split())
+# a token with one of these tells what the page has, not what the element is
+STATE_WORDS = frozenset("has no not with without layout".split())
+HEAD_ELEMENTS = frozenset("base link meta title style script noscript template head".split())
 NEVER_HIDDEN = frozenset("html body main".split())
 # words that make an article element something else than the page's article
 NOT_THE_ARTICLE = frozenset("comment comments reply replies ad ads advert advertisement sponsored promo related recommended teaser".split())
@@ -70,9 +80,13 @@ def _speaks_of(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
     for name in ("class", "id"):
         for token in attributes.get(name, "").split():
             words = {w.lower() for w in WORD.findall(token)}
-            if words & LAYOUT_WORDS:
+            if words & STATE_WORDS:
                 continue
-            if words & never or (not in_article and tag != "article" and words & HEADER_WORDS):
+            header = not in_article and tag != "article" and bool(words & HEADER_WORDS)
+            if not (words & never or header):
+                continue
+            # in an article "share-price" is about prices: every word must speak of something that is not the article
+            if not in_article or all(w in never or w in PLAIN_WORDS or w.isdigit() for w in words):
                 return True
     style = attributes.get("style", "").replace(" ", "").lower()
     return ("hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in style
@@ -150,6 +164,10 @@ def lines(page: str, by_words: bool = True) -> list[Line]:
                 links = 0
             continue
         end_line(not flow)
+        if open_count.get("head") and tag not in HEAD_ELEMENTS:  # its end tag may be left out
+            while stack[-1][0] != "head":
+                pop()
+            pop()
         if stack and (stack[-1][0] == "p" or (tag in CLOSES_SAME and stack[-1][0] == tag)):
             pop()
         hidden, inside = stack[-1][1:] if stack else (False, False)
@@ -208,10 +226,10 @@ def extract(page: str | None, window: int = WINDOW, surge: int = SURGE, small: f
         size = lambda s: sum(x.weight for x in all_lines[s[0]:s[1]])
         largest = max(map(size, found))
         surged = [s for s in found if s[2]]
-        if all_lines[found[0][0]].inside:
-            chosen = found  # all of it is the article's own
-        elif surged:
+        if surged:
             chosen = [s for s in surged if size(s) >= small * largest or 2 * size(s) >= sum(len(x.text) for x in all_lines[s[0]:s[1]])]
+        elif all_lines[found[0][0]].inside:
+            chosen = found  # a short article: all of it is its own
         else:
             chosen = [max(found, key=size)]
         texts = [x.text for first, end, _ in chosen for x in all_lines[first:end] if x.text]

@@ -73,3 +73,55 @@ def test_short_sections_of_a_long_page_without_article_stay():
     text = H.extract(f"<html><body><div>{advert.join(sections)}</div>{linked}</body></html>")
     assert [text.count(f"Section {k} ") for k in ("one", "two", "three", "four")] == [40, 3, 2, 1]
     assert "Buy now" not in text and "Another page" not in text
+
+
+PARAGRAPHS = [f"Paragraph {i} of a text that runs on for a good while, so that every line of it has well over eighty characters." for i in range(6)]
+
+
+def neutral(parts):
+    """A page whose classes and elements say nothing: menus, article and footer are all divs."""
+    menu = "".join(f"<li class='k{i}'><a href='/{i}'>Section {i}</a></li>" for i in range(12))
+    return (f"<html><body><div class='q1'><div class='q2'><ul>{menu}</ul></div></div><div class='q3'><div class='q4'><div class='q5'>{parts}</div></div></div>"
+            "<div class='q6'><div class='q7'><div class='q8'><a href='/x'>Terms</a> <a href='/y'>About us</a></div></div></div></body></html>")
+
+
+def test_line_blocks_alone_find_the_text():
+    page = neutral("".join(f"<p>{p}</p>" for p in PARAGRAPHS))
+    assert H.extract(page) == " ".join(PARAGRAPHS)
+
+
+def test_surge_and_window_decide():
+    boxed = "</div></div></div><div class='r1'><div class='r2'><div class='r3'>"
+    page = neutral(f"<p>{PARAGRAPHS[0]}</p><p>{PARAGRAPHS[1]}</p>{boxed}<p>Two short words</p>{boxed}<p>{PARAGRAPHS[2]}</p><p>{PARAGRAPHS[3]}</p>")
+    assert H.extract(page) == " ".join(PARAGRAPHS[:4])  # the short line between dives does not surge
+    assert "Two short words" in H.extract(page, surge=5)
+    assert "Two short words" in H.extract(page, window=20)
+    assert H.extract(page, surge=10 ** 9) == " ".join(PARAGRAPHS[:2])  # no surge: the largest stretch
+    inside = f"<body><article><p>{PARAGRAPHS[0]}</p>{boxed}<p>Two short words</p>{boxed}<p>{PARAGRAPHS[1]}</p></article>"
+    assert H.extract(inside) == " ".join(PARAGRAPHS[:2]) and "Two short words" in H.extract(inside, surge=5)
+
+
+@pytest.mark.parametrize("head", ["<head><title>x</title>", "<head><meta charset=utf-8><link rel=a><style>p{}</style><script>var a='</p>'</script>", "<head>", ""])
+def test_head_without_its_end_tag(head):
+    for body in ("<body>", ""):
+        assert H.extract(f"<html>{head}{body}<div><p>{PARAGRAPHS[0]}</p></div>") == PARAGRAPHS[0]
+
+
+@pytest.mark.parametrize("attribute", ["class='legal-history'", "id='social-security'", "class='share-price'", "class='notice-of-meeting'", "class='has-sidebar'",
+                                       "class='cookie-recipe'", "class='searchable x'", "id='commentary'"])
+def test_compounds_that_belong_to_the_text_stay(attribute):
+    page = f"<body><article><p>{PARAGRAPHS[0]}</p><section {attribute}><p>{PARAGRAPHS[1]}</p></section><p>{PARAGRAPHS[2]}</p></article>"
+    assert H.extract(page) == " ".join(PARAGRAPHS[:3])
+
+
+@pytest.mark.parametrize("attribute", ["class='ad-container'", "class='comments-wrapper'", "id='article-comments'", "class='ad_slot_2'", "class='newsletterSignup'",
+                                       "class='x related-articles'", "class='mobile-ad'", "class='share-buttons'", "class='reader-comments-list'"])
+def test_wrappers_in_an_article_go(attribute):
+    page = f"<body><article><p>{PARAGRAPHS[0]}</p><div {attribute}><p>{PARAGRAPHS[1]}</p></div><p>{PARAGRAPHS[2]}</p></article>"
+    assert H.extract(page) == f"{PARAGRAPHS[0]} {PARAGRAPHS[2]}"
+
+
+@pytest.mark.parametrize("attribute", ["class='cookie-wrapper'", "class='page-footer'", "id='site-header'", "class='fb-comments'"])
+def test_wrappers_outside_an_article_go(attribute):
+    page = f"<body><div {attribute}><p>{PARAGRAPHS[1]}</p></div><div><p>{PARAGRAPHS[0]}</p><p>{PARAGRAPHS[2]}</p></div>"
+    assert H.extract(page) == f"{PARAGRAPHS[0]} {PARAGRAPHS[2]}"
