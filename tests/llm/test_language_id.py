@@ -76,6 +76,61 @@ def test_model_matches_formulas():
         assert bits[i] == pytest.approx([brute[k].bits(t) for k in m.langs], rel=1e-9)
 
 
+def pruned(t, tri, bi):
+    """Tables with only some entries stored."""
+    return t._replace(tri=t.tri[tri], n3=t.n3[tri], bi=t.bi[bi], n2=t.n2[bi], total3=t.total3[bi], kinds3=t.kinds3[bi])
+
+
+def test_pruned_entries_go_to_the_back_off_and_sums_stay_one():
+    t = L.tables(*counts(["abcab bca cabba acb bac", "cab abc cba"]))
+    rng = np.random.default_rng(1)
+    whole = L.fit_tables({"a": t})
+    m = L.fit_tables({"a": pruned(t, np.flatnonzero(rng.random(len(t.tri)) < 0.5), np.flatnonzero(rng.random(len(t.bi)) < 0.7))})
+    chars = [ord(c) for c in " abc"]
+    for a in chars:
+        for b in chars:
+            keys = np.array([(a << 42) | (b << 21) | c for c in [*chars, 0x7A]], dtype=np.uint64)
+            assert np.exp2(L.log_probs(m, keys)).sum() == pytest.approx(1.0)
+    kept = m.tri_p[np.isin(m.tri, whole.tri)]
+    assert len(kept) < len(whole.tri) and len(m.uni) == len(whole.uni) and (m.unknown_p == whole.unknown_p).all()
+
+
+def test_spark_sums_give_the_same_model_and_limits_prune_only(spark, small_docs):
+    texts = {}
+    for r in small_docs.select("lang", "text").dropna().collect():
+        texts.setdefault(r.lang, []).append(r.text)
+    want = L.fit({k: counts(v) for k, v in texts.items()})
+    got = L.train(small_docs)
+    for a, b in zip(got[1:], want[1:], strict=True):
+        assert np.allclose(a, b)
+    some = L.train(small_docs, max_ngrams=500)
+    assert (some.unknown_p == want.unknown_p).all() and np.allclose(some.uni_p, want.uni_p)  # from all counts
+    assert len(some.tri) < len(want.tri) / 2
+    a, b = (L.identify(small_docs, m, "true").select("__k1", "lang_pred").toPandas().sort_values("__k1")["lang_pred"].tolist() for m in (want, some))
+    assert np.mean([x == y for x, y in zip(a, b, strict=True)]) > 0.99
+
+
+def test_fifty_languages_have_a_bounded_model(spark):
+    rng = random.Random(5)
+    rows = [(i, "".join(rng.choice(string.ascii_lowercase[i % 20:i % 20 + 6] + " ") for _ in range(3000)), f"l{i:02d}") for i in range(50)]
+    m = L.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(m.langs) == 50 and m.tri_p.size <= L.MAX_CELLS and m.bi_p.size <= L.MAX_CELLS
+
+
+def test_another_script_does_not_lift_the_limits(spark, small_docs):
+    rng = random.Random(6)
+    pool = [chr(0x4E00 + i) for i in range(4000)]
+    chinese = [(2000 + i, "".join(rng.choice(pool) for _ in range(2000)), "zh") for i in range(8)]
+    # a Latin-script language that nothing was learned of: syllables of its own
+    syllables = [c + v + d for c in "kxqjzwv" for v in "uoyi" for d in "kqxjz"]
+    strange = [(3000 + i, " ".join("".join(rng.choice(syllables) for _ in range(rng.randint(1, 4))) for _ in range(120)), None) for i in range(5)]
+    kind = "doc_id long, text string, lang string"
+    learn = small_docs.select("doc_id", "text", "lang").union(spark.createDataFrame(chinese, kind))
+    out = L.identify(learn.union(spark.createDataFrame(strange, kind)), L.train(learn), "doc_id < 3000").collect()
+    rejected = {r.doc_id for r in out if r.rejected}
+    assert {i for i, *_ in strange} <= rejected and len(rejected) <= 5 + 0.01 * len(out)
+
+
 def test_probabilities_sum_to_one():
     m = L.fit({"a": counts(["abcab bca", "cab"])})
     chars = [ord(c) for c in " abc"]
