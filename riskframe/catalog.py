@@ -178,6 +178,10 @@ def a7(s, d):
     return profile.kde_all(fx.loans_model(s, d), CONT, by="label", grid=64)
 
 
+def a7_binned(s, d):
+    return profile.kde_all(fx.loans_model(s, d), CONT, by="label", grid=64, binned=True)
+
+
 def a8(s, d):
     return profile.box_stats(fx.loans_model(s, d), CONT, by="label")
 
@@ -382,6 +386,10 @@ def f10(s, d):
     return select.screening_evaluation(fx.rank_matrix(s, d), F10_TRUE, F10_NOBS)
 
 
+def f10_rates(s, d):
+    return select.selection_rates(fx.rank_matrix(s, d), F10_TRUE, F10_NOBS)
+
+
 def _selected(s, d):
     mv = cut_lineage(_mv(s, d))  # one row per feature: pin it once for the three cut-offs
     a = select.quantile_cutoff(mv, "mv", 0.7).select(F.lit("mvsis").alias("method"), "feature")
@@ -553,6 +561,19 @@ def m7(s, d):
     return _eval(models.fit(train, feats, models.linear_svc(0.0, 100)), train, test, feats, "linear_svc")
 
 
+def m7_losses(s, d):
+    """Squared hinge with L2 and with L1: scores on both splits and what the optimality conditions leave."""
+    from riskframe.operators import svm
+    m, train, test, feats = _split_model(s, d)
+    out = None
+    for penalty in ("l2", "l1"):
+        fit = svm.squared_hinge(train, feats, C=1.0, penalty=penalty)
+        one = _eval(fit.model, train, test, feats, f"squared_hinge_{penalty}").withColumns({
+            "steps": F.lit(len(fit.objective) - 1), "zeros": F.lit(int((fit.model.coefficients == 0).sum())), "optimal": F.lit(bool(fit.violation < 1e-6))})
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def m8(s, d):
     from riskframe.operators import models
     m, train, test, feats = _split_model(s, d)
@@ -804,7 +825,7 @@ def _search(s, d, rounds=5, per_round=4):
     return run_search(_holdout_objective(tr, va, feats), GBT_SPACE, rounds, per_round, seed=42)
 
 
-LR_GRID = {"regParam": [0.0, 0.001, 0.01, 0.1, 0.5, 1.0], "elasticNetParam": [0.0, 0.5, 1.0]}
+LR_GRID = {"regParam": [0.01, 0.1, 1.0], "elasticNetParam": [0.0, 0.5, 1.0], "maxIter": [500, 1000]}
 
 
 def _lr_search(s, d):
@@ -1086,14 +1107,31 @@ def x3(s, d):
     return explain.lime(mod, train, test, "loan_id", feats, n_samples=5000, top=5)
 
 
-def t9(s, d):
+def _anova(s, d):
     from pyspark.ml.regression import RandomForestRegressor
-    from riskframe.operators import models
+    from riskframe.operators import anova, flat_trees, models
     t = _done(s, d)
     m = models.fit(t.withColumnRenamed("value", "label"), TRIAL_PARAMS,
                    RandomForestRegressor(featuresCol="unscaledFeatures", labelCol="label", numTrees=30,
                                          maxDepth=5, seed=42), scaler=None)
-    return models.importances(m, TRIAL_PARAMS).withColumnRenamed("feature", "param")
+    r = t.agg(*[f(q(c)).cast("double").alias(f"{n}{i}") for i, c in enumerate(TRIAL_PARAMS) for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    k = range(len(TRIAL_PARAMS))
+    return anova.variance_shares(flat_trees.flatten(m, s), [r[f"lo{i}"] for i in k], [r[f"hi{i}"] for i in k])
+
+
+def t9(s, d):
+    """Share of the variance of the metric that each parameter explains, scaled to one."""
+    single, _ = _anova(s, d)
+    rows = [(c, float(v / max(single.sum(), 1e-300))) for c, v in zip(TRIAL_PARAMS, single)]
+    return s.createDataFrame(sorted(rows, key=lambda x: -x[1]), "param string, importance double")
+
+
+def t9_pairs(s, d):
+    """Shares of parameters alone and of pairs beyond their members."""
+    single, pair = _anova(s, d)
+    rows = [(c, None, float(v)) for c, v in zip(TRIAL_PARAMS, single)] + [(TRIAL_PARAMS[a], TRIAL_PARAMS[b], float(v)) for (a, b), v in pair.items()]
+    return s.createDataFrame(rows, "param string, with_param string, share double")
+
 
 
 # ---------------------------------------------------------------- T: trial analytics
@@ -1149,6 +1187,10 @@ def t10(s, d):
     return profile.kde_all(_done(s, d), TRIAL_PARAMS, grid=64, name="param")
 
 
+def t10_binned(s, d):
+    return profile.kde_all(_done(s, d), TRIAL_PARAMS, grid=64, name="param", binned=True)
+
+
 def t11(s, d):
     return trials.trends(_done(s, d), TRIAL_PARAMS)
 
@@ -1229,7 +1271,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "M11_histogram": m11_histogram, "M11_gains": m11_gains, "M12_ways": m12_ways, "M13_levels": m13_levels, "M15_importance": m15_importance,
     "H1": h1, "H2": h2, "H3": h3, "H5": h5, "H6": h6, "H7": h7, "H8": h8, "H9": h9, "H10": h10,
     "H11": h11, "H12": h12, "F1": f1, "F2": f2, "F3": f3, "F4": f4, "F5": f5, "F5_curve": f5_curve, "F6": f6, "F11": f11,
-    "F12": f12, "X1": x1, "X2": x2, "X3": x3, "X4": x4, "T9": t9, "T9_spearman": t9_spearman, "F11_decisions": f11_decisions, "F12_decisions": f12_decisions, "F3_linear": f3_linear,
+    "F12": f12, "X1": x1, "X2": x2, "X3": x3, "X4": x4, "T9": t9, "T9_pairs": t9_pairs, "M7_losses": m7_losses, "F10_rates": f10_rates,
+    "A7_binned": a7_binned, "T10_binned": t10_binned, "T9_spearman": t9_spearman, "F11_decisions": f11_decisions, "F12_decisions": f12_decisions, "F3_linear": f3_linear,
     "X4_linear": x4_linear, "F4_linear": f4_linear, "M16": m16, "M17": m17, "M18": m18, "M19": m19,
 }
 

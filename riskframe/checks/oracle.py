@@ -65,6 +65,22 @@ def long_sql(src: str, ids, cols, name="feature", value="value", cast="DOUBLE")
         for c in cols)
 
 
+def binned_density(long: str, keys: str) -> str:
+    """Kernel density over 4,096 linearly weighted cells a group at 64 even points, and the bound of its error."""
+    edge = "_lo + (_hi - _lo) * {e} / 4096.0::DOUBLE"
+    point = "_lo + (_hi - _lo) * (i / 63.0::DOUBLE)"
+    bell = f"exp(-0.5 * pow((({point}) - ({edge})) / _h, 2))"
+    return f"""SELECT {keys}, CAST(i AS INTEGER) AS grid_i, {point} AS x,
+        sum(w0 * {bell.format(e='k')} + w1 * {bell.format(e='(k + 1)')}) / (_n * _h * sqrt(2 * pi())) AS density,
+        pow((_hi - _lo) / 4096, 2) / (8 * pow(_h, 3) * sqrt(2 * pi())) AS bound
+      FROM (SELECT {keys}, _n, _h, _lo, _hi, k, sum(1 - (a - k)) AS w0, sum(a - k) AS w1
+            FROM (SELECT *, least(floor(a), 4095) AS k FROM (
+              SELECT *, (value - _lo) / (_hi - _lo) * 4096.0::DOUBLE AS a FROM ({long}) JOIN (
+                SELECT {keys}, count(*) AS _n, min(value) AS _lo, max(value) AS _hi, stddev_samp(value) * pow(count(*), -0.2) AS _h
+                FROM ({long}) GROUP BY {keys} HAVING stddev_samp(value) > 0) USING ({keys})))
+            GROUP BY {keys}, _n, _h, _lo, _hi, k), range(64) AS g(i) GROUP BY {keys}, i, _lo, _hi, _n, _h"""
+
+
 def _p():
     out = {}
     out["P1"] = W_RAW + f"SELECT loan_id, {', '.join(STRING_RAW)} FROM ({RAW_P1})"
@@ -164,6 +180,7 @@ def _a():
             GROUP BY label, i, _lo, _hi, _n, _h"""
     out["A7"] = rnd(W_MODEL + " UNION ALL ".join(map(density, CONT)), ["x", "density"])
     lgl = long_sql("loans_model", ["label"], CONT)
+    out["A7_binned"] = rnd(W_MODEL + binned_density(lgl, "feature, label"), ["x", "density", "bound"])
     out["A8"] = rnd(W_MODEL + f"""SELECT l.feature, l.label, q.q1, q.median, q.q3,
               min(CASE WHEN l.value BETWEEN q.q1 - 1.5 * (q.q3 - q.q1) AND q.q3 + 1.5 * (q.q3 - q.q1) THEN l.value END) AS whisker_lo,
               max(CASE WHEN l.value BETWEEN q.q1 - 1.5 * (q.q3 - q.q1) AND q.q3 + 1.5 * (q.q3 - q.q1) THEN l.value END) AS whisker_hi,
@@ -389,6 +406,9 @@ def _f():
     out["F10"] = rnd(fs.with_(fs.rank_matrix()).rstrip() + """, per AS (
         SELECT replication, CAST(max(rank) AS DOUBLE) AS min_size FROM rank_matrix WHERE variable IN (1, 5, 9)
         GROUP BY replication HAVING count(*) = 3) """ + stats, ["value"])
+    rates = ", ".join(f"avg(CASE WHEN rank <= {c * base} THEN 1.0::DOUBLE ELSE 0 END) AS rate_c{c}" for c in (1, 2, 3))
+    out["F10_rates"] = rnd(fs.with_(fs.rank_matrix()) + f"SELECT variable, count(*) AS replications, {rates} FROM rank_matrix "
+                           "WHERE variable IN (1, 5, 9) GROUP BY variable", [f"rate_c{c}" for c in (1, 2, 3)])
     return out
 
 
@@ -506,6 +526,7 @@ def _t():
             FROM (SELECT {c}::DOUBLE AS x, s.* FROM done, (SELECT count(*) AS _n, min({c})::DOUBLE AS _lo,
                   max({c})::DOUBLE AS _hi, stddev_samp({c}) * pow(count(*), -0.2) AS _h FROM done) s) d,
                  range(64) AS g(i) GROUP BY i, _lo, _hi, _n, _h""" for c in TRIAL_PARAMS), ["x", "density"]),
+        "T10_binned": rnd(wc + binned_density(long_sql('done', [], TRIAL_PARAMS, name='param'), "param"), ["x", "density", "bound"]),
         "T11": rnd(wc + f"""SELECT param, regr_slope(param_value, CAST(iteration AS DOUBLE)) AS slope,
               regr_intercept(param_value, CAST(iteration AS DOUBLE)) AS intercept,
               regr_r2(param_value, CAST(iteration AS DOUBLE)) AS r2

@@ -22,6 +22,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassificationModel, GBTClassificationModel, LogisticRegressionModel,
                                        RandomForestClassificationModel)
 from pyspark.ml.feature import MinMaxScalerModel, StandardScalerModel, VectorAssembler
+from pyspark.ml.regression import RandomForestRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -159,7 +160,7 @@ def _node_rows(spark: SparkSession, model) -> list:
 
 def is_tree_model(model) -> bool:
     return isinstance(model, PipelineModel) and isinstance(
-        model.stages[-1], (DecisionTreeClassificationModel, GBTClassificationModel, RandomForestClassificationModel))
+        model.stages[-1], (DecisionTreeClassificationModel, GBTClassificationModel, RandomForestClassificationModel, RandomForestRegressionModel))
 
 
 def flatten(model: PipelineModel, spark: SparkSession | None = None) -> Forest:
@@ -178,7 +179,8 @@ def flatten(model: PipelineModel, spark: SparkSession | None = None) -> Forest:
     feature, threshold = np.full(len(rows), -1), np.zeros(len(rows))
     left, right = np.zeros(len(rows), dtype=np.int64), np.zeros(len(rows), dtype=np.int64)
     boosted = isinstance(last, GBTClassificationModel)
-    values = np.zeros((len(rows), 1 if boosted else 2))
+    one = boosted or isinstance(last, RandomForestRegressionModel)  # a number a leaf
+    values = np.zeros((len(rows), 1 if one else 2))
     for i, r in enumerate(rows):
         if r["leftChild"] >= 0:
             split = r["split"]
@@ -186,7 +188,7 @@ def flatten(model: PipelineModel, spark: SparkSession | None = None) -> Forest:
                 raise ValueError("splits on category sets have no flat form")
             feature[i], threshold[i] = split["featureIndex"], split["leftCategoriesOrThreshold"][0]
             left[i], right[i] = start[r["treeID"]] + r["leftChild"], start[r["treeID"]] + r["rightChild"]
-        if boosted:
+        if one:
             values[i, 0] = r["prediction"]
         else:
             stats = np.array(r["impurityStats"], dtype=float)
@@ -204,7 +206,7 @@ def complete_rows(b: pa.RecordBatch, first: int, count: int) -> tuple[np.ndarray
     return x, ~np.isnan(x).any(axis=1)
 
 
-def score_rows(forest: Forest, df: DataFrame, features, keep) -> DataFrame:
+def score_rows(forest: Forest | Linear, df: DataFrame, features, keep) -> DataFrame:
     """Columns ``keep``, P(label = 1) as ``score`` and the prediction of every complete row."""
     feats, keep = list(features), list(keep)
 

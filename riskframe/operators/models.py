@@ -62,7 +62,7 @@ def sklearn_penalty(penalty: str, C: float, n: int, l1_ratio: float = 0.5) -> di
 
 def linear_svc(reg: float = 0.0, max_iter: int = 100, tol: float = 1e-6,
                features: str = "scaledFeatures") -> LinearSVC:
-    """M7: hinge loss with L2 (Spark has no squared hinge or L1 variant)."""
+    """M7: hinge loss with L2; squared hinge and L1 are in ``operators.svm``."""
     return LinearSVC(featuresCol=features, labelCol="label", regParam=reg, maxIter=max_iter, tol=tol)
 
 
@@ -122,7 +122,7 @@ def fit(df: DataFrame, features, estimator, scaler: str | None = "minmax") -> Pi
 def score(model: PipelineModel, df: DataFrame, features, keep=("loan_id", "label")) -> DataFrame:
     """Transform and keep key, label, P(label = 1) as ``score`` and the prediction."""
     from riskframe.operators import flat_trees
-    if isinstance(model, flat_trees.Forest):
+    if isinstance(model, flat_trees.Forest | flat_trees.Linear):
         return flat_trees.score_rows(model, df, features, keep)
     d, _ = safe_features(df, features)
     out = model.transform(d)

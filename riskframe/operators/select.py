@@ -89,6 +89,14 @@ def screening_evaluation(ranks: DataFrame, true_set, n_obs: int, cs=(1, 2, 3),
     return j.select(F.explode(F.array(*st)).alias("s")).select("s.stat", "s.value")
 
 
+def selection_rates(ranks: DataFrame, true_set, n_obs: int, cs=(1, 2, 3)) -> DataFrame:
+    """for every true variable the share of replications that rank it within ``c·floor(n/ln n)``."""
+    base = math.floor(n_obs / math.log(n_obs))
+    own = ranks.filter(F.col("variable").isin(list(true_set))).groupBy("variable").agg(
+        F.count(F.lit(1)).alias("replications"), *[F.avg((F.col("rank") <= c * base).cast("double")).alias(f"rate_c{c}") for c in cs])
+    return own
+
+
 def method_differences(selected: DataFrame) -> DataFrame:
     """for every ordered pair of methods, features chosen by A and not by B, with counts.
 

@@ -181,3 +181,17 @@ def test_shapley_additivity(spark):
         "loan_id")["base"]
     for k in s.index:
         assert abs(s[k] - (fx_[k] - base[k])) < 1e-9
+
+
+def test_binned_density_is_within_its_bound(spark):
+    import numpy as np
+    from riskframe.operators import profile
+    rng = np.random.default_rng(8)
+    rows = [(float(x), "a") for x in rng.normal(size=3000)] + [(float(x), "b") for x in rng.gamma(0.5, 40, size=500)] + [(7.0, "c")] * 5 + [(None, "a")]
+    df = spark.createDataFrame(rows, "x double, g string")
+    exact = profile.kde(df, "x", "g").toPandas().sort_values(["g", "grid_i"])
+    for cells in (64, 4096):
+        got = profile.kde_binned(df, "x", "g", cells=cells).toPandas().sort_values(["g", "grid_i"])
+        gap = np.abs(got["density"].to_numpy() - exact["density"].to_numpy())
+        assert set(got["g"]) == {"a", "b"} and np.allclose(got["x"], exact["x"]) and (gap <= got["bound"].to_numpy() + 1e-12).all()
+        assert cells == 64 or got.loc[got["g"] == "a", "bound"].max() < 1e-4
