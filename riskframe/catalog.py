@@ -446,6 +446,19 @@ def r4(s, d):
     return _loan_smote(s, d)
 
 
+def r4_pivot(s, d):
+    """R4 with the neighbours found by pivots: the same rows."""
+    return _loan_smote(s, d, "pivot")
+
+
+def r4_pruning(s, d):
+    """What the pivots spare on the loans' minority: query-shard pairs met and skipped, for every metric."""
+    from riskframe.operators.knn import pruning
+    m, train, test, feats = _split_model(s, d)
+    minor = train.filter("label = 1")
+    return pruning(minor, minor, "loan_id", "loan_id", feats, k=5, metrics=KNN_METRICS, exclude_self=True, chunk=64)
+
+
 def r4_points(s, d):
     return resample.smote(fx.minority_points(s, d), "vec_id", POINT, k=5)
 
@@ -461,6 +474,12 @@ def m14(s, d):
     return knn_classify(train, test, "vec_id", POINT, "label", k=5)
 
 
+def m14_pivot(s, d):
+    from riskframe.operators.knn import knn_classify
+    train, test = _points(s, d)
+    return knn_classify(train, test, "vec_id", POINT, "label", k=5, method="pivot")
+
+
 def m14_grid(s, d):
     """Accuracy for the metrics and a spread of the k of the search space (3 to 50)."""
     from riskframe.operators.knn import knn_accuracy
@@ -1262,7 +1281,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "E1": e1, "E2": e2, "E3": e3, "E4": e4, "E5": e5, "E6": e6, "E7": e7, "E8": e8, "E9": e9,
     "E10": e10, "E10_models": e10_models, "E11": e11, "E12": e12, "E13": e13, "E13_tests": e13_tests,
     "F7": f7, "F8": f8, "F9": f9, "F10": f10, "F13": f13, "F14": f14,
-    "R1": r1, "R2": r2, "R3": r3, "R4": r4, "R4_points": r4_points, "R5": r5, "R6": r6, "M14": m14, "M14_grid": m14_grid,
+    "R1": r1, "R2": r2, "R3": r3, "R4": r4, "R4_pivot": r4_pivot, "R4_pruning": r4_pruning, "R4_points": r4_points, "M14_pivot": m14_pivot, "R5": r5, "R6": r6, "M14": m14, "M14_grid": m14_grid,
     "T1": t1, "T2": t2, "T3": t3, "T4": t4, "T5": t5, "T6": t6, "T7": t7, "T8": t8, "T10": t10,
     "T11": t11, "T12": t12, "T13": t13, "T14": t14, "S8": s8, "H4": h4,
     "S1": s1, "S2": s2, "S3": s3, "S4": s4, "S5": s5, "S6": s6, "S7": s7,
