@@ -21,8 +21,9 @@ the component has no other; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -174,15 +175,28 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(a[:, i])) for i in (0, 1)], names=["u", "v"])
 
 
+def shard_masks(n: int, radius: int, tree_size: int) -> list[int]:
+    """Bit masks (signed) such that fingerprints within ``radius`` bits agree on all bits of one of them.
+
+    The 64 bits are cut into radius + a blocks; a link leaves at least a of them untouched, so every choice
+    of a blocks is a mask. More blocks mean more masks but finer shards: the plan with the fewest copies of
+    a fingerprint, one for each tree of each of its shards, is taken for ``n`` fingerprints.
+    """
+    def copies(a: int) -> float:
+        bits = 64 * a / (radius + a)
+        return math.comb(radius + a, a) * max(1.0, n / 2.0 ** bits / tree_size)
+
+    a = min(range(1, max(2, 65 - radius)), key=copies)
+    cuts = [64 * i // (radius + a) for i in range(radius + a + 1)]
+    blocks = [((1 << (hi - lo)) - 1) << lo for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+    masks = [sum(c) for c in combinations(blocks, a)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
 def link_fingerprints(fps: DataFrame, radius: int = RADIUS, tree_size: int = TREE_SIZE) -> DataFrame:
     """Spanning edges (u, v) between distinct fingerprints (column fp) at most ``radius`` bits apart."""
-    n_blocks = radius + 1
-    cuts = [64 * i // n_blocks for i in range(n_blocks + 1)]
-    block = [F.struct(F.lit(i).alias("b"), F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).alias("v"))
-             for i, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
-    width = max(hi - lo for lo, hi in zip(cuts[:-1], cuts[1:], strict=True))
-    members = (fps.select("fp", F.explode(F.array(*block)).alias("s"))
-               .select("fp", (F.col("s.b") * F.lit(1 << width) + F.col("s.v")).alias("shard")))
+    masks = shard_masks(fps.count(), radius, tree_size)
+    members = (fps.select("fp", F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])).alias("shard")))
     # shards too large for one tree; the others need no entry
     big = (members.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > tree_size)
            .select("shard", F.ceil(F.col("n") / F.lit(tree_size)).cast("int").alias("trees")))

@@ -120,3 +120,39 @@ def test_awkward_rows(awkward, empty):
     kept = S.keep_one_of_each(awkward)
     assert kept.columns == awkward.columns and kept.count() == len({r.component_id for r in out if r.component_id is not None}) + 1
     assert S.simhash_dedup(empty).collect() == []
+
+
+@pytest.mark.parametrize("n", [10 ** 3, 10 ** 6, 10 ** 8, 10 ** 10, 10 ** 12])
+def test_copies_of_a_fingerprint_stay_few(n):
+    masks = S.shard_masks(n, 3, 512)
+    bits = min(bin(m & (2 ** 64 - 1)).count("1") for m in masks)
+    assert len(masks) * max(1, n / 2 ** bits / 512) < 64
+    rng = random.Random(n)
+    for _ in range(300):  # every change of three bits leaves one mask untouched
+        change = sum(1 << b for b in rng.sample(range(64), 3))
+        assert any(not change & m for m in masks)
+
+
+@pytest.mark.parametrize("pretend", [10, 10 ** 10, 10 ** 12])
+def test_links_are_the_same_whatever_the_block_plan(spark, monkeypatch, pretend):
+    rng = random.Random(4)
+    fps = [rng.getrandbits(64) for _ in range(60)]
+    fps = list({*fps, *[f ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 4))) for f in fps for _ in range(4)]})
+    plan = S.shard_masks
+    monkeypatch.setattr(S, "shard_masks", lambda n, *rest: plan(pretend, *rest))
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    edges = S.link_fingerprints(spark.createDataFrame([(f,) for f in signed], "fp long")).collect()
+    root = {f: f for f in signed}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for e in edges:
+        assert bin((e.u ^ e.v) & (2 ** 64 - 1)).count("1") <= 3
+        root[find(e.u)] = find(e.v)
+    for i, a in enumerate(signed):
+        for b in signed[:i]:
+            if bin((a ^ b) & (2 ** 64 - 1)).count("1") <= 3:
+                assert find(a) == find(b)
