@@ -187,9 +187,10 @@ def best_fit_pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                   end_id: int = END_ID, tokenizer: str | None = None, buckets: int | None = None) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     path = tokenizer or default_tokenizer()
-    pieces = pin(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    pieces = pin(docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
                  .mapInArrow(_pieces(path, capacity, end_id),
-                             "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"), "pieces")
+                             "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+                 .withColumn("uid", F.monotonically_increasing_id()), "pieces")  # rows that repeat one piece spread over the buckets
     counts = {r["length"]: r["n"] for r in  # at most `capacity` rows
               pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     if buckets is None:
@@ -199,11 +200,11 @@ def best_fit_pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     moves = np.array(sorted(plan_moves(counts, capacity)) or np.empty((0, 5)), dtype=np.int64).reshape(-1, 5)
 
     # rank within a length class: bucket totals, then the place inside the bucket
-    keyed = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
+    keyed = pieces.withColumn("bucket", F.pmod(F.xxhash64("uid"), F.lit(buckets)))
     totals = keyed.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
+    inside = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32", "uid")
     ranked = (keyed.withColumn("nth", F.row_number().over(inside)).join(offsets, ["length", "bucket"])
               .withColumn("rank", F.col("base") + F.col("nth") - 1))
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(

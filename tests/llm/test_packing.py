@@ -103,3 +103,14 @@ def test_hot_length(spark, tokenizer):
     docs = spark.range(2000).selectExpr("id as doc_id", "if(id % 3 = 0, '', concat('some words ', id)) as text")
     rows = P.best_fit_pack(docs, capacity=32, buckets=4).collect()
     check(rows, [(r.doc_id, r.text) for r in docs.collect()], tokenizer, 32)
+
+
+def test_a_dotted_name_and_one_row_many_times(spark):
+    rows = [(7, "the same few words")] * 3000 + [(None, "no identifier here")] * 1000 + [(i, "word " * (i % 90)) for i in range(500)]
+    df = spark.createDataFrame(rows, "`my.id` long, `my.text` string")
+    out = P.best_fit_pack(df, id_col="my.id", text_col="my.text").toPandas()
+    assert len(out) == 4500
+    for _, s in out.groupby("sequence_id"):
+        s = s.sort_values("offset")
+        assert (s["offset"].to_numpy() == s["length"].cumsum().to_numpy() - s["length"].to_numpy()).all() and s["length"].sum() <= 1024
+    assert out["sequence_id"].nunique() == -(-out["length"].sum() // 1024)
