@@ -95,7 +95,9 @@ def leaf_budgets(leaves: DataFrame, weights: Mapping[str, Mapping[str, int]], sh
 
 
 def _draw(seed: int, epoch: Column) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), epoch.cast("string"), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    # a row without an id is drawn by its text, so that such rows spread over the ranges
+    own = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.col("__k2").cast("string")))
+    return F.md5(F.concat(F.lit(f"{seed}:"), epoch.cast("string"), F.lit(":"), own))
 
 
 def mix(docs: DataFrame, weights: Mapping[str, Mapping[str, int]] | None = None, share: tuple[int, int] = (1, 2),

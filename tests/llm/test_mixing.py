@@ -92,3 +92,14 @@ def test_awkward_rows(awkward, empty):
 def test_plan_has_no_python(small_docs):
     plan = M.mix(small_docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_rows_without_an_id_spread_over_the_ranges(spark):
+    from pyspark.sql import functions as F
+    from riskframe.llm.common import row_keys
+    df = spark.createDataFrame([(None, f"text number {i}", "en", "s1") for i in range(4000)] + [(1, "one", "en", "s1")],
+                               "doc_id long, text string, lang string, source string")
+    draws = df.select("doc_id", *row_keys("doc_id", "text")).select(M._draw(7, F.lit(0)).alias("d")).distinct().count()
+    assert draws == 4001
+    out = M.mix(df, share=(1, 2), max_epochs=1)
+    assert out.agg(F.sum("n_tokens")).first()[0] in (5999, 6000) and out.select("__k1").distinct().count() == out.count()
