@@ -8,6 +8,7 @@ DuckDB oracle in ``riskframe.checks.oracle``.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -488,14 +489,21 @@ def m14_grid(s, d):
 
 
 # ---------------------------------------------------------------- M: models
-HELD: list[DataFrame] = []  # persisted while a query runs, see ``rounded``
+_CALL = threading.local()  # ``held``: what a query's own call has persisted, see ``rounded``
+
+
+def _hold(df: DataFrame) -> DataFrame:
+    """Persist a table that several steps of the running query read; ``rounded`` lets go of it."""
+    df = df.persist()
+    if getattr(_CALL, "held", None) is not None:  # else the caller lets go of it
+        _CALL.held.append(df)
+    return df
 
 
 def _split_model(s, d):
     m = fx.loans_model(s, d)
     # every fit, scaler and score of the query reads this table
-    sp = resample.train_test_split(m, "loan_id").persist()
-    HELD.append(sp)
+    sp = _hold(resample.train_test_split(m, "loan_id"))
     train = sp.filter(F.col("split") == "train").drop("split")
     test = sp.filter(F.col("split") == "test").drop("split")
     return m, train, test, model_features(m)
@@ -631,8 +639,7 @@ def _boost(s, d, style, params):
 def _levels_split(s, d):
     """Train and test rows with their level columns encoded in CatBoost's way, and the features."""
     from riskframe.operators import boosting
-    sp = resample.train_test_split(fx.loans_levels(s, d), "loan_id").persist()
-    HELD.append(sp)
+    sp = _hold(resample.train_test_split(fx.loans_levels(s, d), "loan_id"))
     train, test = (sp.filter(F.col("split") == x).drop("split") for x in ("train", "test"))
     return boosting.encode_levels(train, test, "loan_id", LEVEL_COLS, CAT_PARAMS["one_hot_max_size"])
 
@@ -1298,13 +1305,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 def rounded(fn):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = round_doubles(fn(spark, sf_dir))
-        if HELD:
-            # the fits are done: write the result and let go of the tables they read
-            out = cut_lineage(out)
-            while HELD:
-                HELD.pop().unpersist()
-        return out
+        before, _CALL.held = getattr(_CALL, "held", None), []  # a list of this call: queries may run in threads
+        try:
+            out = round_doubles(fn(spark, sf_dir))
+            if _CALL.held:
+                # the fits are done: write the result and let go of the tables they read
+                out = cut_lineage(out)
+            return out
+        finally:
+            for df in _CALL.held:
+                df.unpersist()
+            _CALL.held = before
     run.__name__ = fn.__name__
     run.__doc__ = fn.__doc__
     return run

@@ -31,13 +31,16 @@ def class_ecdf(df: DataFrame, cols, classes: list, label: str = "label") -> Data
                        totals={c: f"n{r}" for r, c in enumerate(names)})
 
 
-def mv_sis(df: DataFrame, cols, label: str = "label") -> DataFrame:
-    """F7 + F8: MV-SIS index and Kolmogorov statistic per feature, for any number of classes.
+def mv_sis(df: DataFrame, cols, label: str = "label", max_classes: int = 200) -> DataFrame:
+    """F7 + F8: MV-SIS index and Kolmogorov statistic per feature, for up to ``max_classes`` classes.
 
     ``MV = Σ_r p_r · mean_i (F_r(x_i) - F(x_i))²`` with ECDFs using ``<=``;
     ``KF = max_x max_{r,s} |F_r(x) - F_s(x)|``. Rows without a label count in no class.
     """
-    classes = sorted(r[0] for r in df.select(q(label)).distinct().collect() if r[0] is not None)  # one row per class
+    found = df.select(q(label)).filter(q(label).isNotNull()).distinct().limit(max_classes + 1).collect()
+    if len(found) > max_classes:
+        raise ValueError(f"{label} has more than {max_classes} values: a class label is needed")
+    classes = sorted(r[0] for r in found)
     e = class_ecdf(df, cols, classes, label)
     k = range(len(classes))
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,9 +49,24 @@ def get_session(master: str | None = None, app: str = "riskframe",
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    if not spark.sparkContext.master.startswith("local"):
+        ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, which need not find it where the driver does."""
+    package = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="riskframe-package-")  # of the driver; Spark hands the archive out
+    archive = os.path.join(folder, "riskframe.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for top, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    z.write(os.path.join(top, name), os.path.relpath(os.path.join(top, name), os.path.dirname(package)))
+    spark.sparkContext.addPyFile(archive)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, set on the context once per application.
 

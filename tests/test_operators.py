@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from riskframe.operators import clean, corr, evaluate as ev, resample, trials
@@ -195,3 +196,11 @@ def test_binned_density_is_within_its_bound(spark):
         gap = np.abs(got["density"].to_numpy() - exact["density"].to_numpy())
         assert set(got["g"]) == {"a", "b"} and np.allclose(got["x"], exact["x"]) and (gap <= got["bound"].to_numpy() + 1e-12).all()
         assert cells == 64 or got.loc[got["g"] == "a", "bound"].max() < 1e-4
+
+
+def test_a_continuous_label_is_refused(spark):
+    from riskframe.operators.select import mv_sis
+    df = spark.range(300).selectExpr("cast(id as double) AS x", "cast(id as double) / 7 AS label")
+    with pytest.raises(ValueError, match="class label"):
+        mv_sis(df, ["x"])
+    assert mv_sis(df.selectExpr("x", "cast(x as int) % 3 AS label"), ["x"]).count() == 1
