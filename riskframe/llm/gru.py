@@ -151,11 +151,20 @@ def _run(p: Params, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, trace: list
     return out, h
 
 
-def _softmax(logits: np.ndarray, safe: bool) -> np.ndarray:
+def _with_one(states: np.ndarray) -> np.ndarray:
+    """States with a last part of 1, which meets the bias in a product."""
+    out = np.empty((len(states), states.shape[1] + 1), dtype=states.dtype)
+    out[:, :-1] = states
+    out[:, -1] = 1
+    return out
+
+
+def _softmax(logits: np.ndarray, safe: bool, scale: float = 1.0) -> np.ndarray:
+    """``scale`` times the softmax of every row, in place."""
     if not safe:
         logits -= logits.max(axis=1, keepdims=True)
     np.exp(logits, out=logits)
-    logits /= (logits @ np.ones(logits.shape[1], dtype=logits.dtype))[:, None]
+    logits *= (scale / (logits @ np.ones(logits.shape[1], dtype=logits.dtype)))[:, None]
     return logits
 
 
@@ -172,14 +181,14 @@ def _safe(weights: np.ndarray, bias: np.ndarray, axis: int) -> bool:
 CELLS = 1 << 17
 
 
-def _log_picked(states: np.ndarray, weights: np.ndarray, bias: np.ndarray, pick: np.ndarray, safe: bool) -> np.ndarray:
-    """Log softmax of ``states @ weights + bias`` at one place of every row."""
+def _log_picked(states: np.ndarray, weights: np.ndarray, pick: np.ndarray, safe: bool) -> np.ndarray:
+    """Log softmax of ``states @ weights`` at one place of every row."""
     out = np.empty(len(pick), dtype=np.float64)
-    at_once = max(1, CELLS // max(1, len(bias)))
-    ones = np.ones(len(bias), dtype=states.dtype)
+    kinds = weights.shape[1]
+    at_once = max(1, CELLS // max(1, kinds))
+    ones = np.ones(kinds, dtype=states.dtype)
     for i in range(0, len(pick), at_once):
         logits = states[i:i + at_once] @ weights
-        logits += bias
         if not safe:
             logits -= logits.max(axis=1, keepdims=True)
         own = logits[np.arange(len(logits)), pick[i:i + at_once]]
@@ -207,18 +216,20 @@ def score(p: Params, s: Shape, lanes: Lanes, n_docs: int, window: int = 8 * WIND
     h = np.zeros((len(lanes.load), s.hidden), dtype=np.float32)
     explicit = len(s.bounds) - 1
     safe, safe_inner = _safe(p.oc, p.bc, 0), _safe(p.ow, p.bw, 1)
+    outer = np.vstack([p.oc, p.bc]).astype(np.float32)
+    inner = [np.vstack([p.ow[lo:hi].T, p.bw[lo:hi]]).astype(np.float32) for lo, hi in zip(s.bounds[:-1], s.bounds[1:], strict=True)]
     for a, b, live in lanes.windows(window):
         h = h[:live]
         x, y, doc, fresh = lanes.cut(a, b, live)
         states, h = _run(p, x, fresh, h, None)
         there = doc >= 0
-        states, y, doc = states[there], y[there], doc[there]
+        states, y, doc = _with_one(states[there]), y[there], doc[there]
         c = class_of(s, y)
-        lp = _log_picked(states, p.oc, p.bc, c, safe)
+        lp = _log_picked(states, outer, c, safe)
         for k, rows in _by_class(c, explicit):
             lo, hi = s.bounds[k], s.bounds[k + 1]
             if hi - lo > 1:
-                lp[rows] += _log_picked(states[rows], p.ow[lo:hi].T, p.bw[lo:hi], y[rows] - lo, safe_inner)
+                lp[rows] += _log_picked(states[rows], inner[k], y[rows] - lo, safe_inner)
         total += np.bincount(doc, weights=lp, minlength=n_docs)
     return total
 
@@ -256,28 +267,24 @@ class Trainer:
             there[np.arange(b - a) % LOSS_EVERY != self.updates % LOSS_EVERY] = False
         if not there.any():
             return last
-        flat, y = states[there], y[there]
+        flat, y = _with_one(states[there]), y[there]
         scale = np.float32(1 / max(len(y), usual))
         c = class_of(s, y)
-        logits = flat @ p.oc
-        logits += p.bc
-        d = _softmax(logits, _safe(p.oc, p.bc, 0))
-        d[np.arange(len(c)), c] -= 1
-        d *= scale
+        d = _softmax(flat @ np.vstack([p.oc, p.bc]), _safe(p.oc, p.bc, 0), scale)
+        d[np.arange(len(c)), c] -= scale
         back = d @ p.oc.T
-        grad_oc, grad_bc = flat.T @ d, np.ones(len(d), dtype=d.dtype) @ d
+        grad_out = flat.T @ d
         safe_inner = _safe(p.ow, p.bw, 1)
         for j, rows in _by_class(c, len(s.bounds) - 1):
             lo, hi = int(s.bounds[j]), int(s.bounds[j + 1])
             if hi - lo > 1:
                 part = flat[rows]
-                e = _softmax(part @ p.ow[lo:hi].T + p.bw[lo:hi], safe_inner)
-                e[np.arange(len(rows)), y[rows] - lo] -= 1
-                e *= scale
+                e = _softmax(part @ np.vstack([p.ow[lo:hi].T, p.bw[lo:hi]]), safe_inner, scale)
+                e[np.arange(len(rows)), y[rows] - lo] -= scale
                 back[rows] += e @ p.ow[lo:hi]
-                here = slice(lo, hi)
-                self._step(4, e.T @ part, here)
-                self._step(5, e.sum(axis=0), here)
+                here, grad = slice(lo, hi), e.T @ part
+                self._step(4, grad[:, :-1], here)
+                self._step(5, grad[:, -1], here)
         d_states = np.zeros_like(states)
         d_states[there] = back
         before, z, r, n, un = trace
@@ -299,8 +306,8 @@ class Trainer:
                 dh[fresh[t]] = 0
         grad_u = before.reshape(-1, k).T @ into.reshape(-1, 3 * k)
         self._step(1, grad_u)
-        self._step(2, grad_oc)
-        self._step(3, grad_bc)
+        self._step(2, grad_out[:-1])
+        self._step(3, grad_out[-1])
         ids, rows = x.ravel(), grad_x.reshape(-1, 3 * k)
         order = _order(ids, s.words + s.spelling)
         ids = ids[order]
