@@ -26,7 +26,7 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), run=3, min_words=15, max_words=12, cut_every=6)
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), run=3, min_words=15, max_words=12, cut_within=11)
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,13 @@
 """Substring dedup (4): sliding sentence spans.
 
-A text is cut into sentences at ``. ! ?`` before white space and at line ends.
-One longer than ``max_words`` counts as several, cut after the words whose
-checksum is a multiple of ``cut_every``, so that a passage is cut alike wherever
-it stands. From every sentence starts one span, the shortest run of at least
-``run`` sentences and ``min_words`` words. Its 128-bit hash is two polynomials
+A text is cut into sentences at ``. ! ?`` before white space, at full-width stops
+and at line ends. One longer than ``max_words`` counts as several, cut after the
+word of the smallest checksum in every window of ``cut_within`` words: no more
+than that many words lie between cuts, and a passage is cut alike wherever it
+stands, but for a window at its ends. Where a script writes no spaces between
+words (Han, Kana, Thai, Lao) each character is a unit that counts as half a word.
+From every sentence starts one span, the shortest run of at least ``run``
+sentences and ``min_words`` words. Its 128-bit hash is two polynomials
 over the hashes of its sentences (lower-cased words), so all spans of a text
 come from two running sums.
 
@@ -38,12 +41,15 @@ from riskframe.llm.common import row_keys
 RUN = 3
 MIN_WORDS = 15
 MAX_WORDS = 12
-CUT_EVERY = 6
+CUT_WITHIN = 11  # cuts lie as close as (this + 1) / 2 on average
 ROWS_AT_ONCE = 1 << 19
 NO_ID = (1 << 63) - 1
 LENGTH_BITS = 8  # a place packs sentence number and the span's length
 
-BOUNDARY = re.compile(rb"(?:[.!?](?=[\x09-\x0d\x20])|\n)[\x09-\x0d\x20]*")
+BOUNDARY = re.compile(rb"(?:[.!?](?=[\x09-\x0d\x20])|\n|\xe3\x80\x82|\xef\xbc[\x81\x9f])[\x09-\x0d\x20]*")
+# UTF-8 of U+3000-U+9FFF and U+0E00-U+0EFF
+UNSPACED = re.compile(rb"[\xe3-\xe9][\x80-\xbf]{2}|\xe0[\xb8-\xbb][\x80-\xbf]")
+UNIT = re.compile(rb"(?:[\xe3-\xe9][\x80-\xbf]{2}|\xe0[\xb8-\xbb][\x80-\xbf]|(?:(?!\xe0[\xb8-\xbb])[^\x09-\x0d\x20\xe3-\xe9])+)[\x09-\x0d\x20]*")
 WORD = re.compile(rb"[^\x09-\x0d\x20]+[\x09-\x0d\x20]*")
 BASES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], dtype=np.uint64)  # odd, so they have inverses modulo 2**64
 INVERSES = np.array([pow(int(b), -1, 1 << 64) for b in BASES], dtype=np.uint64)
@@ -51,27 +57,46 @@ INVERSES = np.array([pow(int(b), -1, 1 << 64) for b in BASES], dtype=np.uint64)
 _POWERS: list[np.ndarray] = []
 
 
-def sentences(text: bytes, max_words: int = MAX_WORDS, cut_every: int = CUT_EVERY) -> tuple[list[int], list[list[bytes]]]:
+def _cuts(sizes: list[int], checksums: list[int], within: int) -> np.ndarray:
+    """Which words of long sentences (their checksums, end to end) are cut after: the least of every window inside a sentence."""
+    c = np.array(checksums, dtype=np.int64)
+    flags = np.zeros(len(c), dtype=bool)
+    if len(c) >= within:
+        at = np.arange(len(c) - within + 1)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        inside = owner[at] == owner[at + within - 1]
+        flags[(np.lib.stride_tricks.sliding_window_view(c, within).argmin(axis=1) + at)[inside]] = True
+        flags[1:] &= (c[1:] != c[:-1]) | (owner[1:] != owner[:-1])  # one word over and over is not cut at each
+    return flags
+
+
+def sentences(text: bytes, max_words: int = MAX_WORDS, cut_within: int = CUT_WITHIN) -> tuple[list[int], list[list[bytes]]]:
     """(ends, lower-cased words) of the sentences of a UTF-8 text; each ends where the next begins."""
-    ends, words = [], []
     low = text.lower()
+    plain = UNSPACED.search(low) is None
+    found: list[list] = []
     start = 0
     for end in [*(m.end() for m in BOUNDARY.finditer(text)), len(text)]:
-        own = low[start:end].split()
+        own = low[start:end].split() if plain else [w.rstrip() for w in UNIT.findall(low, start, end)]
+        if own:
+            found.append([start, end, own])
+            start = end
+        elif found:  # white space only
+            found[-1][1] = start = end
+    long = [own for _, _, own in found if len(own) > max_words]
+    flags = iter(_cuts([len(own) for own in long], [crc32(w) for own in long for w in own], cut_within).tolist())
+    ends, words = [], []
+    for start, end, own in found:
         if len(own) > max_words:
-            first, at = 0, 0
-            for at, m in enumerate(WORD.finditer(text, start, end), 1):
-                if crc32(own[at - 1]) % cut_every == 0 and at < len(own):
+            first = 0
+            for at, m in enumerate((WORD if plain else UNIT).finditer(text, start, end), 1):
+                if next(flags) and at < len(own):
                     ends.append(m.end())
                     words.append(own[first:at])
                     first = at
             own = own[first:]
-        if own:
-            ends.append(end)
-            words.append(own)
-            start = end
-        elif ends:  # white space only
-            ends[-1] = start = end
+        ends.append(end)
+        words.append(own)
     return ends, words
 
 
@@ -93,15 +118,19 @@ def spans(words: list[list[bytes]], run: int = RUN, min_words: int = MIN_WORDS)
     """(numbers of sentences, (2, n) hashes) of the spans that start at sentences 0, 1, 2, ..."""
     from xxhash import xxh3_128_digest
     n = len(words)
-    upto = np.zeros(n + 1, dtype=np.int64)
-    np.cumsum([len(w) for w in words], out=upto[1:])
+    whole = [b" ".join(w) for w in words]
+    size = [float(len(w)) for w in words]
+    if UNSPACED.search(b" ".join(whole)):  # a character without spaces around it is half a word
+        size = [k - len(UNSPACED.findall(w)) / 2 for k, w in zip(size, whole, strict=True)]
+    upto = np.zeros(n + 1)
+    np.cumsum(size, out=upto[1:])
     first = np.arange(n)
     end = np.maximum(first + run, np.searchsorted(upto, upto[:-1] + min_words))
     end = end[end <= n]  # ends rise with their starts
     first = first[:len(end)]
     if not len(end):
         return end, np.empty((2, 0), dtype=np.uint64)
-    own = np.frombuffer(b"".join([xxh3_128_digest(b" ".join(w)) for w in words]), dtype="<u8").reshape(-1, 2).T
+    own = np.frombuffer(b"".join([xxh3_128_digest(w) for w in whole]), dtype="<u8").reshape(-1, 2).T
     power, inverse = _powers(n)
     sums = np.zeros((2, n + 1), dtype=np.uint64)
     np.cumsum(own * power, axis=1, out=sums[:, 1:])
@@ -123,7 +152,7 @@ def _settled(h: np.ndarray, doc: np.ndarray, row: np.ndarray, place: np.ndarray)
                                       names=["h1", "h2", "doc", "row", "place"])
 
 
-def _hash_spans(run: int, min_words: int, max_words: int, cut_every: int):
+def _hash_spans(run: int, min_words: int, max_words: int, cut_within: int):
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, docs, rows, places, waiting = [], [], [], [], 0
 
@@ -134,7 +163,7 @@ def _hash_spans(run: int, min_words: int, max_words: int, cut_every: int):
 
         for b in batches:
             for doc, row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                n, h = spans(sentences(text.as_py().encode(), max_words, cut_every)[1], run, min_words)
+                n, h = spans(sentences(text.as_py().encode(), max_words, cut_within)[1], run, min_words)
                 if len(n):
                     hashes.append(h)
                     docs.append(np.full(len(n), doc))
@@ -182,17 +211,17 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, min_words: int = MIN_WORDS,
-                   max_words: int = MAX_WORDS, cut_every: int = CUT_EVERY) -> DataFrame:
+                   max_words: int = MAX_WORDS, cut_within: int = CUT_WITHIN) -> DataFrame:
     """(__doc, __row, at, n): first sentence and length of every span occurrence that is not the first."""
     if max(run, min_words) >= 1 << LENGTH_BITS:
         raise ValueError(f"run and min_words must be under {1 << LENGTH_BITS}")
     every = _source(docs, id_col, text_col).select("__doc", "__row", "text").mapInArrow(
-        _hash_spans(run, min_words, max_words, cut_every), "h1 bigint, h2 bigint, doc bigint, row bigint, place bigint")
+        _hash_spans(run, min_words, max_words, cut_within), "h1 bigint, h2 bigint, doc bigint, row bigint, place bigint")
     return (every.repartition("h1", "h2").sortWithinPartitions("h1", "h2", "doc", "place", "row")
             .mapInArrow(_not_first, "__doc bigint, __row bigint, at bigint, n bigint"))
 
 
-def _remove(max_words: int, cut_every: int):
+def _remove(max_words: int, cut_within: int):
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, gone = [], []
@@ -202,7 +231,7 @@ def _remove(max_words: int, cut_every: int):
                     drop.update(range(c["at"], c["at"] + c["n"]))
                 if drop:
                     raw = text.encode()
-                    ends, _ = sentences(raw, max_words, cut_every)
+                    ends, _ = sentences(raw, max_words, cut_within)
                     text = b"".join(raw[a:e] for i, (a, e) in enumerate(zip([0, *ends], ends, strict=False)) if i not in drop).decode()
                 texts.append(text)
                 gone.append(len(drop))
@@ -212,9 +241,9 @@ def _remove(max_words: int, cut_every: int):
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, min_words: int = MIN_WORDS,
-                   max_words: int = MAX_WORDS, cut_every: int = CUT_EVERY) -> DataFrame:
+                   max_words: int = MAX_WORDS, cut_within: int = CUT_WITHIN) -> DataFrame:
     """One row per input row: doc_id, n_removed, text without the removed sentences."""
-    gone = (repeated_spans(docs, id_col, text_col, run, min_words, max_words, cut_every)
+    gone = (repeated_spans(docs, id_col, text_col, run, min_words, max_words, cut_within)
             .groupBy("__doc", "__row").agg(F.collect_set(F.struct("at", "n")).alias("covered")))
     return (_source(docs, id_col, text_col).join(gone, ["__doc", "__row"], "left").select("doc_id", "text", "covered")
-            .mapInArrow(_remove(max_words, cut_every), "doc_id bigint, n_removed bigint, text string"))
+            .mapInArrow(_remove(max_words, cut_within), "doc_id bigint, n_removed bigint, text string"))

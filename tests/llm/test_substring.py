@@ -120,3 +120,39 @@ def test_rows_without_an_id_are_told_apart_by_the_whole_key(spark):
     out = S.remove_repeats(spark.createDataFrame([(1, passage), *[(None, r.text) for r in one]], kind)).collect()
     assert sorted((r.n_removed, r.text) for r in out if r.doc_id is None) == sorted(
         (3 if r.with_passage else 0, r.text.replace(passage, "")) for r in one)
+
+
+@pytest.mark.parametrize("words", [51, 55, 60])
+def test_every_shared_passage_of_running_text_holds_a_common_span(words):
+    missed = 0
+    for seed in range(400):
+        shared = passage(words, seed, False)
+        a, b = (" ".join([passage(30, 10_000 + seed + k, False), shared, passage(40, 20_000 + seed + k, False)]).encode() for k in (0, 500))
+        keys = [set(map(tuple, S.spans(S.sentences(t)[1])[1].T.tolist())) for t in (a, b)]
+        missed += not keys[0] & keys[1]
+    assert missed == 0
+
+
+def test_cuts_lie_close(small_docs):
+    text = passage(3000, 3, False).encode()
+    _, words = S.sentences(text)
+    assert max(map(len, words)) <= S.CUT_WITHIN and 4 < 3000 / len(words) < 8
+
+
+def test_scripts_without_spaces(spark):
+    import random
+    rng = random.Random(7)
+    han = [chr(0x4E00 + i) for i in range(3000)]
+    text = lambda n: "".join(rng.choice(han) + ("。" if i % 23 == 22 else "") for i in range(n))
+    shared, line = text(120), "".join(rng.choice(han) for _ in range(110))
+    docs = [(i, f"{text(200)}{shared}{text(150)}") for i in range(4)] + [(10 + i, f"{text(90)}\n{text(40)}{line}{text(80)}") for i in range(3)]
+    docs += [(20, text(500)), (21, "".join(rng.choice(han) for _ in range(2000))), (22, "ภาษาไทย" * 3 + "".join(rng.choice("กขคงจฉชซ") for _ in range(300)))]
+    out = {r.doc_id: r for r in S.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(out[i].n_removed == 0 and out[i].text == dict(docs)[i] for i in (0, 10, 20, 21, 22))
+    for i in (1, 2, 3):
+        assert 60 <= len(dict(docs)[i]) - len(out[i].text) <= len(shared) + 40
+    for i in (11, 12):
+        assert 60 <= len(dict(docs)[i]) - len(out[i].text) <= len(line) + 40
+    raw = dict(docs)[21].encode()
+    ends, words = S.sentences(raw)
+    assert ends[-1] == len(raw) and sum(map(len, words)) == 2000 and max(map(len, words)) <= S.CUT_WITHIN
