@@ -27,7 +27,7 @@ from riskframe.operators import flat_trees, models
 from riskframe.operators.flat_trees import Forest
 from riskframe.plans.gram import matrix_sums
 from riskframe.plans.prefix import rank_within
-from riskframe.session import cut_lineage
+from riskframe.session import cut_lineage, shuffle_partitions
 from riskframe.plans.reshape import with_scalar_totals
 
 
@@ -427,7 +427,9 @@ def lime(model, train: DataFrame, rows: DataFrame, key: str, features, n_samples
     sd = train.agg(*[F.stddev_samp(q(c)).alias(f"s{i}") for i, c in enumerate(feats)]).first()
     sds = np.array([float(sd[f"s{i}"] or 0.0) or 1.0 for i in range(len(feats))])
     kind = rows.schema[key].dataType.simpleString()
-    found = rows.select(q(key), F.xxhash64(q(key)).alias("seed"), *[q(c).cast("double").alias(f"_x{i}") for i, c in enumerate(feats)]).mapInArrow(
+    own = rows.select(q(key), F.xxhash64(q(key)).alias("seed"), *[q(c).cast("double").alias(f"_x{i}") for i, c in enumerate(feats)])
+    # few bytes a row but much work: dealt by rows, not by bytes
+    found = own.repartition(4 * shuffle_partitions(rows.sparkSession), "seed").mapInArrow(
         flat_trees.surrogate_weights(forest, sds, n_samples, top, alpha, 0.75 * math.sqrt(len(feats)), salt),
         f"key {kind}, i int, weight double, rank int")
     return found.select(F.col("key").alias(key), F.get(F.array(*[F.lit(f) for f in feats]), F.col("i")).alias("feature"), "weight", "rank")
