@@ -153,3 +153,20 @@ def test_whole_metric_matrix_of_models(run, spark):
     assert {"accuracy", "precision", "recall", "f1", "auc"} <= set(t.columns) and t["total"].min() > 0
     for _, r in t.iterrows():
         assert r["accuracy"] == pytest.approx((r["tp"] + r["tn"]) / r["total"], abs=1e-6)
+
+
+def test_binomial_decisions_over_long_histories(spark):
+    """Many rounds: the tail is not summed from numbers as long as the history."""
+    from fractions import Fraction
+    from math import comb
+    from riskframe.operators import explain
+    for n, k in ((1500, 700), (1500, 750), (1500, 815), (1500, 1500)):
+        exact = float(Fraction(sum(comb(n, i) for i in range(k, n + 1)), 2 ** n))
+        assert explain._binom_sf(k, n) == pytest.approx(exact, rel=1e-9)
+    n = 200_000
+    one = spark.range(n).select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), (F.col("id") < h).alias("hit"), F.lit(m).alias("importance"), F.lit(0.5).alias("max_shadow"))
+                                                    for f, h, m in (("a", 101_500, 0.9), ("b", 98_500, 0.1), ("c", 100_100, 0.7), ("d", 99_900, 0.2))])).alias("s")).select("s.*")
+    dec = explain.binomial_decisions(one)
+    assert {r["feature"]: (r["rounds"], r["hits"], r["decision"]) for r in dec.collect()} == {
+        "a": (n, 101_500, "Confirmed"), "b": (n, 98_500, "Rejected"), "c": (n, 100_100, "Tentative"), "d": (n, 99_900, "Tentative")}
+    assert {r["feature"]: r["final"] for r in explain.tentative_fix(dec, one).collect()} == {"a": "Confirmed", "b": "Rejected", "c": "Confirmed", "d": "Rejected"}
