@@ -170,3 +170,13 @@ def test_binomial_decisions_over_long_histories(spark):
     assert {r["feature"]: (r["rounds"], r["hits"], r["decision"]) for r in dec.collect()} == {
         "a": (n, 101_500, "Confirmed"), "b": (n, 98_500, "Rejected"), "c": (n, 100_100, "Tentative"), "d": (n, 99_900, "Tentative")}
     assert {r["feature"]: r["final"] for r in explain.tentative_fix(dec, one).collect()} == {"a": "Confirmed", "b": "Rejected", "c": "Confirmed", "d": "Rejected"}
+
+
+def test_fits_read_evenly_dealt_rows(spark, tmp_path, monkeypatch):
+    """A table of many loans is spread over the cores; a small one stays as it is, and no row is lost."""
+    spark.range(1, 2001).select(F.col("id").alias("o_orderkey")).write.parquet(str(tmp_path / "orders.parquet"))
+    loans = spark.range(1, 2001).coalesce(1).select(F.col("id").alias("loan_id"))
+    assert c._dealt(spark, str(tmp_path), loans).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(c, "DEALT_ROWS", 500)
+    parts = c._dealt(spark, str(tmp_path), loans).groupBy(F.spark_partition_id()).count().collect()
+    assert len(parts) == 4 and sum(r["count"] for r in parts) == 2000 and max(r["count"] for r in parts) < 650
