@@ -125,3 +125,21 @@ def test_shadow_shifts_differ(count, n):
     for r in range(20):
         shifts = explain.shadow_shifts(count, n, r)
         assert len(shifts) == count and len(set(shifts)) == min(count, n) and max(shifts) < n
+
+
+def test_lime_looks_small_trees_up_in_tables():
+    rng = np.random.default_rng(5)
+    for depth, outputs in ((3, 1), (3, 2), (5, 1)):  # depth 5 has more cuts than a table takes
+        inner, size = 2 ** depth - 1, 2 ** (depth + 1) - 1
+        feature = np.tile([int(rng.integers(3)) if i < inner and i != 1 else -1 for i in range(size)], 4)
+        at = np.arange(4 * size)
+        head = at // size * size
+        forest = ft.Forest(feature, rng.normal(size=4 * size).round(1), 2 * at - head + 1, 2 * at - head + 2,
+                                   rng.random((4 * size, outputs)), np.ones(4 * size), np.arange(4) * size, np.array([1.0, 0.5, 0.4, 0.3]),
+                                   slope=2.0 if outputs == 1 else 0.0, shift=np.full(3, 0.1), factor=np.full(3, 0.9), add=np.zeros(3))
+        tabled = ft._tabled(forest)
+        assert (tabled is None) == (depth == 5)
+        x, sds = rng.normal(size=3), np.array([0.5, 1.0, 2.0])
+        z = rng.normal(size=(500, 3))
+        if tabled is not None:
+            assert np.array_equal(ft.scores_around(forest, tabled, x, z, sds), forest.score(x + z * sds)[0])
