@@ -254,3 +254,17 @@ def test_encoding_levels(spark, planted):
     rates = t[t["key"] >= 100].groupby("many")["label"].agg(["sum", "count"])
     row = test.filter("key = 7").first()
     assert row["many_rate"] == pytest.approx((rates.loc[t.loc[7, "many"], "sum"] + 0.5) / (rates.loc[t.loc[7, "many"], "count"] + 1))
+
+
+def test_binned_rows_are_written_as_blocks(spark):
+    from riskframe.operators import boosting
+    df = spark.createDataFrame([(i, float(i % 7), None if i % 10 == 0 else float(i % 3), i % 2, i % 4) for i in range(4000)],
+                               "k long, a double, b double, label int, fold int").coalesce(1)
+    cuts = boosting.collected_cuts(df, ["a", "b"], 16)
+    rows, path = boosting.binned_table(df, "k", ["a", "b"], cuts, fold_col="fold", models=2)
+    blocks = rows.toArrow().to_batches()
+    assert rows.count() < 100  # arrays of many rows each
+    row, fold, label, bins, margins = (np.concatenate(x, axis=-1) for x in zip(*boosting._cells(iter(blocks), 2), strict=True))
+    assert bins.shape == (2, 3600) and margins.shape == (2, 3600) and not margins.any() and len(set(row.tolist())) == 3600
+    want = sorted((i % 4, i % 2, i % 7, i % 3) for i in range(4000) if i % 10)
+    assert sorted(zip(fold.tolist(), label.astype(int).tolist(), *bins.tolist(), strict=True)) == want
