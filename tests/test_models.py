@@ -222,3 +222,15 @@ def test_vif_of_eleven_columns_matches_regression(spark):
         others = np.delete(z, i, axis=1)
         resid = z[:, i] - others @ np.linalg.lstsq(others, z[:, i], rcond=None)[0]
         assert v.loc[v["feature"] == c, "vif"].iloc[0] == pytest.approx((z[:, i] ** 2).sum() / (resid ** 2).sum(), rel=1e-6)
+
+
+def test_boruta_rounds_run_together_only_where_no_decision_can_interfere():
+    adj = 0.05 / 19
+    assert explain.rounds_until_decided([0] * 19, 0, adj) == 9  # 2^-9 is the first tail below
+    assert explain.rounds_until_decided([0, 4], 8, adj) == 1  # the next may reject the first
+    for hits, r in (([5], 9), ([6, 3], 10), ([11], 20)):
+        k = explain.rounds_until_decided(hits, r, adj)
+        sf = explain._binom_sf
+        may = lambda h, j: sf(r + j - h, r + j) < adj
+        assert not any(may(h, j) for h in hits for j in range(1, k))
+        assert any(may(h, k) for h in hits) or all(may(h, j) or sf(h + j, r + j) < adj for h in hits for j in (k,))

@@ -94,3 +94,22 @@ def test_dict_texts_with_quotes(spark):
     assert got[9][1] == "TrueFalse None" and got[10] == ("7", "tab\tqA \\") and got[11][1] == "long " * 20_000
     nested = trials.parse_params(df.filter("i = 9"), keys=["a.c"]).first()
     assert nested["a.c"] == "d'e"
+
+
+def test_grid_equals_crossvalidator_and_reuses_converged_fits(spark, monkeypatch):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+    from riskframe.operators import models, search
+    df = spark.createDataFrame([(i, float(i % 17), float(i * 7 % 23), int(i % 17 + i * 5 % 11 > 12), i % 3) for i in range(300)],
+                               "loan_id long, a double, b double, label int, fold int")
+    fits = []
+    own = Pipeline.fit
+    monkeypatch.setattr(Pipeline, "fit", lambda self, *a: fits.append(1) or own(self, *a))
+    lr = models.logistic()
+    _, table = search.cross_validate(df, ["a", "b"], lr, {"regParam": [0.01, 0.1], "maxIter": [3, 200, 400]}, folds=3)
+    assert len(fits) == 3 * 2 * 2 + 1  # 400 is 200 as well; 3 steps are too few; the best is fitted on all rows
+    pg = ParamGridBuilder().addGrid(lr.regParam, [0.01, 0.1]).addGrid(lr.maxIter, [3, 200, 400]).build()
+    cv = CrossValidator(estimator=models.pipeline(["a", "b"], lr, "minmax"), estimatorParamMaps=pg, foldCol="fold", numFolds=3,
+                        evaluator=BinaryClassificationEvaluator(labelCol="label", numBins=0)).fit(df)
+    assert [r["avg_metric"] for r in table.orderBy("combo").collect()] == cv.avgMetrics
