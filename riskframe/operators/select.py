@@ -37,6 +37,7 @@ def mv_sis(df: DataFrame, cols, label: str = "label", max_classes: int = 200) ->
     ``MV = Σ_r p_r · mean_i (F_r(x_i) - F(x_i))²`` with ECDFs using ``<=``;
     ``KF = max_x max_{r,s} |F_r(x) - F_s(x)|``. Rows without a label count in no class.
     """
+    df = df.select(*[q(c) for c in dict.fromkeys([*cols, label])]).persist()  # the classes and the counts read it
     found = df.select(q(label)).filter(q(label).isNotNull()).distinct().limit(max_classes + 1).collect()
     if len(found) > max_classes:
         raise ValueError(f"{label} has more than {max_classes} values: a class label is needed")
@@ -58,7 +59,9 @@ def mv_sis(df: DataFrame, cols, label: str = "label", max_classes: int = 200) ->
         *[F.coalesce(F.sum(c * F.pow(own[r] - f, 2)), F.lit(0.0)).alias(f"_s{r}") for r in k], F.max(spread).alias("kf"))
     nn = total(sizes).cast("double")
     mv = total([(F.col(f"n{r}") / nn) * F.col(f"_s{r}") / nn for r in k])
-    return g.select("feature", mv.alias("mv"), "kf")
+    out = cut_lineage(g.select("feature", mv.alias("mv"), "kf"))  # one row per feature
+    df.unpersist()
+    return out
 
 
 def quantile_cutoff(scores: DataFrame, score: str, prob: float = 0.7) -> DataFrame:

@@ -66,3 +66,20 @@ def test_spearman_counts_every_row_also_of_repeated_keys(spark, monkeypatch, loo
     for r in corr.spearman(part, "id", cols).collect():
         x = rank[r["feature_a"]].corr(rank[r["feature_b"]])
         assert r["rho"] is None if np.isnan(x) else r["rho"] == pytest.approx(x)
+
+
+def test_screening_builds_its_rows_once(spark):
+    rng = np.random.default_rng(3)
+    plain = spark.createDataFrame([(float(a), float(b), int(y)) for a, b, y in zip(rng.integers(0, 9, 200), rng.random(200), rng.integers(0, 2, 200))],
+                                  "a double, b double, label int").repartition(2)
+    df, seen = counting(spark, plain)
+    got = {r["feature"]: (r["mv"], r["kf"]) for r in select.mv_sis(df, ["a", "b"]).collect()}
+    assert seen.value == 200
+    pdf = plain.toPandas()
+    for f in "ab":
+        ecdf = lambda v, x: np.searchsorted(np.sort(v), x, side="right") / len(v)
+        x = pdf[f].to_numpy()
+        own = [ecdf(x[pdf["label"] == k], x) for k in (0, 1)]
+        share = [(pdf["label"] == k).mean() for k in (0, 1)]
+        assert got[f][0] == pytest.approx(sum(p * np.mean((o - ecdf(x, x)) ** 2) for p, o in zip(share, own)))
+        assert got[f][1] == pytest.approx(np.abs(own[0] - own[1]).max())
