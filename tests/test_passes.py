@@ -83,3 +83,14 @@ def test_screening_builds_its_rows_once(spark):
         share = [(pdf["label"] == k).mean() for k in (0, 1)]
         assert got[f][0] == pytest.approx(sum(p * np.mean((o - ecdf(x, x)) ** 2) for p, o in zip(share, own)))
         assert got[f][1] == pytest.approx(np.abs(own[0] - own[1]).max())
+
+
+def test_evaluation_scores_a_row_once(spark, monkeypatch):
+    from riskframe.operators import models
+    df, seen = counting(spark, scored(spark).withColumns({"model": F.lit("m"), "split": F.lit("test")}))
+    monkeypatch.setattr(models, "scored_splits", lambda *a: df)
+    monkeypatch.setattr(c._CALL, "held", [], raising=False)
+    got = c._eval(None, None, None, [], "m").first()
+    assert got["total"] == 300 and seen.value == 300
+    for held in c._CALL.held:
+        held.unpersist()
