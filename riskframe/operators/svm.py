@@ -15,10 +15,9 @@ from typing import NamedTuple
 import numpy as np
 from pyspark.sql import DataFrame
 
-from riskframe.functions.columns import q
 from riskframe.operators.explain import _model_minimum, _ranges
 from riskframe.operators.flat_trees import Linear
-from riskframe.plans.gram import matrix_sums
+from riskframe.plans.gram import block_sums, row_blocks
 
 
 class Fit(NamedTuple):
@@ -44,8 +43,8 @@ def squared_hinge(df: DataFrame, features, C: float = 1.0, penalty: str = "l2",
     if penalty not in ("l1", "l2"):
         raise ValueError("penalty is 'l1' or 'l2'")
     feats, d = list(features), len(list(features))
-    data = df.select(*[q(c) for c in feats], "label").dropna().persist()
-    lo, width = _ranges(data, feats)
+    data = row_blocks(df, [*feats, "label"]).persist()
+    lo, width = _ranges(data, d + 1, d)
 
     def look(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, int]:
         def sums(x: np.ndarray) -> np.ndarray:
@@ -55,7 +54,7 @@ def squared_hinge(df: DataFrame, features, C: float = 1.0, penalty: str = "l2",
             live = short > 0
             za, sa = z[live], short[live]
             return np.concatenate([[live.sum(), (sa ** 2).sum()], -2 * za.T @ (y[live] * sa), (2 * za.T @ za).ravel()])
-        v = matrix_sums(data, [*feats, "label"], sums)
+        v = block_sums(data, d + 1, sums)
         own = 0.5 * float(w[:-1] @ w[:-1]) if penalty == "l2" else float(np.abs(w[:-1]).sum())
         return own + C * v[1], C * v[2:d + 3], C * v[d + 3:].reshape(d + 1, d + 1), int(v[0])
 

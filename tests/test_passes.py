@@ -33,6 +33,34 @@ def test_holdout_metrics_score_a_row_once(spark):
     assert seen.value == 300
 
 
+def test_evaluation_scores_a_row_once(spark, monkeypatch):
+    from riskframe.operators import models
+    df, seen = counting(spark, scored(spark).withColumns({"model": F.lit("m"), "split": F.lit("test")}))
+    monkeypatch.setattr(models, "scored_splits", lambda *a: df)
+    monkeypatch.setattr(c._CALL, "held", [], raising=False)
+    got = c._eval(None, None, None, [], "m").first()
+    assert got["total"] == 300 and seen.value == 300
+    for held in c._CALL.held:
+        held.unpersist()
+
+
+def test_screening_builds_its_rows_once(spark):
+    rng = np.random.default_rng(3)
+    plain = spark.createDataFrame([(float(a), float(b), int(y)) for a, b, y in zip(rng.integers(0, 9, 200), rng.random(200), rng.integers(0, 2, 200))],
+                                  "a double, b double, label int").repartition(2)
+    df, seen = counting(spark, plain)
+    got = {r["feature"]: (r["mv"], r["kf"]) for r in select.mv_sis(df, ["a", "b"]).collect()}
+    assert seen.value == 200
+    pdf = plain.toPandas()
+    for f in "ab":
+        ecdf = lambda v, x: np.searchsorted(np.sort(v), x, side="right") / len(v)
+        x = pdf[f].to_numpy()
+        own = [ecdf(x[pdf["label"] == k], x) for k in (0, 1)]
+        share = [(pdf["label"] == k).mean() for k in (0, 1)]
+        assert got[f][0] == pytest.approx(sum(p * np.mean((o - ecdf(x, x)) ** 2) for p, o in zip(share, own)))
+        assert got[f][1] == pytest.approx(np.abs(own[0] - own[1]).max())
+
+
 def test_search_draws_are_kept_with_the_rows(spark):
     """The parts of the training rows are read off a column, not drawn again by every pass; no row is lost."""
     from riskframe.functions.rand import b as draw
@@ -68,29 +96,23 @@ def test_spearman_counts_every_row_also_of_repeated_keys(spark, monkeypatch, loo
         assert r["rho"] is None if np.isnan(x) else r["rho"] == pytest.approx(x)
 
 
-def test_screening_builds_its_rows_once(spark):
-    rng = np.random.default_rng(3)
-    plain = spark.createDataFrame([(float(a), float(b), int(y)) for a, b, y in zip(rng.integers(0, 9, 200), rng.random(200), rng.integers(0, 2, 200))],
-                                  "a double, b double, label int").repartition(2)
+def test_passes_over_blocks_equal_passes_over_rows(spark, monkeypatch):
+    monkeypatch.setattr(gram, "BLOCK_ROWS", 7)
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(50, 3))
+    rows = [(float(a), None if i % 10 == 3 else float(b), int(d > 0)) for i, (a, b, d) in enumerate(x)]
+    df = spark.createDataFrame(rows, "a double, b double, y int").repartition(3)
+    both = lambda m: np.concatenate([[len(m)], (m.T @ m).ravel()])
+    blocks = gram.row_blocks(df, ["a", "b", "y"])
+    assert np.allclose(gram.block_sums(blocks, 3, both), gram.matrix_sums(df, ["a", "b", "y"], both))
+    whole = np.array([r for r in rows if r[1] is not None], dtype=float)
+    lo, hi = gram.block_ranges(blocks, 3)
+    assert np.allclose(lo, whole.min(axis=0)) and np.allclose(hi, whole.max(axis=0))
+    assert np.isnan(gram.block_ranges(gram.row_blocks(df.filter("a > 1e9"), ["a"]), 1)[0]).all()
+
+
+def test_steps_of_a_fit_read_the_rows_once(spark):
+    rng = np.random.default_rng(4)
+    plain = spark.createDataFrame([(float(a), float(b), int(a + b + e > 0)) for a, b, e in rng.normal(size=(200, 3))], "a double, b double, label int").repartition(2)
     df, seen = counting(spark, plain)
-    got = {r["feature"]: (r["mv"], r["kf"]) for r in select.mv_sis(df, ["a", "b"]).collect()}
-    assert seen.value == 200
-    pdf = plain.toPandas()
-    for f in "ab":
-        ecdf = lambda v, x: np.searchsorted(np.sort(v), x, side="right") / len(v)
-        x = pdf[f].to_numpy()
-        own = [ecdf(x[pdf["label"] == k], x) for k in (0, 1)]
-        share = [(pdf["label"] == k).mean() for k in (0, 1)]
-        assert got[f][0] == pytest.approx(sum(p * np.mean((o - ecdf(x, x)) ** 2) for p, o in zip(share, own)))
-        assert got[f][1] == pytest.approx(np.abs(own[0] - own[1]).max())
-
-
-def test_evaluation_scores_a_row_once(spark, monkeypatch):
-    from riskframe.operators import models
-    df, seen = counting(spark, scored(spark).withColumns({"model": F.lit("m"), "split": F.lit("test")}))
-    monkeypatch.setattr(models, "scored_splits", lambda *a: df)
-    monkeypatch.setattr(c._CALL, "held", [], raising=False)
-    got = c._eval(None, None, None, [], "m").first()
-    assert got["total"] == 300 and seen.value == 300
-    for held in c._CALL.held:
-        held.unpersist()
+    assert len(svm.squared_hinge(df, ["a", "b"]).objective) > 2 and seen.value == 200
