@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from riskframe.functions.rand import b60
 from riskframe.operators import bagged as bg
 from riskframe.operators import boosting as bo
+from riskframe.operators import models
 
 COLS = ["a", "b", "c", "d", "e"]
 
@@ -135,3 +136,33 @@ def test_grid_equals_separate_forests(planted):
             acc.append((bg.as_forest(t, cuts, m).score(part[COLS].to_numpy())[1] == part["label"]).mean())
         hit = got[(got["criterion"] == criterion) & (got["max_depth"] == depth) & (got["min_samples_split"] == split) & (got["n_estimators"] == trees)]
         assert hit["avg_metric"].iloc[0] == pytest.approx(np.mean(acc))
+
+
+@pytest.mark.parametrize("local", [1, 60, 10_000])
+@pytest.mark.parametrize("kw", [dict(criterion="gini", min_leaf=3), dict(criterion="entropy", min_leaf=5, min_split=20), dict(max_depth=3, min_leaf=1)])
+def test_small_nodes_grown_in_tasks_equal_the_common_passes(spark, planted, monkeypatch, kw, local):
+    df, pdf, _ = planted
+    monkeypatch.setattr(bg, "ROW_CHUNK", 40)
+    g = bg.Growth(trees=4, subset=2, max_bins=16, **kw)
+    cuts = bo.collected_cuts(df, COLS, 16)
+    rows, _ = bo.binned_table(df, "key", COLS, cuts)
+    t = bg.grow(rows, 5, 16, [(0, i) for i in range(4)], g)
+    grown, oob, imp_ = bg.forest(df, "key", COLS, g, local=local)
+    assert (len(grown.top.tree) == 4) == (local == 10_000)  # what the driver holds
+    joined = bg.joined_trees(grown.top, grown.parts)
+    want = np.zeros((4, 5))
+    for i in range(4):
+        assert as_tuple(joined, i) == as_tuple(t, i)
+        split = (t.tree == i) & (t.feature >= 0)
+        np.add.at(want[i], t.feature[split], t.gain[split])
+    assert np.allclose(imp_, (want / want.sum(axis=1, keepdims=True)).mean(axis=0))
+    counts = bg.out_of_bag(rows, t, 5, g.seed).toPandas()
+    right = np.where(counts["score"] > 0.5, counts["n_pos"], counts["n_neg"]).sum()
+    assert oob["rows"] == counts[["n_pos", "n_neg"]].to_numpy().sum() and oob["accuracy"] == pytest.approx(right / oob["rows"])
+    # scored where the subtrees lie: unknown values, nulls, columns beside of any kind
+    other = df.withColumn("a", F.col("a") + 3).withColumn("b", F.when(F.col("key") % 9 > 0, F.col("b"))).withColumn("s", F.col("key").cast("string"))
+    got = models.score(grown, other, COLS, ("key", "s")).toPandas().sort_values("key")
+    x = pdf[pdf["key"] % 9 > 0]
+    p, hard = bg.as_forest(t, cuts).score(x.assign(a=x["a"] + 3)[COLS].to_numpy())
+    assert (got["s"] == x["key"].astype(str).to_numpy()).all() and np.array_equal(got["score"], p) and np.array_equal(got["prediction"], hard)
+    assert models.score(grown, other.limit(0), COLS, ("key", "s")).collect() == []
