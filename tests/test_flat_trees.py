@@ -143,3 +143,28 @@ def test_lime_looks_small_trees_up_in_tables():
         z = rng.normal(size=(500, 3))
         if tabled is not None:
             assert np.array_equal(ft.scores_around(forest, tabled, x, z, sds), forest.score(x + z * sds)[0])
+
+
+@pytest.mark.parametrize(("depth", "coded"), [(3, 12), (5, 12), (5, 2)])
+def test_shapley_patterns_are_looked_up_without_sorting_rows(monkeypatch, depth, coded):
+    rng = np.random.default_rng(6)
+    inner, size = 2 ** depth - 1, 2 ** (depth + 1) - 1
+    feature = np.tile([int(rng.integers(6)) if i < inner else -1 for i in range(size)], 3)
+    at = np.arange(3 * size)
+    head = at // size * size
+    cover = np.zeros(3 * size)
+    for n in reversed(range(3 * size)):
+        i, root = n % size, n // size * size
+        cover[n] = rng.integers(5, 50) if i >= inner else cover[root + 2 * i + 1] + cover[root + 2 * i + 2]
+    forest = ft.Forest(feature, rng.normal(size=3 * size).round(1), 2 * at - head + 1, 2 * at - head + 2, rng.random((3 * size, 1)), cover,
+                       np.arange(3) * size, np.ones(3))
+    x = rng.normal(size=(300, 6))
+    parts = ft.leaves(forest, 0)
+    want = np.zeros(x.shape)
+    for leaf in parts:
+        z = x[:, leaf.features]
+        want[:, leaf.features] += leaf.value * ft.path_credits(((z > leaf.low) & (z <= leaf.high)).astype(float), leaf.share)
+    monkeypatch.setattr(ft, "CODED_PATH", coded)
+    if coded == 12:
+        monkeypatch.setattr(ft.np, "unique", None)  # sorting the rows of every leaf was most of the work
+    assert np.allclose(ft.shapley_values(forest, x, parts), want, atol=1e-12)
