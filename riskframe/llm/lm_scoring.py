@@ -268,6 +268,7 @@ def _encode(shared):
     """(doc_id, held_out, slice, key, text) to ENCODED: a text's words are looked up once, for training and for scoring."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex: Lexicon = shared.value
+        gru.keep_freed_memory()
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)

@@ -230,3 +230,19 @@ def test_awkward_rows(awkward, empty):
     assert M.score(empty).collect() == []
     only_held = M.score(awkward.filter("doc_id = 9"), modulus=1, held=0).collect()  # nothing to learn from
     assert [(r.train_tokens, r.n_known, r.held_out) for r in only_held] == [(0, 0, True)] and np.isfinite(only_held[0].score)
+
+
+def test_training_reuses_the_memory_of_a_window(monkeypatch):
+    resource = pytest.importorskip("resource")
+    s = gru.Shape(16, np.arange(0, 1025, 32), 96)
+    rng = np.random.default_rng(5)
+    docs = [np.append(rng.integers(1, 1120, 640), 0).astype(np.int32) for _ in range(512)]
+    p = gru.initial(s, np.ones(s.classes), np.ones(s.words), 1)
+    trainer = gru.Trainer(p, s, 0.1)
+    lanes = gru.Lanes(docs, 0, 512)
+    h = np.zeros((512, 16), dtype=np.float32)
+    seen = []
+    for a, b, live in lanes.windows(16):
+        h = trainer._window(lanes, a, b, live, h[:live])
+        seen.append(resource.getrusage(resource.RUSAGE_SELF).ru_minflt)
+    assert seen[-1] - seen[19] < 200 * (len(seen) - 20)  # page faults; some 2,000 a window before
