@@ -166,3 +166,20 @@ def test_small_nodes_grown_in_tasks_equal_the_common_passes(spark, planted, monk
     p, hard = bg.as_forest(t, cuts).score(x.assign(a=x["a"] + 3)[COLS].to_numpy())
     assert (got["s"] == x["key"].astype(str).to_numpy()).all() and np.array_equal(got["score"], p) and np.array_equal(got["prediction"], hard)
     assert models.score(grown, other.limit(0), COLS, ("key", "s")).collect() == []
+
+
+def test_grid_does_not_depend_on_where_nodes_are_grown(planted):
+    df, _, _ = planted
+    grid = {"criterion": ["entropy"], "min_leaf": [3], "max_depth": [1, 3, 5, 0], "min_split": [2, 9, 60], "trees": [3, 4]}
+    # rules end above the subtrees, inside them and nowhere; the driver holds the upper nodes only
+    per = [sorted(map(tuple, bg.grid_accuracy(df, "key", COLS, "fold", 3, grid, bg.Growth(max_bins=16), local=local).collect())) for local in (20, 150, 10_000)]
+    assert per[0] == per[1] == per[2] and len(per[0]) == 24 and len({r[-1] for r in per[0]}) > 6
+
+
+def test_rules_that_no_node_tells_apart_are_one_set():
+    # root 0 (10 rows) -> 1 (6) and 2 (4); 1 -> 3, 4
+    feature, left, right = np.array([0, 0, -1, -1, -1]), np.array([1, 3, 0, 0, 0]), np.array([2, 4, 0, 0, 0])
+    n = np.array([10, 6, 4, 3, 3])
+    sets, ends = bg.Stops([(0, 2), (5, 6), (1, 2), (0, 7), (1, 11)]).of(feature, left, right, n, np.zeros(5, dtype=int), np.array([0]))
+    assert sets[0] == sets[1] and sets[2] != sets[0]
+    assert [ends[s, 3] for s in sets] == [3, 3, 1, 1, 0] and [ends[s, 2] for s in sets] == [2, 2, 2, 2, 0]
