@@ -183,3 +183,19 @@ def test_rules_that_no_node_tells_apart_are_one_set():
     sets, ends = bg.Stops([(0, 2), (5, 6), (1, 2), (0, 7), (1, 11)]).of(feature, left, right, n, np.zeros(5, dtype=int), np.array([0]))
     assert sets[0] == sets[1] and sets[2] != sets[0]
     assert [ends[s, 3] for s in sets] == [3, 3, 1, 1, 0] and [ends[s, 2] for s in sets] == [2, 2, 2, 2, 0]
+
+
+def test_walk_ends_where_a_row_by_itself_would():
+    rng = np.random.default_rng(8)
+    cols = rng.integers(0, 9, (6, 300)).astype(np.uint8)[::2]  # not laid end to end
+    feature, left, right = (np.array(v) for v in ([0, -1, 2, 1, -1, -1, -1, -1], [1, 0, 3, 5, 0, 0, 0, 0], [2, 0, 4, 6, 0, 0, 0, 0]))
+    cut = np.array([3, 0, 5, 2, 0, 0, 0, 0], dtype=np.uint8)
+
+    def alone(row, at):
+        while feature[at] >= 0:
+            at = left[at] if cols[feature[at], row] <= cut[at] else right[at]
+        return at
+
+    for root in (0, 2, 7):
+        assert bg._walk(cols, root, feature.astype(np.int16), cut, left.astype(np.int32), right.astype(np.int32)).tolist() == [alone(r, root) for r in range(300)]
+    assert len(bg._walk(cols[:, :0], 0, feature, cut, left, right)) == 0
