@@ -268,3 +268,15 @@ def test_binned_rows_are_written_as_blocks(spark):
     assert bins.shape == (2, 3600) and margins.shape == (2, 3600) and not margins.any() and len(set(row.tolist())) == 3600
     want = sorted((i % 4, i % 2, i % 7, i % 3) for i in range(4000) if i % 10)
     assert sorted(zip(fold.tolist(), label.astype(int).tolist(), *bins.tolist(), strict=True)) == want
+
+
+def test_passes_recompute_few_trees(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 2))
+    df = spark.createDataFrame([(i, float(a), float(c), int(a + c + rng.normal() > 0)) for i, (a, c) in enumerate(x)], "key int, a double, b double, label int")
+    seen, plain = [], bo.joined
+    monkeypatch.setattr(bo, "joined", lambda trees, weights, base, cuts=None: (seen.append(len(trees)) if cuts is None else None) or plain(trees, weights, base, cuts))
+    fitted = bo.fit(df, "key", ["a", "b"], bo.Params(rounds=9, max_depth=1))
+    assert len(fitted.forests[0].roots) == 9 and max(seen) <= 4  # the written margins hold the others
+    apart = bo.fit(df, "key", ["a", "b"], bo.Params(rounds=9, max_depth=1, pin_every=100))
+    assert np.allclose(fitted.forests[0].score(x)[0], apart.forests[0].score(x)[0], atol=1e-9)
