@@ -296,6 +296,16 @@ def best_cuts(n: np.ndarray, pos: np.ndarray, first: int, drawn: np.ndarray, g:
         names=["slot", "n", "pos", "feature", "bin", "nl", "pl", "gain"])
 
 
+def counted_splits(t: bagged.Trees) -> np.ndarray:
+    """Which nodes are splits that some prediction depends on: as in Spark's forests, a split between ends of one class is an end itself."""
+    split, says = t.feature >= 0, 2 * t.pos > t.n
+    for level in range(int(t.depth.max()) - 1, -1, -1):
+        at = np.flatnonzero(split & (t.depth == level))
+        left, right = t.left[at], t.right[at]
+        split[at[~split[left] & ~split[right] & (says[left] == says[right])]] = False
+    return split
+
+
 def round_importances(rows: Rows, live: list[int], rounds: list[int], shifts: list[list[int]], trees: int, depth: int) -> list[np.ndarray]:
     """For each of ``rounds`` the importances of the features ``live`` and then of their shadows, in a forest of its own."""
     spark, count = rows.table.sparkSession, len(live)
@@ -310,7 +320,7 @@ def round_importances(rows: Rows, live: list[int], rounds: list[int], shifts: li
         which = [(j, r * trees + i) for j, r in enumerate(some) for i in range(trees)]
         t = bagged.grow(table, d, bins, which, g, look=_look(starts, count, shuffle_partitions(spark)))
         gains = np.zeros((len(which), d))
-        split = t.feature >= 0
+        split = counted_splits(t)
         np.add.at(gains, (t.tree[split], t.feature[split]), t.gain[split])
         out += [bagged._shares(gains[j * trees:(j + 1) * trees]) for j in range(len(some))]
         delete_path(spark, path)

@@ -93,6 +93,36 @@ def test_best_cuts_are_those_of_every_try(criterion):
             assert r["gain"] is None
 
 
+def test_splits_between_ends_of_one_class_do_not_count():
+    # 0 -> 1, 2; 1 -> 3, 4 (both say 0); 2 -> 5, 6 (0 and 1); 6 -> 7, 8 (both say 1)
+    t = bagged.roots([(0, 0)])
+    t.tree, t.depth = np.zeros(9, dtype=int), np.array([0, 1, 1, 2, 2, 2, 2, 3, 3])
+    t.feature = np.array([0, 1, 2, -1, -1, -1, 0, -1, -1])
+    t.left, t.right = np.array([1, 3, 5, 0, 0, 0, 7, 0, 0]), np.array([2, 4, 6, 0, 0, 0, 8, 0, 0])
+    t.n, t.pos = np.array([20, 10, 10, 6, 4, 4, 6, 3, 3]), np.array([8, 2, 6, 0, 2, 1, 5, 3, 2])
+    assert sr.counted_splits(t).tolist() == [True, False, True, False, False, False, False, False, False]
+    t.pos[[5, 2, 0]] = 3, 8, 10  # now all below 2 say 1: it is an end, and its neighbour says 0
+    assert sr.counted_splits(t).tolist() == [True] + [False] * 8
+
+
+def test_importances_are_those_of_sparks_forest(spark):
+    from riskframe.operators import models
+    rng = np.random.default_rng(11)
+    x = np.column_stack([rng.integers(0, 5, 3000), rng.normal(size=3000), rng.integers(0, 2, 3000)]).astype(float)
+    y = (rng.random(3000) < np.where((x[:, 0] == 4) & (x[:, 2] == 1), 0.7, 0.1)).astype(int)  # most ends say 0
+    df = spark.createDataFrame([(i, *map(float, v), int(c)) for i, (v, c) in enumerate(zip(x, y))], "id bigint, a double, b double, c double, label int").persist()
+    rows = sr.binned_rows(df, "id", ["a", "b", "c"])
+    got = np.mean(sr.round_importances(rows, [0, 1, 2], [0, 1], [[1000, 2000, 500]] * 2, 40, 4), axis=0)
+    sr.let_go(rows)
+    own = df.toPandas()
+    for i, c in enumerate("abc"):
+        own[f"s{i}"] = rng.permutation(own[c].to_numpy())
+    cols = ["a", "b", "c", "s0", "s1", "s2"]
+    want = models.fit(spark.createDataFrame(own), cols, models.random_forest(80, 4), scaler=None).stages[-1].featureImportances.toArray()
+    df.unpersist()
+    assert np.abs(got - want).max() < 0.08
+
+
 def test_rounds_share_their_passes(spark, table):
     sc = spark.sparkContext
     sc.setJobGroup("boruta-passes", "")
